@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsift.functions.scalars import (
-    all_of,
     clip_lower,
     is_empty_label,
     is_finite,
     is_stray_header,
+    numbers,
     parse_number,
     row_fingerprint,
     strip,
@@ -31,6 +31,9 @@ from flowsift.schema import (
     unused_columns,
 )
 
+# The parsed features of a row while it is judged and deduplicated.
+VALUES = "_values"
+
 
 def drop_unused(df: DataFrame, strategy: str) -> DataFrame:
     """Drop the columns a strategy does not need; names that are absent are ignored."""
@@ -57,18 +60,30 @@ def drop_ghosts(df: DataFrame) -> DataFrame:
     return df.filter(~is_ghost()).withColumn(LABEL, strip(F.col(LABEL)))
 
 
+def pack_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The ``keep`` columns and all features, parsed to double, as one array."""
+    return df.select(*keep, numbers((F.col(c) for c in features), parse_number).alias(VALUES))
+
+
+def unpack_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The inverse: one double column per feature, then the other columns."""
+    others = [c for c in df.columns if c != VALUES]
+    return df.select(*[F.col(VALUES)[i].alias(c) for i, c in enumerate(features)], *others)
+
+
 def type_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Parse feature texts to double in one projection."""
-    return df.withColumns({c: parse_number(F.col(c)) for c in features})
+    """Parse feature texts to double; other columns stay as they are."""
+    others = [c for c in df.columns if c not in features]
+    return unpack_features(pack_features(df, features, others), features)
 
 
-def drop_unusable(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Drop rows with any missing, unparsable or infinite feature."""
-    return df.filter(all_of(is_finite(F.col(c)) for c in features))
+def all_finite() -> Column:
+    """Whether every packed feature is there and finite."""
+    return F.forall(VALUES, lambda v: F.coalesce(is_finite(v), F.lit(False)))
 
 
-def drop_negative(df: DataFrame, column: str = DURATION) -> DataFrame:
-    return df.filter(F.col(column) >= 0)
+def packed(features: Sequence[str], name: str) -> Column:
+    return F.col(VALUES)[list(features).index(name)]
 
 
 def interval_names(df: DataFrame) -> list[str]:
@@ -81,13 +96,6 @@ def clip_intervals(df: DataFrame) -> DataFrame:
     return df.withColumns({c: clip_lower(F.col(c)) for c in names}) if names else df
 
 
-def typed_rows(df: DataFrame, strategy: str, order: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Drop, rename and label-clean, then type the features; no row is judged on its numbers yet."""
-    named = normalise_names(drop_unused(df, strategy))
-    features = feature_names(named, order)
-    return type_features(drop_ghosts(named), features), features
-
-
 def clean(df: DataFrame, strategy: str, order: Sequence[str] = (), row_key: str | None = None) -> DataFrame:
     """The whole cleaning chain.
 
@@ -97,20 +105,19 @@ def clean(df: DataFrame, strategy: str, order: Sequence[str] = (), row_key: str
     ``row_key`` names a column that tells kept rows apart even when later steps make them alike.
     """
     check_strategy(strategy)
-    typed, features = typed_rows(df, strategy, order)
-    usable = drop_negative(drop_unusable(typed, features))
-    keys = [*features, LABEL]
-    if strategy == STRATIFIED:
-        kept = usable.select(*keys, *order)
-    else:
-        if not order:
-            raise ValueError("time_based keeps the first timestamp of each group and needs an order")
-        keys = [*keys, SOURCE_DAY]
-        kept = usable.select(*keys, TIMESTAMP, *order)
-    kept = keep_first(kept, keys, order)
+    named = normalise_names(drop_unused(df, strategy))
+    features = feature_names(named, order)
+    day = [SOURCE_DAY] if strategy == TIME_BASED else []
+    time = [TIMESTAMP] if strategy == TIME_BASED else []
+    if time and not order:
+        raise ValueError("time_based keeps the first timestamp of each group and needs an order")
+    rows = pack_features(drop_ghosts(named), features, [LABEL, *day, *time, *order])
+    usable = rows.filter(all_finite() & (packed(features, DURATION) >= 0))
+    keys = [VALUES, LABEL, *day]
+    kept = keep_first(usable, keys, order)
     if row_key is not None:
         kept = kept.withColumn(row_key, row_fingerprint(keys))
-    return clip_intervals(kept)
+    return clip_intervals(unpack_features(kept, features))
 
 
 def cleaning_funnel(df: DataFrame, strategy: str, order: Sequence[str] = ()) -> DataFrame:
@@ -123,20 +130,20 @@ def cleaning_funnel(df: DataFrame, strategy: str, order: Sequence[str] = ()) ->
     day = [SOURCE_DAY] if strategy == TIME_BASED else []
     named = normalise_names(drop_unused(df, strategy))
     features = feature_names(named, order)
-    tagged = type_features(named.withColumn("_ghost", is_ghost()), features).withColumn(
+    tagged = pack_features(named.withColumn("_ghost", is_ghost()), features, [*day, LABEL, "_ghost"]).withColumn(
         "_rule",
         F.when(F.col("_ghost"), 1)
-        .when(~F.coalesce(all_of(is_finite(F.col(c)) for c in features), F.lit(False)), 2)
-        .when(F.col(DURATION) < 0, 3)
+        .when(~all_finite(), 2)
+        .when(packed(features, DURATION) < 0, 3)
         .otherwise(4),
     )
     keyed = tagged.select(
         *day,
         "_rule",
-        *[F.when(F.col("_rule") == 4, F.col(c)).alias(c) for c in features],
+        F.when(F.col("_rule") == 4, F.col(VALUES)).alias(VALUES),
         F.when(F.col("_rule") == 4, strip(F.col(LABEL))).alias(LABEL),
     )
-    groups = keyed.groupBy(*day, "_rule", *features, LABEL).agg(F.count("*").alias("_n"))
+    groups = keyed.groupBy(*day, "_rule", VALUES, LABEL).agg(F.count("*").alias("_n"))
     n = F.col("_n")
     rule = F.col("_rule")
     totals = groups.groupBy(*day).agg(

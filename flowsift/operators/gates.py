@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.functions.scalars import any_of, epoch_seconds, strip
+from flowsift.functions.scalars import INFINITY, any_of, epoch_seconds, strip
 from flowsift.operators.clean import interval_names
 from flowsift.operators.profile import quoted
 from flowsift.schema import (
@@ -113,24 +113,27 @@ def health_counts(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return df.agg(*_health(df, extra))
 
 
+def is_missing(value: Column) -> Column:
+    return value.isNull() | F.coalesce(F.isnan(value), F.lit(False))
+
+
+def double_array(columns: Sequence[str]) -> Column:
+    return F.array(*[quoted(c).cast("double") for c in columns]) if columns else F.array().cast("array<double>")
+
+
 def _health(df: DataFrame, extra: Sequence[str]) -> list[Column]:
     types = dict(df.dtypes)
     columns = data_columns(df, extra)
-    numeric = [c for c in columns if types[c] != "string"]
-    floating = [c for c in numeric if types[c] in ("double", "float")]
-
-    def cells(conditions: list[Column]) -> Column:
-        return sum((c.cast("int") for c in conditions), F.lit(0))
-
-    missing = [quoted(c).isNull() | F.isnan(quoted(c)) if c in floating else quoted(c).isNull() for c in columns]
-    infinite = [F.coalesce(F.abs(quoted(c)) == float("inf"), F.lit(False)) for c in floating]
-    intervals = [F.min(quoted(c)) for c in interval_names(df)]
-    lowest = F.least(*intervals) if len(intervals) > 1 else (intervals or [F.lit(None).cast("double")])[0]
+    texts = [c for c in columns if types[c] == "string"]
+    cells = double_array([c for c in columns if c not in texts])
+    absent = sum((quoted(c).isNull().cast("int") for c in texts), F.lit(0))
+    missing = F.size(F.filter(cells, is_missing)) + absent
+    infinite = F.size(F.filter(cells, lambda v: F.coalesce(F.abs(v) == INFINITY, F.lit(False))))
     return [
-        F.coalesce(F.sum(cells(missing)), F.lit(0)).alias("missing_cells"),
-        F.coalesce(F.sum(cells(infinite)), F.lit(0)).alias("infinite_cells"),
+        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"),
+        F.coalesce(F.sum(infinite), F.lit(0)).alias("infinite_cells"),
         F.min(DURATION).alias("min_duration"),
-        lowest.alias("min_interval"),
+        F.min(F.array_min(double_array(interval_names(df)))).alias("min_interval"),
     ]
 
 
@@ -196,9 +199,9 @@ def encoded_gate(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     types = dict(df.dtypes)
     columns = data_columns(df, extra)
     other = [c for c in columns if types[c] not in ("double", "float", "tinyint", "smallint", "int", "bigint")]
-    bad = any_of(
-        quoted(c).isNull() | F.isnan(quoted(c)) if types[c] in ("double", "float") else quoted(c).isNull()
-        for c in columns
+    texts = [c for c in columns if types[c] == "string"]
+    bad = F.exists(double_array([c for c in columns if c not in texts]), is_missing) | any_of(
+        quoted(c).isNull() for c in texts
     )
     return report(
         df.agg(F.count_if(bad).alias("bad_rows")),

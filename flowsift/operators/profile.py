@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+import math
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.functions.scalars import is_stray_header, strip, to_number
+from flowsift.functions.scalars import finite, is_stray_header, numbers, strip, to_number
 from flowsift.operators.clean import interval_names
 from flowsift.operators.ranks import smallest_rows
 from flowsift.schema import DURATION, EMPTY_LABELS, LABEL, PROTOCOL, REDUNDANT_PAIRS, TARGET
@@ -18,21 +20,29 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Only ``columns``, text parsed to double, infinities NULL."""
-    text = {name for name, kind in df.dtypes if kind == "string"}
-    return df.select(
-        *[(to_number(quoted(c)) if c in text else quoted(c).cast("double")).alias(c) for c in columns]
-    )
+def cell(df: DataFrame, name: str) -> tuple[Column, Callable[[Column], Column]]:
+    """A column and how to read it as a finite double."""
+    if dict(df.dtypes)[name] == "string":
+        return quoted(name), to_number
+    return quoted(name).cast("double"), finite
 
 
-def one_row_per_column(wide: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Turn one wide aggregate row, whose columns are ``<field>__<position>``, into a row per column."""
-    entries = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{f}__{i}").alias(f) for f in fields])
-        for i, c in enumerate(columns)
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+def number_array(df: DataFrame, columns: Sequence[str]) -> Column:
+    """``columns`` as an array of finite doubles; all are texts or all are numbers."""
+    readers = [cell(df, c) for c in columns]
+    if len({convert for _, convert in readers}) > 1:
+        return F.array(*[convert(value) for value, convert in readers])
+    return numbers([value for value, _ in readers], readers[0][1])
+
+
+def long_cells(df: DataFrame, cells: Column) -> DataFrame:
+    """One row (pos, value) per array entry of every row."""
+    return df.select(F.posexplode(cells).alias("pos", "value"))
+
+
+def name_of(columns: Sequence[str]) -> Column:
+    """The column name at position ``pos``."""
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("pos") + 1).alias("column")
 
 
 def label_distribution(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -57,19 +67,24 @@ def ghost_counts(df: DataFrame) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum and maximum per column; unusable texts are left out."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        value = quoted(c)
-        aggregates += [
-            F.count(value).alias(f"n__{i}"),
-            F.avg(value).alias(f"mean__{i}"),
-            F.stddev_samp(value).alias(f"std__{i}"),
-            F.min(value).alias(f"min__{i}"),
-            F.max(value).alias(f"max__{i}"),
-        ]
-    wide = as_numbers(df, columns).agg(*aggregates)
-    return one_row_per_column(wide, columns, ["n", "mean", "std", "min", "max"])
+    """Count, mean, sample deviation, minimum and maximum per column; unusable texts are left out.
+
+    Cells are grouped by column position, which folds to one row per column inside each task. A wide
+    aggregate of five measures per column outgrows the JIT compiler at a few dozen columns.
+    """
+    columns = list(columns)
+    stats = (
+        long_cells(df, number_array(df, columns))
+        .groupBy("pos")
+        .agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
+    )
+    return stats.select(name_of(columns), "n", "mean", "std", "min", "max")
 
 
 def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -78,16 +93,14 @@ def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Values are counted before they are compared, so a value held by most rows is one row per task;
     ties for the top go to the smallest value.
     """
-    long = (
-        df.select(*[quoted(c).cast("string").alias(c) for c in columns])
-        .unpivot([], list(columns), "column", "value")
-        .filter("value IS NOT NULL")
+    columns = list(columns)
+    cells = long_cells(df, F.array(*[quoted(c).cast("string") for c in columns])).filter("value IS NOT NULL")
+    values = cells.groupBy("pos", "value").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value")))
+    found = values.groupBy("pos").agg(F.sum("n").alias("count"), F.count("*").alias("unique"), best.alias("best"))
+    return found.select(
+        name_of(columns), "count", "unique", F.col("best.value").alias("top"), (-F.col("best.rank")).alias("freq")
     )
-    values = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    ranked = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value")))
-    return values.groupBy("column").agg(
-        F.sum("n").alias("count"), F.count("*").alias("unique"), ranked.alias("best")
-    ).select("column", "count", "unique", F.col("best.value").alias("top"), (-F.col("best.rank")).alias("freq"))
 
 
 def negative_summary(df: DataFrame, column: str) -> DataFrame:
@@ -117,17 +130,18 @@ def negative_intervals(df: DataFrame) -> DataFrame:
     columns = interval_names(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, negative_rows bigint, min_value double")
-    aggregates = []
-    for i, c in enumerate(columns):
-        value = quoted(c)
-        aggregates += [F.count_if(value < 0).alias(f"negative_rows__{i}"), F.min(value).alias(f"min_value__{i}")]
-    return one_row_per_column(as_numbers(df, columns).agg(*aggregates), columns, ["negative_rows", "min_value"])
+    found = (
+        long_cells(df, number_array(df, columns))
+        .groupBy("pos")
+        .agg(F.count_if(F.col("value") < 0).alias("negative_rows"), F.min("value").alias("min_value"))
+    )
+    return found.select(name_of(columns), "negative_rows", "min_value")
 
 
 def near_constant(df: DataFrame, candidates: Sequence[str], most: int = 3, zero_pct: float = 99.0) -> DataFrame:
     """Evidence that a column hardly varies: at most ``most`` values and over ``zero_pct`` percent zeros.
 
-    Long form keeps it at one distinct aggregate; a wide ``count(DISTINCT ..)`` per column would copy
+    Long form needs one distinct aggregate; a wide ``count(DISTINCT ..)`` per column would copy
     every row once per column. Zeros fold together inside each task before the exchange.
     """
     columns = [c for c in candidates if c in df.columns]
@@ -135,18 +149,26 @@ def near_constant(df: DataFrame, candidates: Sequence[str], most: int = 3, zero_
         return df.sparkSession.createDataFrame(
             [], "column string, distinct_values bigint, zero_pct double, std double, droppable boolean"
         )
-    long = as_numbers(df, columns).unpivot([], columns, "column", "value")
-    return (
-        long.groupBy("column")
+    found = (
+        long_cells(df, number_array(df, columns))
+        .groupBy("pos")
         .agg(
             F.count_distinct("value").alias("distinct_values"),
             (F.count_if(F.col("value") == 0) * 100.0 / F.count("*")).alias("zero_pct"),
             F.stddev_samp("value").alias("std"),
         )
-        .withColumn("droppable", (F.col("distinct_values") <= most) & (F.col("zero_pct") > zero_pct))
+    )
+    return found.select(name_of(columns), "distinct_values", "zero_pct", "std").withColumn(
+        "droppable", (F.col("distinct_values") <= most) & (F.col("zero_pct") > zero_pct)
     )
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows that have both values; NULL for a constant column, where ``corr`` divides by zero."""
+    spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
+    return F.regr_sxy(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def redundant_pairs(
     df: DataFrame, pairs: Sequence[tuple[str, str]] = REDUNDANT_PAIRS, threshold: float = 0.9999
 ) -> DataFrame:
@@ -155,9 +177,12 @@ def redundant_pairs(
     if not present:
         return df.sparkSession.createDataFrame([], "dropped string, kept string, corr double, droppable boolean")
     columns = list(dict.fromkeys(c for pair in present for c in pair))
-    wide = as_numbers(df, columns).agg(
-        *[F.corr(quoted(a), quoted(b)).alias(f"corr__{i}") for i, (a, b) in enumerate(present)]
-    )
+    cells = df.select(number_array(df, columns).alias("cells"))
+
+    def value(name: str) -> Column:
+        return F.col("cells")[columns.index(name)]
+
+    wide = cells.agg(*[pearson(value(a), value(b)).alias(f"corr__{i}") for i, (a, b) in enumerate(present)])
     entries = [
         F.struct(
             F.lit(a).alias("dropped"),
@@ -175,11 +200,25 @@ def present_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
+def correlations(df: DataFrame, columns: Sequence[str]) -> list[list[float | None]]:
+    """The Pearson matrix of complete rows, from one distributed pass; a constant column gives None.
+
+    Its size depends on the number of columns only.
+    """
+    spark_columns = df.select(*[quoted(c).cast("double").alias(str(i)) for i, c in enumerate(columns)])
+    vectors = VectorAssembler(inputCols=spark_columns.columns, outputCol="v", handleInvalid="skip").transform(spark_columns)
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    constant = [all(math.isnan(x) for j, x in enumerate(row) if j != i) for i, row in enumerate(matrix)]
+    return [
+        [None if math.isnan(x) or constant[i] or constant[j] else float(x) for j, x in enumerate(row)]
+        for i, row in enumerate(matrix)
+    ]
+
+
 def target_correlations(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
-    """Pearson correlation of every feature with the target, in one pass."""
-    numbers = as_numbers(df, [*features, target])
-    wide = numbers.agg(*[F.corr(quoted(c), quoted(target)).alias(f"corr__{i}") for i, c in enumerate(features)])
-    return one_row_per_column(wide, features, ["corr"]).withColumnRenamed("column", "feature")
+    """Pearson correlation of every feature with the target."""
+    last = correlations(df, [*features, target])[-1]
+    return df.sparkSession.createDataFrame(list(zip(features, last)), "feature string, corr double")
 
 
 def top_correlated(df: DataFrame, features: Sequence[str], target: str = TARGET, k: int = 15) -> DataFrame:
@@ -192,22 +231,11 @@ def top_correlated(df: DataFrame, features: Sequence[str], target: str = TARGET,
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairwise Pearson correlations in long form, from one aggregate over the upper triangle."""
+    """All pairwise Pearson correlations in long form."""
     columns = list(columns)
-    pairs = list(combinations(range(len(columns)), 2))
-    numbers = as_numbers(df, columns)
-    wide = numbers.agg(
-        *[F.corr(quoted(columns[i]), quoted(columns[j])).alias(f"corr__{i}_{j}") for i, j in pairs],
-        *[F.stddev_samp(quoted(c)).alias(f"std__{i}") for i, c in enumerate(columns)],
-    )
-    entries = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            corr = F.col(f"corr__{min(i, j)}_{max(i, j)}") if i != j else F.when(F.col(f"std__{i}") > 0, 1.0)
-            entries.append(
-                F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), corr.cast("double").alias("corr"))
-            )
-    return wide.select(F.inline(F.array(*entries)))
+    matrix = correlations(df, columns)
+    rows = [(a, b, matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
 def column_profile(df: DataFrame, k: int = 3) -> DataFrame:

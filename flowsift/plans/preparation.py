@@ -22,6 +22,9 @@ from flowsift.sources.tables import read_parquet, write_parquet
 
 # Where a time-based row lies in time and in its day; needed to carve the temporal tail later.
 PLACE = ["day_start", SOURCE_DAY, TIMESTAMP, *SOURCE_ORDER]
+# Fixed value: percentage points by which the attack share of train and test may differ.
+MAX_DRIFT = 0.01
+ANY_DRIFT = 101.0
 
 log = logging.getLogger(__name__)
 
@@ -62,9 +65,19 @@ def encode_job(spark: SparkSession, cleaned: str, out: str, strategy: str) -> No
     passed(gates.encoded_gate(read_parquet(spark, out)), "encoded")
 
 
-def split_job(spark: SparkSession, encoded: str, out: str, strategy: str, test_days: int | None = None) -> None:
+def split_job(
+    spark: SparkSession,
+    encoded: str,
+    out: str,
+    strategy: str,
+    test_days: int | None = None,
+    drift_points: float = MAX_DRIFT,
+) -> None:
     """Assign sides and write the matrix, one folder per side.
 
+    A stratified split fails if the attack shares differ by ``drift_points`` percentage points. Whole days
+    may differ by any amount.
+
     Stratified rows are drawn by their row key and keep it. Time-based rows keep day, timestamp and place
     for the later temporal carve of the training side.
     """
@@ -80,5 +93,5 @@ def split_job(spark: SparkSession, encoded: str, out: str, strategy: str, test_d
     else:
         split = stratified_split(df, [ROW_KEY])
         matrix = to_matrix(split, key=[ROW_KEY])
-    passed(gates.side_gate(split, "side", TARGET, 0.01 if strategy == STRATIFIED else 100.1), "split")
+    passed(gates.side_gate(split, "side", TARGET, drift_points if strategy == STRATIFIED else ANY_DRIFT), "split")
     write_parquet(matrix, out, ["side"])

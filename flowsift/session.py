@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "flowsift", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with AQE and a UTC clock. Extra settings win over the defaults."""
+    """A session with AQE and a UTC clock. Extra settings win over the defaults.
+
+    Flow tables are 60 to 80 columns wide. Methods generated for that many expressions pass the JVM's limit
+    for compilation (8,000 bytes) and would run interpreted, so Spark is told to split them instead.
+    """
     settings = {
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as registry
 from tests.check_oracle import compare, connect
+from workload.queries import DRIFTED_WEEK, RAW_WIDTH
 
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 
@@ -28,6 +29,6 @@ def test_every_oracle_has_a_query():
 def test_sources_report_their_size(spark, sf_dir):
     inventory = QUERIES["source_inventory"](spark, sf_dir).collect()
     assert [r["source"] for r in inventory] == [f"week-{k}" for k in range(5)]
-    assert all(r["bytes"] > 0 and r["columns"] == (25 if r["source"] == "week-2" else 21) for r in inventory)
+    assert all(r["bytes"] > 0 and r["columns"] == RAW_WIDTH + 4 * (r["source"] == DRIFTED_WEEK) for r in inventory)
     ratio = QUERIES["merged_size_ratio"](spark, sf_dir).first()
     assert ratio["ratio"] == ratio["csv_bytes"] / ratio["parquet_bytes"]

@@ -57,8 +57,7 @@ def test_near_constant(spark):
     assert set(got) == {"flat", "varied"}
     assert got["flat"]["droppable"] and got["flat"]["distinct_values"] == 2 and got["flat"]["zero_pct"] == 99.5
     assert not got["varied"]["droppable"]
-    # one copy of a row per column for the long form, none for the distinct count
-    assert plan_of(p.near_constant(df, ["flat", "varied"])).count("Expand") == 1
+    assert "Expand" not in plan_of(p.near_constant(df, ["flat", "varied"]))
     assert p.near_constant(df, ["absent"]).count() == 0
 
 
