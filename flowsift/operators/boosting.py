@@ -51,7 +51,10 @@ def weighted(df: DataFrame, weight: float, target: str = TARGET) -> DataFrame:
 def fit(
     assembled: DataFrame, weight: float, n_trees: int, params: BoostingParams = BoostingParams(), target: str = TARGET
 ) -> GBTClassificationModel:
-    """Fit ``n_trees`` trees. MLlib checkpoints its residuals every ten trees in the shared folder."""
+    """Fit ``n_trees`` trees. MLlib checkpoints its residuals every ten trees in the shared folder.
+
+    It reads the rows several times before it caches its own form, so pass a written table, not a long plan.
+    """
     shared_root(assembled.sparkSession)
     booster = GBTClassifier(
         featuresCol=FEATURES,

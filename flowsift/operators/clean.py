@@ -82,6 +82,17 @@ def all_finite() -> Column:
     return F.forall(VALUES, lambda v: F.coalesce(is_finite(v), F.lit(False)))
 
 
+def keep_usable(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Packed rows whose every feature is finite.
+
+    Exploding an array of one or no element filters and parses in one go. A filter on the parsed
+    array would be pushed below the projection and parse every cell a second time.
+    """
+    parsed = F.array(numbers((F.col(c) for c in features), parse_number))
+    whole = F.filter(parsed, lambda values: F.forall(values, lambda v: F.coalesce(is_finite(v), F.lit(False))))
+    return df.select(*keep, F.explode(whole).alias(VALUES))
+
+
 def packed(features: Sequence[str], name: str) -> Column:
     return F.col(VALUES)[list(features).index(name)]
 
@@ -111,8 +122,8 @@ def clean(df: DataFrame, strategy: str, order: Sequence[str] = (), row_key: str
     time = [TIMESTAMP] if strategy == TIME_BASED else []
     if time and not order:
         raise ValueError("time_based keeps the first timestamp of each group and needs an order")
-    rows = pack_features(drop_ghosts(named), features, [LABEL, *day, *time, *order])
-    usable = rows.filter(all_finite() & (packed(features, DURATION) >= 0))
+    lasting = drop_ghosts(named).filter(parse_number(F.col(DURATION)) >= 0)
+    usable = keep_usable(lasting, features, [LABEL, *day, *time, *order])
     keys = [VALUES, LABEL, *day]
     kept = keep_first(usable, keys, order)
     if row_key is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowsift.functions.scalars import finite, is_stray_header, numbers, strip, to_number
 from flowsift.operators.clean import interval_names
 from flowsift.operators.ranks import smallest_rows
-from flowsift.schema import DURATION, EMPTY_LABELS, LABEL, PROTOCOL, REDUNDANT_PAIRS, TARGET
+from flowsift.schema import EMPTY_LABELS, LABEL, PROTOCOL, REDUNDANT_PAIRS, TARGET
 
 
 def quoted(name: str) -> Column:
@@ -309,8 +309,3 @@ def log_histogram(df: DataFrame, features: Sequence[str], target: str = TARGET,
     long = logs.unpivot([target], list(features), "feature", "value").filter("value IS NOT NULL")
     slot = F.greatest(F.lit(-1), F.least(F.floor("value"), F.lit(bins))).cast("int")
     return long.groupBy("feature", target, slot.alias("bin")).agg(F.count("*").alias("n"))
-
-
-def duration_column(df: DataFrame) -> str:
-    """The duration column by its raw or cleaned name."""
-    return DURATION if DURATION in df.columns else "Flow Duration"

@@ -22,6 +22,7 @@ from flowsift.operators.boosting import (
 )
 from flowsift.operators.curves import cumulate, cumulative_counts, operating_threshold, range_edges, ranking_metrics
 from flowsift.operators.diagnostics import classification_report, confusion_matrix
+from flowsift.operators.gates import required_names
 from flowsift.operators.split import SEED, class_weight, stratified_split, tail_split
 from flowsift.schema import TARGET
 from flowsift.session import materialise
@@ -35,6 +36,7 @@ TRAIN, VALIDATION, TEST = "train", "validation", "test"
 @dataclass(frozen=True)
 class TrainedRun:
     model: GBTClassificationModel
+    features: list[str]
     threshold: float
     n_trees: int
     curve: DataFrame
@@ -75,6 +77,9 @@ def train_and_evaluate(
     validation prefers. Phase 2 refits on all training rows. Only the test side is reported.
     """
     spark = split.sparkSession
+    absent = required_names(split.columns, [*features, TARGET, "side"])
+    if absent:
+        raise ValueError(f"the split table lacks {absent}")
     train = split.filter(F.col("side") == TRAIN)
     carved = materialise(assemble(carve(train), features, [TARGET, "phase"]), "phase1")
     inner = carved.filter(F.col("phase") == TRAIN)
@@ -97,6 +102,7 @@ def train_and_evaluate(
     scores = materialise(score_rows(model, test), "scores")
     run = TrainedRun(
         model,
+        list(features),
         threshold,
         n_trees,
         curve,
@@ -112,8 +118,10 @@ def train_and_evaluate(
 
 
 def save_run(run: TrainedRun, run_dir: str) -> None:
-    """Model, threshold and result tables below ``run_dir``."""
+    """Model with its feature names, threshold and result tables below ``run_dir``."""
+    spark = run.scores.sparkSession
     save_model(run.model, f"{run_dir}/model")
-    save_threshold(run.scores.sparkSession, f"{run_dir}/threshold", run.threshold)
+    write_parquet(spark.createDataFrame(list(enumerate(run.features)), "pos int, feature string"), f"{run_dir}/features")
+    save_threshold(spark, f"{run_dir}/threshold", run.threshold)
     for name in ("curve", "scores", "metrics", "report", "confusion", "importance"):
         write_parquet(getattr(run, name), f"{run_dir}/{name}")

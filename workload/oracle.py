@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from flowsift.schema import MISSING_TOKENS, NEAR_CONSTANT, REDUNDANT_PAIRS, SAMPLED_FEATURES
 from workload.flows import (
-    FEATURE_SQL,
     IDENTIFIER_SQL,
     LINE_FEATURES,
     LINE_KEY,
@@ -471,6 +470,7 @@ SELECT CAST(sum({missing}) AS BIGINT) AS missing_cells, CAST(sum({infinite}) AS
 
     sql["encoded_rows_stratified"] = f"WITH {encoded_cte()} SELECT * FROM encoded"
     sql["encoded_rows_by_day"] = f"WITH {encoded_cte(True)} SELECT * FROM encoded"
+    sql["stacked_day_slices"] = sql["encoded_rows_by_day"]
     sql["one_hot_totals"] = f"WITH {encoded_cte()}\n" + union(
         f"SELECT 'Protocol_{p}' AS \"column\", CAST(sum(\"Protocol_{p}\") AS BIGINT) AS rows_set FROM encoded" for p in (0, 6, 17)
     )

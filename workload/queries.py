@@ -12,7 +12,6 @@ from flowsift.operators import boosting, clean as cleaning, curves, diagnostics,
 from flowsift.operators.boosting import BoostingParams
 from flowsift.plans import post_run, preparation, training
 from flowsift.schema import (
-    DURATION,
     LABEL,
     NEAR_CONSTANT,
     SAMPLED_FEATURES,
@@ -20,7 +19,7 @@ from flowsift.schema import (
     TARGET,
     TIME_BASED,
 )
-from flowsift.session import scratch_path
+from flowsift.session import materialise, scratch_path
 from flowsift.sources import csv_days, tables
 from workload.flows import (
     LINE_FEATURES,
@@ -344,6 +343,13 @@ def temporal_tail(spark, sf_dir):
     return split.tail_split(rows, ["source_day", "row_no"], _day_block())
 
 
+@query
+def stacked_day_slices(spark, sf_dir):
+    rows = encoded_by_day(spark, sf_dir)
+    early = F.col("source_day") <= "2024-01-15"
+    return split.union_days([rows.filter(early), rows.filter(~early)])
+
+
 @query
 def class_weight(spark, sf_dir):
     return rounded(split.class_weight(encoded(spark, sf_dir)))
@@ -597,7 +603,7 @@ def _line_split(spark, sf_dir) -> DataFrame:
 
 
 def _small_model(spark, sf_dir):
-    assembled = boosting.assemble(lines(spark, sf_dir), LINE_FEATURES, [*LINE_KEY, TARGET])
+    assembled = materialise(boosting.assemble(lines(spark, sf_dir), LINE_FEATURES, [*LINE_KEY, TARGET]), "lines")
     weight = split.class_weight(assembled).first()["weight"]
     return boosting.fit(assembled, weight, SMALL_FIT.max_trees, SMALL_FIT), assembled
 
@@ -627,8 +633,9 @@ def model_round_trip(spark, sf_dir):
 
 @query
 def learning_curve(spark, sf_dir):
-    phases = split.stratified_split(_line_split(spark, sf_dir).filter("side = 'train'").drop("side"), LINE_KEY, names=("train", "validation"))
-    assembled = boosting.assemble(phases, LINE_FEATURES, [TARGET, "side"])
+    train = _line_split(spark, sf_dir).filter("side = 'train'").drop("side")
+    phases = split.stratified_split(train, LINE_KEY, names=("train", "validation"))
+    assembled = materialise(boosting.assemble(phases, LINE_FEATURES, [TARGET, "side"]), "phases")
     inner = assembled.filter("side = 'train'").drop("side")
     model = boosting.fit(inner, training.weight_of(inner), SMALL_FIT.max_trees, SMALL_FIT)
     curve = boosting.learning_curve(boosting.staged_counts(model, assembled))
