@@ -53,7 +53,7 @@ def digest_columns(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
 
 
 def smallest_rows(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
-    """The ``n`` rows with the smallest digest, all rows if there are no more than ``n``."""
+    """The ``n`` rows with the smallest digest, all rows if there are no more than ``n``. ``key`` is unique."""
     marked = digest_columns(df, key, seed)
     order = ["_digest", *key]
     slim = marked.select(F.lit(0).alias("_all"), "_bucket", *order)

@@ -47,11 +47,15 @@ def merge_job(spark: SparkSession, folder: str, out: str, strategy: str = STRATI
 
 
 def clean_job(spark: SparkSession, merged: str, out: str, strategy: str) -> None:
-    """Clean a merged table. A stratified set needs no row order: every column is in the dedup key."""
+    """Clean a merged table. A stratified set needs no row order: every column is in the dedup key.
+
+    Dedup scatters each day over all tasks. Rebalancing by day before the write gives few files per day, and
+    AQE splits a day that holds far more rows than the others.
+    """
     raw = read_parquet(spark, merged)
     if strategy == TIME_BASED:
         cleaned = clean(raw.withColumn(SOURCE_DAY, F.col(SOURCE_DAY).cast("string")), strategy, SOURCE_ORDER)
-        write_parquet(cleaned, out, [SOURCE_DAY])
+        write_parquet(cleaned.hint("rebalance", SOURCE_DAY), out, [SOURCE_DAY])
     else:
         write_parquet(clean(raw, strategy, row_key=ROW_KEY), out)
 
