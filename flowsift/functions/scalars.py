@@ -34,7 +34,8 @@ def numbers(columns: Iterable[Column], convert: Callable[[Column], Column] | Non
     """The columns as one array, each converted, by default parsed to a finite number or NULL.
 
     Dozens of conversions spelled out column by column make a generated method too long for the JIT
-    compiler. One function over an array stays short: measured four times faster at 61 columns.
+    compiler. One function over an array stays short. At 61 columns the parsing step alone took about 5
+    instead of 20 seconds in a default session; with ``build_session``'s method limit both took about 8.
     """
     return F.transform(F.array(*columns), convert or to_number)
 
