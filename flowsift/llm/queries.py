@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsift.llm.bpe import digest_documents
 from flowsift.llm.packing import pack_documents
+from flowsift.llm.secret_scan import secret_report
 from flowsift.llm.sharding import shard_documents
 
 SHARDS = 24
@@ -28,13 +30,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), SEQUENCE_TOKENS, vocabulary("byte_bpe_50k.json"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_sharding": op7_sharding,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE: dict[str, str] = {}
