@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsift.llm.bpe import digest_documents
+from flowsift.llm.oracle import ORACLE  # noqa: F401  part of the registration
 from flowsift.llm.packing import pack_documents
+from flowsift.llm.quality import quality_report
 from flowsift.llm.secret_scan import secret_report
 from flowsift.llm.sharding import shard_documents
 
@@ -30,6 +32,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), SEQUENCE_TOKENS, vocabulary("byte_bpe_50k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -44,9 +50,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_sharding": op7_sharding,
     "op10_secret_scans": op10_secret_scans,
 }
-
-ORACLE: dict[str, str] = {}
