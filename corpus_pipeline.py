@@ -4,21 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsift.llm.packing import pack_documents
+from flowsift.llm.quality import keep_good
 from flowsift.llm.queries import SEQUENCE_TOKENS, documents, vocabulary
+from flowsift.llm.secret_scan import redact_secrets
+from flowsift.llm.simhash import keep_one
 from flowsift.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its sequence and its place there."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, of hosts that pass them."""
+    return keep_good(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the smallest doc_id."""
+    return keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked and ``n_chars`` counted again."""
+    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and its place there."""
     return pack_documents(docs, SEQUENCE_TOKENS, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("best_fit_packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Tokenising is not expressible in SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL: str | None = None

@@ -12,6 +12,7 @@ from flowsift.llm.packing import pack_documents
 from flowsift.llm.quality import quality_report
 from flowsift.llm.secret_scan import secret_report
 from flowsift.llm.sharding import shard_documents
+from flowsift.llm.simhash import simhash_classes
 
 SHARDS = 24
 SEQUENCE_TOKENS = 2048
@@ -44,6 +45,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(documents(spark, sf_dir))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
@@ -53,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_sharding": op7_sharding,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
