@@ -47,4 +47,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY}
+TOP_K = """
+WITH v AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS ints
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_dot_product(q.ints, v.ints)::BIGINT AS score
+    FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.ints) = len(v.ints)
+    WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY, "op9_exact_top_k": TOP_K}

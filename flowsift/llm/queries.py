@@ -13,6 +13,7 @@ from flowsift.llm.quality import quality_report
 from flowsift.llm.secret_scan import secret_report
 from flowsift.llm.sharding import shard_documents
 from flowsift.llm.simhash import simhash_classes
+from flowsift.llm.topk import search_embeddings
 
 SHARDS = 24
 SEQUENCE_TOKENS = 2048
@@ -49,6 +50,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_sharding": op7_sharding,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scans": op10_secret_scans,
 }
