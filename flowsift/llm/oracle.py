@@ -49,10 +49,10 @@ FROM b
 
 TOP_K = """
 WITH v AS (
-    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS ints
+    SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS ints
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 pairs AS (
     SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_dot_product(q.ints, v.ints)::BIGINT AS score
     FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.ints) = len(v.ints)
