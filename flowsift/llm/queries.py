@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsift.llm.bpe import digest_documents
+from flowsift.llm.licenses import licence_notices
 from flowsift.llm.oracle import ORACLE  # noqa: F401  part of the registration
 from flowsift.llm.packing import pack_documents
+from flowsift.llm.pii import pii_report
 from flowsift.llm.quality import quality_report
 from flowsift.llm.secret_scan import secret_report
 from flowsift.llm.sharding import shard_documents
@@ -34,10 +36,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), SEQUENCE_TOKENS, vocabulary("byte_bpe_50k.json"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_notices(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -60,7 +70,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_license_scans": op2_license_scans,
     "op3_quality_rules": op3_quality_rules,
+    "op5_pii": op5_pii,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_sharding": op7_sharding,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
