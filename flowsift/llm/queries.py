@@ -11,6 +11,7 @@ from flowsift.llm.licenses import licence_notices
 from flowsift.llm.oracle import ORACLE  # noqa: F401  part of the registration
 from flowsift.llm.packing import pack_documents
 from flowsift.llm.pii import pii_report
+from flowsift.llm.pitman_yor import score_documents
 from flowsift.llm.quality import quality_report
 from flowsift.llm.secret_scan import secret_report
 from flowsift.llm.sharding import shard_documents
@@ -44,6 +45,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(documents(spark, sf_dir))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scans": op2_license_scans,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_sharding": op7_sharding,
