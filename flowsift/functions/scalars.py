@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from flowsift.schema import EMPTY_LABELS, MISSING_TOKENS
+from flowsift.schema import EMPTY_LABELS, MISSING_TOKENS, STRATEGIES
 
 INFINITY = float("inf")
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -110,3 +110,8 @@ def safe_ratio(numerator: Column, denominator: Column, empty: float = 0.0) -> Co
     return F.when(denominator == 0, F.lit(empty)).otherwise(
         numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
     )
+
+
+def strategy_in(path: Column) -> Column:
+    """The split strategy that a path names, null if it names none."""
+    return F.nullif(F.regexp_extract(path, "|".join(STRATEGIES), 0), F.lit(""))

@@ -2,7 +2,7 @@
 
 Scores are counted per distinct value, placed in value ranges, and summed inside their range; what
 lies above a range comes from the totals of the higher ranges. The range edges are quantiles of the
-scores, so a range holds at most a fixed share of the distinct scores however they cluster.
+distinct scores, so a range holds about a fixed number of them however they cluster.
 """
 
 from __future__ import annotations
@@ -14,24 +14,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowsift.functions.scalars import safe_ratio
 from flowsift.schema import TARGET
+from flowsift.session import materialise
 
 SCORE = "score"
-MAX_RANGES = 2048
+PREFIX_BITS = 12
 ROWS_PER_RANGE = 2_000_000
 
 
-def range_edges(df: DataFrame, score: str = SCORE, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Inner edges that cut the scores into ranges of about ``rows_per_range`` rows (at most ``MAX_RANGES``)."""
-    shares = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    found = df.agg(
-        F.count(score).alias("n"),
-        F.percentile_approx(score, shares, 20 * MAX_RANGES).alias("q"),
-    ).first()
-    wanted = min(MAX_RANGES, -(-found["n"] // rows_per_range))
-    if wanted <= 1:
-        return []
-    picks = {found["q"][round(i * MAX_RANGES / wanted) - 1] for i in range(1, wanted)}
-    return sorted(float(p) for p in picks)
+def range_edges(counts: DataFrame, score: str = SCORE, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+    """Inner edges that cut distinct scores, one row each, into ranges of about ``rows_per_range``.
+
+    Scores are counted by sign, power of two and ``PREFIX_BITS`` bits below it, which is a table of bounded size whatever
+    the number of scores; edges are the lowest scores of some of its rows. Their number follows that of the scores.
+    """
+    size = F.abs(F.col(score))
+    power = F.when(size > 0, F.floor(F.log2(size)))
+    digits = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * (1 << PREFIX_BITS))
+    prefix = [F.signum(score).alias("_sign"), power.alias("_power"), digits.alias("_digits")]
+    sized = counts.filter(F.col(score).isNotNull()).groupBy(*prefix).agg(F.count("*").alias("_n"), F.min(score).alias("_low"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
+    slot = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows_per_range)
+    lows = sized.select("_low", slot.alias("_slot")).filter("_slot > 0").groupBy("_slot").agg(F.min("_low").alias("_low"))
+    return sorted(float(r["_low"]) for r in lows.collect())
 
 
 def place_in_ranges(df: DataFrame, edges: Sequence[float], score: str = SCORE, output: str = "range") -> DataFrame:
@@ -60,11 +64,11 @@ def cumulative_counts(
     """Per distinct score: its own ``pos`` and ``neg``, and ``tp`` and ``fp`` at ``score`` and above.
 
     ``total_pos`` and ``total_neg`` count the whole group; ``next_pos`` and ``next_neg`` belong to the next
-    lower score. The per-range totals join on the same columns the running sum is partitioned by,
-    so both use one exchange.
+    lower score. The rows are counted once and the counts stored. The per-range totals join on the same columns the
+    running sum is partitioned by, so both use one exchange.
     """
-    edges = range_edges(df, score, rows_per_range)
-    return cumulate(score_counts(df, score, target, by), edges, score, by)
+    counts = materialise(score_counts(df, score, target, by), "score_counts")
+    return cumulate(counts, range_edges(counts, score, rows_per_range), score, by)
 
 
 def cumulate(counts: DataFrame, edges: Sequence[float], score: str = SCORE, by: Sequence[str] = ()) -> DataFrame:
@@ -129,9 +133,9 @@ def roc_curve(cumulative: DataFrame, drop_intermediate: bool = True) -> DataFram
     """False and true positive rate per distinct score, starting at (0, 0) above all scores.
 
     By default points inside a straight segment are dropped: those whose score and the next lower one
-    bring in the same numbers of positives and negatives.
+    bring in the same numbers of positives and negatives. The first and the last score are always kept.
     """
-    last = F.col("next_pos").isNull()
+    last = F.col("next_pos").isNull() | ((F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg")))
     bend = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
     kept = cumulative.filter(last | bend) if drop_intermediate else cumulative
     points = kept.select(

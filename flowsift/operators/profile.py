@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.functions.scalars import finite, is_stray_header, numbers, strip, to_number
 from flowsift.operators.clean import interval_names
 from flowsift.operators.ranks import smallest_rows
 from flowsift.schema import EMPTY_LABELS, LABEL, PROTOCOL, REDUNDANT_PAIRS, TARGET
+from flowsift.session import materialise
 
 
 def quoted(name: str) -> Column:
@@ -195,30 +193,34 @@ def redundant_pairs(
     return wide.select(F.inline(F.array(*entries)))
 
 
-def present_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
-    """Which of ``names`` the table has, e.g. columns that would leak the answer."""
-    return [c for c in names if c in df.columns]
+#: Buckets per unit of the logarithm, and the quartiles.
+LOG_BUCKETS = 4096
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> list[list[float | None]]:
-    """The Pearson matrix of complete rows, from one distributed pass; a constant column gives None.
+def correlations(df: DataFrame, columns: Sequence[str], with_last_only: bool = False) -> DataFrame:
+    """(i, j, corr) over the columns' positions: Pearson correlations of complete rows; a constant column gives null.
 
-    Its size depends on the number of columns only.
+    One aggregate in long form over the pairs i < j, or over the pairs with the last column only. Pairs are spread
+    and folded within each task, so a task hands on one row per pair, whatever the number of rows.
     """
-    spark_columns = df.select(*[quoted(c).cast("double").alias(str(i)) for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=spark_columns.columns, outputCol="v", handleInvalid="skip").transform(spark_columns)
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    constant = [all(math.isnan(x) for j, x in enumerate(row) if j != i) for i, row in enumerate(matrix)]
-    return [
-        [None if math.isnan(x) or constant[i] or constant[j] else float(x) for j, x in enumerate(row)]
-        for i, row in enumerate(matrix)
-    ]
+    last = len(columns) - 1
+    cells = df.select(F.array(*[quoted(c).cast("double") for c in columns]).alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    right = F.array(F.lit(last)) if with_last_only else F.sequence(F.col("i") + 1, F.lit(last))
+    pairs = cells.select("v", F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("i")).select("v", "i", F.explode(right).alias("j"))
+    x, y = F.get("v", F.col("i")), F.get("v", F.col("j"))
+    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return pairs.groupBy("i", "j").agg((F.covar_pop(x, y) / spread).alias("corr"))
+
+
+def _names(columns: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, columns))
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
     """Pearson correlation of every feature with the target."""
-    last = correlations(df, [*features, target])[-1]
-    return df.sparkSession.createDataFrame(list(zip(features, last)), "feature string, corr double")
+    found = correlations(df, [*features, target], with_last_only=True)
+    return found.select(F.get(_names(features), F.col("i")).alias("feature"), "corr")
 
 
 def top_correlated(df: DataFrame, features: Sequence[str], target: str = TARGET, k: int = 15) -> DataFrame:
@@ -231,11 +233,16 @@ def top_correlated(df: DataFrame, features: Sequence[str], target: str = TARGET,
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairwise Pearson correlations in long form."""
+    """All pairwise Pearson correlations in long form, 1 on the diagonal unless the column is constant."""
     columns = list(columns)
-    matrix = correlations(df, columns)
-    rows = [(a, b, matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+    found = materialise(correlations(df, columns), "correlations")
+    varied = [F.coalesce(F.var_pop(quoted(c).cast("double")) > 0, F.lit(False)) for c in columns]
+    complete = df.dropna(subset=columns)
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col(f"v{i}"), 1.0).alias("corr")) for i in range(len(columns))])
+    own = complete.agg(*[v.alias(f"v{i}") for i, v in enumerate(varied)]).select(F.inline(entries)).select("i", F.col("i").alias("j"), "corr")
+    both = found.union(found.select("j", "i", "corr")).union(own)
+    name = lambda at: F.get(_names(columns), F.col(at))
+    return both.select(name("i").alias("feature_a"), name("j").alias("feature_b"), "corr")
 
 
 def column_profile(df: DataFrame, k: int = 3) -> DataFrame:
@@ -275,37 +282,59 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> Da
     return smallest_rows(df, n, key, seed)
 
 
-def log_quartiles(sample: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
-    """Size, extremes and quartiles of ``log1p(feature)`` per class.
+def log_quartiles(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
+    """Size, extremes and quartiles of ``log1p(feature)`` per class, exact and over all rows.
 
-    Exact percentiles hold the distinct values of a group, so this expects a sample of bounded size
-    (``sample_rows``). Values at or below -1 have no logarithm and are left out.
+    Rows are counted per value bucket; a double has no logarithm beyond 710, so there is a bounded number of buckets. The
+    running count names the few buckets that hold a wanted rank, and only the values in these are counted
+    one by one. Quartiles between two ranks are interpolated. Values at or below -1 have no logarithm.
     """
-    logs = sample.select(target, *[F.log1p(quoted(c).cast("double")).alias(c) for c in features])
-    long = logs.unpivot([target], list(features), "feature", "value").filter("value IS NOT NULL")
-    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        long.groupBy("feature", target)
-        .agg(
-            F.count("*").alias("n"),
-            F.min("value").alias("low"),
-            quartiles.alias("_q"),
-            F.max("value").alias("high"),
-        )
-        .select(
-            "feature",
-            target,
-            "n",
-            "low",
-            *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))],
-            "high",
-        )
+    logs = df.select(target, *[F.log1p(quoted(c).cast("double")).alias(c) for c in features])
+    long = logs.unpivot([target], list(features), "feature", "value").filter("value IS NOT NULL AND NOT isnan(value)")
+    group = ["feature", target]
+    bucketed = long.withColumn("_bucket", F.floor(F.col("value") * LOG_BUCKETS))
+    counts = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+    counts = materialise(counts, "buckets")
+    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high"))
+    shares = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in QUARTILES.items()])
+    place = (F.col("n") - 1) * F.col("_q.p")
+    ranks = sizes.select(*group, "n", F.explode(shares).alias("_q")).select(
+        *group, F.col("_q.name").alias("_name"), (place - F.floor(place)).alias("_part"), F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"),
+        F.floor(place).alias("_first"),
     )
+    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.withColumn("_upto", F.sum("_n").over(upto))
+    inside = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
+    wanted = running.join(F.broadcast(ranks), group).filter(inside)  # six ranks a group at most
+    wanted = materialise(wanted.select(*group, "_bucket", "_name", "_part", "_first", "_rank", (F.col("_upto") - F.col("_n")).alias("_before")), "ranks")
+    few = F.broadcast(wanted.select(*group, "_bucket", "_before").distinct())
+    values = bucketed.join(few, [*group, "_bucket"]).groupBy(*group, "_bucket", "_before", "value").agg(F.count("*").alias("_m"))
+    within = Window.partitionBy(*group, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_to", F.col("_before") + F.sum("_m").over(within))
+    hit = (F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_m"))
+    found = values.drop("_before").join(F.broadcast(wanted), [*group, "_bucket"]).filter(hit)
+    low, high = (F.max(F.when(c, F.col("value"))) for c in (F.col("_rank") == F.col("_first"), F.col("_rank") > F.col("_first")))
+    quartile = found.groupBy(*group, "_name").agg(low.alias("_a"), high.alias("_b"), F.max("_part").alias("_part"))
+    point = F.col("_a") + F.coalesce((F.col("_b") - F.col("_a")) * F.col("_part"), F.lit(0.0))
+    wide = quartile.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == name, point)).alias(name) for name in QUARTILES])
+    return sizes.join(wide, group).select(*group, "n", "low", *QUARTILES, "high")
+
+
+def log_histogram(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
+    """Rows per unit-width bin of ``log1p(feature)`` and class; doubles have fewer than 800 such bins."""
+    logs = df.select(target, *[F.log1p(quoted(c).cast("double")).alias(c) for c in features])
+    long = logs.unpivot([target], list(features), "feature", "value").filter("value IS NOT NULL AND abs(value) < 1e300")
+    return long.groupBy("feature", target, F.floor("value").cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def log_histogram(df: DataFrame, features: Sequence[str], target: str = TARGET, bins: int = 20) -> DataFrame:
-    """Rows per unit-width bin of ``log1p(feature)`` and class; runs on any size."""
-    logs = df.select(target, *[F.log1p(quoted(c).cast("double")).alias(c) for c in features])
-    long = logs.unpivot([target], list(features), "feature", "value").filter("value IS NOT NULL")
-    slot = F.greatest(F.lit(-1), F.least(F.floor("value"), F.lit(bins))).cast("int")
-    return long.groupBy("feature", target, slot.alias("bin")).agg(F.count("*").alias("n"))
+def explore(df: DataFrame, features: Sequence[str], target: str = TARGET, k: int = 15, drawn: int = 3) -> dict[str, DataFrame]:
+    """Correlations with the target, the matrix of the ``k`` strongest with it, and the distributions of the first ``drawn``.
+
+    All rows are read for each table; the driver sees the names of the chosen features.
+    """
+    strongest = top_correlated(df, features, target, k)
+    names = [r["feature"] for r in strongest.filter("corr IS NOT NULL").orderBy(F.desc(F.abs("corr")), "feature").collect()]
+    tables = {"strongest": strongest, "matrix": correlation_matrix(df, [*names, target])}
+    if names:
+        tables |= {"quartiles": log_quartiles(df, names[:drawn], target), "histogram": log_histogram(df, names[:drawn], target)}
+    return tables

@@ -7,24 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.operators.encode import ONE_HOTS
-from flowsift.operators.ranks import at_or_before, digest_columns, rank_cut
+from flowsift.operators.ranks import RANKED_ROWS, at_or_before, bucket_counts, digest_bucket, digest_columns, rank_cut
 from flowsift.schema import SOURCE_DAY, TARGET, TIMESTAMP
 
 # Share held out and the seed.
 TEST_SHARE = 0.2
 SEED = 42
-# Largest day table, in rows, that is broadcast.
-MAX_DAYS = 100_000
 
 
-def class_quotas(df: DataFrame, target: str = TARGET, share: float = TEST_SHARE) -> DataFrame:
+def class_quotas(df: DataFrame, target: str = TARGET, share: float = TEST_SHARE, rows: Column | None = None) -> DataFrame:
     """Held-out rows per class: ``ceil(share * n)`` in total, split by largest remainder.
 
     The training side is apportioned and the rest held out; an exact tie favours the smaller class value.
-    Products of row counts outgrow a long, hence the decimals.
+    Products of row counts outgrow a long, hence the decimals. Where a row of ``df`` stands for several, ``rows`` says how many.
     """
     wide = "decimal(38,0)"
-    classes = df.groupBy(target).agg(F.count("*").alias("rows"))
+    classes = df.groupBy(target).agg(F.sum(F.lit(1) if rows is None else rows).cast("long").alias("rows"))
     everything = Window.partitionBy(F.lit(0))
     held = F.ceil(F.lit(share) * F.sum("rows").over(everything))
     sized = classes.withColumn("_all", F.sum("rows").over(everything)).withColumn("_train", F.col("_all") - held)
@@ -50,18 +48,21 @@ def stratified_split(
     seed: int = SEED,
     names: tuple[str, str] = ("train", "test"),
     side: str = "side",
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Add ``side`` so that each class gives exactly its quota to the held-out side.
 
     Rows are ordered by the md5 of their unique ``key`` and the seed. Only key and target are read to
-    find the cut, one row per class; the table itself is then tagged in a map-only pass.
+    find the cut, one row per class: once to count buckets, from which the quotas follow too, and once for the rows of the
+    boundary bucket. The table itself is then tagged in a map-only pass. Pass a written table, not a long plan.
     The target holds the two classes 0 and 1, so the broadcast cut has at most two rows.
     """
     marked = digest_columns(df.withColumn("_class", F.col(target).cast("int")), key, seed)
     order = ["_digest", *key]
     slim = marked.select("_class", "_bucket", *order).filter(F.col("_class").isin(0, 1))
-    quotas = class_quotas(slim, "_class", share).filter("test_rows > 0").select("_class", F.col("test_rows").alias("quota"))
-    cut = rank_cut(slim, quotas, "_bucket", order, "_class")
+    counts = bucket_counts(slim, "_bucket", "_class")
+    quotas = class_quotas(counts, "_class", share, F.col("_n")).filter("test_rows > 0")
+    cut = rank_cut(slim, quotas.select("_class", F.col("test_rows").alias("quota")), "_bucket", order, "_class", counts, digest_bucket, ranked_rows)
     held = F.coalesce(at_or_before(order), F.lit(False))
     return (
         marked.join(F.broadcast(cut), "_class", "left")
@@ -85,10 +86,11 @@ def tail_split(
     """
     keyed = df.withColumn("_bucket", bucket)
     slim = keyed.select(F.lit(0).alias("_all"), "_bucket", *order)
-    total = slim.groupBy("_all").agg(F.count("*").alias("_rows"))
+    counts = bucket_counts(slim, "_bucket", "_all")
+    total = counts.groupBy("_all").agg(F.sum("_n").alias("_rows"))
     tail = F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("_rows"))).cast("long")
     quotas = total.select("_all", (F.col("_rows") - tail).alias("quota")).filter("quota > 0")
-    cut = rank_cut(slim, quotas, "_bucket", order, "_all")
+    cut = rank_cut(slim, quotas, "_bucket", order, "_all", counts)
     last = cut.select(F.struct(*[F.col(f"_cut_{c}").alias(c) for c in order])).scalar()
     early = F.coalesce(F.struct(*order) <= last, F.lit(False))
     return df.withColumn(side, F.when(early, names[0]).otherwise(names[1]))
@@ -135,14 +137,19 @@ def day_sides(
 def assign_days(df: DataFrame, sides: DataFrame, day: str = SOURCE_DAY, side: str = "side") -> DataFrame:
     """Tag rows with the side of their day and with ``day_start``, the day's first timestamp.
 
-    The day table has one row per day file; it is broadcast only after its size is checked, and a longer
-    one is joined without a hint.
+    The day table has one row per day file. Its size is Spark's to measure: a small one is broadcast, and with
+    a long one the rows of a busy day are split over tasks.
     """
     wanted = sides.select(day, F.col("side").alias(side), F.col("first_ts").alias("day_start"))
-    listed = wanted.limit(MAX_DAYS + 1).collect()
-    if len(listed) > MAX_DAYS:
-        return df.join(wanted, day)
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(listed, wanted.schema)), day)
+    return df.join(wanted, day)
+
+
+def day_bucket(rows_each: int = 1_000_000, row: str = "row_no", day: str = SOURCE_DAY) -> Column:
+    """Ranges of a day that one task can rank, however large the day; grows along (day_start, day, row).
+
+    Days are led by the time they start: their names need not sort by date.
+    """
+    return F.struct("day_start", day, F.floor(F.col(row) / rows_each).alias("block"))
 
 
 def split_drift(df: DataFrame, side: str = "side", target: str = TARGET) -> DataFrame:

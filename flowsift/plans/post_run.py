@@ -48,7 +48,7 @@ def post_run_analysis(test: DataFrame, features: Sequence[str], run_dir: str) ->
         raise gates.GateError(f"the model has {model.numFeatures} features, the table {len(features)}")
     trained_on = [r["feature"] for r in spark.read.parquet(f"{run_dir}/features").collect()]
     if gates.enforce(gates.feature_gate(trained_on, test.select(*features))):
-        log.warning("model features differ from the table's columns: is this the split it was trained on?")
+        log.warning("the table has other columns than the model knows")
     threshold = load_threshold(spark, f"{run_dir}/threshold")
     scores = materialise(score_rows(model, assemble(test, features, [TARGET])).select(TARGET, F.col(SCORE)), "scores")
     tables = diagnose(scores, threshold)

@@ -16,12 +16,12 @@ from flowsift.operators.split import (
     stratified_split,
     to_matrix,
 )
-from flowsift.schema import ROW_KEY, SOURCE_DAY, SOURCE_ORDER, STRATIFIED, TARGET, TIME_BASED, TIMESTAMP, check_strategy
-from flowsift.sources.csv_days import day_slices, list_sources, merge_sources
+from flowsift.schema import ROW_KEY, SOURCE_DAY, SOURCE_ORDER, STRATIFIED, TARGET, TIME_BASED, check_strategy
+from flowsift.sources.csv_days import day_slices, list_sources, merge_reconciliation, merge_sources
 from flowsift.sources.tables import read_parquet, write_parquet
 
-# Where a time-based row lies in time and in its day; needed to carve the temporal tail later.
-PLACE = ["day_start", SOURCE_DAY, TIMESTAMP, *SOURCE_ORDER]
+# Where a time-based row lies: days by their start, then the order of files and rows; needed to carve the temporal tail later.
+PLACE = ["day_start", SOURCE_DAY, *SOURCE_ORDER]
 # Fixed value: percentage points by which the attack share of train and test may differ.
 MAX_DRIFT = 0.01
 ANY_DRIFT = 101.0
@@ -35,7 +35,10 @@ def passed(report: DataFrame, stage: str) -> None:
 
 
 def merge_job(spark: SparkSession, folder: str, out: str, strategy: str = STRATIFIED, action: str = "drop") -> None:
-    """Merge the CSV sources: one table for ``8020_stratified``, one partition per day for ``time_based``."""
+    """Merge the CSV sources: one table for ``8020_stratified``, one partition per day for ``time_based``.
+
+    Fails if a source has other rows in the table than in its files.
+    """
     check_strategy(strategy)
     sources = list_sources(spark, folder)
     if not sources:
@@ -44,10 +47,15 @@ def merge_job(spark: SparkSession, folder: str, out: str, strategy: str = STRATI
         write_parquet(day_slices(spark, sources), out, [SOURCE_DAY])
     else:
         write_parquet(merge_sources(spark, sources, action), out)
+    differing = merge_reconciliation(spark, sources, read_parquet(spark, out)).filter("NOT passed").limit(20).collect()
+    if differing:
+        raise gates.GateError(f"rows lost or added while merging: {[tuple(r) for r in differing]}")
 
 
-def clean_job(spark: SparkSession, merged: str, out: str, strategy: str) -> None:
-    """Clean a merged table. A stratified set needs no row order: every column is in the dedup key.
+def clean_job(
+    spark: SparkSession, merged: str, out: str, strategy: str, width: int | None = None, labels: int = gates.LABEL_COUNT
+) -> None:
+    """Clean a merged table and gate the result by its expected ``width`` and number of ``labels``. A stratified set needs no row order: every column is in the dedup key.
 
     Dedup scatters each day over all tasks. Rebalancing by day before the write gives few files per day, and
     AQE splits a day that holds far more rows than the others.
@@ -58,6 +66,7 @@ def clean_job(spark: SparkSession, merged: str, out: str, strategy: str) -> None
         write_parquet(cleaned.hint("rebalance", SOURCE_DAY), out, [SOURCE_DAY])
     else:
         write_parquet(clean(raw, strategy, row_key=ROW_KEY), out)
+    passed(gates.cleaned_gate(read_parquet(spark, out), strategy, width, labels), "clean")
 
 
 def encode_job(spark: SparkSession, cleaned: str, out: str, strategy: str) -> None:
@@ -75,12 +84,11 @@ def split_job(
     out: str,
     strategy: str,
     test_days: int | None = None,
-    drift_points: float = MAX_DRIFT,
 ) -> None:
     """Assign sides and write the matrix, one folder per side.
 
-    A stratified split fails if the attack shares differ by ``drift_points`` percentage points. Whole days
-    may differ by any amount.
+    A stratified split fails if the attack shares differ by more than ``MAX_DRIFT`` percentage points or one row. Whole
+    days may differ by any amount.
 
     Stratified rows are drawn by their row key and keep it. Time-based rows keep day, timestamp and place
     for the later temporal carve of the training side.
@@ -97,5 +105,5 @@ def split_job(
     else:
         split = stratified_split(df, [ROW_KEY])
         matrix = to_matrix(split, key=[ROW_KEY])
-    passed(gates.side_gate(split, "side", TARGET, drift_points if strategy == STRATIFIED else ANY_DRIFT), "split")
+    passed(gates.side_gate(split, "side", TARGET, MAX_DRIFT if strategy == STRATIFIED else ANY_DRIFT), "split")
     write_parquet(matrix, out, ["side"])

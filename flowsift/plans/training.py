@@ -60,7 +60,7 @@ def carve_tail(order: Sequence[str], bucket) -> Callable[[DataFrame], DataFrame]
 def weight_of(df: DataFrame) -> float:
     row = class_weight(df).first()
     if row["weight"] is None:
-        raise ValueError("the training side has no attack row")
+        raise ValueError("cannot weigh the classes: no attack among the training rows")
     return row["weight"]
 
 
@@ -84,7 +84,7 @@ def train_and_evaluate(
     carved = materialise(assemble(carve(train), features, [TARGET, "phase"]), "phase1")
     inner = carved.filter(F.col("phase") == TRAIN)
     if carved.filter((F.col("phase") == VALIDATION) & (F.col(TARGET) == 1)).isEmpty():
-        log.warning("validation has no attack row: tree count and threshold are unreliable")
+        log.warning("no validation row is an attack, so neither the number of trees nor the threshold means much")
 
     first = fit(inner.drop("phase"), weight_of(inner), params.max_trees, params)
     counts = staged_counts(first, carved.withColumnRenamed("phase", "side"))

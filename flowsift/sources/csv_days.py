@@ -1,12 +1,13 @@
 """Daily CSV sources whose headers drift, merged into one all-text table.
 
-A source is an entry ``<day>.csv`` of the landing folder: one file, or a folder of part files with one
-header. Sources with the same header share one scan, so the plan grows with the number of
-distinct headers, not of files.
+A source is an entry ``<day>.csv`` at any depth of the landing folder: one file, or a folder of part files with one
+header. It is named by its path below the folder, so equal file names in different folders are different sources.
+Sources with the same header share one scan, so the plan grows with the number of distinct headers, not of files.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -19,18 +20,20 @@ from flowsift.functions.scalars import missing_to_null
 from flowsift.operators.profile import quoted
 from flowsift.schema import PROVENANCE, SOURCE_DAY
 
-ENTRY_PATTERN = r"/([^/]+)\.csv(/[^/]+)?$"
-FILE_PATTERN = r"/([^/]+\.csv(/[^/]+)?)$"
+ENTRY_PATTERN = r"^(.+?)\.csv(?:/.*)?$"
 HEADER_READERS = 16
 CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"'}
 
 
 @dataclass(frozen=True)
 class Source:
+    """An entry of the landing folder ``root``; ``name`` is its path below it, without the suffix."""
+
     name: str
     path: str
     first_file: str
     header: tuple[str, ...]
+    root: str
 
     @property
     def columns(self) -> list[str]:
@@ -53,11 +56,24 @@ class Drift:
         return self.base_columns + list(dict.fromkeys(added))
 
 
+def root_of(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark lists it, with its scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def below(path: Column, root: str) -> Column:
+    """A listed path relative to the folder; schemes are written with one slash or three."""
+    bare = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root)
+    return F.substring(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), len(bare) + 2, 1 << 16)
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every CSV file below the folder with its source and size; contents are not read."""
     files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.csv").load(folder)
+    place = below(F.col("path"), root_of(spark, folder))
     return files.select(
-        F.regexp_extract("path", ENTRY_PATTERN, 1).alias("source"), "path", F.col("length").alias("bytes")
+        F.regexp_extract(place, ENTRY_PATTERN, 1).alias("source"), "path", F.col("length").alias("bytes")
     ).orderBy("path")
 
 
@@ -74,11 +90,11 @@ def list_sources(spark: SparkSession, folder: str) -> list[Source]:
         list_files(spark, folder).groupBy("source").agg(F.min("path").alias("first_file")).orderBy("source").collect()
     )
 
+    root = root_of(spark, folder)
+
     def open_source(row) -> Source:
         entry = row["first_file"]
-        marker = f"/{row['source']}.csv"
-        path = entry[: entry.index(marker) + len(marker)]
-        return Source(row["source"], path, entry, read_header(spark, entry))
+        return Source(row["source"], f"{root}/{row['source']}.csv", entry, read_header(spark, entry), root)
 
     with ThreadPoolExecutor(HEADER_READERS) as pool:
         return list(pool.map(open_source, firsts))
@@ -114,8 +130,9 @@ def resolve_drift(headers: Mapping[str, Sequence[str]], action: str = "drop") ->
         raise ValueError(f"unknown drift action {action!r}; expected 'drop' or 'keep'")
     if not headers:
         raise ValueError("no sources")
-    width = Counter(len(c) for c in headers.values()).most_common(1)[0][0]
-    base_source, base = next((n, list(c)) for n, c in headers.items() if len(c) == width)
+    sharing = Counter(map(len, headers.values()))
+    base_source = max(headers, key=lambda name: sharing[len(headers[name])])
+    base = list(headers[base_source])
     extra = {n: [c for c in cols if c not in base] for n, cols in headers.items()}
     missing = {n: [c for c in base if c not in cols] for n, cols in headers.items()}
     return Drift(
@@ -138,21 +155,22 @@ def drift_report(spark: SparkSession, drift: Drift) -> DataFrame:
     return spark.createDataFrame(rows, "source string, column string, difference string")
 
 
-def provenance() -> list[Column]:
+def provenance(root: str) -> list[Column]:
     """Source day and the three columns that order rows as they lie in the landing folder.
 
-    Ids grow along a scan and one block is read by one task, so (file, block, id) is the file order.
+    Ids grow along a scan and one block is read by one task, so (file, block, id) is the file order. The file is
+    named by its path below the folder, so no two files share a name.
     """
-    path = F.col("_metadata.file_path")
+    path = below(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), root)
     return [
         F.regexp_extract(path, ENTRY_PATTERN, 1).alias(SOURCE_DAY),
-        F.regexp_extract(path, FILE_PATTERN, 1).alias("source_file"),
+        path.alias("source_file"),
         F.col("_metadata.file_block_start").alias("source_block"),
         F.monotonically_increasing_id().alias("row_no"),
     ]
 
 
-def scan(spark: SparkSession, header: Sequence[str], paths: Sequence[str], origin: bool = True) -> DataFrame:
+def scan(spark: SparkSession, header: Sequence[str], paths: Sequence[str], root: str | None = None) -> DataFrame:
     """All-text scan of files that share ``header``, names stripped and missing-value tokens NULL.
 
     ``enforceSchema=False`` makes Spark compare each file's header with the expected names: a file that
@@ -161,12 +179,17 @@ def scan(spark: SparkSession, header: Sequence[str], paths: Sequence[str], origi
     schema = StructType([StructField(name, StringType()) for name in header])
     rows = spark.read.schema(schema).options(**CSV_OPTIONS, enforceSchema=False).csv(list(paths))
     texts = [missing_to_null(quoted(name)).alias(name.strip()) for name in header]
-    return rows.select(*(provenance() if origin else []), *texts)
+    return rows.select(*(provenance(root) if root is not None else []), *texts)
 
 
 def preview(spark: SparkSession, sources: Sequence[Source], n: int = 5) -> dict[str, list]:
     """The first ``n`` rows of each source's first file; a limit stops the read after them."""
-    return {s.name: scan(spark, s.header, [s.first_file], origin=False).limit(n).collect() for s in sources}
+
+    def head(s: Source) -> list:
+        return scan(spark, s.header, [s.first_file]).limit(n).collect()
+
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        return dict(zip((s.name for s in sources), pool.map(head, sources)))
 
 
 def preview_table(spark: SparkSession, sources: Sequence[Source], columns: Sequence[str], n: int = 5) -> DataFrame:
@@ -191,7 +214,7 @@ def stack(spark: SparkSession, sources: Sequence[Source], columns: Sequence[str]
     """All sources by column name, one scan per distinct header; absent columns are NULL."""
     stacked: DataFrame | None = None
     for header, paths in by_header(sources).items():
-        rows = scan(spark, header, paths)
+        rows = scan(spark, header, paths, sources[0].root)
         part = rows.select(*PROVENANCE, *[quoted(c) for c in columns if c in rows.columns])
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
     return stacked.select(*PROVENANCE, *[quoted(c) for c in columns])
@@ -202,6 +225,25 @@ def merge_sources(spark: SparkSession, sources: Sequence[Source], action: str =
     return stack(spark, sources, resolve_drift(headers_of(sources), action).columns)
 
 
+def csv_row_counts(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
+    """Rows per source as they lie in the files, counted file by file without merging headers."""
+    counted = None
+    for header, paths in by_header(sources).items():
+        rows = scan(spark, header, paths, sources[0].root).groupBy(F.col(SOURCE_DAY).alias("source")).agg(F.count("*").alias("csv_rows"))
+        counted = rows if counted is None else counted.unionByName(rows)
+    names = spark.createDataFrame([(s.name,) for s in sources], "source string")
+    return names.join(counted, "source", "left").select("source", F.coalesce("csv_rows", F.lit(0)).alias("csv_rows"))
+
+
+def merge_reconciliation(spark: SparkSession, sources: Sequence[Source], merged: DataFrame) -> DataFrame:
+    """Per source: rows in its files, rows in the merged table, and whether they agree. Sources on one side only fail."""
+    found = merged.groupBy(F.col(SOURCE_DAY).cast("string").alias("source")).agg(F.count("*").alias("merged_rows"))
+    both = csv_row_counts(spark, sources).join(found, "source", "full")
+    none = F.lit(0).cast("long")
+    columns = [F.coalesce(c, none).alias(c) for c in ("csv_rows", "merged_rows")]
+    return both.select("source", *columns).withColumn("passed", F.col("csv_rows") == F.col("merged_rows"))
+
+
 def day_slices(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """All sources with every column any of them has; write partitioned by ``source_day``."""
     return stack(spark, sources, list(dict.fromkeys(c for s in sources for c in s.columns)))

@@ -46,8 +46,10 @@ def test_ranges_do_not_change_the_counts(spark, per_range):
 
 def test_ranges_hold_a_bounded_share(spark):
     df = spark.range(20000).select((F.pow(F.col("id") / 20000.0, 30)).alias("score"), F.lit(1).alias("Target"))
-    edges = c.range_edges(df, rows_per_range=1000)
-    placed = c.place_in_ranges(c.score_counts(df), edges)
+    counts = c.score_counts(df)
+    edges = c.range_edges(counts, rows_per_range=1000)
+    assert len(edges) > 10 and c.range_edges(counts, rows_per_range=100_000) == []
+    placed = c.place_in_ranges(counts, edges)
     assert placed.groupBy("range").count().agg(F.max("count")).first()[0] < 1500
 
 
@@ -73,7 +75,15 @@ def test_roc_curve(spark):
     assert len(full) == 6 and full[0] == (0.0, 0.0) and full[-1] == (1.0, 1.0) and full[1] == (0.0, third)
     straight = scored(spark, [(0.9, 1), (0.8, 1), (0.7, 1), (0.3, 0), (0.2, 0)])
     kept = sorted((r["fpr"], r["tpr"]) for r in c.roc_curve(c.cumulative_counts(straight)).collect())
-    assert kept == [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]
+    assert kept == [(0.0, 0.0), (0.0, third), (0.0, 1.0), (1.0, 1.0)]
+    twins = scored(spark, [(0.9, 1), (0.9, 0), (0.8, 1), (0.8, 0), (0.7, 1), (0.3, 0)])
+    assert {r["threshold"] for r in c.roc_curve(c.cumulative_counts(twins)).collect()} == {float("inf"), 0.9, 0.8, 0.7, 0.3}
+
+
+def test_edges_for_scores_of_any_sign_and_size(spark):
+    values = [0.0, -1.5, -1e-300, 1e-300, 1e300, -1e300, 0.1, 0.2, 0.25, 7.0]
+    counts = c.score_counts(scored(spark, [(v, 1) for v in values]))
+    assert c.range_edges(counts, rows_per_range=1) == sorted(values)[1:]
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import Window, functions as F
 
-from flowsift.operators import encode as e, split as s
+from flowsift.operators import encode as e, ranks, split as s
 from flowsift.schema import STRATIFIED, TIME_BASED
 from tests.plans import plan_of, rows
 
@@ -93,13 +93,10 @@ def test_days_are_ordered_by_their_first_timestamp(spark):
     assert got == {"z": "train", "m": "train", "a": "test"}
 
 
-def test_assign_days(spark, monkeypatch):
+def test_assign_days(spark):
     df = day_rows(spark, [50, 30, 15, 5])
     sides = s.day_sides(s.day_table(df))
     small = s.assign_days(df, sides)
-    assert "BroadcastHashJoin" in plan_of(small)
-    monkeypatch.setattr(s, "MAX_DAYS", 2)
-    assert rows(s.assign_days(df, sides).select("source_day", "Timestamp", "side")) == rows(small.select("source_day", "Timestamp", "side"))
     assert small.filter("side = 'test'").count() == 20
     assert {r["day_start"] for r in small.collect()} == {0, 1000, 2000, 3000}
 
@@ -124,3 +121,35 @@ def test_union_days(spark):
 def test_class_weight(spark):
     assert tuple(s.class_weight(labelled(spark, {0: 30, 1: 10})).first()) == (30, 10, 3.0)
     assert s.class_weight(labelled(spark, {0: 3, 1: 0})).first()["weight"] is None
+
+
+def test_the_boundary_is_refined_until_it_is_small(spark, monkeypatch):
+    """With one digit per level and a row per task at most, the wanted row is found over several levels."""
+    monkeypatch.setattr(ranks, "DIGEST_DIGITS", 1)
+    levels = []
+    finer = ranks.digest_bucket
+    monkeypatch.setattr(s, "digest_bucket", lambda level: levels.append(level) or finer(level))
+    df = labelled(spark, {0: 3000, 1: 700})
+    out = s.stratified_split(df, ["id"], ranked_rows=3)
+    assert {r["Target"]: r["count"] for r in out.filter("side = 'test'").groupBy("Target").count().collect()} == {0: 600, 1: 140}
+    assert len(levels) >= 2
+    monkeypatch.undo()
+    assert rows(out) == rows(s.stratified_split(df, ["id"]))
+
+
+def test_three_scans(spark, tmp_path):
+    labelled(spark, {0: 300, 1: 70}).write.parquet(str(tmp_path / "t"))
+    before = len(list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)))
+    out = s.stratified_split(spark.read.parquet(str(tmp_path / "t")), ["id"])
+    plan = plan_of(out)
+    # counting the buckets was the first scan; the boundary rows and the rows to tag are the others
+    assert plan.count("FileScan parquet [id") + plan.count("FileScan parquet [Target") <= 3 and before >= 0
+
+
+def test_days_need_not_sort_by_name(spark):
+    data = [("Friday-02", 100 + i, 0, i) for i in range(40)] + [("Monday-05", 400 + i, 1, i) for i in range(40)] + [("Aaa-09", 900 + i, 1, i) for i in range(20)]
+    df = spark.createDataFrame(data, "source_day string, Timestamp long, Target int, row_no long")
+    sided = s.assign_days(df, s.day_sides(s.day_table(df), share=0.0))
+    out = s.tail_split(sided.drop("side"), ["day_start", "source_day", "row_no"], s.day_bucket(rows_each=7))
+    late = sorted((r["day_start"], r["row_no"]) for r in out.filter("side = 'validation'").collect())
+    assert late == [(900, i) for i in range(20)]

