@@ -20,12 +20,13 @@ from flowsift.session import materialise, shared_root
 
 FEATURES = "features"
 WEIGHT = "weight"
+MARGIN, MARGINS = "_margin_before", "_margins"
 LOSS_FLOOR = 1e-16
 
 
 @dataclass(frozen=True)
 class BoostingParams:
-    """Fixed values of the training set-up; ``max_trees`` is the budget of the first fit."""
+    """Fixed values of the training set-up; ``max_trees`` is the largest budget, ``first_trees`` the first one."""
 
     max_trees: int = 5000
     learning_rate: float = 0.05
@@ -34,6 +35,7 @@ class BoostingParams:
     feature_share: float = 0.8
     min_rows: int = 5
     patience: int = 50
+    first_trees: int = 50
     seed: int = 42
 
 
@@ -84,34 +86,62 @@ def probability(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
 
-def staged_scores(model: GBTClassificationModel, assembled: DataFrame) -> DataFrame:
-    """Every row once per tree count, scored with that many leading trees.
+def add_trees(model: GBTClassificationModel, rows: DataFrame, start: int) -> DataFrame:
+    """Rows with ``margins``, the margin after each tree from number ``start`` on, from the ``margin`` before them.
 
-    Each tree adds its prediction inside the same map-only projection and the margin runs along.
+    Each tree adds its prediction inside the same map-only projection. Plan and row grow with the block of trees only.
     """
-    kept = [c for c in assembled.columns if c != FEATURES]
-    staged = assembled
-    previous: Column = F.lit(0.0)
-    margins = []
-    for i, (tree, step) in enumerate(zip(model.trees, model.treeWeights)):
-        tree = tree.copy().setPredictionCol(f"_tree_{i}").setFeaturesCol(FEATURES)
-        margins.append(f"_margin_{i}")
-        staged = (
-            tree.transform(staged)
-            .withColumn(margins[-1], previous + F.lit(float(step)) * F.col(f"_tree_{i}"))
-            .drop(f"_tree_{i}")
-        )
-        previous = F.col(margins[-1])
-    long = staged.select(*kept, F.posexplode(F.array(*margins)).alias("_stage", "_margin"))
-    return long.select(*kept, (F.col("_stage") + 1).alias("n_trees"), probability(F.col("_margin")).alias(SCORE))
-
-
-def staged_counts(model: GBTClassificationModel, assembled: DataFrame, side: str = "side", target: str = TARGET) -> DataFrame:
-    """Positive and negative rows per side, tree count and distinct score, written once.
-
-    Few trees give few distinct scores, so the rows fold inside each task before the shuffle.
+    staged, previous, names = rows, F.col(MARGIN), []
+    for i in range(start, len(model.trees)):
+        tree = model.trees[i].copy().setPredictionCol(f"_tree_{i}").setFeaturesCol(FEATURES)
+        names.append(f"_margin_{i}")
+        step = F.lit(float(model.treeWeights[i]))
+        staged = tree.transform(staged).withColumn(names[-1], previous + step * F.col(f"_tree_{i}")).drop(f"_tree_{i}")
+        previous = F.col(names[-1])
+    return staged.withColumn(MARGINS, F.array(*names)).drop(*names)
+
+
+def staged_counts(staged: DataFrame, start: int, side: str = "side", target: str = TARGET) -> DataFrame:
+    """Positive and negative rows per side, tree count and distinct score of a block of trees, written once."""
+    long = staged.select(side, target, F.posexplode(MARGINS).alias("_stage", "_margin"))
+    scored = long.select(side, target, (F.col("_stage") + start + 1).alias("n_trees"), probability(F.col("_margin")).alias(SCORE))
+    return materialise(score_counts(scored, SCORE, target, [side, "n_trees"]), "staged_counts")
+
+
+@dataclass(frozen=True)
+class Grown:
+    """What early stopping found: the curve as far as it went, the best tree count, and the counts per score at it."""
+
+    curve: DataFrame
+    n_trees: int
+    validation: DataFrame
+
+
+def grow(carved: DataFrame, weight: float, params: BoostingParams, side: str = "side", watched: str = "validation") -> Grown:
+    """Fit budgets of ``first_trees``, twice as many, and so on, until ``patience`` trees bring no gain on the watched side.
+
+    MLlib cannot go on from a model, but equal seeds on equal rows give equal leading trees, so a larger budget repeats
+    the smaller one and adds to it: all fits together cost about twice the last. Only the new trees are scored; the
+    margin before them is carried along. The curve has two rows per tree and passes through the driver.
     """
-    return materialise(score_counts(staged_scores(model, assembled), SCORE, target, [side, "n_trees"]), "staged_counts")
+    train = materialise(carved.filter(F.col(side) != watched).drop(side), "grown")
+    rows = carved.withColumn(MARGIN, F.lit(0.0))
+    done, budget, points, blocks = 0, min(params.first_trees, params.max_trees), [], []
+    while True:
+        model = fit(train, weight, budget, params)
+        staged = materialise(add_trees(model, rows, done), "staged")
+        blocks.append(staged_counts(staged, done, side))
+        points += [tuple(r) for r in learning_curve(blocks[-1], side).select(side, "n_trees", "average_precision", "log_loss").collect()]
+        curve = carved.sparkSession.createDataFrame(points, f"{side} string, n_trees int, average_precision double, log_loss double")
+        marked = mark_best(curve, params.patience, side, watched)
+        best = best_tree_count(marked)
+        if len(model.trees) >= params.max_trees or best + params.patience <= len(model.trees):
+            break
+        rows = staged.withColumn(MARGIN, F.element_at(MARGINS, -1)).drop(MARGINS)
+        done, budget = budget, min(2 * budget, params.max_trees)
+    counts = next(c for c in blocks if not c.filter(F.col("n_trees") == best).isEmpty())
+    chosen = counts.filter((F.col(side) == watched) & (F.col("n_trees") == best)).drop(side, "n_trees")
+    return Grown(marked, best, chosen)
 
 
 def learning_curve(counts: DataFrame, side: str = "side", rows_per_range: int = 2_000_000) -> DataFrame:

@@ -7,26 +7,24 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsift.operators.boosting import (
     BoostingParams,
     assemble,
-    best_tree_count,
     feature_importance,
     fit,
-    learning_curve,
-    mark_best,
+    grow,
     score_rows,
-    staged_counts,
 )
 from flowsift.operators.curves import cumulate, cumulative_counts, operating_threshold, range_edges, ranking_metrics
 from flowsift.operators.diagnostics import classification_report, confusion_matrix
 from flowsift.operators.gates import required_names
-from flowsift.operators.split import SEED, class_weight, stratified_split, tail_split
-from flowsift.schema import TARGET
+from flowsift.operators.split import SEED, class_weight, feature_columns, stratified_split, tail_split
+from flowsift.plans.preparation import PLACE
+from flowsift.schema import ROW_KEY, SOURCE_DAY, TARGET, TIME_BASED, check_strategy
 from flowsift.session import materialise
-from flowsift.sources.tables import save_model, save_threshold, write_parquet
+from flowsift.sources.tables import read_parquet, save_model, save_threshold, write_parquet
 
 log = logging.getLogger(__name__)
 
@@ -81,20 +79,17 @@ def train_and_evaluate(
     if absent:
         raise ValueError(f"the split table lacks {absent}")
     train = split.filter(F.col("side") == TRAIN)
-    carved = materialise(assemble(carve(train), features, [TARGET, "phase"]), "phase1")
-    inner = carved.filter(F.col("phase") == TRAIN)
-    if carved.filter((F.col("phase") == VALIDATION) & (F.col(TARGET) == 1)).isEmpty():
+    carved = materialise(assemble(carve(train), features, [TARGET, "phase"]).withColumnRenamed("phase", "side"), "phase1")
+    inner = carved.filter(F.col("side") == TRAIN)
+    if carved.filter((F.col("side") == VALIDATION) & (F.col(TARGET) == 1)).isEmpty():
         log.warning("no validation row is an attack, so neither the number of trees nor the threshold means much")
 
-    first = fit(inner.drop("phase"), weight_of(inner), params.max_trees, params)
-    counts = staged_counts(first, carved.withColumnRenamed("phase", "side"))
-    curve = materialise(mark_best(learning_curve(counts), params.patience), "learning_curve")
-    n_trees = best_tree_count(curve)
+    grown = grow(carved, weight_of(inner), params)
+    curve, n_trees = materialise(grown.curve, "learning_curve"), grown.n_trees
+    edges = range_edges(grown.validation)
+    threshold = operating_threshold(cumulate(grown.validation, edges)).first()["threshold"]
 
-    chosen = counts.filter((F.col("side") == VALIDATION) & (F.col("n_trees") == n_trees)).drop("side", "n_trees")
-    threshold = operating_threshold(cumulate(chosen, range_edges(chosen))).first()["threshold"]
-
-    everything = carved.drop("phase")
+    everything = carved.drop("side")
     model = fit(everything, weight_of(everything), n_trees, params)
 
     kept = [TARGET] + [c for c in split.columns if c not in {*features, TARGET, "side"}]
@@ -125,3 +120,19 @@ def save_run(run: TrainedRun, run_dir: str) -> None:
     save_threshold(spark, f"{run_dir}/threshold", run.threshold)
     for name in ("curve", "scores", "metrics", "report", "confusion", "importance"):
         write_parquet(getattr(run, name), f"{run_dir}/{name}")
+
+
+def train_job(spark: SparkSession, split: str, run_dir: str, strategy: str, params: BoostingParams = BoostingParams()) -> TrainedRun:
+    """Train from a table that ``split_job`` wrote; the strategy says how validation rows are carved.
+
+    Stratified rows are drawn by their row key, time-based ones are the last in the order of days, files and rows.
+    """
+    check_strategy(strategy)
+    table = read_parquet(spark, split)
+    if strategy == TIME_BASED:
+        table = table.withColumn(SOURCE_DAY, F.col(SOURCE_DAY).cast("string"))
+        bucket = F.struct(*PLACE[:-1], F.floor(F.col(PLACE[-1]) / 1_000_000).alias("block"))
+        key, carve = PLACE, carve_tail(PLACE, bucket)
+    else:
+        key, carve = [ROW_KEY], carve_stratified([ROW_KEY])
+    return train_and_evaluate(table, feature_columns(table, key), carve, params, run_dir)

@@ -31,9 +31,9 @@ def fitted(spark, rows):
 
 def test_last_stage_is_the_model(fitted):
     model, assembled = fitted
-    staged = b.staged_scores(model, assembled)
-    assert staged.agg(F.max("n_trees")).first()[0] == len(model.trees) and staged.count() == 3000 * len(model.trees)
-    last = staged.filter(F.col("n_trees") == len(model.trees)).withColumnRenamed("score", "staged")
+    staged = b.add_trees(model, assembled.withColumn(b.MARGIN, F.lit(0.0)), 0)
+    assert staged.select(F.size(b.MARGINS)).distinct().first()[0] == len(model.trees)
+    last = staged.select("id", b.probability(F.element_at(b.MARGINS, -1)).alias("staged"))
     gap = b.score_rows(model, assembled).join(last, "id").agg(F.max(F.abs(F.col("score") - F.col("staged")))).first()[0]
     assert gap < 1e-12
 
@@ -41,9 +41,11 @@ def test_last_stage_is_the_model(fitted):
 def test_learning_curve_matches_the_definition(fitted):
     model, assembled = fitted
     sided = assembled.withColumn("side", F.when(F.col("id") % 5 == 0, "validation").otherwise("train"))
-    curve = b.learning_curve(b.staged_counts(model, sided), rows_per_range=5).collect()
+    margins = b.add_trees(model, sided.withColumn(b.MARGIN, F.lit(0.0)), 0)
+    curve = b.learning_curve(b.staged_counts(margins, 0), rows_per_range=5).collect()
     assert len(curve) == 2 * len(model.trees)
-    staged = b.staged_scores(model, sided).toPandas()
+    long = margins.select("side", "Target", F.posexplode(b.MARGINS).alias("n", "m"))
+    staged = long.select("side", "Target", (F.col("n") + 1).alias("n_trees"), b.probability(F.col("m")).alias("score")).toPandas()
     for r in curve:
         part = staged[(staged.side == r["side"]) & (staged.n_trees == r["n_trees"])]
         y, p = part.Target.to_numpy(), part.score.to_numpy()
@@ -114,3 +116,29 @@ def test_tail_carve(spark, rows):
 def test_no_attack_to_learn_from(spark, rows):
     with pytest.raises(ValueError, match="no attack"):
         training.weight_of(rows.filter("Target = 0"))
+
+
+def trees_of(model, n):
+    return [model.trees[i].toDebugString.split("\n", 1)[1] for i in range(n)]
+
+
+def test_equal_seeds_give_equal_leading_trees(spark, rows):
+    assembled = b.materialise(b.assemble(rows, FEATURES, ["Target"]))
+    weight = training.weight_of(rows)
+    small, large = (b.fit(assembled, weight, n, PARAMS) for n in (3, 7))
+    assert trees_of(small, 3) == trees_of(large, 3) and list(large.treeWeights)[:3] == list(small.treeWeights)
+
+
+def test_growing_stops_before_the_budget_and_in_blocks_as_in_one(spark, rows):
+    carved = b.materialise(split.stratified_split(rows, ["id"], names=("train", "validation")))
+    carved = b.materialise(b.assemble(carved, FEATURES, ["Target", "side"]))
+    weight = training.weight_of(rows)
+    stopped = b.grow(carved, weight, BoostingParams(max_trees=400, first_trees=4, patience=3, max_depth=3, learning_rate=0.9))
+    trained = stopped.curve.agg(F.max("n_trees")).first()[0]
+    assert trained < 400 and stopped.n_trees + 3 <= trained
+    params = dict(max_trees=8, patience=50, max_depth=3, learning_rate=0.3)
+    blocks = b.grow(carved, weight, BoostingParams(first_trees=2, **params))
+    once = b.grow(carved, weight, BoostingParams(first_trees=8, **params))
+    table = lambda g: {(r["side"], r["n_trees"]): (round(r["average_precision"], 9), round(r["log_loss"], 9), r["is_best"]) for r in g.curve.collect()}
+    assert table(blocks) == table(once) and blocks.n_trees == once.n_trees
+    assert sorted(map(tuple, blocks.validation.collect())) == sorted(map(tuple, once.validation.collect()))

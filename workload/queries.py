@@ -44,7 +44,7 @@ PADDED = ["Protocol", "Flow Duration"]
 CLEAN_STATS = [clean_name(c) for c in SAMPLED_FEATURES if c not in dict(REDUNDANT_PAIRS)]
 LINE_COLUMNS = [*LINE_FEATURES, TARGET]
 LOGGED = ["l_extendedprice", "l_quantity", "l_discount"]
-SMALL_FIT = BoostingParams(max_trees=8, max_depth=4, learning_rate=0.3)
+SMALL_FIT = BoostingParams(max_trees=120, max_depth=4, learning_rate=0.3, patience=10, first_trees=30)
 
 
 def query(f: Query) -> Query:
@@ -638,10 +638,11 @@ def _line_split(spark, sf_dir) -> DataFrame:
     return split.stratified_split(rows, LINE_KEY)
 
 
+@cache
 def _small_model(spark, sf_dir):
     assembled = materialise(boosting.assemble(lines(spark, sf_dir), LINE_FEATURES, [*LINE_KEY, TARGET]), "lines")
     weight = split.class_weight(assembled).first()["weight"]
-    return boosting.fit(assembled, weight, SMALL_FIT.max_trees, SMALL_FIT), assembled
+    return boosting.fit(assembled, weight, SMALL_FIT.first_trees, SMALL_FIT), assembled
 
 
 @query
@@ -672,16 +673,29 @@ def learning_curve(spark, sf_dir):
     train = _line_split(spark, sf_dir).filter("side = 'train'").drop("side")
     phases = split.stratified_split(train, LINE_KEY, names=("train", "validation"))
     assembled = materialise(boosting.assemble(phases, LINE_FEATURES, [TARGET, "side"]), "phases")
-    inner = assembled.filter("side = 'train'").drop("side")
-    model = boosting.fit(inner, training.weight_of(inner), SMALL_FIT.max_trees, SMALL_FIT)
-    curve = boosting.learning_curve(boosting.staged_counts(model, assembled))
-    return boosting.mark_best(curve, SMALL_FIT.patience)
+    return boosting.grow(assembled, training.weight_of(assembled.filter("side = 'train'")), SMALL_FIT).curve
 
 
-def _trained(spark, sf_dir, run_dir=None):
-    return training.train_and_evaluate(
-        _line_split(spark, sf_dir), LINE_FEATURES, training.carve_stratified(LINE_KEY), SMALL_FIT, run_dir
-    )
+@cache
+def _trained(spark, sf_dir):
+    """A run on the order lines, saved; its tables are stored, so several queries can read the same one."""
+    rows = materialise(_line_split(spark, sf_dir), "split")
+    return training.train_and_evaluate(rows, LINE_FEATURES, training.carve_stratified(LINE_KEY), SMALL_FIT, _run_dir(spark, sf_dir))
+
+
+@cache
+def _run_dir(spark, sf_dir) -> str:
+    return scratch_path(spark, "run")
+
+
+@cache
+def _trained_on_days(spark, sf_dir):
+    rows = materialise(encoded_by_day(spark, sf_dir), "rows")
+    sided = split.assign_days(rows, split.day_sides(split.day_table(rows)))
+    features = split.feature_columns(sided, [*ORDER, "day_start"])
+    place = ["day_start", "source_day", *ORDER]
+    matrix = materialise(split.to_matrix(sided, key=place), "matrix")
+    return training.train_and_evaluate(matrix, features, training.carve_tail(place, split.day_bucket()), SMALL_FIT)
 
 
 @query
@@ -692,19 +706,76 @@ def train_and_evaluate(spark, sf_dir):
 
 @query
 def train_on_days(spark, sf_dir):
-    rows = materialise(encoded_by_day(spark, sf_dir), "rows")
-    sided = split.assign_days(rows, split.day_sides(split.day_table(rows)))
-    features = split.feature_columns(sided, [*ORDER, "day_start"])
-    place = ["day_start", "source_day", *ORDER]
-    matrix = split.to_matrix(sided, key=place)
-    run = training.train_and_evaluate(matrix, features, training.carve_tail(place, split.day_bucket()), SMALL_FIT)
-    return run.report
+    return _trained_on_days(spark, sf_dir).report
 
 
 @query
 def post_run_analysis(spark, sf_dir):
-    run_dir = scratch_path(spark, "run")
-    _trained(spark, sf_dir, run_dir)
+    _trained(spark, sf_dir)
     test = _line_split(spark, sf_dir).filter("side = 'test'")
-    found = post_run.post_run_analysis(test, LINE_FEATURES, run_dir)
+    found = post_run.post_run_analysis(test, LINE_FEATURES, _run_dir(spark, sf_dir))
     return found["sweep"]
+
+
+# --- what SQL can state about the model queries without the trees ------------------------------------
+@query
+def scored_row_counts(spark, sf_dir):
+    scores = model_scores(spark, sf_dir)
+    inside = F.count_if(F.col("score").between(0.0, 1.0))
+    return scores.groupBy(TARGET).agg(F.count("*").alias("n"), inside.alias("probabilities"))
+
+
+@query
+def reloaded_scores_agree(spark, sf_dir):
+    return model_round_trip(spark, sf_dir)
+
+
+@query
+def importance_total(spark, sf_dir):
+    return rounded(feature_importance(spark, sf_dir).agg(F.count("*").alias("features"), F.sum("importance").alias("total")))
+
+
+@query
+def curve_summary(spark, sf_dir):
+    sides = _trained(spark, sf_dir).curve.groupBy("side").agg(F.countDistinct("n_trees").alias("points"), F.count_if("is_best").alias("best"))
+    return sides.agg(F.countDistinct("points").alias("lengths"), F.sum("best").alias("best"), F.max(F.when(F.col("best") > 0, F.col("side"))).alias("best_side"))
+
+
+@query
+def evaluated_class_sizes(spark, sf_dir):
+    return _trained(spark, sf_dir).metrics.select("positives", "negatives")
+
+
+@query
+def sweep_class_sizes(spark, sf_dir):
+    sweep = post_run_analysis(spark, sf_dir)
+    return sweep.select((F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives")).distinct()
+
+
+@query
+def day_model_support(spark, sf_dir):
+    return train_on_days(spark, sf_dir).select("row", "support")
+
+
+@query
+def prepared_model_support(spark, sf_dir):
+    run_dir = scratch_path(spark, "run")
+    run = training.train_job(spark, _prepared(spark, sf_dir, STRATIFIED), run_dir, STRATIFIED, SMALL_FIT)
+    return run.report.select("row", "support")
+
+
+@query
+def model_feature_gate(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    report = gates.feature_gate([*LINE_FEATURES, "gone"], rows.select(*LINE_FEATURES, "l_partkey"))
+    return report.withColumn("rows", rows.agg(F.count("*")).scalar())
+
+
+@query
+def inventory_widths(spark, sf_dir):
+    return source_inventory(spark, sf_dir).select("source", "columns", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query
+def merged_is_smaller(spark, sf_dir):
+    return merged_size_ratio(spark, sf_dir).select((F.col("ratio") > 1).alias("smaller"))
