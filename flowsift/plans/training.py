@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,12 +23,13 @@ from flowsift.operators.gates import required_names
 from flowsift.operators.split import SEED, class_weight, feature_columns, stratified_split, tail_split
 from flowsift.plans.preparation import PLACE
 from flowsift.schema import ROW_KEY, SOURCE_DAY, TARGET, TIME_BASED, check_strategy
-from flowsift.session import materialise
+from flowsift.session import materialise, scratch_tables
 from flowsift.sources.tables import read_parquet, save_model, save_threshold, write_parquet
 
 log = logging.getLogger(__name__)
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
+SAVED = ("curve", "scores", "metrics", "report", "confusion", "importance")
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ def save_run(run: TrainedRun, run_dir: str) -> None:
     save_model(run.model, f"{run_dir}/model")
     write_parquet(spark.createDataFrame(list(enumerate(run.features)), "pos int, feature string"), f"{run_dir}/features")
     save_threshold(spark, f"{run_dir}/threshold", run.threshold)
-    for name in ("curve", "scores", "metrics", "report", "confusion", "importance"):
+    for name in SAVED:
         write_parquet(getattr(run, name), f"{run_dir}/{name}")
 
 
@@ -126,6 +127,7 @@ def train_job(spark: SparkSession, split: str, run_dir: str, strategy: str, para
     """Train from a table that ``split_job`` wrote; the strategy says how validation rows are carved.
 
     Stratified rows are drawn by their row key, time-based ones are the last in the order of days, files and rows.
+    The run's tables are read back from ``run_dir``; its intermediate tables are deleted.
     """
     check_strategy(strategy)
     table = read_parquet(spark, split)
@@ -135,4 +137,6 @@ def train_job(spark: SparkSession, split: str, run_dir: str, strategy: str, para
         key, carve = PLACE, carve_tail(PLACE, bucket)
     else:
         key, carve = [ROW_KEY], carve_stratified([ROW_KEY])
-    return train_and_evaluate(table, feature_columns(table, key), carve, params, run_dir)
+    with scratch_tables(spark):
+        run = train_and_evaluate(table, feature_columns(table, key), carve, params, run_dir)
+    return replace(run, **{name: read_parquet(spark, f"{run_dir}/{name}") for name in SAVED})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +53,27 @@ def shared_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was put below the shared folder inside. Nothing lazy that reads it may leave the block."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/flowsift/{uuid.uuid4().hex}/{name}"
+    own = f"{shared_root(spark)}/flowsift/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(own)
+    return f"{own}/{name}"
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

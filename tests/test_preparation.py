@@ -1,10 +1,14 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from flowsift.operators.boosting import BoostingParams
 from flowsift.operators.gates import GateError
 from flowsift.operators.split import feature_columns
-from flowsift.plans import preparation as p
+from flowsift.plans import preparation as p, training
 from flowsift.schema import ROW_KEY, STRATIFIED, TIME_BASED
+from flowsift.session import shared_root
 
 HEADER = "Dst Port,Protocol,Timestamp,Flow Duration,Flow IAT Min,Flow Byts/s,Label\n"
 
@@ -70,3 +74,14 @@ def test_gates_stop_a_job(spark, landing, tmp_path):
     cleaned.write.parquet(str(tmp_path / "leaky"))
     with pytest.raises(GateError, match="leaking_columns"):
         p.encode_job(spark, str(tmp_path / "leaky"), str(tmp_path / "out"), STRATIFIED)
+
+
+def test_a_stored_split_is_trained_on_and_leaves_no_scratch(spark, landing, tmp_path):
+    run(spark, landing, tmp_path, TIME_BASED)
+    small = BoostingParams(max_trees=3, first_trees=3, max_depth=2)
+    root = Path(shared_root(spark).removeprefix("file://")) / "flowsift"
+    before = set(root.glob("*")) if root.exists() else set()
+    found = training.train_job(spark, str(tmp_path / "split"), str(tmp_path / "run"), TIME_BASED, small)
+    assert set(root.glob("*")) == before
+    assert found.report.filter("row = 'accuracy'").first()["support"] == 40 == found.scores.count()
+    assert "day_start" not in found.features and ROW_KEY not in found.features
