@@ -81,23 +81,38 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)
 
 
-def list_sources(spark: SparkSession, folder: str) -> list[Source]:
+def known_headers(spark: SparkSession, manifest: str | None) -> dict[tuple[str, int], tuple[str, ...]]:
+    """Headers that a stored manifest has, by first file and its size."""
+    if manifest is None:
+        return {}
+    place = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return {}
+    return {(r["first_file"], r["bytes"]): tuple(r["header"]) for r in spark.read.parquet(manifest).collect()}
+
+
+def list_sources(spark: SparkSession, folder: str, manifest: str | None = None) -> list[Source]:
     """Sources by name with the header of their first file.
 
-    One small job per source reads a header; ``scan`` later checks that header against every file.
+    One small job per source reads a header; ``scan`` later checks that header against every file. With a
+    ``manifest``, a path, headers are kept there and only sources whose first file is new are opened.
     """
-    firsts = (
-        list_files(spark, folder).groupBy("source").agg(F.min("path").alias("first_file")).orderBy("source").collect()
-    )
-
-    root = root_of(spark, folder)
+    place = F.min(F.struct("path", "bytes"))
+    firsts = list_files(spark, folder).groupBy("source").agg(place.alias("first")).orderBy("source").collect()
+    root, known = root_of(spark, folder), known_headers(spark, manifest)
 
     def open_source(row) -> Source:
-        entry = row["first_file"]
-        return Source(row["source"], f"{root}/{row['source']}.csv", entry, read_header(spark, entry), root)
+        path, size = row["first"]
+        header = known.get((path, size)) or read_header(spark, path)
+        return Source(row["source"], f"{root}/{row['source']}.csv", path, header, root)
 
     with ThreadPoolExecutor(HEADER_READERS) as pool:
-        return list(pool.map(open_source, firsts))
+        sources = list(pool.map(open_source, firsts))
+    fresh = [(*row["first"], list(s.header)) for row, s in zip(firsts, sources) if tuple(row["first"]) not in known]
+    if manifest is not None and fresh:
+        table = spark.createDataFrame(fresh, "first_file string, bytes long, header array<string>")
+        table.coalesce(1).write.mode("append").parquet(manifest)
+    return sources
 
 
 def headers_of(sources: Sequence[Source]) -> dict[str, list[str]]:

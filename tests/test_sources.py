@@ -160,3 +160,18 @@ def test_folders_with_blanks_and_percent_signs(spark, tmp_path):
     (folder / "day one.csv").write_text("A\n1\n")
     sources = s.list_sources(spark, str(folder))
     assert [r["source_day"] for r in s.merge_sources(spark, sources).collect()] == [x.name for x in sources] == ["day one"]
+
+
+def test_a_manifest_saves_opening_known_sources(spark, landing, tmp_path, monkeypatch):
+    folder, manifest, opened = landing(**DRIFTED), str(tmp_path / "manifest"), []
+    read = s.read_header
+    monkeypatch.setattr(s, "read_header", lambda spark, path: opened.append(path.rsplit("/", 1)[1]) or read(spark, path))
+    first = s.list_sources(spark, folder, manifest)
+    assert sorted(opened) == ["day1.csv", "day2.csv", "day3.csv"]
+    landing(day4="A, B,Label\n1,2,z\n", day1="A, B,Label\n1,2,x\n")  # one new, one of another size
+    opened.clear()
+    again = s.list_sources(spark, folder, manifest)
+    assert sorted(opened) == ["day1.csv", "day4.csv"]
+    assert again[:3] == first and again == s.list_sources(spark, folder)
+    opened.clear()
+    assert s.list_sources(spark, folder, manifest) == again and opened == []
