@@ -1,4 +1,7 @@
-"""Confusion counts, reports, threshold sweeps, histograms and calibration of scored rows."""
+"""Confusion counts, reports, threshold sweeps, histograms and calibration of scored rows.
+
+Each takes one row per scored row, or rows that stand for several: then ``rows`` names the column that says for how many.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,18 @@ from flowsift.operators.curves import SCORE, place_in_ranges
 from flowsift.schema import TARGET
 
 
+def total(rows: str | None, where: Column | None = None) -> Column:
+    """How many scored rows there are, or those that meet a condition."""
+    weight = F.lit(1).cast("long") if rows is None else F.col(rows)
+    return F.coalesce(F.sum(weight if where is None else F.when(where, weight)), F.lit(0).cast("long"))
+
+
+def rows_of_counts(counts: DataFrame, score: str = SCORE, target: str = TARGET, rows: str = "rows") -> DataFrame:
+    """Counts per distinct score (``pos``, ``neg``) as rows of score, target and number."""
+    sides = F.array(*[F.struct(F.lit(k).alias(target), F.col(c).alias(rows)) for k, c in ((1, "pos"), (0, "neg"))])
+    return counts.select(score, F.inline(sides)).filter(F.col(rows) > 0)
+
+
 def predict(df: DataFrame, threshold: float, score: str = SCORE) -> DataFrame:
     """Add the 0/1 decision: score at or above the threshold."""
     return df.withColumn("prediction", (F.col(score) >= F.lit(threshold)).cast("int"))
@@ -20,22 +35,26 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Col
     return precision, recall, safe_ratio(2.0 * precision * recall, precision + recall)
 
 
-def confusion(df: DataFrame, threshold: float, score: str = SCORE, target: str = TARGET) -> DataFrame:
+def confusion(
+    df: DataFrame, threshold: float, score: str = SCORE, target: str = TARGET, rows: str | None = None
+) -> DataFrame:
     """Confusion counts at a threshold with precision, recall and F1 of the attack class."""
     flagged, attack = F.col(score) >= F.lit(threshold), F.col(target) == 1
     counts = df.agg(
-        F.count_if(flagged & attack).alias("tp"),
-        F.count_if(flagged & ~attack).alias("fp"),
-        F.count_if(~flagged & attack).alias("fn"),
-        F.count_if(~flagged & ~attack).alias("tn"),
+        total(rows, flagged & attack).alias("tp"),
+        total(rows, flagged & ~attack).alias("fp"),
+        total(rows, ~flagged & attack).alias("fn"),
+        total(rows, ~flagged & ~attack).alias("tn"),
     )
     measures = precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
     return counts.withColumns(dict(zip(("precision", "recall", "f1"), measures)))
 
 
-def confusion_matrix(df: DataFrame, threshold: float, score: str = SCORE, target: str = TARGET) -> DataFrame:
+def confusion_matrix(
+    df: DataFrame, threshold: float, score: str = SCORE, target: str = TARGET, rows: str | None = None
+) -> DataFrame:
     """Four cells (actual, predicted, n), empty ones included."""
-    counts = confusion(df, threshold, score, target)
+    counts = confusion(df, threshold, score, target, rows)
     cells = [
         F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(c).alias("n"))
         for a, p, c in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))
@@ -74,7 +93,9 @@ def sweep_grid(threshold: float) -> list[float]:
     return sorted({i / 100 for i in range(1, 100)} | {round(float(threshold), 6)})
 
 
-def threshold_sweep(df: DataFrame, threshold: float, score: str = SCORE, target: str = TARGET) -> DataFrame:
+def threshold_sweep(
+    df: DataFrame, threshold: float, score: str = SCORE, target: str = TARGET, rows: str | None = None
+) -> DataFrame:
     """Confusion counts and measures at every threshold of the grid, from one pass over the scores.
 
     Each row is placed between two thresholds by binary search, counts per place are at most 101 rows,
@@ -83,7 +104,7 @@ def threshold_sweep(df: DataFrame, threshold: float, score: str = SCORE, target:
     grid = sweep_grid(threshold)
     positive = F.col(target) == 1
     placed = place_in_ranges(df, grid, score, "place")
-    counts = placed.groupBy("place").agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    counts = placed.groupBy("place").agg(total(rows, positive).alias("pos"), total(rows, ~positive).alias("neg"))
     slots = df.sparkSession.createDataFrame([(0, None)] + list(enumerate(grid, start=1)), "place int, threshold double")
     filled = slots.join(counts, "place", "left").na.fill(0, ["pos", "neg"])
     all_rows = Window.partitionBy(F.lit(0))
@@ -111,7 +132,9 @@ def threshold_sweep(df: DataFrame, threshold: float, score: str = SCORE, target:
     )
 
 
-def confidence_histogram(df: DataFrame, score: str = SCORE, target: str = TARGET, bins: int = 50) -> DataFrame:
+def confidence_histogram(
+    df: DataFrame, score: str = SCORE, target: str = TARGET, bins: int = 50, rows: str | None = None
+) -> DataFrame:
     """Rows per equal-width bin and true class, empty bins included; each class spans its own scores.
 
     The last bin is closed on the right, and a class with one distinct score gets a unit-wide range around it.
@@ -136,11 +159,11 @@ def confidence_histogram(df: DataFrame, score: str = SCORE, target: str = TARGET
         .otherwise(F.col("_guess"))
     )
     counts = (
-        df.select(target, score)
+        df.select(target, score, *([rows] if rows else []))
         .join(F.broadcast(spans), target)  # two rows: one per class
         .withColumn("_guess", guess)
         .groupBy(target, settled.alias("bin"))
-        .agg(F.count("*").alias("n"))
+        .agg(total(rows).alias("n"))
     )
     slots = spans.select(target, "low", "high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return slots.join(counts, [target, "bin"], "left").select(
@@ -152,12 +175,15 @@ def confidence_histogram(df: DataFrame, score: str = SCORE, target: str = TARGET
     )
 
 
-def calibration_curve(df: DataFrame, score: str = SCORE, target: str = TARGET, bins: int = 10) -> DataFrame:
+def calibration_curve(
+    df: DataFrame, score: str = SCORE, target: str = TARGET, bins: int = 10, rows: str | None = None
+) -> DataFrame:
     """Mean score and observed attack rate per uniform bin; a score on an edge belongs to the lower bin."""
     edges = [i * (1.0 / bins) for i in range(1, bins)]
     slot = sum(((F.col(score) > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    weight = F.lit(1) if rows is None else F.col(rows)
     return df.groupBy(slot.alias("bin")).agg(
-        F.avg(score).alias("mean_score"),
-        F.avg(F.col(target).cast("double")).alias("attack_rate"),
-        F.count("*").alias("n"),
+        (F.sum(F.col(score) * weight) / total(rows)).alias("mean_score"),
+        (F.sum(F.col(target).cast("double") * weight) / total(rows)).alias("attack_rate"),
+        total(rows).alias("n"),
     )

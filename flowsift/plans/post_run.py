@@ -15,6 +15,7 @@ from flowsift.operators.diagnostics import (
     confidence_histogram,
     confusion,
     confusion_matrix,
+    rows_of_counts,
     threshold_sweep,
 )
 from flowsift.schema import TARGET
@@ -25,18 +26,18 @@ log = logging.getLogger(__name__)
 
 
 def diagnose(scores: DataFrame, threshold: float) -> dict[str, DataFrame]:
-    """All diagnostic tables of scored rows. Scores are counted once and the counts reused."""
+    """All diagnostic tables of scored rows. Scores are counted once; every table follows from the counts."""
     counts = materialise(score_counts(scores), "score_counts")
-    cumulative = cumulate(counts, range_edges(counts))
+    cumulative, rows = cumulate(counts, range_edges(counts)), rows_of_counts(counts)
     return {
         "metrics": ranking_metrics(cumulative),
-        "operating_point": confusion(scores, threshold),
-        "confusion": confusion_matrix(scores, threshold),
+        "operating_point": confusion(rows, threshold, rows="rows"),
+        "confusion": confusion_matrix(rows, threshold, rows="rows"),
         "pr_curve": pr_curve(cumulative),
         "roc_curve": roc_curve(cumulative),
-        "histogram": confidence_histogram(scores),
-        "calibration": calibration_curve(scores),
-        "sweep": threshold_sweep(scores, threshold),
+        "histogram": confidence_histogram(rows, rows="rows"),
+        "calibration": calibration_curve(rows, rows="rows"),
+        "sweep": threshold_sweep(rows, threshold, rows="rows"),
     }
 
 

@@ -69,3 +69,18 @@ def test_calibration_edges_go_down(spark):
     bins = np.searchsorted(np.linspace(0, 1, 11)[1:-1], [x for x, _ in more])
     mine = {r["bin"]: r["n"] for r in d.calibration_curve(scored(spark, more)).collect()}
     assert mine == {int(b): int(n) for b, n in zip(*np.unique(bins, return_counts=True))}
+
+
+def test_counts_give_the_same_tables_as_rows(spark):
+    from flowsift.operators.curves import score_counts
+
+    df = scored(spark, random_scores(9, 400, 25))
+    rows = d.rows_of_counts(score_counts(df))
+    for table in (
+        lambda x, **w: d.confusion(x, 0.4, **w),
+        lambda x, **w: d.confusion_matrix(x, 0.4, **w),
+        lambda x, **w: d.threshold_sweep(x, 0.4, **w),
+        lambda x, **w: d.confidence_histogram(x, **w),
+        lambda x, **w: d.calibration_curve(x, **w).select("bin", F.round("mean_score", 9), F.round("attack_rate", 9), "n"),
+    ):
+        assert sorted(map(repr, table(df).collect())) == sorted(map(repr, table(rows, rows="rows").collect()))
