@@ -61,3 +61,16 @@ def numbered(df: DataFrame, group: Sequence[str], name: str) -> DataFrame:
     counted = stored.withColumn(local, inside.cast("long") - 1)
     joined = counted.join(offsets, [*group, part])
     return joined.withColumn(name, F.col(local) + F.col(before)).select(*df.columns, name)
+
+
+def sample_rows(rows: DataFrame, n: int, columns: Sequence[str], seed: int = 0) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hash of some columns: the same ones in every run.
+
+    Where there are many more rows, all but about 4 ``n`` are left out by their hash before the rest is ordered, so the task
+    that orders them gets a bounded number of rows, not ``n`` from every task.
+    """
+    order = F.xxhash64(*columns, F.lit(seed))
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.filter(order <= int(-(2.0**63) + 2.0**64 * (4 * n / total)))
+    return rows.orderBy(order, *columns).limit(n)

@@ -16,7 +16,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowsift.llm.common import fresh, text_of
+from flowsift.llm.common import fresh, sample_rows, text_of
 from flowsift.session import materialise
 
 UNKNOWN = "unknown"
@@ -183,7 +183,7 @@ def training_rows(spark: SparkSession, corpus: DataFrame, model: LicenceModel) -
     backwards = words.filter(size > 3).select(F.lit(UNKNOWN).alias("family"), F.reverse("words").alias("words"))
     templates = [template_grams(t, 2) for texts in TEMPLATES.values() for t in texts]
     likeness = F.greatest(*[F.size(F.array_intersect(F.col("grams"), t)) / F.size(t) for t in templates])
-    picked = corpus.select("words").orderBy(F.xxhash64("words"), F.array_join("words", " ")).limit(model.sample_rows)
+    picked = sample_rows(corpus.select("words"), model.sample_rows, ["words"])
     prose = picked.withColumn("grams", grams(F.col("words"), 2)).filter(likeness < 0.2).select(F.lit(UNKNOWN).alias("family"), "words")
     rows = reduce(DataFrame.union, [whole, scrambled, backwards, prose])
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
