@@ -51,8 +51,8 @@ class Settings:
     burn_in: int = 3
     samples: int = 5
     seed: int = 11
-    block_tokens: int = 3_000_000
-    part_tokens: int = 2_000_000
+    block_tokens: int = 1_500_000
+    part_tokens: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -114,16 +114,17 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Tokens]
     """Documents of a task (doc_id, held_out, words) in blocks of about ``limit`` tokens."""
 
     def joined(rows: list[pa.RecordBatch]) -> Tokens:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        lists = table.column("words").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        words = lists.flatten().to_numpy(zero_copy_only=False)
-        tokens = np.full(len(words) + len(sizes), END)
-        inner = np.ones(len(tokens), dtype=bool)
-        inner[np.cumsum(sizes + 1) - 1] = False
-        tokens[inner] = words
-        return Tokens(table.column("doc_id").to_pylist(), table.column("held_out").to_numpy(), sizes + 1, tokens)
+        sizes = [batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) + 1 for batch in rows]
+        lengths = np.concatenate(sizes)
+        tokens, at = np.full(lengths.sum(), END), 0
+        for batch, own in zip(rows, sizes):  # straight from the batches, without a copy of them all
+            inner = np.ones(own.sum(), dtype=bool)
+            inner[np.cumsum(own) - 1] = False
+            tokens[at : at + len(inner)][inner] = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            at += len(inner)
+        ids = [i for batch in rows for i in batch.column(0).to_pylist()]
+        held = np.concatenate([batch.column(1).to_numpy(zero_copy_only=False) for batch in rows]).astype(bool)
+        return Tokens(ids, held, lengths, tokens)
 
     rows, size = [], 0
     for batch in batches:
