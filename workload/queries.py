@@ -44,7 +44,7 @@ PADDED = ["Protocol", "Flow Duration"]
 CLEAN_STATS = [clean_name(c) for c in SAMPLED_FEATURES if c not in dict(REDUNDANT_PAIRS)]
 LINE_COLUMNS = [*LINE_FEATURES, TARGET]
 LOGGED = ["l_extendedprice", "l_quantity", "l_discount"]
-SMALL_FIT = BoostingParams(max_trees=120, max_depth=4, learning_rate=0.3, patience=10, first_trees=30)
+SMALL_FIT = BoostingParams(max_trees=30, max_depth=4, learning_rate=0.3, patience=5, first_trees=15)
 
 
 def query(f: Query) -> Query:
@@ -642,7 +642,7 @@ def _line_split(spark, sf_dir) -> DataFrame:
 def _small_model(spark, sf_dir):
     assembled = materialise(boosting.assemble(lines(spark, sf_dir), LINE_FEATURES, [*LINE_KEY, TARGET]), "lines")
     weight = split.class_weight(assembled).first()["weight"]
-    return boosting.fit(assembled, weight, SMALL_FIT.first_trees, SMALL_FIT), assembled
+    return boosting.fit(assembled, weight, SMALL_FIT.max_trees, SMALL_FIT), assembled
 
 
 @query
