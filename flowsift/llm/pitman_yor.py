@@ -1,18 +1,22 @@
 """Language-model scores from a hierarchical Pitman-Yor model of words.
 
-There are three levels. The frequent words are contexts, and each has a restaurant whose dishes are the words that follow
-it. All of them share one parent, the restaurant of single words, which is also where words after other words
-are seated; its own parent is uniform over the known words and one unknown word. A table of a restaurant is a customer
-of its parent. Numbers of tables are sampled by Gibbs sweeps and the predictive probabilities are averaged over them.
+There are three levels. Every word is a context and has a restaurant whose dishes are the words that follow
+it. All of them share one parent, the restaurant of single words; its own parent is uniform over the known words and
+one unknown word. A table of a restaurant is a customer of its parent. Numbers of tables are sampled by Gibbs sweeps
+and the predictive probabilities are averaged over them.
 
 Where the work lies:
 
-* Words are hashed to 64 bits by Spark; one pass counts them. Words with a share of ``context_share`` or more are the
-  frequent ones, so there are 1 / ``context_share`` of them at most, and all counts among them fit in one small matrix.
+* Words are hashed to 64 bits by Spark; one pass counts them. Words with a share of ``frequent_share`` or more are the
+  frequent ones, so there are 1 / ``frequent_share`` of them at most, and all counts among them fit in one small matrix.
 * Documents are cut into blocks of some million tokens. A block sends each of its other words once, with its counts, to
-  the part of the hash range that the word falls into. There the counts of all blocks meet, the word's seating is
-  sampled, and the block gets its answer in the order in which it asked. No word is ever sent once per occurrence.
-* No frequent word takes that way, so the words of one part are bounded, whatever share a word has of the text.
+  the part of the hash range that the word falls into, and learns the counts of all blocks. Then it sends the word with
+  its contexts, the word's seating is sampled, and the block gets its answer in the order in which it asked. No word is
+  ever sent once per occurrence.
+* Frequent words after other contexts go to parts by the context instead, so the words and pairs of one part are bounded,
+  whatever share a word has of the text. The parent's customers are scaled up there from the part's own to all.
+* A pair's tables are told to one of the blocks that asked for it. The blocks add them up by context and send the sums to
+  the part of the context, which tells all blocks that have it the context's tables.
 """
 
 from __future__ import annotations
@@ -34,18 +38,23 @@ from flowsift.session import materialise
 #: Stands for the end of a text, which is also the context of its first word.
 END = np.int64(0x5851F42D4C957F2D)
 
+COUNT_SCHEMA = "block long, part int, payload binary"
 MESSAGE_SCHEMA = "block long, part int, payload binary, context int, word int, n long"
 ANSWER_SCHEMA = "block long, part int, payload binary, context int, tables double"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-DOCUMENTS = -1  # the part number of a block's own documents
+DOCUMENTS, CONTEXTS = -1, -2  # the part numbers of a block's own documents and of the contexts of its pairs
 SMALL = 64  # customers up to which the number of tables is sampled exactly
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``discount`` and ``strength`` of the contexts' restaurants; the parent's discount comes from its counts."""
+    """``discount`` and ``strength`` of the contexts' restaurants; the parent's discount comes from its counts.
 
-    context_share: float = 1 / 500
+    Words with less than ``context_share`` of the tokens have no restaurant: by default all have one, above 1 none has.
+    """
+
+    context_share: float = 0.0
+    frequent_share: float = 1 / 500
     discount: float = 0.8
     strength: float = 1.0
     burn_in: int = 3
@@ -57,13 +66,17 @@ class Settings:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Totals of the training tokens; ``frequent`` is sorted, ``counts`` are theirs."""
+    """Totals of the training tokens; ``frequent`` is sorted, ``counts`` are theirs.
+
+    ``customers`` is the mean number of the parent's customers, where known.
+    """
 
     tokens: int
     types: int
     discount: float
     frequent: np.ndarray
     counts: np.ndarray
+    customers: float | None = None
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -154,15 +167,24 @@ def learn_corpus(docs: DataFrame, settings: Settings) -> Corpus:
     totals = Observation()
     counts = hashed(docs).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     watched = counts.observe(
-        totals, F.sum("n").alias("tokens"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")
+        totals,
+        F.sum("n").alias("tokens"),
+        F.count("*").alias("types"),
+        F.count_if(F.col("n") == 1).alias("once"),
+        F.count_if(F.col("n") == 2).alias("twice"),
+        F.sum(mean_tables(F.col("n"), settings)).alias("tables"),
     )
-    top = watched.orderBy(F.desc("n"), "word").limit(math.ceil(1 / settings.context_share)).collect()
+    top = watched.orderBy(F.desc("n"), "word").limit(math.ceil(1 / settings.frequent_share)).collect()
     seen = totals.get
     tokens = seen["tokens"] or 0
-    frequent = sorted((r["word"], r["n"]) for r in top if r["n"] >= settings.context_share * tokens)
+    frequent = sorted((r["word"], r["n"]) for r in top if r["n"] >= settings.frequent_share * tokens)
+    customers = seen["tables"] or 0.0
+    if settings.context_share > 0:
+        chosen = counts.filter(F.col("n") >= least_count(tokens, settings))
+        customers = tokens + (chosen.agg(F.sum(mean_tables(F.col("n"), settings) - F.col("n"))).first()[0] or 0.0)
     once, twice = seen["once"], seen["twice"]
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    return Corpus(tokens, seen["types"], discount, np.array([w for w, _ in frequent], np.int64), np.array([n for _, n in frequent], np.int64))
+    return Corpus(tokens, seen["types"], discount, np.array([w for w, _ in frequent], np.int64), np.array([n for _, n in frequent], np.int64), customers)
 
 
 def found_at(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -174,63 +196,142 @@ def found_at(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == values, at, -1)
 
 
-def pairs_of(places: np.ndarray, lengths: np.ndarray, context: np.ndarray, end: int, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens after a context, their keys): a key is place * contexts + context of the token before.
+def pairs_of(words: np.ndarray, places: np.ndarray, lengths: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens that are a known word after a context, their keys): a key is place * words + place of the token before.
 
-    ``places`` are the tokens' places in the block's vocabulary, ``context`` its words' numbers as contexts, ``end`` that of the end.
+    ``places`` are the tokens' places among the block's sorted ``words``, ``counts`` the words' training tokens; contexts
+    have ``least`` of them or more.
     """
     before = np.empty(len(places), np.int64)
-    before[1:] = context[places[:-1]]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
-    at = np.flatnonzero(before >= 0)
-    return at, places[at].astype(np.int64) * contexts + before[at]
+    before[1:] = places[:-1]
+    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = np.searchsorted(words, END)
+    at = np.flatnonzero((counts[places] > 0) & (counts[before] >= least))
+    return at, places[at].astype(np.int64) * len(words) + before[at]
 
 
-def messages(docs: DataFrame, corpus: Corpus, settings: Settings, parts: int) -> DataFrame:
-    """Per block: its documents, its counts for each part, and its counts among the frequent words."""
-    frequent, contexts = corpus.frequent, max(1, len(corpus.frequent))
-    end = int(found_at(frequent, np.array([END]))[0])
+def parts_of(corpus: Corpus, settings: Settings) -> int:
+    return max(1, math.ceil(corpus.tokens / settings.part_tokens))
+
+
+def least_count(tokens: int, settings: Settings) -> float:
+    """Training tokens, of all these, that a word needs to be a context."""
+    return max(1.0, settings.context_share * tokens) if settings.context_share <= 1 else math.inf
+
+
+def deltas(hashes: np.ndarray) -> np.ndarray:
+    return np.diff(hashes.view(np.uint64), prepend=np.uint64(0))
+
+
+def sums(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=np.uint64).view(np.int64)
+
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def batch_of(rows: list[tuple], schema: str, kind=pa.RecordBatch):
+    """Rows as a record batch or table of a schema."""
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return kind.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def by_part(home: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """(part, its stretch) of rising part numbers."""
+    cuts = np.searchsorted(home, np.arange(parts + 1))
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
+        yield part, slice(cuts[part], cuts[part + 1])
+
+
+def counted_blocks(docs: DataFrame, settings: Settings, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Per block its documents; and its words' training tokens in all blocks, in the order of its sorted words."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in enumerate(blocks_of(batches, settings.block_tokens)):
             block_id = (TaskContext.get().partitionId() << 20) + number
-            train = np.repeat(~block.held, block.lengths)
             words, places = np.unique(block.tokens, return_inverse=True)
-            counts = np.bincount(places[train], minlength=len(words))
-            common = found_at(frequent, words)
-            at, keys = pairs_of(places, block.lengths, common, end, contexts)
-            keys, where = np.unique(keys, return_inverse=True)
-            pair_counts = np.bincount(where[train[at]], minlength=len(keys))
-            pair_words, pair_contexts = keys // contexts, keys % contexts
-            rare = common < 0
+            counts = np.bincount(places[np.repeat(~block.held, block.lengths)], minlength=len(words))
             ids = pa.array(block.ids, pa.int64())
             known = np.array([i is not None for i in block.ids], np.uint8)
-            spots = np.flatnonzero(~rare).astype(np.int32)
-            mine = [ids.fill_null(0).to_numpy(), known, block.held.astype(np.uint8), block.lengths, places.astype(np.int32), spots, common[~rare].astype(np.int32)]
-            rows = [(block_id, DOCUMENTS, pack([*mine, np.array([len(words)])]), None, None, None)]
-            home = part_of(words, parts)
-            per_word = np.bincount(pair_words, minlength=len(words))
-            cuts = np.searchsorted(home, np.arange(parts + 1))
-            pair_cuts = np.searchsorted(pair_words, cuts)
-            for part in np.flatnonzero(np.diff(cuts)).tolist():
-                here = slice(cuts[part], cuts[part + 1])
-                mask = rare[here]
-                if not mask.any():
-                    continue
-                there = slice(pair_cuts[part], pair_cuts[part + 1])
-                kept = rare[pair_words[there]]
-                hashes = words[here][mask].view(np.uint64)
-                columns = [np.diff(hashes, prepend=np.uint64(0)), counts[here][mask].astype(np.uint32), per_word[here][mask].astype(np.uint16)]
-                columns += [pair_contexts[there][kept].astype(np.uint16), pair_counts[there][kept].astype(np.uint32)]
-                rows.append((block_id, part, pack(columns), None, None, None))
-            both = ~rare[pair_words] & (pair_counts > 0)
-            among = zip(pair_contexts[both].tolist(), common[pair_words[both]].tolist(), pair_counts[both].tolist())
-            rows += [(None, None, None, c, w, n) for c, w, n in among]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-            names = ("block", "part", "payload", "context", "word", "n")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return hashed(docs).mapInArrow(ask, MESSAGE_SCHEMA)
+            mine = [ids.fill_null(0).to_numpy(), known, block.held.astype(np.uint8), block.lengths, places.astype(np.int32), deltas(words)]
+            rows = [(block_id, DOCUMENTS, pack(mine))]
+            for part, here in by_part(part_of(words, parts), parts):
+                rows.append((block_id, part, pack([deltas(words[here]), counts[here].astype(np.uint32)])))
+            yield batch_of(rows, COUNT_SCHEMA)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        return reply(table, lambda columns: columns[1].astype(np.int64))
+
+    told = materialise(hashed(docs).mapInArrow(tell, COUNT_SCHEMA), "blocks")
+    added = told.filter(F.col("part") >= 0).groupBy("part").applyInArrow(add, COUNT_SCHEMA)
+    return told.filter(F.col("part") == DOCUMENTS), added
+
+
+def reply(table: pa.Table, value) -> pa.Table:
+    """To every block of a part, the sums over all blocks of its words' values."""
+    rows = list(zip(table.column("block").to_pylist(), table.column("part").to_pylist(), table.column("payload").to_pylist()))
+    rows.sort(key=lambda r: r[0])
+    sent = [unpack(data) for _, _, data in rows]
+    hashes = [sums(columns[0]) for columns in sent]
+    words = np.unique(np.concatenate(hashes))
+    places = [np.searchsorted(words, h) for h in hashes]
+    totals = None
+    for at, columns in zip(places, sent):
+        values = value(columns)
+        totals = np.zeros(len(words), values.dtype) if totals is None else totals
+        totals[at] += values
+    return batch_of([(block, part, pack([totals[at]])) for at, (block, part, _) in zip(places, rows)], COUNT_SCHEMA, pa.Table)
+
+
+def messages(docs: DataFrame, corpus: Corpus, settings: Settings, parts: int) -> DataFrame:
+    """Per block: its documents, its words and their pairs for each part, and its counts among the frequent words.
+
+    Part numbers from ``parts`` on are those of frequent words after other contexts, by the context.
+    """
+    frequent, least = corpus.frequent, least_count(corpus.tokens, settings)
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        block_id = key[0].as_py()
+        sent = sorted(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
+        ids, known, held, lengths, places, hashes = unpack(sent[0][1])
+        words, counts = sums(hashes), np.concatenate([unpack(data)[0] for _, data in sent[1:]])
+        train = np.repeat(held == 0, lengths)
+        common = found_at(frequent, words)
+        at, keys = pairs_of(words, places, lengths, counts, least)
+        keys, where = np.unique(keys, return_inverse=True)
+        pair_counts = np.bincount(where[train[at]], minlength=len(keys))
+        pair_words, pair_contexts = keys // len(words), keys % len(words)
+        rows = [(block_id, DOCUMENTS, pack([ids, known, held, lengths, places, hashes, counts]), None, None, None)]
+
+        def named(pairs: np.ndarray) -> list[np.ndarray]:
+            """The contexts of pairs, each once with its count, and the pairs' training tokens."""
+            own, number = np.unique(pair_contexts[pairs], return_inverse=True)
+            return [deltas(words[own]), counts[own].astype(np.uint32), number.astype(np.uint32), pair_counts[pairs].astype(np.uint32)]
+
+        home, rare = part_of(words, parts), np.flatnonzero((common < 0) & (counts > 0))
+        own, others = pair_order(common, home, pair_words, pair_contexts)
+        per_word = np.bincount(pair_words[own], minlength=len(words))
+        cuts = np.searchsorted(pair_words[own], np.searchsorted(home, np.arange(parts + 1)))
+        for part, here in by_part(home[rare], parts):
+            mine = rare[here]
+            columns = [deltas(words[mine]), counts[mine].astype(np.uint32), per_word[mine].astype(np.uint32)]
+            rows.append((block_id, part, pack([*columns, *named(own[cuts[part] : cuts[part + 1]])]), None, None, None))
+        for part, here in by_part(home[pair_contexts[others]], parts):
+            mine = others[here]
+            rows.append((block_id, parts + part, pack([common[pair_words[mine]].astype(np.uint32), *named(mine)]), None, None, None))
+        asked = pair_contexts[np.concatenate([own, others])]
+        rows.append((block_id, CONTEXTS, pack([hashes, asked.astype(np.int32)]), None, None, None))
+        both = (common[pair_words] >= 0) & (common[pair_contexts] >= 0) & (pair_counts > 0)
+        among = zip(common[pair_contexts[both]].tolist(), common[pair_words[both]].tolist(), pair_counts[both].tolist())
+        rows += [(None, None, None, c, w, n) for c, w, n in among]
+        return batch_of(rows, MESSAGE_SCHEMA, pa.Table)
+
+    mine, added = counted_blocks(docs, settings, parts)
+    return mine.union(added).groupBy("block").applyInArrow(ask, MESSAGE_SCHEMA)
+
+
+def pair_order(common: np.ndarray, home: np.ndarray, pair_words: np.ndarray, pair_contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of other words, by word; pairs of frequent words after other contexts, by the context's part)."""
+    others = np.flatnonzero((common[pair_words] >= 0) & (common[pair_contexts] < 0))
+    return np.flatnonzero(common[pair_words] < 0), others[np.argsort(home[pair_contexts[others]], kind="stable")]
 
 
 def part_of(words: np.ndarray, parts: int) -> np.ndarray:
@@ -282,77 +383,159 @@ def expected_tables(customers: np.ndarray, discount: float, strength: float) ->
     return np.minimum(np.maximum(grown - strength / discount, 1.0), np.maximum(customers, 1))
 
 
+def mean_tables(customers: Column, settings: Settings) -> Column:
+    """``expected_tables`` of a column of numbers of customers."""
+    d, s = settings.discount, settings.strength
+    grown = F.pow(customers.cast("double"), F.lit(d)) * (math.exp(math.lgamma(s + 1) - math.lgamma(s + d)) / d)
+    return F.least(F.greatest(grown - s / d, F.lit(1.0)), customers.cast("double"))
+
+
 @dataclass
 class Seating:
-    """Averages over the samples: customers less discounts, per word and per pair, and tables."""
+    """Averages over the samples: customers less discounts, per word and per pair, and tables, per context and per pair."""
 
     word_weight: np.ndarray
     pair_weight: np.ndarray
     context_tables: np.ndarray
     customers: float
     tables: float
-
-
-def sample_seating(corpus: Corpus, settings: Settings, counts: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_counts: np.ndarray, seed: int) -> Seating:
+    pair_tables: np.ndarray
+
+
+def sample_seating(
+    corpus: Corpus,
+    settings: Settings,
+    counts: np.ndarray,
+    pair_word: np.ndarray,
+    pair_context: np.ndarray,
+    pair_counts: np.ndarray,
+    seed: int,
+    wide: np.ndarray | None = None,
+    direct: np.ndarray | None = None,
+    scale: np.ndarray | None = None,
+) -> Seating:
     """Gibbs sweeps over the dishes of some words: tables in the contexts given the parent, then tables of the parent.
 
-    Restaurants are so large that one word hardly moves their totals; these are held at their means during the sweeps.
+    Totals of restaurants are held at their means during the sweeps, ``wide`` those of the contexts, which are the frequent
+    words unless given. ``direct`` are customers of the parent that come from no pair here; a pair's tables stand for
+    ``scale`` times as many.
     """
     random = np.random.Generator(np.random.Philox(key=[settings.seed, seed]))
     d, d0, strength = settings.discount, corpus.discount, settings.strength
-    contexts = max(1, len(corpus.counts))
-    wide = expected_tables(corpus.counts, d, strength) if len(corpus.counts) else np.ones(1)
-    total = corpus.tokens - corpus.counts.sum() + wide.sum()
+    if wide is None:
+        wide = expected_tables(corpus.counts, d, strength) if len(corpus.counts) else np.ones(1)
+    total = corpus.customers or corpus.tokens - corpus.counts.sum() + expected_tables(corpus.counts, d, strength).sum()
     uniform = (strength + d0 * corpus.types) / (corpus.types + 1)
     inner, outer = log_stirling(d), log_stirling(d0)
-    direct = counts - np.bincount(pair_word, weights=pair_counts, minlength=len(counts)).astype(np.int64)
+    if direct is None:
+        direct = counts - np.bincount(pair_word, weights=pair_counts, minlength=len(counts)).astype(np.int64)
+    scale = np.ones(len(pair_counts)) if scale is None else scale
     held, top = np.minimum(pair_counts, 1), np.minimum(counts, 1)
-    sums = [np.zeros(len(counts)), np.zeros(len(pair_counts)), np.zeros(len(pair_counts)), np.zeros(len(counts)), np.zeros(len(counts))]
+    added = [np.zeros(len(counts)), np.zeros(len(pair_counts)), np.zeros(len(pair_counts)), np.zeros(len(counts)), np.zeros(len(counts))]
     for sweep in range(settings.burn_in + settings.samples):
-        customers = direct + np.bincount(pair_word, weights=held, minlength=len(counts)).astype(np.int64)
+        customers = direct + np.rint(np.bincount(pair_word, weights=held * scale, minlength=len(counts))).astype(np.int64)
         parent = (customers - d0 * np.minimum(top, customers) + uniform) / (strength + total)
         held = seat(pair_counts, (strength + d * wide[pair_context]) * parent[pair_word], d, inner, random)
-        customers = direct + np.bincount(pair_word, weights=held, minlength=len(counts)).astype(np.int64)
+        customers = direct + np.rint(np.bincount(pair_word, weights=held * scale, minlength=len(counts))).astype(np.int64)
         top = seat(customers, np.full(len(counts), uniform), d0, outer, random)
         if sweep >= settings.burn_in:
-            for into, value in zip(sums, (customers - d0 * top, pair_counts - d * held, held, customers, top)):
+            for into, value in zip(added, (customers - d0 * top, pair_counts - d * held, held, customers, top)):
                 into += value
-    word_weight, pair_weight, held_mean, customer_mean, top_mean = (s / settings.samples for s in sums)
-    tables = np.bincount(pair_context, weights=held_mean, minlength=contexts)
-    return Seating(word_weight, pair_weight, tables, float(customer_mean.sum()), float(top_mean.sum()))
+    word_weight, pair_weight, held_mean, customer_mean, top_mean = (a / settings.samples for a in added)
+    tables = np.bincount(pair_context, weights=held_mean, minlength=len(wide))
+    return Seating(word_weight, pair_weight, tables, float(customer_mean.sum()), float(top_mean.sum()), held_mean)
+
+
+def counts_among(asked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, contexts, training tokens) of the pairs among the frequent words."""
+    among = asked.filter("context IS NOT NULL").groupBy("context", "word").agg(F.sum("n").alias("n")).collect()  # frequent^2 at most
+    among = sorted((r["word"], r["context"], r["n"]) for r in among)
+    return tuple(np.array([r[k] for r in among], np.int64) for k in range(3))
 
 
 def answers(asked: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
-    """Per part: the answers to its blocks, and the tables of its words by context (last two: customers and tables)."""
+    """Per part: the answers to its blocks, and totals by number.
+
+    Part numbers p from 0 are weights of words and pairs, and -1 - p the pairs' tables. The totals are the tables of the frequent words
+    as contexts, customers and tables of the parent, and what tables of the frequent words exceed their tokens by.
+    """
+    among_word, among_context, among_counts = counts_among(asked)
+    contexts = max(1, len(corpus.counts))
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
         rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
-        sent = [(block, unpack(data)) for block, data in rows]
-        hashes = [np.cumsum(columns[0], dtype=np.uint64).view(np.int64) for _, columns in sent]
-        words = np.unique(np.concatenate(hashes))
-        counts, contexts = np.zeros(len(words), np.int64), max(1, len(corpus.counts))
-        places = [np.searchsorted(words, h) for h in hashes]
-        keys = [np.repeat(at, columns[2]) * contexts + columns[3] for at, (_, columns) in zip(places, sent)]
-        pairs, where = np.unique(np.concatenate(keys), return_inverse=True)
-        pair_counts = np.bincount(where, weights=np.concatenate([c[4] for _, c in sent]), minlength=len(pairs)).astype(np.int64)
-        for at, (_, columns) in zip(places, sent):
-            counts[at] += columns[1]
-        found = sample_seating(corpus, settings, counts, pairs // contexts, pairs % contexts, pair_counts, part)
+        sent = [unpack(data) for _, data in rows]
+        by_word = len(sent[0]) == 7
+        names = [sums(columns[-4]) for columns in sent]
+        known = np.unique(np.concatenate(names))
+        known_counts = np.zeros(len(known), np.int64)
+        for own, columns in zip(names, sent):
+            known_counts[np.searchsorted(known, own)] = columns[-3]
+        wide = expected_tables(known_counts, settings.discount, settings.strength)
+        if by_word:
+            hashes = [sums(columns[0]) for columns in sent]
+            words = np.unique(np.concatenate(hashes))
+            places = [np.searchsorted(words, h) for h in hashes]
+            counts = np.zeros(len(words), np.int64)
+            for at, columns in zip(places, sent):
+                counts[at] = columns[1]
+            spread = [np.repeat(at, columns[2]) for at, columns in zip(places, sent)]
+        else:
+            spread = [columns[0].astype(np.int64) for columns in sent]
+        keys = [w * len(known) + np.searchsorted(known, own)[columns[-2]] for w, own, columns in zip(spread, names, sent)]
+        pairs, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        pair_counts = np.bincount(where, weights=np.concatenate([c[-1] for c in sent]), minlength=len(pairs)).astype(np.int64)
+        pair_word, pair_context = (pairs // len(known), pairs % len(known)) if len(known) else (pairs, pairs)
+        size, totals = len(pairs), np.zeros(2 * contexts + 2)
+        if by_word:
+            found = sample_seating(corpus, settings, counts, pair_word, pair_context, pair_counts, part, wide)
+            frequent = found_at(corpus.frequent, known)
+            totals[frequent[frequent >= 0]] = found.context_tables[frequent >= 0]
+            totals[contexts : contexts + 2] = found.customers, found.tables
+        else:  # with the pairs among the frequent words, whose tables are the same in each of these parts
+            here = np.bincount(pair_word, weights=pair_counts, minlength=contexts)
+            rest = corpus.counts - np.bincount(among_word, weights=among_counts, minlength=contexts)
+            scale = np.concatenate([(rest / np.maximum(here, 1))[pair_word], np.ones(len(among_word))])
+            every = [np.concatenate(two) for two in ((pair_word, among_word), (pair_context, len(known) + among_context), (pair_counts, among_counts))]
+            wide = np.concatenate([wide, expected_tables(corpus.counts, settings.discount, settings.strength)])
+            found = sample_seating(corpus, settings, corpus.counts, *every, part, wide, np.zeros(contexts, np.int64), scale)
+            totals[contexts + 2 :] = np.bincount(pair_word, weights=found.pair_tables[:size] - pair_counts, minlength=contexts)
+        tables = np.zeros(len(where))  # told once, to the first block that asked
+        tables[first] = found.pair_tables[:size]
         out, done = [], 0
-        for at, mine, (block, _) in zip(places, keys, sent):
-            here = where[done : done + len(mine)]
+        for number, (mine, (block, _)) in enumerate(zip(keys, rows)):
+            here = slice(done, done + len(mine))
             done += len(mine)
-            out.append((block, part, pack([counts[at], found.word_weight[at], found.pair_weight[here]]), None, None))
-        totals = [*found.context_tables.tolist(), found.customers, found.tables]
-        out += [(None, None, None, k, v) for k, v in enumerate(totals) if v]
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.float64())
-        names = ("block", "part", "payload", "context", "tables")
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            weights = [found.word_weight[places[number]] if by_word else np.zeros(0), found.pair_weight[where[here]]]
+            out.append((block, part, pack(weights), None, None))
+            out.append((block, -1 - part, pack([tables[here]]), None, None))
+        out += [(None, None, None, k, v) for k, v in enumerate(totals.tolist()) if v]
+        return batch_of(out, ANSWER_SCHEMA, pa.Table)
 
     return asked.filter(F.col("part") >= 0).select("block", "part", "payload").groupBy("part").applyInArrow(answer, ANSWER_SCHEMA)
 
 
+def context_tables(asked: DataFrame, answered: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
+    """Per block, the tables of its words as contexts, in all blocks together and in the order of its sorted words."""
+    parts = parts_of(corpus, settings)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
+        (_, mine), told = rows[-1], rows[:-1]  # the answers have part numbers below, in falling order
+        hashes, pair_contexts = unpack(mine)
+        words = sums(hashes)
+        tables = np.concatenate([unpack(data)[0] for _, data in reversed(told)]) if told else np.zeros(0)
+        own = np.bincount(pair_contexts, weights=tables, minlength=len(words))
+        ways = by_part(part_of(words, parts), parts)
+        return batch_of([(key[0].as_py(), part, pack([deltas(words[here]), own[here]])) for part, here in ways], COUNT_SCHEMA, pa.Table)
+
+    mine = asked.filter(F.col("part") == CONTEXTS).select("block", F.lit(0).alias("part"), "payload")
+    told = answered.filter("payload IS NOT NULL AND part < 0").select("block", "part", "payload")
+    sent = mine.union(told).groupBy("block").applyInArrow(add, COUNT_SCHEMA)
+    return sent.groupBy("part").applyInArrow(lambda key, table: reply(table, lambda columns: columns[1]), COUNT_SCHEMA)
+
+
 @dataclass
 class Model:
     """What every block needs: totals, and the seating of the frequent words."""
@@ -372,53 +555,61 @@ class Model:
 
     def after(self, context: np.ndarray, weight: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Probability of words after contexts, from the pairs' customers less discounts and the words' parent probability."""
-        s, full = self.settings, self.corpus.counts[context]
-        return (weight + (s.strength + s.discount * self.tables[context]) * parent) / (s.strength + full)
+        return self.seated(self.tables[context], self.corpus.counts[context], weight, parent)
+
+    def seated(self, tables: np.ndarray, customers: np.ndarray, weight: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """``after`` for contexts with these tables and customers."""
+        s = self.settings
+        return (weight + (s.strength + s.discount * tables) * parent) / (s.strength + customers)
 
 
 def learn_model(asked: DataFrame, answered: DataFrame, corpus: Corpus, settings: Settings) -> Model:
     """Seat the frequent words, whose counts are a small matrix, and add up the tables of all words."""
     contexts = max(1, len(corpus.counts))
-    among = asked.filter("context IS NOT NULL").groupBy("context", "word").agg(F.sum("n").alias("n")).collect()  # contexts^2 at most
-    among = sorted((r["word"], r["context"], r["n"]) for r in among)
-    word, context, n = (np.array([r[k] for r in among], np.int64) for k in range(3))
-    found = sample_seating(corpus, settings, corpus.counts, word, context, n, 1 << 40)
-    pairs = np.zeros((contexts, contexts))
-    pairs[context, word] = found.pair_weight
-    totals = np.zeros(contexts + 2)
+    word, context, n = counts_among(asked)
+    totals = np.zeros(2 * contexts + 2)
     for r in answered.filter("context IS NOT NULL").groupBy("context").agg(F.sum("tables").alias("tables")).collect():
         totals[r["context"]] = r["tables"]
-    return Model(corpus, settings, totals[:-2] + found.context_tables, totals[-2] + found.customers, totals[-1] + found.tables, found.word_weight, pairs)
+    direct = corpus.counts - np.bincount(word, weights=n, minlength=len(corpus.counts)).astype(np.int64)
+    direct += np.rint(totals[contexts + 2 :]).astype(np.int64)[: len(direct)]
+    found = sample_seating(corpus, settings, corpus.counts, word, context, n, 1 << 40, direct=direct)
+    pairs = np.zeros((contexts, contexts))
+    pairs[context, word] = found.pair_weight
+    tables, (customers, parent_tables) = totals[:contexts], totals[contexts : contexts + 2]
+    return Model(
+        corpus, settings, tables + found.context_tables, customers + found.customers, parent_tables + found.tables, found.word_weight, pairs
+    )
 
 
 def scores(asked: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
     """Bring the answers back to their blocks and add up the documents."""
-    corpus = model.corpus
-    contexts = max(1, len(corpus.frequent))
-    end = int(found_at(corpus.frequent, np.array([END]))[0])
+    corpus, settings = model.corpus, model.settings
+    parts = parts_of(corpus, settings)
+    least = least_count(corpus.tokens, settings)
 
     def score(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
-        ids, known, held, lengths, places, spots, common, size = unpack(rows[0][1])
-        got = [unpack(data) for _, data in rows[1:]]
-        of_word = np.full(int(size[0]), -1, dtype=np.int64)
-        of_word[spots] = common
-        rare = of_word < 0
-        count, weight = np.zeros(len(of_word)), np.zeros(len(of_word))
-        if got:
-            count[rare], weight[rare] = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        count[spots], weight[spots] = corpus.counts[common], model.word_weight[common]
+        ids, known, held, lengths, places, hashes, count = unpack(rows[0][1])
+        got = [(part, unpack(data)) for part, data in rows[1:]]
+        words = sums(hashes)
+        common = found_at(corpus.frequent, words)
+        spots, rare = np.flatnonzero(common >= 0), np.flatnonzero((common < 0) & (count > 0))
+        together = lambda part, n: np.concatenate([np.zeros(0), *[g[n] for p, g in got if part(p)]])
+        tables, weight = together(lambda p: p >= 2 * parts, 0), np.zeros(len(words))
+        weight[rare] = together(lambda p: p < parts, 0)
+        weight[spots], tables[spots] = model.word_weight[common[spots]], model.tables[common[spots]]
         parent = model.parent(weight)
         chance = parent[places]
-        at, keys = pairs_of(places, lengths, of_word, end, contexts)
+        at, keys = pairs_of(words, places, lengths, count, least)
         if len(at):
             keys, where = np.unique(keys, return_inverse=True)
-            pair_words, pair_contexts = keys // contexts, keys % contexts
-            own, pair = rare[pair_words], np.zeros(len(keys))
-            if own.any():
-                pair[own] = np.concatenate([g[2] for g in got])
-            pair[~own] = model.pair_weight[pair_contexts[~own], of_word[pair_words[~own]]]
-            chance[at] = model.after(pair_contexts, pair, parent[pair_words])[where]
+            pair_words, pair_contexts = keys // len(words), keys % len(words)
+            own, others = pair_order(common, part_of(words, parts), pair_words, pair_contexts)
+            pair = np.zeros(len(keys))
+            pair[own], pair[others] = together(lambda p: p < parts, 1), together(lambda p: parts <= p < 2 * parts, 1)
+            both = (common[pair_words] >= 0) & (common[pair_contexts] >= 0)
+            pair[both] = model.pair_weight[common[pair_contexts[both]], common[pair_words[both]]]
+            chance[at] = model.seated(tables[pair_contexts], count[pair_contexts], pair, parent[pair_words])[where]
         starts = np.cumsum(lengths) - lengths
         total = lambda values: np.add.reduceat(values, starts)  # noqa: E731  every document has a token, its end
         base = np.log10((count + 1) / (corpus.tokens + corpus.types + 1))
@@ -434,8 +625,9 @@ def scores(asked: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
         return pa.table(columns, names=[c.split(" ")[0] for c in SCORE_SCHEMA.split(", ")])
 
     mine = asked.filter(F.col("part") == DOCUMENTS).select("block", "part", "payload")
-    replies = answered.filter("payload IS NOT NULL").select("block", "part", "payload")
-    return mine.union(replies).groupBy("block").applyInArrow(score, SCORE_SCHEMA)
+    replies = answered.filter("payload IS NOT NULL AND part >= 0").select("block", "part", "payload")
+    tables = context_tables(asked, answered, corpus, settings).select("block", (F.col("part") + 2 * parts).alias("part"), "payload")
+    return mine.union(replies).union(tables).groupBy("block").applyInArrow(score, SCORE_SCHEMA)
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -446,7 +638,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     are log10 probabilities; the perplexity of a text is 10 ** (-score / n_tokens).
     """
     corpus = learn_corpus(docs, settings)
-    parts = max(1, math.ceil(corpus.tokens / settings.part_tokens))
+    parts = parts_of(corpus, settings)
     asked = materialise(messages(docs, corpus, settings, parts), "messages")
     answered = materialise(answers(asked, corpus, settings), "answers")
     return scores(asked, answered, learn_model(asked, answered, corpus, settings))

@@ -115,3 +115,39 @@ def test_packing():
     arrays = [np.arange(5, dtype=np.uint64) << 40, np.zeros(0, np.int32), np.array([1.5, -2.0]), np.array([1, 0], np.uint8)]
     again = unpack(pack(arrays))
     assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, again)) and len(again) == 4
+
+
+def test_rare_contexts_count(spark):
+    """Words far below the frequent ones' share determine the next word, also when that is frequent."""
+    rows = []
+    for i in range(400):
+        k = i % 200
+        rows.append((i, f"left{k} right{k} the left{k} right{k} the odd{k} the", "en", "h", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    settings = Settings(frequent_share=1 / 20, block_tokens=300, part_tokens=700)
+    corpus = py.learn_corpus(docs, settings)
+    assert len(corpus.frequent) == 2  # the end and "the"
+    rows = [r for r in check(docs, settings) if r.held_out]
+    only_frequent = [r for r in check(docs, Settings(context_share=1 / 20, frequent_share=1 / 20)) if r.held_out]
+    per_token = lambda part: sum(r.score for r in part) / sum(r.n_tokens for r in part)
+    assert per_token(rows) > per_token(only_frequent) + 0.3
+
+
+def test_rare_contexts_sum_to_one(spark):
+    """What the pairs of a context lack of its customers is the discount of its tables, so its chances add up to one."""
+    rows = [(i, f"a{i % 7} b{i % 5} the a{i % 7} the", "en", "h", 0) for i in range(300)]
+    settings = Settings(frequent_share=1 / 5, part_tokens=400)
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    corpus = py.learn_corpus(docs, settings)
+    parts = py.parts_of(corpus, settings)
+    assert parts > 1
+    asked = py.materialise(py.messages(docs, corpus, settings, parts))
+    answered = py.materialise(py.answers(asked, corpus, settings))
+    by_part = lambda df, k: np.concatenate([unpack(r.payload)[k] for r in sorted(df.collect(), key=lambda r: r.part)])
+    tables = by_part(py.context_tables(asked, answered, corpus, settings), 0)
+    counts = by_part(asked.filter(f"part = {py.DOCUMENTS}"), 6)
+    hashes, pair_contexts = unpack(asked.filter(f"part = {py.CONTEXTS}").first().payload)
+    weights = np.bincount(pair_contexts, weights=by_part(answered.filter("part >= 0 and payload is not null"), 1), minlength=len(counts))
+    rare = (py.found_at(corpus.frequent, py.sums(hashes)) < 0) & (counts > 0)
+    assert rare.sum() >= 10 and (tables[rare] >= 1).all()
+    assert np.allclose(weights[rare] + settings.discount * tables[rare], counts[rare])
