@@ -18,6 +18,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +35,16 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs are taken whole, so asking for the le
 ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 
 #: The shortest secret has 16 characters, which are 22 in base64 and 32 in hexadecimal digits.
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{22,}={0,2}|[A-Za-z0-9_-]{22,}={0,2}")
+BASE64_LEAST = 22
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+BASE64_PARTS = (re.compile(r"[A-Za-z0-9+/]{22,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{22,}={0,2}"))
+#: Runs of one alphabet on following lines; a line may also end in an escaped line feed.
+BASE64_LINES = tuple(
+    re.compile(rf"(?<![{a}])[{a}]{{4,}}+(?:[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t>#*;]*[{a}]++)+={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-")
+)
+TEXT_BEFORE = re.compile(r"[^\s>#*;][\t ]*\Z")
+MORE_TEXT = re.compile(r"[ \t]+[^\s]")
+BASE64_BREAK = re.compile(r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t>#*;]*")
 HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
@@ -165,32 +175,89 @@ def unpacked(data: bytes) -> Iterator[bytes]:
         return
 
 
-def decoded_layers(layer: Layer, start: int, end: int, data: bytes, width: int, per: int) -> Iterator[Layer]:
-    """Layers of the bytes that a run encodes, ``per`` bytes in ``width`` characters: as text, or unpacked."""
+def decoded_layers(layer: Layer, lines: list[Span], data: bytes, width: int, per: int) -> Iterator[Layer]:
+    """Layers of the bytes that the lines of a run encode, ``per`` bytes in ``width`` characters: as text, or unpacked."""
+    start, end = lines[0][0], lines[-1][1]
     text = readable(data)
     if text is not None:
         if not text.isascii():
             yield Layer(text, layer, [0], [(start, end, False)])
             return
         groups = range(0, len(text), per)
-        sources = [(start + g // per * width, min(end, start + (g // per + 1) * width), False) for g in groups]
+        firsts = [0, *accumulate(high - low for low, high in lines)]
+
+        def at(n: int) -> int:
+            line = min(bisect.bisect_right(firsts, n), len(lines)) - 1
+            return min(lines[line][0] + n - firsts[line], end - 1)
+
+        if len(lines) == 1:
+            sources = [(start + g // per * width, min(end, start + (g // per + 1) * width), False) for g in groups]
+        else:
+            sources = [(at(g // per * width), at((g // per + 1) * width - 1) + 1, False) for g in groups]
         yield Layer(text, layer, list(groups), sources)
         return
     for window in unpacked(data):
         yield Layer(window.decode("utf-8", "replace"), layer, [0], [(start, end, False)])
 
 
+def escaped(text: str, at: int) -> bool:
+    """Whether the letter of an escaped line feed or tab stands there."""
+    return at > 0 and text[at - 1] == "\\" and text[at] in "nrt"
+
+
+def base64_lines(text: str) -> Iterator[list[Span]]:
+    """The lines of wrapped base64: of equal width but for the last, and the first where other text stands before it."""
+    if "\n" not in text and "\r" not in text and "\\n" not in text:
+        return
+    found = {}
+    for pattern in BASE64_LINES:
+        for run in pattern.finditer(text):
+            lines, at = [], run.start() + escaped(text, run.start())
+            for gap in BASE64_BREAK.finditer(text, at, run.end()):
+                lines.append((at, gap.start()))
+                at = gap.end()
+            lines.append((at, run.end()))
+            sizes = [high - low for low, high in lines]
+            sizes[-1] -= text.count("=", *lines[-1])
+            first = 0
+            while first < len(lines) - 1:
+                width, last = max(sizes[first : first + 2]), first + 1
+                while last < len(lines) and sizes[last] == width:
+                    last += 1
+                shorter = last < len(lines) and sizes[last] < width
+                after = last + (shorter and not (last == len(lines) - 1 and MORE_TEXT.match(text, lines[last][1])))
+                led = TEXT_BEFORE.search(text, max(0, lines[first][0] - 80), lines[first][0])
+                for begin in (first,) if sizes[first] == width else (first, first + 1) if led else (first + 1,):
+                    if after - begin > 1 and sum(sizes[begin:after]) >= BASE64_LEAST:
+                        found[lines[begin][0], lines[after - 1][1]] = lines[begin:after]
+                first = max(first + 1, after - 1)
+    yield from found.values()
+
+
+def base64_runs(text: str) -> Iterator[list[Span]]:
+    """Runs of base64 digits: whole ones in either alphabet or both, those of one alphabet in mixed ones, wrapped ones."""
+    for run in BASE64_RUN.finditer(text):
+        yield [run.span()]
+        if escaped(text, run.start()) and run.end() - run.start() > BASE64_LEAST:
+            yield [(run.start() + 1, run.end())]
+        for pattern in BASE64_PARTS:
+            for part in pattern.finditer(text, *run.span()):
+                if part.span() != run.span():
+                    yield [part.span()]
+    yield from base64_lines(text)
+
+
 def base64_layers(layer: Layer) -> Iterator[Layer]:
-    for run in BASE64_RUN.finditer(layer.text):
-        digits = run.group().rstrip("=").replace("-", "+").replace("_", "/")
+    for lines in base64_runs(layer.text):
+        digits = "".join(layer.text[low:high] for low, high in lines).rstrip("=").replace("-", "+").replace("_", "/")
         digits = digits[: len(digits) - (len(digits) % 4 == 1)]
         data = base64.b64decode(digits + "=" * (-len(digits) % 4))
-        yield from decoded_layers(layer, run.start(), run.end(), data, 4, 3)
+        yield from decoded_layers(layer, lines, data, 4, 3)
 
 
 def hex_layers(layer: Layer) -> Iterator[Layer]:
     for run in HEX_RUN.finditer(layer.text):
-        yield from decoded_layers(layer, run.start(), run.end(), bytes.fromhex(run.group()), 2, 1)
+        yield from decoded_layers(layer, [run.span()], bytes.fromhex(run.group()), 2, 1)
 
 
 UNWRAPPERS = (url_layers, unicode_layers, base64_layers, hex_layers)

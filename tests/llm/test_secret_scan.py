@@ -103,3 +103,44 @@ def test_masking(spark, odd_documents):
     assert [r.text for r in redact_secrets(docs).orderBy("doc_id").collect()] == ["x [secret] y [secret]", None, ""]
     assert redact_secrets(odd_documents).columns == odd_documents.columns
     assert dict(scan_secrets(odd_documents).dtypes)["spans"] == "string"
+
+
+def wrapped_lines(digits, width, indent=""):
+    return ("\n" + indent).join(digits[i : i + width] for i in range(0, len(digits), width))
+
+
+def assigned(text, wrapped):
+    start = text.index(wrapped)
+    return [(s, e) for s, e, k in scan(text)[1] if k == "assign" and start <= s < e <= start + len(wrapped)]
+
+
+@pytest.mark.parametrize("width", [16, 21, 64, 76])
+@pytest.mark.parametrize("indent", ["", "    ", "> "])
+@pytest.mark.parametrize("packed", [bytes, gzip.compress])
+def test_wrapped_base64(width, indent, packed):
+    for shift in range(0, 60, 7):
+        content = (" ".join(f"w{i * i}" for i in range(shift)) + " " + SECRET + " tail").encode()
+        wrapped = wrapped_lines(b64(packed(content)), width, indent)
+        for text in (f"before\n{wrapped}\nafter it", f"-----BEGIN DATA-----\n{wrapped}\n-----END DATA-----\n", f'key: "{wrapped}"'):
+            found = assigned(text, wrapped)
+            assert found
+            if packed is bytes and width == 64 and not indent:
+                assert all(e - s <= 2 * len(SECRET) for s, e in found)
+
+
+def test_url_safe_base64_of_compressed_content():
+    for i in range(200):
+        packed = base64.urlsafe_b64encode(zlib.compress(f"{i * i} {SECRET} {i}".encode())).decode()
+        for wrapped in (packed, packed.rstrip("=")):
+            assert assigned(f"x {wrapped} y", wrapped), wrapped
+
+
+def test_glued_alphabets():
+    for text in (f"name_{b64(SECRET.encode())}", f"a/b/{base64.urlsafe_b64encode(('??>>' + SECRET).encode()).decode()}"):
+        assert any(k == "assign" for _, _, k in scan(text)[1])
+
+
+def test_base64_wrapped_by_escaped_line_feeds():
+    wrapped = "\\n".join(["", *wrapped_lines(b64(gzip.compress(f"{list(range(30))} {SECRET}".encode())), 64).split("\n"), ""])
+    assert assigned(f'{{"key": "-----BEGIN-----{wrapped}-----END-----"}}', wrapped)
+    assert assigned(f'{{"key": "x\\n{b64(SECRET.encode())}"}}', b64(SECRET.encode()))
