@@ -18,7 +18,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import accumulate, product
 
 import pyarrow as pa
 import zstandard
@@ -49,8 +49,20 @@ HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 
-#: Unpacked content is scanned in windows of this many bytes, each repeating the end of the one before.
-WINDOW, REPEATED = 1 << 22, 1 << 12
+#: Characters that are parted by zero bytes, as in UTF-16 and UTF-32 of ASCII text.
+WIDE_RUN = re.compile(r"[^\0](?:\0(?:\0\0)?[^\0]){15,}")
+WIDE_CHARACTER = re.compile(r"[^\0]\0*")
+#: Escaped bytes with the plain ones among them, and how compressed content begins.
+URL_BYTES = re.compile(r"%[89A-Fa-f][0-9A-Fa-f]")
+URL_MIXED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/-])+")
+URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|.")
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+
+#: Unpacked content is scanned in windows of this many bytes, each repeating the end of the one before, from the start of a
+#: run that goes on. Runs of more than ``CARRIED`` bytes are cut, so that memory stays bounded.
+WINDOW, REPEATED, CARRIED = 1 << 22, 1 << 12, 1 << 26
+#: Backwards: a run that reaches the end, in lines if it is wrapped.
+GOES_ON = re.compile(rb"[A-Za-z0-9+/_=%\\&#;{}-]*+(?:[ \t>*]*+(?:\n\r?|\r)[ \t]*+[A-Za-z0-9+/_=%\\&#;{}-]{4,}+(?=[\s>#*;:\"'-]|\Z))*+")
 
 Span = tuple[int, int]
 
@@ -108,7 +120,7 @@ def replaced(layer: Layer, pieces: list[tuple[int, int, str]]) -> Iterator[Layer
 
 
 def readable(data: bytes) -> str | None:
-    """The text of decoded bytes, unless they hold control characters or aren't UTF-8."""
+    """The text of decoded bytes, unless they hold control characters or aren't UTF-8: such may be packed."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -129,6 +141,33 @@ def url_layers(layer: Layer) -> Iterator[Layer]:
     yield from replaced(layer, pieces)
 
 
+def url_packed_layers(layer: Layer) -> Iterator[Layer]:
+    """Layers of compressed bytes that are URL escapes, but for those that need none."""
+    if not URL_BYTES.search(layer.text):
+        return
+    for run in URL_MIXED.finditer(layer.text):
+        if not URL_BYTES.search(run.group()):
+            continue
+        marks = list(URL_BYTE.finditer(layer.text, *run.span()))
+        data = bytes(int(m.group(1), 16) if m.group(1) else ord(m.group()) for m in marks)
+        done = 0
+        for begin in PACKED.finditer(data):
+            if begin.start() < done:
+                continue
+            for window in unpacked(data[begin.start() :]):
+                done = len(data)
+                yield Layer(window.decode("utf-8", "replace"), layer, [0], [(marks[begin.start()].start(), run.end(), False)])
+
+
+def wide_layers(layer: Layer) -> Iterator[Layer]:
+    if "\0" not in layer.text:
+        return
+    pieces = []
+    for run in WIDE_RUN.finditer(layer.text):
+        pieces += [(found.start(), found.end(), found.group()[0]) for found in WIDE_CHARACTER.finditer(layer.text, *run.span())]
+    yield from replaced(layer, pieces)
+
+
 def unicode_layers(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text and "&#" not in layer.text:
         return
@@ -141,48 +180,73 @@ def unicode_layers(layer: Layer) -> Iterator[Layer]:
     yield from replaced(layer, pieces)
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
-    """Windows of the content of compressed data, as far as it can be unpacked; none for other data."""
-    if data[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
-        opened = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        reader, held = zstandard.ZstdDecompressor().stream_reader(data), b""
+def unpacked_chunks(data: bytes) -> Iterator[bytes]:
+    """The content of compressed data, member after member, as far as it can be unpacked; none for other data."""
+    while data:
+        if data[:2] == b"\x1f\x8b":
+            opened = zlib.decompressobj(31)
+        elif data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
+            opened = zlib.decompressobj()
+        elif data[:3] == b"BZh":
+            opened = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\x00":
+            opened = lzma.LZMADecompressor()
+        elif data[:4] == b"\x28\xb5\x2f\xfd" or (data[:1] and data[0] >> 4 == 5 and data[1:4] == b"\x2a\x4d\x18"):
+            reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+            try:
+                while chunk := reader.read(WINDOW):
+                    yield chunk
+            except zstandard.ZstdError:
+                pass
+            return
+        else:
+            return
+        left = data
         try:
-            while chunk := reader.read(WINDOW):
-                yield held + chunk
-                held = chunk[-REPEATED:]
-        except zstandard.ZstdError:
-            pass
-        return
-    else:
-        return
-    left, held = data, b""
-    try:
-        while not opened.eof:
-            chunk = opened.decompress(left, WINDOW)
-            left = opened.unconsumed_tail if hasattr(opened, "unconsumed_tail") else b""
-            if not chunk:
-                return
-            yield held + chunk
-            held = chunk[-REPEATED:]
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return
+            while not opened.eof:
+                chunk = opened.decompress(left, WINDOW)
+                left = opened.unconsumed_tail if hasattr(opened, "unconsumed_tail") else b""
+                if chunk:
+                    yield chunk
+                elif not opened.eof and (hasattr(opened, "unconsumed_tail") or opened.needs_input):
+                    return
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            return
+        data = opened.unused_data.lstrip(b"\0")
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """Windows of the content of compressed data; a run that goes on at the end of one is in the next as a whole."""
+    held, fresh_from = bytearray(), 0
+    for chunk in unpacked_chunks(data):
+        held += chunk
+        if len(held) - fresh_from < WINDOW:
+            continue
+        going = GOES_ON.match(held[-CARRIED - 1 :][::-1]).end()
+        if going > len(held) - max(1, fresh_from) and going <= CARRIED:
+            continue  # all that is new belongs to the run
+        yield bytes(held)
+        keep = min(len(held), max(REPEATED, going if going <= CARRIED else 0))
+        held, fresh_from = held[len(held) - keep :], keep
+    if len(held) > fresh_from:
+        yield bytes(held)
 
 
 def decoded_layers(layer: Layer, lines: list[Span], data: bytes, width: int, per: int) -> Iterator[Layer]:
     """Layers of the bytes that the lines of a run encode, ``per`` bytes in ``width`` characters: as text, or unpacked."""
     start, end = lines[0][0], lines[-1][1]
     text = readable(data)
-    if text is not None:
-        if not text.isascii():
-            yield Layer(text, layer, [0], [(start, end, False)])
-            return
+    if text is not None and not text.isascii():
+        yield Layer(text, layer, [0], [(start, end, False)])
+        return
+    packed = False
+    if text is None:
+        for window in unpacked(data):
+            packed = True
+            yield Layer(window.decode("utf-8", "replace"), layer, [0], [(start, end, False)])
+    if not packed:
+        # a character a byte: what encodes a secret is ASCII
+        text = data.decode("latin-1")
         groups = range(0, len(text), per)
         firsts = [0, *accumulate(high - low for low, high in lines)]
 
@@ -195,9 +259,6 @@ def decoded_layers(layer: Layer, lines: list[Span], data: bytes, width: int, per
         else:
             sources = [(at(g // per * width), at((g // per + 1) * width - 1) + 1, False) for g in groups]
         yield Layer(text, layer, list(groups), sources)
-        return
-    for window in unpacked(data):
-        yield Layer(window.decode("utf-8", "replace"), layer, [0], [(start, end, False)])
 
 
 def escaped(text: str, at: int) -> bool:
@@ -224,12 +285,13 @@ def base64_lines(text: str) -> Iterator[list[Span]]:
                 width, last = max(sizes[first : first + 2]), first + 1
                 while last < len(lines) and sizes[last] == width:
                     last += 1
-                shorter = last < len(lines) and sizes[last] < width
-                after = last + (shorter and not (last == len(lines) - 1 and MORE_TEXT.match(text, lines[last][1])))
+                after = last + (last < len(lines) and sizes[last] < width)
                 led = TEXT_BEFORE.search(text, max(0, lines[first][0] - 80), lines[first][0])
-                for begin in (first,) if sizes[first] == width else (first, first + 1) if led else (first + 1,):
-                    if after - begin > 1 and sum(sizes[begin:after]) >= BASE64_LEAST:
-                        found[lines[begin][0], lines[after - 1][1]] = lines[begin:after]
+                begins = (first,) if sizes[first] == width else (first, first + 1) if led else (first + 1,)
+                ends = (last, after) if after == len(lines) and MORE_TEXT.match(text, lines[-1][1]) else (after,)
+                for begin, end in product(begins, ends):
+                    if end - begin > 1 and sum(sizes[begin:end]) >= BASE64_LEAST:
+                        found[lines[begin][0], lines[end - 1][1]] = lines[begin:end]
                 first = max(first + 1, after - 1)
     yield from found.values()
 
@@ -260,7 +322,7 @@ def hex_layers(layer: Layer) -> Iterator[Layer]:
         yield from decoded_layers(layer, [run.span()], bytes.fromhex(run.group()), 2, 1)
 
 
-UNWRAPPERS = (url_layers, unicode_layers, base64_layers, hex_layers)
+UNWRAPPERS = (url_layers, url_packed_layers, wide_layers, unicode_layers, base64_layers, hex_layers)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -144,3 +145,44 @@ def test_base64_wrapped_by_escaped_line_feeds():
     wrapped = "\\n".join(["", *wrapped_lines(b64(gzip.compress(f"{list(range(30))} {SECRET}".encode())), 64).split("\n"), ""])
     assert assigned(f'{{"key": "-----BEGIN-----{wrapped}-----END-----"}}', wrapped)
     assert assigned(f'{{"key": "x\\n{b64(SECRET.encode())}"}}', b64(SECRET.encode()))
+
+
+SHELL = "powershell " + SECRET + " é"
+ODD_BYTES = {
+    "utf-16": SHELL.encode("utf-16"),
+    "utf-16 little": SHELL.encode("utf-16-le"),
+    "utf-16 big": SHELL.encode("utf-16-be"),
+    "utf-32": SHELL.encode("utf-32"),
+    "latin-1": ("caf\xe9 " + SECRET).encode("latin-1"),
+    "form feed": ("one\f" + SECRET).encode(),
+    "escape": ("\x1b[1m" + SECRET).encode(),
+    "zero bytes": b"a\0" + SECRET.encode() + b"\0\0",
+    "two gzip members": gzip.compress(b"one ") + gzip.compress(SECRET.encode()),
+    "two bzip2 streams": bz2.compress(b"one ") + bz2.compress(SECRET.encode()),
+    "two xz streams": lzma.compress(b"one ") + lzma.compress(SECRET.encode()),
+    "two zstd frames": zstandard.compress(b"one ") + zstandard.compress(SECRET.encode()),
+    "secret over two members": gzip.compress(SECRET[:12].encode()) + gzip.compress(SECRET[12:].encode()),
+    "utf-16 in gzip": gzip.compress(SHELL.encode("utf-16")),
+}
+
+
+@pytest.mark.parametrize("name", ODD_BYTES)
+@pytest.mark.parametrize("code", [b64, bytes.hex, lambda d: "".join(f"%{b:02x}" for b in d), lambda d: quote(d, safe="")])
+def test_bytes_that_are_no_plain_text(name, code):
+    wrapped = code(ODD_BYTES[name])
+    assert assigned(f"x: {wrapped} y", wrapped)
+
+
+def test_a_run_glued_to_a_stray_character():
+    assert any(k == "assign" for _, _, k in scan(f"x {b64(SECRET.encode()).rstrip('=')}_ y")[1])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, zstandard.compress, lambda d: lzma.compress(d, preset=0)])
+def test_a_nested_run_over_the_border_of_a_window(pack):
+    inner = b64(gzip.compress(random.Random(5).randbytes(30_000) + b" " + SECRET.encode()))
+    wrapped = wrapped_lines(inner, 76)
+    for run in (inner, wrapped):
+        for before in (20_000, 35_000):
+            content = b"word " * (((1 << 22) - before) // 5) + run.encode() + b" tail" * 10
+            coded = b64(pack(content))
+            assert assigned(f"x: {coded} y", coded)
