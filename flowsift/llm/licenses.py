@@ -1,6 +1,6 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph (line) is scored by multinomial logistic regression over the word n-grams of a fixed vocabulary, which is that of
+A paragraph, which is a line or the lines that a notice is wrapped over, is scored by multinomial logistic regression over the word n-grams of a fixed vocabulary, which is that of
 the templates. One class is "unknown": prose, and licence-like text of no known family. A family is
 named where its probability passes a threshold calibrated on rows kept from the training, and where the
 paragraph shares enough n-grams with a template of that family. All of it is DataFrame operations and Spark's own models.
@@ -14,9 +14,9 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flowsift.llm.common import fresh, sample_rows, text_of
+from flowsift.llm.common import sample_rows, text_of
 from flowsift.session import materialise
 
 UNKNOWN = "unknown"
@@ -139,16 +139,54 @@ def vocabulary(most: int) -> list[str]:
     return sorted(found)
 
 
+#: Words of a line, and after it, among which a wrapped notice that begins in the line is looked for; lines after it.
+WRAPPED_WORDS, WRAPPED_LINES = 40, 12
+
+
+def _following(lines: Column) -> Column:
+    """Array of (words, after): per line its words, and those of the lines after it up to a blank one, an array a line."""
+
+    def one(words: Column, k: Column) -> Column:
+        after = F.slice(lines, k + 2, WRAPPED_LINES)
+        blank = F.array_position(F.transform(after, lambda w: F.size(w) == 0), True)
+        kept = F.when(blank > 0, F.slice(after, 1, (blank - 1).cast("int"))).otherwise(after)
+        short = F.transform(kept, lambda w: F.slice(w, 1, WRAPPED_WORDS))
+        return F.struct(words.alias("words"), short.alias("after"))
+
+    return F.transform(lines, one)
+
+
+def _single(words: Column) -> Column:
+    """Words parted at slashes, without marks."""
+    return F.filter(F.flatten(F.transform(words, lambda w: F.split(w, "/"))), lambda w: w.rlike("[a-z0-9]"))
+
+
+def wrapped(found: DataFrame) -> DataFrame:
+    """(the columns, words, tail, last): each line with those after it, the words after the line, and the last line.
+
+    Only as many lines are joined as hold the words of the longest template.
+    """
+    most = max(len(t.split()) for texts in TEMPLATES.values() for t in texts)
+    before = lambda k: F.size(F.flatten(F.slice("after", 1, k)))
+    near = found.filter(F.size("after") > 0).withColumn("after", F.filter("after", lambda w, k: before(k) < most))
+    head = F.slice("words", F.greatest(F.size("words") - (WRAPPED_WORDS - 1), F.lit(1)), WRAPPED_WORDS)
+    near = near.withColumn("last", F.col("paragraph") + F.size("after")).withColumn("tail", _single(F.flatten("after")))
+    return near.withColumn("words", F.concat(_single(head), "tail")).drop("after")
+
+
 def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, paragraph, line, words) of the lines that have a cue word.
+    """(row, key, paragraph, words, after) of the lines that have a cue word; ``row`` tells the documents apart.
 
     The others have no feature, and the classifier gives them all the same answer, "unknown". Texts without a cue
     word are left out before they are cut into lines.
     """
     cues = F.array(*map(F.lit, cue_words()))
-    likely = docs.select(key, text_of().alias("text")).filter(F.arrays_overlap(gram_words(F.translate("text", "\n", " ")), cues))
-    lines = likely.select(key, F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.withColumn("words", gram_words(F.col("line"))).filter(F.arrays_overlap("words", cues))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, text_of().alias("text"))
+    likely = rows.filter(F.arrays_overlap(gram_words(F.translate("text", "\n", " ")), cues))
+    lines = F.transform(F.split("text", "\n"), gram_words)
+    bound = F.get(F.transform(F.array(lines), _following), F.lit(0))
+    each = likely.select("row", key, F.posexplode(bound).alias("paragraph", "line")).select("row", key, "paragraph", "line.*")
+    return each.filter(F.arrays_overlap("words", cues))
 
 
 def _with_vector(rows: DataFrame, model: LicenceModel) -> DataFrame:
@@ -233,15 +271,41 @@ def licence_notices(docs: DataFrame, model: LicenceModel = LicenceModel()) -> Da
     """doc_id, paragraph, licence, probability, similarity: one row per paragraph that the classifier names.
 
     ``licence`` is the family, or "unknown" where the probability is below the calibrated threshold or no template
-    confirms it. Null and empty texts have no paragraph; repeated rows and repeated notices are all listed; a
-    document with several notices has as many rows. Only lines with a cue word leave the scan.
+    confirms it. A notice that is wrapped over several lines is listed once, at its first line. Null and empty texts have
+    no paragraph; repeated rows and repeated notices are all listed; a document with several notices has as many
+    rows. Only lines with a cue word leave the scan, with some words of those after them.
     """
     found = materialise(paragraphs(docs), "paragraphs")
     classifier, limits = fit(docs.sparkSession, found, model)
-    scored = named(classifier, _with_vector(found, model)).filter(F.col("predicted") != UNKNOWN)
-    like = fresh(scored, "similarity")
-    compared = scored.withColumn(like, similarity(F.col("grams"), F.col("predicted"), model.grams))
     limit = reduce(lambda c, f: c.when(F.col("predicted") == f, F.lit(limits[f])), TEMPLATES, F.when(F.lit(False), F.lit(1.0)))
-    sure = (F.col("probability") >= limit) & (F.col(like) >= model.least_similarity)
-    licence = F.when(sure, F.col("predicted")).otherwise(UNKNOWN)
-    return compared.select("doc_id", "paragraph", licence.alias("licence"), "probability", like)
+
+    def compared(rows: DataFrame) -> DataFrame:
+        scored = named(classifier, _with_vector(rows, model)).filter(F.col("predicted") != UNKNOWN)
+        scored = scored.withColumn("similarity", similarity(F.col("grams"), F.col("predicted"), model.grams))
+        return scored.withColumn("sure", (F.col("probability") >= limit) & (F.col("similarity") >= model.least_similarity))
+
+    columns = ("row", "doc_id", "paragraph", "predicted", "probability", "similarity", "sure")
+    lines = compared(found.drop("after")).select(*columns, F.lit(None).cast("int").alias("last"))
+    joined = compared(wrapped(found)).filter("sure")
+    rest = similarity(grams(F.col("tail"), model.grams), F.col("predicted"), model.grams)
+    joined = joined.filter(rest < F.col("similarity")).select(*columns, "last")  # a notice begins in its first line
+    rows = _without_repeats(lines.union(joined))
+    licence = F.when(F.col("sure"), F.col("predicted")).otherwise(UNKNOWN)
+    return rows.select("doc_id", "paragraph", licence.alias("licence"), "probability", "similarity")
+
+
+def _without_repeats(rows: DataFrame) -> DataFrame:
+    """Lines, and joined lines (``last``) that hold no named line of the family and don't go on from joined ones.
+
+    Lines without a name are left out where joined ones that have one hold them.
+    """
+    joined, line = F.col("last").isNotNull(), F.col("last").isNull()
+    family = Window.partitionBy("row", "predicted").orderBy("paragraph")
+    named_line = F.min(F.when(line & F.col("sure"), F.col("paragraph"))).over(family.rangeBetween(0, Window.unboundedFollowing))
+    before = F.max(F.when(joined, F.col("paragraph"))).over(family.rangeBetween(-1, -1))
+    marked = rows.withColumn("named_line", named_line)
+    marked = marked.filter(line | F.col("named_line").isNull() | (F.col("named_line") > F.col("last")))
+    marked = marked.withColumn("before", before).filter(line | F.col("before").isNull())
+    document = Window.partitionBy("row").orderBy("paragraph").rangeBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("held", F.max("last").over(document))
+    return marked.filter(joined | F.col("sure") | F.col("held").isNull() | (F.col("held") < F.col("paragraph")))

@@ -56,3 +56,24 @@ def test_features_need_a_cue_word():
 def test_odd_documents(odd_documents, empty_documents):
     assert licence_notices(odd_documents).count() == 0
     assert licence_notices(empty_documents).count() == 0
+
+
+WRAPPED = {
+    "gpl": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."],
+    "mit": ["Permission is hereby granted, free of charge, to any person", "obtaining a copy of this software and associated documentation files", '(the "Software"), to deal in the Software without restriction'],
+    "bsd": ["Redistribution and use in source and binary forms, with or", "without modification, are permitted provided that the following", "conditions are met:"],
+    "mpl": ["This Source Code Form is subject to the terms of the", "Mozilla Public License, v. 2.0. If a copy of the MPL was not", "distributed with this file, You can obtain one there."],
+}
+AGPL = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU Affero General Public License as", "published by the Free Software Foundation."]
+
+
+def test_wrapped_notices(spark):
+    cases = [*WRAPPED.items(), ("gpl", AGPL)]
+    rows, wanted = [], Counter()
+    for i, (family, lines) in enumerate(cases):
+        for j, mark in enumerate(("", " * ", "# ", "// ", "-- ")):
+            above = [prose(12, i), "", prose(9, j)] if j % 2 else [prose(12, i), ""]
+            rows.append((10 * i + j, "\n".join([*above, *(mark + x for x in lines), "", prose(8, i)]), "en", "h", 0))
+            wanted[10 * i + j, len(above), family] += 1
+    found = licence_notices(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.paragraph, r.licence) for r in found if r.licence != UNKNOWN) == wanted
