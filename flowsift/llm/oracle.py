@@ -62,4 +62,65 @@ FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)
 WHERE rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY, "op9_exact_top_k": TOP_K}
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def tree_levels(name: str, ground: str, depth: int) -> str:
+    """Levels of a forest over ``ground`` (g, i, h, t: the group's nodes), as ``name``0 to ``name``depth, and runs of siblings."""
+    steps = [f"{name}0 AS (SELECT g, i, h, t FROM {ground})"]
+    for k in range(depth):
+        steps += [
+            f"{name}runs{k} AS (SELECT g, i // 8 AS i, list(h ORDER BY i) AS hs, (t + 7) // 8 AS t FROM {name}{k} WHERE t > 1 GROUP BY g, i // 8, t)",
+            f"{name}{k + 1} AS (SELECT g, i, sha256(array_to_string(hs, '')) AS h, t FROM {name}runs{k} UNION ALL SELECT g, i, h, t FROM {name}{k} WHERE t = 1)",
+        ]
+    return ",\n".join(steps)
+
+
+def tree_folds(name: str, tree: str, start: str, depth: int) -> str:
+    """Fold (rid, g, i, v: the value so far, p: the siblings so far) of ``start`` up a forest, as ``name``0 to ``name``depth."""
+    steps = [f"{name}0 AS (SELECT rid, g, i, v, p FROM {start})"]
+    left, right = "array_to_string(hs[1:f.i % 8], '')", "array_to_string(hs[f.i % 8 + 2:], '')"
+    for k in range(depth):
+        steps.append(
+            f"{name}{k + 1} AS (SELECT rid, f.g, f.i // 8 AS i, CASE WHEN hs IS NULL THEN v ELSE sha256({left} || v || {right}) END AS v, "
+            f"CASE WHEN hs IS NULL THEN p ELSE p || {left} || {right} END AS p "
+            f"FROM {name}{k} AS f LEFT JOIN {tree}runs{k} AS r ON f.g = r.g AND f.i // 8 = r.i)"
+        )
+    return ",\n".join(steps)
+
+
+def leaf_sql(text: str) -> str:
+    """A document's leaf, with an expression as its text."""
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+DEPTH = 8  # levels for up to 8^8 documents a language, and as many languages
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+crc AS (
+    SELECT rid, doc_id::VARCHAR AS s, 0 AS k, 4294967295 AS c FROM d WHERE doc_id IS NOT NULL
+    UNION ALL
+    SELECT rid, s, k + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)
+    FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(s, k // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE k < 8 * length(s))),
+tampered AS (SELECT rid FROM crc WHERE k = 8 * length(s) AND xor(c, 4294967295) % 3 = 0),
+leaves AS (
+    SELECT rid, doc_id, coalesce('=' || lang, '') AS g, {leaf_sql("text")} AS h,
+           CASE WHEN rid IN (SELECT rid FROM tampered) THEN {leaf_sql(f"translate(text, {LETTERS})")} ELSE {leaf_sql("text")} END AS v
+    FROM d),
+ground AS (
+    SELECT rid, doc_id, g, h, v, '' AS p, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+           count(*) OVER (PARTITION BY g) AS t
+    FROM leaves),
+{tree_levels("up", "ground", DEPTH)},
+subroots AS (SELECT g AS lang, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS t, '' AS g FROM up{DEPTH}),
+{tree_levels("top", "subroots", DEPTH)},
+{tree_folds("fold", "up", "ground", DEPTH)},
+middle AS (SELECT f.rid, s.g, s.i, f.v, f.p FROM fold{DEPTH} AS f JOIN subroots AS s ON f.g = s.lang),
+{tree_folds("upper", "top", "middle", DEPTH)}
+SELECT ground.doc_id, ground.h AS leaf, s.h AS subroot, r.h AS root, sha256(u.p) AS proof_sha256, u.v AS folded_root, u.v = r.h AS verified
+FROM ground JOIN subroots AS s ON ground.g = s.lang JOIN upper{DEPTH} AS u ON ground.rid = u.rid CROSS JOIN top{DEPTH} AS r
+"""
+
+ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY, "op9_exact_top_k": TOP_K, "op13_merkle_manifest": MERKLE}

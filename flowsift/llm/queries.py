@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowsift.llm.bpe import digest_documents
 from flowsift.llm.licenses import licence_notices
+from flowsift.llm.merkle import seal_documents
 from flowsift.llm.oracle import ORACLE  # noqa: F401  part of the registration
 from flowsift.llm.packing import pack_documents
 from flowsift.llm.pii import pii_report
@@ -73,6 +74,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seal_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scans": op2_license_scans,
@@ -84,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scans": op10_secret_scans,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
