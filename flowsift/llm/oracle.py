@@ -123,4 +123,28 @@ SELECT ground.doc_id, ground.h AS leaf, s.h AS subroot, r.h AS root, sha256(u.p)
 FROM ground JOIN subroots AS s ON ground.g = s.lang JOIN upper{DEPTH} AS u ON ground.rid = u.rid CROSS JOIN top{DEPTH} AS r
 """
 
-ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY, "op9_exact_top_k": TOP_K, "op13_merkle_manifest": MERKLE}
+TERMS = rf"regexp_extract_all(translate(text, {LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH words AS (SELECT rid, doc_id, unnest(ws) AS term, len(ws) AS n FROM (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS ws FROM documents)),
+held AS (SELECT rid, doc_id, term, n, count(*) AS tf FROM words GROUP BY rid, doc_id, term, n),
+corpus AS (SELECT count(DISTINCT rid) AS docs, count(*) AS total FROM words),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), corpus),
+asked AS (
+    SELECT DISTINCT iid, item_id, term
+    FROM (SELECT iid, item_id, unnest(ws) AS term FROM (SELECT row_number() OVER () AS iid, item_id, {TERMS} AS ws FROM benchmark))),
+scored AS (
+    SELECT iid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+    FROM asked JOIN held USING (term) JOIN weights USING (term) CROSS JOIN corpus
+    GROUP BY iid, item_id, rid, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_quality_rules": QUALITY,
+    "op9_exact_top_k": TOP_K,
+    "op11_ranked_search": RANKED,
+    "op13_merkle_manifest": MERKLE,
+}

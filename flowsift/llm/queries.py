@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsift.llm.bpe import digest_documents
+from flowsift.llm.lexical import rank_documents
 from flowsift.llm.licenses import licence_notices
 from flowsift.llm.merkle import seal_documents
 from flowsift.llm.oracle import ORACLE  # noqa: F401  part of the registration
@@ -74,6 +75,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seal_documents(documents(spark, sf_dir))
 
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scans": op10_secret_scans,
+    "op11_ranked_search": op11_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
