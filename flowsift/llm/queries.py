@@ -14,6 +14,7 @@ from flowsift.llm.oracle import ORACLE  # noqa: F401  part of the registration
 from flowsift.llm.packing import pack_documents
 from flowsift.llm.pii import pii_report
 from flowsift.llm.pitman_yor import score_documents
+from flowsift.llm.prefix_free import without_repeats
 from flowsift.llm.quality import quality_report
 from flowsift.llm.secret_scan import secret_report
 from flowsift.llm.sharding import shard_documents
@@ -79,6 +80,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seal_documents(documents(spark, sf_dir))
 
@@ -95,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scans": op10_secret_scans,
     "op11_ranked_search": op11_ranked_search,
+    "op12_repeated_passages": op12_repeated_passages,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
