@@ -91,6 +91,10 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def distinct_ascending(values: np.ndarray) -> np.ndarray:
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 @dataclass
 class Slice:
     """Some pieces of documents, parsed together."""
@@ -147,7 +151,7 @@ class Slice:
         return np.frombuffer(found, np.uint64).reshape(-1, 2)
 
     def anchors(self, places: np.ndarray) -> np.ndarray:
-        """The anchor of each string: the place of its smallest hash, the first of equal ones."""
+        """The anchor of each string, the place of its smallest hash, the first of equal ones. Ascending as the places are."""
         if not places.size:
             return places
         packed = (self.grams() & ~POSITION) | np.arange(len(self.grams()), dtype=np.uint64)
@@ -268,30 +272,39 @@ def phrase_entries(digests: np.ndarray, keys: np.ndarray, buckets: int) -> Entri
 
 
 def anchor_entries(hashes: np.ndarray, buckets: int) -> Entries:
-    """Distinct anchor hashes with their number of contexts in the block, up to 255."""
+    """Distinct anchor hashes, 48 bits each, with their number of contexts in the block, up to 255.
+
+    The bucket follows from all bits. Hashes that agree in both by chance cost a search, not a wrong result.
+    """
     distinct, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     dealt = (distinct % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(dealt, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return Entries(dealt[order], [distinct[order], np.minimum(counts[order], 255).astype(np.uint8)], place[which])
+    return Entries(dealt[order], [distinct[order].view(np.uint8).reshape(-1, 8)[:, 2:], np.minimum(counts[order], 255).astype(np.uint8)], place[which])
 
 
 def context_entries(texts: list[bytes], keys: np.ndarray, buckets: np.ndarray) -> Entries:
-    """Distinct contexts with their smallest order key; the last column is their bytes, one after the other."""
-    order = sorted(range(len(texts)), key=lambda k: (buckets[k], texts[k], keys[k]))
-    which, kept = np.empty(len(order), np.int64), []
-    for k in order:
-        if not kept or texts[kept[-1]] != texts[k] or buckets[kept[-1]] != buckets[k]:
-            kept.append(k)
-        which[k] = len(kept) - 1
-    own = np.array(kept, np.int64)
-    return Entries(buckets[own], [own, keys[own]], which)
+    """Distinct contexts: the first occurrence of each in the block, and its smallest order key there."""
+    seen: dict[tuple[int, bytes], int] = {}
+    which = np.fromiter((seen.setdefault(c, len(seen)) for c in zip(buckets.tolist(), texts)), np.int64, len(texts))
+    smallest = np.full(len(seen), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, which, keys)
+    own = np.empty(len(seen), np.int64)
+    own[which[::-1]] = np.arange(len(texts))[::-1]
+    order = np.argsort(buckets[own], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Entries(buckets[own][order], [own[order], smallest[order]], place[which])
 
 
 MESSAGE_SCHEMA = pa.schema([("_block", pa.int64()), ("_bucket", pa.int64()), ("_message", pa.binary())])
 MESSAGE_TYPE = "_block long, _bucket long, _message binary"
-STATE = -1  # the bucket of what a block keeps for its own next pass
+
+
+def own_bucket(block: int) -> int:
+    """The bucket of what a block keeps for its own next pass: it is handed back unread."""
+    return -1 - block
 
 
 def message_batch(rows: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -301,7 +314,7 @@ def message_batch(rows: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def replies_to(row: dict) -> tuple[bytes | None, list[bytes]]:
     """A block's own state and its buckets' replies, in the order of the buckets."""
     told = {r["_bucket"]: r["_message"] for r in row["_told"] or []}
-    return told.pop(STATE, None), [told[b] for b in sorted(told)]
+    return told.pop(own_bucket(row["_block"]), None), [told[b] for b in sorted(told)]
 
 
 def bits(replies: list[bytes]) -> np.ndarray:
@@ -350,6 +363,11 @@ def judge_phrases(group: pa.Table) -> pa.Table:
     return reply(group, blocks, np.split(later, np.cumsum([len(p[2]) // 8 for p in parts])[:-1]))
 
 
+def handing_back(judge: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """Judge a bucket of hashes; a block's own bucket goes back as it is."""
+    return lambda group: group.select(MESSAGE_SCHEMA.names) if group.column("_bucket")[0].as_py() < 0 else judge(group)
+
+
 def reply(group: pa.Table, blocks: list[int], values: list[np.ndarray]) -> pa.Table:
     bucket = group.column("_bucket")[0].as_py()
     return pa.Table.from_batches([message_batch((b, bucket, packed(v)) for b, v in zip(blocks, values))])
@@ -377,8 +395,8 @@ def tell_anchors(rule: Passages, buckets: int):
             mask = np.zeros(len(s.data), bool)
             mask[places] = True
             free.append(np.packbits(mask))
-            hashes.append(s.grams()[np.unique(s.anchors(places))])
-        yield STATE, packed(*free)
+            hashes.append(s.grams()[distinct_ascending(s.anchors(places))])
+        yield own_bucket(number), packed(*free)
         yield from anchor_entries(np.concatenate(hashes), buckets).messages()
 
     return block_pass(rule, work)
@@ -389,7 +407,10 @@ def judge_anchors(hot: int):
 
     def judge(group: pa.Table) -> pa.Table:
         blocks, parts = group.column("_block").to_pylist(), [unpacked(m) for m in group.column("_message").to_pylist()]
-        _, which = np.unique(np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts]), return_inverse=True)
+        sent = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(-1, 6)
+        hashes = np.zeros((len(sent), 8), np.uint8)
+        hashes[:, 2:] = sent
+        _, which = np.unique(hashes.view(np.uint64)[:, 0], return_inverse=True)
         total = np.bincount(which, np.concatenate([np.frombuffer(p[1], np.uint8) for p in parts]))[which]
         found = (total > 1).astype(np.uint8) + (total > hot)
         return reply(group, blocks, np.split(found.astype(np.uint8), np.cumsum([len(p[1]) for p in parts])[:-1]))
@@ -416,7 +437,7 @@ def tell_contexts(rule: Passages, buckets: int):
         slices = list(block.slices())
         free = [np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), count=len(s.data))) for s, m in zip(slices, unpacked(state))]
         anchors = [s.anchors(places) for s, places in zip(slices, free)]
-        distinct = [np.unique(a) for a in anchors]
+        distinct = [distinct_ascending(a) for a in anchors]
         hashes = [s.grams()[d] for s, d in zip(slices, distinct)]
         entries = anchor_entries(np.concatenate(hashes), buckets)
         status = bits(replies)[entries.which] if len(entries.which) else np.zeros(0, np.uint8)
@@ -438,7 +459,7 @@ def tell_contexts(rule: Passages, buckets: int):
             dealt.append(bucket)
             base += len(s.data)
         runs = [np.concatenate(x).astype(np.int64) for x in (starts, counts, dealt)]
-        yield STATE, packed(state, *runs)
+        yield own_bucket(number), packed(state, *runs)
         texts, keys = run_texts(slices, runs[0], runs[1])
         for bucket, data in context_messages(texts, keys, runs[2]):
             yield bucket, data
@@ -602,6 +623,7 @@ def stored_by_block(blocks: DataFrame, parts: int) -> DataFrame:
     """The blocks in a table bucketed by their number, so that the passes that bring them replies need not move them."""
     spark, path = blocks.sparkSession, scratch_path(blocks.sparkSession, "blocks")
     name = "passages_" + path.split("/")[-2]
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer, Spark would deal the table out again
     blocks.repartition(parts, "_block").write.bucketBy(parts, "_block").option("path", path).saveAsTable(name)
     return spark.table(name)
 
@@ -613,10 +635,9 @@ def without_repeats(docs: DataFrame, rule: Passages = Passages()) -> DataFrame:
     than a string keep all. A null doc_id comes before all others. Rows of equal doc_id do not take from each other. Other columns take no part.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = materialise(slim.mapInArrow(blocks_of(rule), BLOCK_TYPE), "raw_blocks")
-    total = raw.agg(F.sum("_bytes")).first()[0] or 0
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // rule.bucket_bytes))
-    blocks = stored_by_block(raw, buckets)
+    blocks = stored_by_block(slim.mapInArrow(blocks_of(rule), BLOCK_TYPE), buckets)
     searched = blocks.filter("not _whole").select("_block", "_data")
 
     def told(messages: DataFrame) -> DataFrame:
@@ -624,12 +645,11 @@ def without_repeats(docs: DataFrame, rule: Passages = Passages()) -> DataFrame:
         return searched.join(each.hint("shuffle_hash"), "_block", "left")
 
     def judged(messages: DataFrame, judge) -> DataFrame:
-        sent = messages.filter(F.col("_bucket") != STATE)
-        return messages.filter(F.col("_bucket") == STATE).unionAll(sent.groupBy("_bucket").applyInArrow(judge, MESSAGE_TYPE))
+        return messages.groupBy("_bucket").applyInArrow(handing_back(judge), MESSAGE_TYPE)
 
-    phrases = materialise(searched.mapInArrow(tell_phrases(rule, buckets), MESSAGE_TYPE), "phrases")
-    anchors = materialise(told(judged(phrases, judge_phrases)).mapInArrow(tell_anchors(rule, buckets), MESSAGE_TYPE), "anchors")
-    contexts = materialise(told(judged(anchors, judge_anchors(rule.hot))).mapInArrow(tell_contexts(rule, buckets), MESSAGE_TYPE), "contexts")
+    phrases = searched.mapInArrow(tell_phrases(rule, buckets), MESSAGE_TYPE)
+    anchors = told(judged(phrases, judge_phrases)).mapInArrow(tell_anchors(rule, buckets), MESSAGE_TYPE)
+    contexts = told(judged(anchors, judge_anchors(rule.hot))).mapInArrow(tell_contexts(rule, buckets), MESSAGE_TYPE)
     done = materialise(told(judged(contexts, judge_contexts(rule.span, rule.sorted_strings))).mapInArrow(finish(rule), DONE_TYPE), "done")
     pieces = done.filter("n_bytes is null").groupBy("_row").agg(F.collect_list("_ranges").alias("_parts"))
     whole = blocks.filter("_whole").mapInArrow(whole_rows(rule), "_row long, _data binary")
