@@ -38,7 +38,7 @@ class Passages:
     phrase_bits: int = 7  # a phrase ends about every 2^bits bytes
     block_bytes: int = 4 << 20
     piece_bytes: int = 1 << 19  # a longer document is cut into pieces that overlap by span - 1 bytes
-    bucket_bytes: int = 32 << 20  # text for which there is a bucket of hashes
+    bucket_bytes: int = 16 << 20  # text for which there is a bucket of hashes
     hot: int = 1000  # an anchor with more contexts is searched string by string
     sorted_strings: int = 1 << 20  # strings put in order at once
 
@@ -66,12 +66,11 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of the ``width`` bytes at each place."""
+    """A 64-bit hash of the ``width`` bytes at each place of no more than a slice."""
     n = len(data)
     if n < width:
         return np.zeros(0, np.uint64)
-    size = SLICE if n <= SLICE else 1 << n.bit_length()
-    up, down = powers(size)
+    up, down = powers(SLICE)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(byte_values()[data] * up[:n], out=sums[1:])
     value = (sums[width:] - sums[:-width]) * down[: n - width + 1]
@@ -476,12 +475,20 @@ def context_messages(texts: list[bytes], keys: np.ndarray, buckets: np.ndarray)
             yield int(entries.buckets[a]), packed(entries.columns[1][a:b], np.array([len(t) for t in own], np.int64), b"".join(own))
 
 
+def hashes_at(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The rolling hash at ascending places, computed a slice at a time."""
+    step = SLICE - width + 1
+    edges = np.searchsorted(places, np.arange(0, len(data) + step, step))
+    parts = [rolling(data[k * step : k * step + SLICE], width)[places[a:b] - k * step] for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def repeated_strings(data: np.ndarray, places: np.ndarray, keys: np.ndarray, span: int, at_once: int) -> np.ndarray:
     """Which of the strings at some places of ``data`` also stand at a place with a smaller key.
 
     The places are put in suffix order to the depth of a string, a share at a time: equal strings fall into one share.
     """
-    later, hashes = np.zeros(len(places), bool), rolling(data, span)[places] if len(places) else np.zeros(0, np.uint64)
+    later, hashes = np.zeros(len(places), bool), hashes_at(data, places, span)
     shares = max(1, -(-len(places) // at_once))
     views = np.lib.stride_tricks.sliding_window_view(data, span) if len(data) >= span else None
     for share in range(shares):
