@@ -6,27 +6,32 @@ trees differ from other boosting libraries in leaf weights and sampling, so the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.operators.curves import SCORE, cumulate, range_edges, ranking_metrics, score_counts
 from flowsift.schema import TARGET
-from flowsift.session import materialise, shared_root
+from flowsift.session import materialise, scratch_path, shared_root
+from flowsift.sources.tables import ensemble_nodes
 
 FEATURES = "features"
 WEIGHT = "weight"
+RESIDUAL = "_residual"
 MARGIN, MARGINS = "_margin_before", "_margins"
 LOSS_FLOOR = 1e-16
 
 
 @dataclass(frozen=True)
 class BoostingParams:
-    """Fixed values of the training set-up; ``max_trees`` is the largest budget, ``first_trees`` the first one."""
+    """Fixed values of the training set-up; ``block_trees``: trees between two looks at the learning curve."""
 
     max_trees: int = 5000
     learning_rate: float = 0.05
@@ -35,7 +40,7 @@ class BoostingParams:
     feature_share: float = 0.8
     min_rows: int = 5
     patience: int = 50
-    first_trees: int = 50
+    block_trees: int = 10
     seed: int = 42
 
 
@@ -55,7 +60,8 @@ def fit(
 ) -> GBTClassificationModel:
     """Fit ``n_trees`` trees. MLlib checkpoints its residuals every ten trees in the shared folder.
 
-    It reads the rows several times before it caches its own form, so pass a written table, not a long plan.
+    It reads the rows several times before it caches its own form, so pass a written table, not a long plan. This is the refit with a known
+    number of trees; ``grow`` finds that number.
     """
     shared_root(assembled.sparkSession)
     booster = GBTClassifier(
@@ -71,7 +77,7 @@ def fit(
         checkpointInterval=10,
         seed=params.seed,
     )
-    rows = weighted(assembled, weight, target)
+    rows = spread(weighted(assembled, weight, target))
     return booster.fit(rows.withColumn(target, F.col(target).cast("double")))
 
 
@@ -86,62 +92,128 @@ def probability(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
 
-def add_trees(model: GBTClassificationModel, rows: DataFrame, start: int) -> DataFrame:
-    """Rows with ``margins``, the margin after each tree from number ``start`` on, from the ``margin`` before them.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in at least as many parts as there are cores: a table that was one file part would be fitted by one of them."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
-    Each tree adds its prediction inside the same map-only projection. Plan and row grow with the block of trees only.
-    """
-    staged, previous, names = rows, F.col(MARGIN), []
-    for i in range(start, len(model.trees)):
-        tree = model.trees[i].copy().setPredictionCol(f"_tree_{i}").setFeaturesCol(FEATURES)
-        names.append(f"_margin_{i}")
-        step = F.lit(float(model.treeWeights[i]))
-        staged = tree.transform(staged).withColumn(names[-1], previous + step * F.col(f"_tree_{i}")).drop(f"_tree_{i}")
-        previous = F.col(names[-1])
-    return staged.withColumn(MARGINS, F.array(*names)).drop(*names)
+
+def residual(margin: Column, target: str = TARGET) -> Column:
+    """What the next tree is fitted to: the negative gradient of MLlib's log loss, 2 log(1 + exp(-2 y margin)) with y of -1 or 1."""
+    y = F.when(F.col(target) == 1, 1.0).otherwise(-1.0)
+    return 4.0 * y / (1.0 + F.exp(2.0 * y * margin))
+
+
+def next_tree(rows: DataFrame, goal: Column, number: int, params: BoostingParams) -> DecisionTreeRegressionModel:
+    """The regression tree of one boosting step, on rows with features, weight and the values to fit."""
+    forest = RandomForestRegressor(
+        featuresCol=FEATURES,
+        labelCol=RESIDUAL,
+        weightCol=WEIGHT,
+        numTrees=1,
+        bootstrap=False,
+        maxDepth=params.max_depth,
+        subsamplingRate=params.row_share,
+        featureSubsetStrategy=str(params.feature_share),
+        minInstancesPerNode=params.min_rows,
+        seed=params.seed + number,
+    )
+    return forest.fit(rows.select(FEATURES, WEIGHT, goal.alias(RESIDUAL))).trees[0]
+
+
+def add_tree(rows: DataFrame, tree: DecisionTreeRegressionModel, weight: float, margin: str, name: str) -> DataFrame:
+    """Rows with one more margin, in a map-only projection."""
+    scored = tree.copy().setPredictionCol("_tree").setFeaturesCol(FEATURES).transform(rows)
+    return scored.withColumn(name, F.col(margin) + F.lit(float(weight)) * F.col("_tree")).drop("_tree")
+
+
+def boosted(trees: Sequence[DecisionTreeRegressionModel], weights: Sequence[float], n_features: int, spark) -> GBTClassificationModel:
+    """MLlib's boosted model over trees that were fitted one by one."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    held, shares = gateway.new_array(kind, len(trees)), gateway.new_array(jvm.double, len(trees))
+    for k, (tree, weight) in enumerate(zip(trees, weights)):
+        held[k], shares[k] = tree._java_obj, float(weight)
+    uid = f"GBTClassifier_{trees[0].uid.split('_')[-1]}"
+    return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(uid, held, shares, n_features, 2))
+
+
+def folded_counts(side: str, target: str, start: int):
+    """Rows with the margins of a block -> positives and negatives of each (side, tree count, score) among the rows of a batch."""
+    schema = pa.schema([(side, pa.string()), ("n_trees", pa.int32()), (SCORE, pa.float64()), ("pos", pa.int64()), ("neg", pa.int64())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            margins = batch.column(MARGINS).flatten().to_numpy().reshape(batch.num_rows, -1)
+            attacks = batch.column(target).to_numpy(zero_copy_only=False) == 1
+            sides = np.array(batch.column(side).to_pylist(), dtype=object)
+            for name in set(sides):
+                own = sides == name
+                for stage in range(margins.shape[1]):
+                    values, which = np.unique(1.0 / (1.0 + np.exp(-2.0 * margins[own, stage])), return_inverse=True)
+                    pos = np.bincount(which[attacks[own]], minlength=len(values))
+                    neg = np.bincount(which, minlength=len(values)) - pos
+                    columns = [[name] * len(values), np.full(len(values), start + stage + 1), values, pos, neg]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return fold
 
 
 def staged_counts(staged: DataFrame, start: int, side: str = "side", target: str = TARGET) -> DataFrame:
-    """Positive and negative rows per side, tree count and distinct score of a block of trees, written once."""
-    long = staged.select(side, target, F.posexplode(MARGINS).alias("_stage", "_margin"))
-    scored = long.select(side, target, (F.col("_stage") + start + 1).alias("n_trees"), probability(F.col("_margin")).alias(SCORE))
-    return materialise(score_counts(scored, SCORE, target, [side, "n_trees"]), "staged_counts")
+    """Positive and negative rows per side, tree count and distinct score of a block of trees, written once.
+
+    A batch's rows are folded to its distinct scores, tree by tree, before anything is spread or shuffled.
+    """
+    slim = staged.select(F.col(side).cast("string").alias(side), target, MARGINS)
+    folded = slim.mapInArrow(folded_counts(side, target, start), f"`{side}` string, n_trees int, {SCORE} double, pos bigint, neg bigint")
+    counts = folded.groupBy(side, "n_trees", SCORE).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return materialise(counts, "staged_counts")
 
 
 @dataclass(frozen=True)
 class Grown:
-    """What early stopping found: the curve as far as it went, the best tree count, and the counts per score at it."""
+    """What early stopping found: the curve as far as it went, the best tree count, the counts per score at it, and the trees up to it."""
 
     curve: DataFrame
     n_trees: int
     validation: DataFrame
+    model: GBTClassificationModel
 
 
-def grow(carved: DataFrame, weight: float, params: BoostingParams, side: str = "side", watched: str = "validation") -> Grown:
-    """Fit budgets of ``first_trees``, twice as many, and so on, until ``patience`` trees bring no gain on the watched side.
+def grow(carved: DataFrame, weight: float, params: BoostingParams, side: str = "side", watched: str = "validation", target: str = TARGET) -> Grown:
+    """Boost one tree at a time until ``patience`` trees bring no gain on the watched side, or ``max_trees``.
 
-    MLlib cannot go on from a model, but equal seeds on equal rows give equal leading trees, so a larger budget repeats
-    the smaller one and adds to it: all fits together cost about twice the last. Only the new trees are scored; the
-    margin before them is carried along. The curve has two rows per tree and passes through the driver.
+    Each tree is an MLlib regression tree on the residuals of the margin so far, with the seed that a single boosted fit gives to it, so no tree is
+    fitted twice. Rows are stored with their margins once a block; until then margins are a projection of at most ``block_trees`` trees, so plans do not grow with
+    the number of trees. Both sides are scored in that pass. The curve has two rows per tree and passes through the driver.
     """
-    train = materialise(carved.filter(F.col(side) != watched).drop(side), "grown")
-    rows = carved.withColumn(MARGIN, F.lit(0.0))
-    done, budget, points, blocks = 0, min(params.first_trees, params.max_trees), [], []
+    spark, features = carved.sparkSession, carved.schema[FEATURES].metadata.get("ml_attr", {}).get("num_attrs")
+    rows = materialise(spread(weighted(carved, weight, target).withColumn(MARGIN, F.lit(0.0))), "boosted")
+    n_features = features or rows.select(FEATURES).first()[0].size
+    trees, steps, points, blocks = [], [], [], []
     while True:
-        model = fit(train, weight, budget, params)
-        staged = materialise(add_trees(model, rows, done), "staged")
-        blocks.append(staged_counts(staged, done, side))
+        start, staged, margin, names = len(trees), rows, MARGIN, []
+        for _ in range(min(params.block_trees, params.max_trees - start)):
+            fitted = staged.filter(F.col(side) != watched)
+            goal = residual(F.col(margin), target) if trees else F.when(F.col(target) == 1, 1.0).otherwise(-1.0)
+            trees.append(next_tree(fitted, goal, len(trees), params))
+            steps.append(params.learning_rate if steps else 1.0)
+            names.append(f"_margin_{len(trees)}")
+            staged, margin = add_tree(staged, trees[-1], steps[-1], margin, names[-1]), names[-1]
+        stored = materialise(staged.withColumn(MARGINS, F.array(*names)).drop(*names, MARGIN), "staged")
+        blocks.append(staged_counts(stored, start, side, target))
         points += [tuple(r) for r in learning_curve(blocks[-1], side).select(side, "n_trees", "average_precision", "log_loss").collect()]
-        curve = carved.sparkSession.createDataFrame(points, f"{side} string, n_trees int, average_precision double, log_loss double")
+        curve = spark.createDataFrame(points, f"{side} string, n_trees int, average_precision double, log_loss double")
         marked = mark_best(curve, params.patience, side, watched)
         best = best_tree_count(marked)
-        if len(model.trees) >= params.max_trees or best + params.patience <= len(model.trees):
+        if len(trees) >= params.max_trees or best + params.patience <= len(trees):
             break
-        rows = staged.withColumn(MARGIN, F.element_at(MARGINS, -1)).drop(MARGINS)
-        done, budget = budget, min(2 * budget, params.max_trees)
-    counts = next(c for c in blocks if not c.filter(F.col("n_trees") == best).isEmpty())
+        rows = stored.withColumn(MARGIN, F.element_at(MARGINS, -1)).drop(MARGINS)
+    counts = blocks[(best - 1) // params.block_trees]
     chosen = counts.filter((F.col(side) == watched) & (F.col("n_trees") == best)).drop(side, "n_trees")
-    return Grown(marked, best, chosen)
+    return Grown(marked, best, chosen, boosted(trees[:best], steps[:best], n_features, spark))
 
 
 def learning_curve(counts: DataFrame, side: str = "side", rows_per_range: int = 2_000_000) -> DataFrame:
@@ -177,8 +249,22 @@ def best_tree_count(marked: DataFrame) -> int:
     return int(marked.filter("is_best").first()["n_trees"])
 
 
+def split_gains(nodes: DataFrame) -> DataFrame:
+    """Splits, total and mean gain per feature, from a saved ensemble's table of nodes.
+
+    A split's gain is the drop in squared error that it brings: its node's drop in variance times the weight of the node's rows.
+    """
+    split = nodes.filter(F.col("nodeData.leftChild") >= 0).select(
+        F.col("nodeData.split.featureIndex").alias("pos"), (F.col("nodeData.gain") * F.element_at("nodeData.impurityStats", 1)).alias("gain")
+    )
+    return split.groupBy("pos").agg(F.count("*").alias("splits"), F.sum("gain").alias("total_gain"), F.avg("gain").alias("mean_gain"))
+
+
 def feature_importance(model: GBTClassificationModel, features: Sequence[str], spark, k: int = 15) -> DataFrame:
-    """The ``k`` features with the largest share of impurity gain. The vector has one entry per feature."""
-    values = model.featureImportances.toArray().tolist()
-    table = spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
-    return table.orderBy(F.desc("importance"), "feature").limit(k)
+    """The ``k`` features with the largest mean gain per split, as shares of the sum over all features. A feature never split on has 0."""
+    path = scratch_path(spark, "importance")
+    model.write().save(path)
+    named = spark.createDataFrame(list(enumerate(features)), "pos int, feature string")
+    table = named.join(split_gains(ensemble_nodes(spark, path)), "pos", "left").fillna(0)
+    share = F.col("mean_gain") / F.nullif(table.agg(F.sum("mean_gain")).scalar(), F.lit(0.0))
+    return table.select("feature", F.coalesce(share, F.lit(0.0)).alias("importance")).orderBy(F.desc("importance"), "feature").limit(k)

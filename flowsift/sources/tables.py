@@ -68,3 +68,8 @@ def save_model(model: GBTClassificationModel, path: str) -> None:
 
 def load_model(path: str) -> GBTClassificationModel:
     return GBTClassificationModel.load(path)
+
+
+def ensemble_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The table of nodes of a saved ensemble of trees: ``treeID`` and ``nodeData``, a row per node."""
+    return spark.read.parquet(f"{path}/data")

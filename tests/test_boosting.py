@@ -29,11 +29,18 @@ def fitted(spark, rows):
     return b.fit(assembled, training.weight_of(rows), PARAMS.max_trees, PARAMS), assembled
 
 
+def staged_rows(model, assembled):
+    """Rows with the margins after each tree of a model."""
+    staged, margin = assembled.withColumn("m0", F.lit(0.0)), "m0"
+    for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights), 1):
+        staged, margin = b.add_tree(staged, tree, weight, margin, f"m{k}"), f"m{k}"
+    names = [f"m{k}" for k in range(1, len(model.trees) + 1)]
+    return staged.withColumn(b.MARGINS, F.array(*names)).drop("m0", *names)
+
+
 def test_last_stage_is_the_model(fitted):
     model, assembled = fitted
-    staged = b.add_trees(model, assembled.withColumn(b.MARGIN, F.lit(0.0)), 0)
-    assert staged.select(F.size(b.MARGINS)).distinct().first()[0] == len(model.trees)
-    last = staged.select("id", b.probability(F.element_at(b.MARGINS, -1)).alias("staged"))
+    last = staged_rows(model, assembled).select("id", b.probability(F.element_at(b.MARGINS, -1)).alias("staged"))
     gap = b.score_rows(model, assembled).join(last, "id").agg(F.max(F.abs(F.col("score") - F.col("staged")))).first()[0]
     assert gap < 1e-12
 
@@ -41,7 +48,7 @@ def test_last_stage_is_the_model(fitted):
 def test_learning_curve_matches_the_definition(fitted):
     model, assembled = fitted
     sided = assembled.withColumn("side", F.when(F.col("id") % 5 == 0, "validation").otherwise("train"))
-    margins = b.add_trees(model, sided.withColumn(b.MARGIN, F.lit(0.0)), 0)
+    margins = staged_rows(model, sided)
     curve = b.learning_curve(b.staged_counts(margins, 0), rows_per_range=5).collect()
     assert len(curve) == 2 * len(model.trees)
     long = margins.select("side", "Target", F.posexplode(b.MARGINS).alias("n", "m"))
@@ -58,6 +65,16 @@ def test_learning_curve_matches_the_definition(fitted):
         assert r["average_precision"] == pytest.approx(ap)
 
 
+def test_staged_counts_fold_batches_of_odd_rows(spark):
+    data = [("validation", 1, [0.5, 1.0]), ("validation", 0, [0.5, 2.0]), ("train", 1, [0.5, 0.5]), (None, 0, [1.0, 1.0])] * 3
+    rows = spark.createDataFrame(data, f"side string, Target int, {b.MARGINS} array<double>").repartition(3)
+    found = b.staged_counts(rows, 10).collect()
+    assert sorted((r.side or "", r.n_trees, r.pos, r.neg) for r in found) == [
+        ("", 11, 0, 3), ("", 12, 0, 3), ("train", 11, 3, 0), ("train", 12, 3, 0), ("validation", 11, 3, 3), ("validation", 12, 0, 3), ("validation", 12, 3, 0),
+    ]
+    assert b.staged_counts(rows.limit(0), 0).count() == 0
+
+
 @pytest.mark.parametrize(
     "values, patience, best",
     [
@@ -74,10 +91,24 @@ def test_early_stopping(spark, values, patience, best):
     assert marked.filter("is_best").count() == 1 and b.best_tree_count(marked) == best
 
 
-def test_importance(spark, fitted):
+def splits_of(node):
+    if node.subtreeDepth() == 0:
+        return []
+    own = (node.split().featureIndex(), node.gain() * node.impurityStats().stats()[0])
+    return [own, *splits_of(node.leftChild()), *splits_of(node.rightChild())]
+
+
+def test_importance_is_the_mean_gain_per_split(spark, fitted):
     model, _ = fitted
-    table = b.feature_importance(model, FEATURES, spark, k=2).collect()
-    assert {r["feature"] for r in table} == {"x", "y"}
+    gains = {}
+    for tree in model.trees:
+        for pos, gain in splits_of(tree._call_java("rootNode")):
+            gains.setdefault(FEATURES[pos], []).append(gain)
+    means = {f: float(np.mean(g)) for f, g in gains.items()}
+    found = {r["feature"]: r["importance"] for r in b.feature_importance(model, [*FEATURES, "unused"], spark).collect()}
+    assert set(found) == {*FEATURES, "unused"} and found["unused"] == 0.0
+    assert all(found[f] == pytest.approx(m / sum(means.values())) for f, m in means.items())
+    assert {r["feature"] for r in b.feature_importance(model, FEATURES, spark, k=2).collect()} == {"x", "y"}
 
 
 def test_missing_feature_is_an_error(spark):
@@ -122,23 +153,38 @@ def trees_of(model, n):
     return [model.trees[i].toDebugString.split("\n", 1)[1] for i in range(n)]
 
 
-def test_equal_seeds_give_equal_leading_trees(spark, rows):
-    assembled = b.materialise(b.assemble(rows, FEATURES, ["Target"]))
-    weight = training.weight_of(rows)
-    small, large = (b.fit(assembled, weight, n, PARAMS) for n in (3, 7))
-    assert trees_of(small, 3) == trees_of(large, 3) and list(large.treeWeights)[:3] == list(small.treeWeights)
+def carved_rows(rows):
+    carved = b.materialise(split.stratified_split(rows, ["id"], names=("train", "validation")))
+    return b.materialise(b.assemble(carved, FEATURES, ["Target", "side"]))
 
 
-def test_growing_stops_before_the_budget_and_in_blocks_as_in_one(spark, rows):
-    carved = b.materialise(split.stratified_split(rows, ["id"], names=("train", "validation")))
-    carved = b.materialise(b.assemble(carved, FEATURES, ["Target", "side"]))
-    weight = training.weight_of(rows)
-    stopped = b.grow(carved, weight, BoostingParams(max_trees=400, first_trees=4, patience=3, max_depth=3, learning_rate=0.9))
+def test_growing_gives_the_trees_of_one_boosted_fit(spark, rows):
+    carved, weight = carved_rows(rows), training.weight_of(rows)
+    params = BoostingParams(max_trees=7, block_trees=3, patience=50, max_depth=3, learning_rate=0.3, row_share=1.0, feature_share=1.0)
+    grown = b.grow(carved, weight, params)
+    once = b.fit(carved.filter("side = 'train'"), weight, 7, params)  # draws depend on the parts of a table, so all rows and features are taken
+    n = grown.n_trees
+    assert list(grown.model.treeWeights) == list(once.treeWeights)[:n]
+    for mine, theirs in zip(grown.model.trees, once.trees):
+        pairs = list(zip(splits_of(mine._call_java("rootNode")), splits_of(theirs._call_java("rootNode")), strict=True))
+        assert all(a[0] == c[0] and a[1] == pytest.approx(c[1]) for a, c in pairs)
+
+
+def test_growing_stops_before_the_budget_and_in_blocks_as_in_one(spark, rows, tmp_path):
+    carved, weight = carved_rows(rows), training.weight_of(rows)
+    stopped = b.grow(carved, weight, BoostingParams(max_trees=400, block_trees=4, patience=3, max_depth=3, learning_rate=0.9))
     trained = stopped.curve.agg(F.max("n_trees")).first()[0]
-    assert trained < 400 and stopped.n_trees + 3 <= trained
+    assert trained < stopped.n_trees + 3 + 4 and stopped.n_trees + 3 <= trained < 400
     params = dict(max_trees=8, patience=50, max_depth=3, learning_rate=0.3)
-    blocks = b.grow(carved, weight, BoostingParams(first_trees=2, **params))
-    once = b.grow(carved, weight, BoostingParams(first_trees=8, **params))
+    blocks = b.grow(carved, weight, BoostingParams(block_trees=3, **params))
+    once = b.grow(carved, weight, BoostingParams(block_trees=8, **params))
     table = lambda g: {(r["side"], r["n_trees"]): (round(r["average_precision"], 9), round(r["log_loss"], 9), r["is_best"]) for r in g.curve.collect()}
     assert table(blocks) == table(once) and blocks.n_trees == once.n_trees
     assert sorted(map(tuple, blocks.validation.collect())) == sorted(map(tuple, once.validation.collect()))
+
+    scores = b.score_rows(blocks.model, carved.filter("side = 'validation'"))
+    counts = {(round(r.score, 12), r.pos, r.neg) for r in b.score_counts(scores).collect()}
+    assert counts == {(round(r.score, 12), r.pos, r.neg) for r in blocks.validation.collect()}
+    tables.save_model(blocks.model, str(tmp_path / "grown"))
+    again = tables.load_model(str(tmp_path / "grown"))
+    assert again.numFeatures == 3 and len(again.trees) == blocks.n_trees

@@ -44,7 +44,8 @@ PADDED = ["Protocol", "Flow Duration"]
 CLEAN_STATS = [clean_name(c) for c in SAMPLED_FEATURES if c not in dict(REDUNDANT_PAIRS)]
 LINE_COLUMNS = [*LINE_FEATURES, TARGET]
 LOGGED = ["l_extendedprice", "l_quantity", "l_discount"]
-SMALL_FIT = BoostingParams(max_trees=30, max_depth=4, learning_rate=0.3, patience=5, first_trees=15)
+SMALL_FIT = BoostingParams(max_trees=60, max_depth=4, learning_rate=0.3, patience=10)
+PLAIN_TREES = 30  # of the model that is only scored, listed and stored
 
 
 def query(f: Query) -> Query:
@@ -203,7 +204,7 @@ def log_feature_histogram(spark, sf_dir):
 
 
 def _explored(spark, sf_dir):
-    return profile.explore(lines(spark, sf_dir), LINE_FEATURES, k=4, drawn=2)
+    return profile.explore(lines(spark, sf_dir), LINE_FEATURES)
 
 
 @query
@@ -642,7 +643,7 @@ def _line_split(spark, sf_dir) -> DataFrame:
 def _small_model(spark, sf_dir):
     assembled = materialise(boosting.assemble(lines(spark, sf_dir), LINE_FEATURES, [*LINE_KEY, TARGET]), "lines")
     weight = split.class_weight(assembled).first()["weight"]
-    return boosting.fit(assembled, weight, SMALL_FIT.max_trees, SMALL_FIT), assembled
+    return boosting.fit(assembled, weight, PLAIN_TREES, SMALL_FIT), assembled
 
 
 @query
