@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from flowsift.functions.scalars import INFINITY, any_of, epoch_seconds, strip
 from flowsift.operators.clean import interval_names
@@ -63,6 +64,27 @@ def enforce(gates: DataFrame) -> list[str]:
     return [r["check"] for r in failed]
 
 
+@dataclass(frozen=True)
+class Gate:
+    """Checks over aggregates of a table. ``over`` scans it; ``watched`` has the aggregates gathered while it is written."""
+
+    aggregates: list[Column]
+    checks: list[Column]
+
+    def over(self, df: DataFrame) -> DataFrame:
+        return report(df.agg(*self.aggregates), self.checks)
+
+    def watched(self, df: DataFrame) -> tuple[DataFrame, Observation]:
+        """The table to write, and what will have seen its rows."""
+        seen = Observation()
+        return df.observe(seen, *self.aggregates), seen
+
+    def told(self, df: DataFrame, seen: Observation) -> DataFrame:
+        """The report on a table that has been written. Retried tasks of the write are counted once."""
+        kinds = df.limit(0).agg(*self.aggregates).schema
+        return report(df.sparkSession.createDataFrame([tuple(seen.get[c] for c in kinds.names)], kinds), self.checks)
+
+
 def data_columns(df: DataFrame, extra: Sequence[str] = ()) -> list[str]:
     return [c for c in df.columns if c not in NOT_DATA and c not in extra]
 
@@ -75,15 +97,27 @@ def merged_gate(
     drifted_width: int = DRIFTED_WIDTH,
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Row count near the expected one, a known width, and text columns only."""
+    return merged_checks(df, rows, tolerance, width, drifted_width, extra).over(df)
+
+
+def merged_checks(
+    df: DataFrame,
+    rows: int | None = EXPECTED_ROWS,
+    tolerance: int = ROW_TOLERANCE,
+    width: int = RAW_WIDTH,
+    drifted_width: int = DRIFTED_WIDTH,
+    extra: Sequence[str] = (),
+) -> Gate:
+    """Row count near the expected one (any, if that is None), a known width, and text columns only."""
     columns = data_columns(df, extra)
     types = dict(df.dtypes)
     other = [c for c in columns if types[c] != "string"]
     n = F.col("n")
-    return report(
-        df.agg(F.count("*").alias("n")),
+    counted = check("row_count", n, "> 0", n > 0) if rows is None else check("row_count", n, f"{rows} within {tolerance}", F.abs(n - rows) < tolerance)
+    return Gate(
+        [F.count("*").alias("n")],
         [
-            check("row_count", n, f"{rows} within {tolerance}", F.abs(n - rows) < tolerance),
+            counted,
             check("known_width", len(columns), f"{width} or {drifted_width}", len(columns) in (width, drifted_width)),
             check("base_width", len(columns), str(width), len(columns) == width, WARNING),
             check("text_columns", len(other), "0 other columns", not other),
@@ -148,6 +182,7 @@ def cleaned_gate(
 
     Labels are counted first; everything else rides on the same partial aggregate per label.
     """
+    checks = health_checks(df, strategy, width, extra).checks
     counts = [F.col("missing_cells"), F.col("infinite_cells")]
     per_label = df.groupBy(LABEL).agg(*_health(df, extra))
     aggregate = per_label.agg(
@@ -157,6 +192,11 @@ def cleaned_gate(
         F.count(LABEL).alias("labels"),
         F.count_if(F.col(LABEL) != strip(F.col(LABEL))).alias("padded"),
     )
+    return report(aggregate, checks + label_checks(labels))
+
+
+def health_checks(df: DataFrame, strategy: str, width: int | None = None, extra: Sequence[str] = ()) -> Gate:
+    """Schema and health of a cleaned table, without its labels."""
     checks = cleaned_schema_checks(df, strategy, width, extra) + [
         check("missing_cells", F.col("missing_cells"), "0", F.col("missing_cells") == 0),
         check("infinite_cells", F.col("infinite_cells"), "0", F.col("infinite_cells") == 0),
@@ -164,11 +204,21 @@ def cleaned_gate(
     ]
     if interval_names(df):
         checks.append(check("min_interval", F.col("min_interval"), ">= 0", F.col("min_interval") >= 0))
-    checks += [
+    return Gate(_health(df, extra), checks)
+
+
+def label_checks(labels: int) -> list[Column]:
+    return [
         check("label_count", F.col("labels"), str(labels), F.col("labels") == labels),
         check("padded_labels", F.col("padded"), "0", F.col("padded") == 0),
     ]
-    return report(aggregate, checks)
+
+
+def label_gate(df: DataFrame, labels: int = LABEL_COUNT) -> DataFrame:
+    """Number of labels and their padding, from the label column alone."""
+    distinct = df.groupBy(LABEL).agg(F.count("*").alias("n"))
+    padded = F.count_if(F.col(LABEL) != strip(F.col(LABEL))).alias("padded")
+    return report(distinct.agg(F.count(LABEL).alias("labels"), padded), label_checks(labels))
 
 
 def encode_input_gate(df: DataFrame, strategy: str) -> DataFrame:
@@ -195,6 +245,10 @@ def encode_input_gate(df: DataFrame, strategy: str) -> DataFrame:
 
 
 def encoded_gate(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    return encoded_checks(df, extra).over(df)
+
+
+def encoded_checks(df: DataFrame, extra: Sequence[str] = ()) -> Gate:
     """Only numeric columns and no missing cell."""
     types = dict(df.dtypes)
     columns = data_columns(df, extra)
@@ -203,8 +257,8 @@ def encoded_gate(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     bad = F.exists(double_array([c for c in columns if c not in texts]), is_missing) | any_of(
         quoted(c).isNull() for c in texts
     )
-    return report(
-        df.agg(F.count_if(bad).alias("bad_rows")),
+    return Gate(
+        [F.count_if(bad).alias("bad_rows")],
         [
             check("numeric_columns", len(other), "0 other columns", not other),
             check("rows_with_missing_cells", F.col("bad_rows"), "0", F.col("bad_rows") == 0),
@@ -228,6 +282,10 @@ def feature_gate(model_features: Sequence[str], df: DataFrame, extra: Sequence[s
 
 
 def side_gate(df: DataFrame, side: str, target: str, tolerance: float = 0.01) -> DataFrame:
+    return side_checks(side, target, tolerance).over(df)
+
+
+def side_checks(side: str, target: str, tolerance: float = 0.01) -> Gate:
     """Both sides non-empty and with attacks; the attack shares differ by under ``tolerance`` points.
 
     A single row of the smaller side may move its share by more than that; then its weight is the tolerance.
@@ -238,9 +296,7 @@ def side_gate(df: DataFrame, side: str, target: str, tolerance: float = 0.01) ->
     def attacks(name: str) -> Column:
         return F.count_if((F.col(side) == name) & (F.col(target) == 1))
 
-    aggregate = df.agg(
-        *[f(name).alias(f"{kind}_{name}") for name in ("train", "test") for kind, f in (("rows", rows), ("attacks", attacks))]
-    )
+    aggregates = [f(name).alias(f"{kind}_{name}") for name in ("train", "test") for kind, f in (("rows", rows), ("attacks", attacks))]
     share = {s: F.col(f"attacks_{s}") * 100.0 / F.nullif(F.col(f"rows_{s}").cast("double"), F.lit(0.0)) for s in ("train", "test")}
     drift = F.abs(share["train"] - share["test"])
     checks = [check(f"{s}_rows", F.col(f"rows_{s}"), "> 0", F.col(f"rows_{s}") > 0) for s in ("train", "test")]
@@ -248,4 +304,4 @@ def side_gate(df: DataFrame, side: str, target: str, tolerance: float = 0.01) ->
     one_row = 100.0 / F.nullif(F.least(F.col("rows_train"), F.col("rows_test")).cast("double"), F.lit(0.0))
     limit = F.greatest(F.lit(tolerance), one_row)
     checks.append(check("attack_share_drift", F.round(drift, 6), f"< {tolerance} points", drift < limit))
-    return report(aggregate, checks)
+    return Gate(aggregates, checks)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,7 +17,7 @@ from flowsift.operators.split import (
     stratified_split,
     to_matrix,
 )
-from flowsift.schema import ROW_KEY, SOURCE_DAY, SOURCE_ORDER, STRATIFIED, TARGET, TIME_BASED, check_strategy
+from flowsift.schema import DRIFTED_WIDTH, LABEL, RAW_WIDTH, ROW_KEY, SOURCE_DAY, SOURCE_ORDER, STRATIFIED, TARGET, TIME_BASED, check_strategy
 from flowsift.sources.csv_days import day_slices, list_sources, merge_reconciliation, merge_sources
 from flowsift.sources.tables import read_parquet, write_parquet
 
@@ -34,19 +35,37 @@ def passed(report: DataFrame, stage: str) -> None:
         log.warning("%s: check %s failed", stage, name)
 
 
-def merge_job(spark: SparkSession, folder: str, out: str, strategy: str = STRATIFIED, action: str = "drop") -> None:
+def write_gated(df: DataFrame, gate: gates.Gate, stage: str, out: str, by: Sequence[str] = ()) -> None:
+    """Write a table and check what the gate's aggregates saw of it on the way: the rows are not scanned again."""
+    watched, seen = gate.watched(df)
+    write_parquet(watched, out, list(by))
+    passed(gate.told(df, seen), stage)
+
+
+def merge_job(
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    strategy: str = STRATIFIED,
+    action: str = "drop",
+    manifest: str | None = None,
+    rows: int | None = None,
+    widths: tuple[int, int] | None = None,
+) -> None:
     """Merge the CSV sources: one table for ``8020_stratified``, one partition per day for ``time_based``.
 
-    Fails if a source has other rows in the table than in its files.
+    Fails if a source has other rows in the table than in its files, if not all columns are texts, if the table is not near the expected number of
+    ``rows`` (None: not empty), or if its width is none of ``widths``, the usual and the drifted one (None: those of the capture's files).
+    ``manifest`` is a path where headers of known sources are kept.
     """
     check_strategy(strategy)
-    sources = list_sources(spark, folder)
+    sources = list_sources(spark, folder, manifest)
     if not sources:
         raise ValueError(f"no CSV sources in {folder}")
-    if strategy == TIME_BASED:
-        write_parquet(day_slices(spark, sources), out, [SOURCE_DAY])
-    else:
-        write_parquet(merge_sources(spark, sources, action), out)
+    merged = day_slices(spark, sources) if strategy == TIME_BASED else merge_sources(spark, sources, action)
+    usual, drifted = widths or (RAW_WIDTH, DRIFTED_WIDTH)
+    gate = gates.merged_checks(merged, rows, width=usual, drifted_width=drifted)
+    write_gated(merged, gate, "merge", out, [SOURCE_DAY] if strategy == TIME_BASED else [])
     differing = merge_reconciliation(spark, sources, read_parquet(spark, out)).filter("NOT passed").limit(20).collect()
     if differing:
         raise gates.GateError(f"rows lost or added while merging: {[tuple(r) for r in differing]}")
@@ -63,10 +82,11 @@ def clean_job(
     raw = read_parquet(spark, merged)
     if strategy == TIME_BASED:
         cleaned = clean(raw.withColumn(SOURCE_DAY, F.col(SOURCE_DAY).cast("string")), strategy, SOURCE_ORDER)
-        write_parquet(cleaned.hint("rebalance", SOURCE_DAY), out, [SOURCE_DAY])
+        cleaned, by = cleaned.hint("rebalance", SOURCE_DAY), [SOURCE_DAY]
     else:
-        write_parquet(clean(raw, strategy, row_key=ROW_KEY), out)
-    passed(gates.cleaned_gate(read_parquet(spark, out), strategy, width, labels), "clean")
+        cleaned, by = clean(raw, strategy, row_key=ROW_KEY), []
+    write_gated(cleaned, gates.health_checks(cleaned, strategy, width), "clean", out, by)
+    passed(gates.label_gate(read_parquet(spark, out, [LABEL]), labels), "clean")
 
 
 def encode_job(spark: SparkSession, cleaned: str, out: str, strategy: str) -> None:
@@ -74,8 +94,7 @@ def encode_job(spark: SparkSession, cleaned: str, out: str, strategy: str) -> No
     df = read_parquet(spark, cleaned)
     passed(gates.encode_input_gate(df, strategy), "encode")
     encoded = encode(df, strategy)
-    write_parquet(encoded, out, [SOURCE_DAY] if strategy == TIME_BASED else [])
-    passed(gates.encoded_gate(read_parquet(spark, out)), "encoded")
+    write_gated(encoded, gates.encoded_checks(encoded), "encoded", out, [SOURCE_DAY] if strategy == TIME_BASED else [])
 
 
 def split_job(
@@ -105,5 +124,4 @@ def split_job(
     else:
         split = stratified_split(df, [ROW_KEY])
         matrix = to_matrix(split, key=[ROW_KEY])
-    passed(gates.side_gate(split, "side", TARGET, MAX_DRIFT if strategy == STRATIFIED else ANY_DRIFT), "split")
-    write_parquet(matrix, out, ["side"])
+    write_gated(matrix, gates.side_checks("side", TARGET, MAX_DRIFT if strategy == STRATIFIED else ANY_DRIFT), "split", out, ["side"])

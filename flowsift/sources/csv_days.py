@@ -7,13 +7,13 @@ Sources with the same header share one scan, so the plan grows with the number o
 
 from __future__ import annotations
 
+import csv
 import re
-from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from flowsift.functions.scalars import missing_to_null
@@ -40,22 +40,6 @@ class Source:
         return [c.strip() for c in self.header]
 
 
-@dataclass(frozen=True)
-class Drift:
-    """How headers differ from the base header, and which columns the merged table gets."""
-
-    base_source: str
-    base_columns: list[str]
-    extra: dict[str, list[str]] = field(default_factory=dict)
-    missing: dict[str, list[str]] = field(default_factory=dict)
-    keep_extra: bool = False
-
-    @property
-    def columns(self) -> list[str]:
-        added = [c for names in self.extra.values() for c in names] if self.keep_extra else []
-        return self.base_columns + list(dict.fromkeys(added))
-
-
 def root_of(spark: SparkSession, folder: str) -> str:
     """The folder as Spark lists it, with its scheme."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -77,8 +61,23 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     ).orderBy("path")
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """Up to ``n`` lines from the start of a file. The file system streams them to the driver: no job, no listing, no more than a buffer is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        lines = (reader.readLine() for _ in range(n))
+        return [line for line in lines if line is not None]
+    finally:
+        stream.close()
+
+
 def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)
+    """The names in a file's first line, as Spark's CSV reader names columns: nameless and repeated ones get their position."""
+    found = next(csv.reader(line.lstrip("\ufeff") for line in first_lines(spark, path, 1)), [])
+    lowered = [c.lower() for c in found]
+    return tuple(f"_c{i}" if not c else f"{c}{i}" if lowered.count(c.lower()) > 1 else c for i, c in enumerate(found))
 
 
 def known_headers(spark: SparkSession, manifest: str | None) -> dict[tuple[str, int], tuple[str, ...]]:
@@ -94,7 +93,7 @@ def known_headers(spark: SparkSession, manifest: str | None) -> dict[tuple[str,
 def list_sources(spark: SparkSession, folder: str, manifest: str | None = None) -> list[Source]:
     """Sources by name with the header of their first file.
 
-    One small job per source reads a header; ``scan`` later checks that header against every file. With a
+    One job lists the files, whatever their number; ``scan`` later checks each header against every file. With a
     ``manifest``, a path, headers are kept there and only sources whose first file is new are opened.
     """
     place = F.min(F.struct("path", "bytes"))
@@ -136,38 +135,36 @@ def inventory(spark: SparkSession, folder: str, sources: Sequence[Source]) -> Da
     )
 
 
-def resolve_drift(headers: Mapping[str, Sequence[str]], action: str = "drop") -> Drift:
-    """Base header = that of the first source with the most common width; others differ by column names.
+def base_header(manifest: DataFrame) -> DataFrame:
+    """The columns (pos, column) of the base source: among those of the most common width, the first by name."""
+    widths = manifest.groupBy("source").agg(F.count("*").alias("width"))
+    sharing = widths.withColumn("sharing", F.count("*").over(Window.partitionBy("width")))
+    base = sharing.orderBy(F.desc("sharing"), "source").limit(1).select("source")
+    return manifest.join(base, "source", "left_semi").select("pos", "column")
 
-    ``drop`` keeps the base columns only, ``keep`` adds the extra ones. A column that a source lacks is NULL.
-    """
+
+def header_drift(manifest: DataFrame) -> DataFrame:
+    """One row (source, pos, column, difference) per column that a source has beyond the base header (``extra``) or lacks (``missing``)."""
+    base = base_header(manifest)
+    extra = manifest.join(base.select("column"), "column", "left_anti").withColumn("difference", F.lit("extra"))
+    wanted = manifest.select("source").distinct().crossJoin(base)  # sources x one header
+    missing = wanted.join(manifest.select("source", "column"), ["source", "column"], "left_anti").withColumn("difference", F.lit("missing"))
+    order = ["source", "pos", "column", "difference"]
+    return extra.select(order).unionAll(missing.select(order))
+
+
+def merged_columns(spark: SparkSession, sources: Sequence[Source], action: str = "drop") -> list[str]:
+    """Columns of the merged table: ``drop`` keeps those of the base header, ``keep`` adds what other sources have beyond it, in their order."""
     if action not in ("drop", "keep"):
         raise ValueError(f"unknown drift action {action!r}; expected 'drop' or 'keep'")
-    if not headers:
+    if not sources:
         raise ValueError("no sources")
-    sharing = Counter(map(len, headers.values()))
-    base_source = max(headers, key=lambda name: sharing[len(headers[name])])
-    base = list(headers[base_source])
-    extra = {n: [c for c in cols if c not in base] for n, cols in headers.items()}
-    missing = {n: [c for c in base if c not in cols] for n, cols in headers.items()}
-    return Drift(
-        base_source,
-        base,
-        {n: c for n, c in extra.items() if c},
-        {n: c for n, c in missing.items() if c},
-        action == "keep" and any(extra.values()),
-    )
-
-
-def drift_report(spark: SparkSession, drift: Drift) -> DataFrame:
-    """One row per source and column that differs from the base header."""
-    rows = [
-        (name, column, kind)
-        for kind, found in (("extra", drift.extra), ("missing", drift.missing))
-        for name, columns in found.items()
-        for column in columns
-    ]
-    return spark.createDataFrame(rows, "source string, column string, difference string")
+    manifest = header_manifest(spark, sources)
+    columns = base_header(manifest).select(F.lit(None).cast("string").alias("source"), "pos", "column")
+    if action == "keep":
+        columns = columns.unionAll(header_drift(manifest).filter("difference = 'extra'").select("source", "pos", "column"))
+    first = columns.groupBy("column").agg(F.min(F.struct(F.coalesce("source", F.lit("")), "pos")).alias("place"))
+    return [r["column"] for r in first.orderBy("place").collect()]
 
 
 def provenance(root: str) -> list[Column]:
@@ -197,25 +194,27 @@ def scan(spark: SparkSession, header: Sequence[str], paths: Sequence[str], root:
     return rows.select(*(provenance(root) if root is not None else []), *texts)
 
 
-def preview(spark: SparkSession, sources: Sequence[Source], n: int = 5) -> dict[str, list]:
-    """The first ``n`` rows of each source's first file; a limit stops the read after them."""
-
-    def head(s: Source) -> list:
-        return scan(spark, s.header, [s.first_file]).limit(n).collect()
+def preview_table(spark: SparkSession, sources: Sequence[Source], columns: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows of each source's first file as (source, pos, the given columns); columns that a source lacks are NULL.
 
+    Lines come from the file system and are parsed by Spark's CSV parser, once per distinct header.
+    """
     with ThreadPoolExecutor(HEADER_READERS) as pool:
-        return dict(zip((s.name for s in sources), pool.map(head, sources)))
+        lines = dict(zip((s.name for s in sources), pool.map(lambda s: first_lines(spark, s.first_file, n + 1)[1:], sources)))
+    parsed = None
+    for header in dict.fromkeys(s.header for s in sources):
+        rows = [(s.name, i, line) for s in sources if s.header == header for i, line in enumerate(lines[s.name])]
+        schema = ", ".join(f"{quoted_name(c.strip())} string" for c in header)
+        told = spark.createDataFrame(rows, "source string, pos int, line string")
+        cells = told.select("source", "pos", F.from_csv("line", schema, {"escape": '"', "quote": '"'}).alias("_cells"))
+        names = {c.strip() for c in header}
+        part = cells.select("source", "pos", *[(missing_to_null(F.col("_cells")[c]) if c in names else F.lit(None).cast("string")).alias(c) for c in columns])
+        parsed = part if parsed is None else parsed.unionByName(part)
+    return parsed
 
 
-def preview_table(spark: SparkSession, sources: Sequence[Source], columns: Sequence[str], n: int = 5) -> DataFrame:
-    """``preview`` as rows (source, position, the given columns)."""
-    rows = [
-        (name, i, *[row[c] for c in columns])
-        for name, found in preview(spark, sources, n).items()
-        for i, row in enumerate(found)
-    ]
-    kinds = ", ".join(f"`{c}` string" for c in columns)
-    return spark.createDataFrame(rows, f"source string, pos int, {kinds}")
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def by_header(sources: Sequence[Source]) -> dict[tuple[str, ...], list[str]]:
@@ -237,7 +236,7 @@ def stack(spark: SparkSession, sources: Sequence[Source], columns: Sequence[str]
 
 def merge_sources(spark: SparkSession, sources: Sequence[Source], action: str = "drop") -> DataFrame:
     """One all-text table over all sources, drift resolved."""
-    return stack(spark, sources, resolve_drift(headers_of(sources), action).columns)
+    return stack(spark, sources, merged_columns(spark, sources, action))
 
 
 def csv_row_counts(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.operators.boosting import BoostingParams
+from flowsift.operators import gates
 from flowsift.operators.gates import GateError
 from flowsift.operators.split import feature_columns
 from flowsift.plans import preparation as p, training
@@ -13,6 +14,9 @@ from flowsift.session import shared_root
 HEADER = "Dst Port,Protocol,Timestamp,Flow Duration,Flow IAT Min,Flow Byts/s,Label\n"
 
 
+WIDTH = HEADER.count(",") + 1
+
+
 def day_text(day, rows, start=0):
     lines = [
         f"80,{(6, 17)[i % 2]},{day:02}/03/2018 {8 + i // 60:02}:{i % 60:02}:00,{start + i},{-i},{i % 7},{'Bot' if i % 3 else 'Benign'}\n"
@@ -33,7 +37,7 @@ def landing(tmp_path):
 
 def run(spark, landing, tmp_path, strategy, **options):
     paths = [str(tmp_path / name) for name in ("merged", "cleaned", "encoded", "split")]
-    p.merge_job(spark, landing, paths[0], strategy)
+    p.merge_job(spark, landing, paths[0], strategy, manifest=str(tmp_path / "headers"), widths=(WIDTH, WIDTH))
     p.clean_job(spark, paths[0], paths[1], strategy, width=5 if strategy == STRATIFIED else 6, labels=2)
     p.encode_job(spark, paths[1], paths[2], strategy)
     p.split_job(spark, paths[2], paths[3], strategy, **options)
@@ -67,6 +71,10 @@ def test_gates_stop_a_job(spark, landing, tmp_path):
     run(spark, landing, tmp_path, STRATIFIED)
     with pytest.raises(GateError, match="label_count"):
         p.clean_job(spark, str(tmp_path / "merged"), str(tmp_path / "other"), STRATIFIED, width=5)
+    with pytest.raises(GateError, match="known_width"):
+        p.merge_job(spark, landing, str(tmp_path / "out"))
+    with pytest.raises(GateError, match="row_count"):
+        p.merge_job(spark, landing, str(tmp_path / "out"), rows=10**6, widths=(WIDTH, WIDTH))
     (tmp_path / "empty").mkdir()
     with pytest.raises(Exception):
         p.merge_job(spark, str(tmp_path / "empty"), str(tmp_path / "out"))
@@ -76,9 +84,31 @@ def test_gates_stop_a_job(spark, landing, tmp_path):
         p.encode_job(spark, str(tmp_path / "leaky"), str(tmp_path / "out"), STRATIFIED)
 
 
+def test_a_manifest_is_kept_by_the_job(spark, landing, tmp_path):
+    run(spark, landing, tmp_path, STRATIFIED)
+    assert spark.read.parquet(str(tmp_path / "headers")).count() == 3
+
+
+def test_gates_see_a_table_while_it_is_written(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 4).selectExpr("cast(id as double) x", "if(id = 7, null, cast(id as double)) y")
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            scans.add(b.num_rows)
+            yield b
+
+    with pytest.raises(GateError, match="rows_with_missing_cells: observed 1"):
+        p.write_gated(df.mapInArrow(counted, df.schema), gates.encoded_checks(df), "encoded", str(tmp_path / "t"))
+    assert scans.value == 1000  # written and checked in one pass
+    none = spark.createDataFrame([], df.schema)
+    p.write_gated(none, gates.encoded_checks(none), "encoded", str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_a_stored_split_is_trained_on_and_leaves_no_scratch(spark, landing, tmp_path):
     run(spark, landing, tmp_path, TIME_BASED)
-    small = BoostingParams(max_trees=3, first_trees=3, max_depth=2)
+    small = BoostingParams(max_trees=3, max_depth=2)
     root = Path(shared_root(spark).removeprefix("file://")) / "flowsift"
     before = set(root.glob("*")) if root.exists() else set()
     found = training.train_job(spark, str(tmp_path / "split"), str(tmp_path / "run"), TIME_BASED, small)

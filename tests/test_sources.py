@@ -56,15 +56,28 @@ def test_scans_follow_headers_not_files(spark, landing):
     assert plan_of(s.merge_sources(spark, sources)).count("FileScan") == 2
 
 
-def test_drift_rules():
-    drift = s.resolve_drift({"a": ["p", "q"], "b": ["p", "q", "r"], "c": ["p", "z"]})
-    assert (drift.base_source, drift.base_columns) == ("a", ["p", "q"])
-    assert drift.extra == {"b": ["r"], "c": ["z"]} and drift.missing == {"c": ["q"]}
-    assert drift.columns == ["p", "q"]
-    assert s.resolve_drift({"a": ["p"], "b": ["p", "r"], "c": ["r", "p"]}, "keep").columns == ["p", "r"]
-    assert s.resolve_drift({"a": ["p"], "b": ["p", "r"], "c": ["r", "p"]}).base_source == "b"
-    # a tie between widths goes to the first file
-    assert s.resolve_drift({"a": ["p"], "b": ["p", "r"]}).base_source == "a"
+def test_drift_rules(spark):
+    def of(headers):
+        return [s.Source(n, n, n, tuple(c), "") for n, c in headers.items()]
+
+    def found(headers):
+        return {(r["source"], r["column"], r["difference"]) for r in s.header_drift(s.header_manifest(spark, of(headers))).collect()}
+
+    assert found({"a": ["p", "q"], "b": ["p", "q", "r"], "c": ["p", "z"]}) == {("b", "r", "extra"), ("c", "z", "extra"), ("c", "q", "missing")}
+    assert s.merged_columns(spark, of({"a": ["p", "q"], "b": ["p", "q", "r"], "c": ["p", "z"]})) == ["p", "q"]
+    assert s.merged_columns(spark, of({"a": ["p"], "b": ["p", "r"], "c": ["r", "p"]}), "keep") == ["p", "r"]
+    assert s.merged_columns(spark, of({"b": ["p", "r"], "a": ["p", "r"], "c": ["y", "p", "x", "r"]}), "keep") == ["p", "r", "y", "x"]
+    # a tie between widths goes to the first source by name
+    assert s.merged_columns(spark, of({"b": ["p", "r"], "a": ["q"]})) == ["q"]
+    with pytest.raises(ValueError):
+        s.merged_columns(spark, of({"a": ["p"]}), "merge")
+
+
+def test_headers_are_named_as_the_reader_names_them(spark, landing):
+    folder = landing(odd='A,"b ""x"", c",,a,D\n1,2,3,4,5\n', empty="")
+    paths = {p: f"{folder}/{p}.csv" for p in ("odd", "empty")}
+    assert s.read_header(spark, paths["odd"]) == tuple(spark.read.options(**s.CSV_OPTIONS).csv(paths["odd"]).columns)
+    assert s.read_header(spark, paths["empty"]) == ()
 
 
 def test_drift_inside_a_source_fails(spark, tmp_path):
@@ -105,7 +118,7 @@ def test_preview(spark, landing):
 
 def test_day_slices_and_sizes(spark, landing, tmp_path):
     folder, out = landing(**DRIFTED), str(tmp_path / "days")
-    preparation.merge_job(spark, folder, out, TIME_BASED)
+    preparation.merge_job(spark, folder, out, TIME_BASED, widths=(3, 4))
     back = tables.read_parquet(spark, out)
     assert sorted(p.name for p in (tmp_path / "days").glob("source_day=*")) == [f"source_day=day{i}" for i in (1, 2, 3)]
     assert set(back.columns) == {"source_day", *SOURCE_ORDER, "A", "B", "Label", "X"}

@@ -556,10 +556,10 @@ QUALIFY row_number() OVER (PARTITION BY source_day ORDER BY row_no) <= 5"""
     def strongest(k):
         return f"(SELECT feature FROM ({sql['target_correlations']}) ORDER BY abs(corr) DESC, feature LIMIT {k})"
 
-    chosen = [f"({side} = 'Target' OR {side} IN {strongest(4)})" for side in ("feature_a", "feature_b")]
+    chosen = [f"({side} = 'Target' OR {side} IN {strongest(15)})" for side in ("feature_a", "feature_b")]
     sql["explored_matrix"] = f"SELECT * FROM ({sql['correlation_matrix']}) WHERE {' AND '.join(chosen)}"
-    sql["explored_quartiles"] = f"SELECT * FROM ({quartiles(LINE_FEATURES)}) WHERE feature IN {strongest(2)}"
-    sql["explored_histogram"] = f"SELECT * FROM ({log_bins(LINE_FEATURES)}) WHERE feature IN {strongest(2)}"
+    sql["explored_quartiles"] = f"SELECT * FROM ({quartiles(LINE_FEATURES)}) WHERE feature IN {strongest(3)}"
+    sql["explored_histogram"] = f"SELECT * FROM ({log_bins(LINE_FEATURES)}) WHERE feature IN {strongest(3)}"
     sql["merge_reconciliation"] = f"""WITH {week_flows(FLOWS)}
 SELECT source_day AS source, count(*) AS csv_rows, count(*) AS merged_rows, true AS passed FROM flows GROUP BY 1"""
     sql["stored_strategies"] = f"WITH {FLOWS} SELECT '8020_stratified' AS strategy, count(*) AS n FROM flows"

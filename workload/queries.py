@@ -24,6 +24,7 @@ from flowsift.schema import (
 from flowsift.session import materialise, scratch_path
 from flowsift.sources import csv_days, tables
 from workload.flows import (
+    IDENTIFIER_SQL,
     LINE_FEATURES,
     LINE_KEY,
     ORDER,
@@ -38,6 +39,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 RAW_WIDTH = len(RAW_COLUMNS)
+LANDED = (RAW_WIDTH, RAW_WIDTH + len(IDENTIFIER_SQL))  # columns of the usual weeks, and with those of the drifted week
 WEEKS = [f"week-{k}" for k in range(5)]
 DRIFTED_WEEK = "week-2"
 PADDED = ["Protocol", "Flow Duration"]
@@ -513,8 +515,7 @@ def source_preview(spark, sf_dir):
 
 @query
 def header_drift(spark, sf_dir):
-    headers = csv_days.headers_of(_sources(spark, sf_dir))
-    return csv_days.drift_report(spark, csv_days.resolve_drift(headers))
+    return csv_days.header_drift(csv_days.header_manifest(spark, _sources(spark, sf_dir))).drop("pos")
 
 
 @query
@@ -532,7 +533,7 @@ def merged_rows_keep(spark, sf_dir):
 @query
 def day_slice_rows(spark, sf_dir):
     out = scratch_path(spark, "day_slices")
-    preparation.merge_job(spark, _landing(spark, sf_dir), out, TIME_BASED)
+    preparation.merge_job(spark, _landing(spark, sf_dir), out, TIME_BASED, widths=LANDED)
     return (
         tables.read_parquet(spark, out)
         .groupBy(F.col("source_day").cast("string").alias("source_day"))
@@ -558,7 +559,7 @@ def stored_strategies(spark, sf_dir):
 @query
 def merged_size_ratio(spark, sf_dir):
     out = scratch_path(spark, "merged")
-    preparation.merge_job(spark, _landing(spark, sf_dir), out)
+    preparation.merge_job(spark, _landing(spark, sf_dir), out, widths=LANDED)
     return csv_days.size_comparison(spark, _landing(spark, sf_dir), out)
 
 
@@ -612,7 +613,7 @@ def _prepared(spark, sf_dir, strategy) -> str:
     """Landing folder to split table by the library's jobs."""
     folder = _landing(spark, sf_dir)
     merged, clean_out, encoded_out, out = (scratch_path(spark, n) for n in ("merged", "cleaned", "encoded", "split"))
-    preparation.merge_job(spark, folder, merged, strategy)
+    preparation.merge_job(spark, folder, merged, strategy, widths=LANDED)
     preparation.clean_job(spark, merged, clean_out, strategy, width=13 if strategy == STRATIFIED else 14, labels=5)
     preparation.encode_job(spark, clean_out, encoded_out, strategy)
     preparation.split_job(spark, encoded_out, out, strategy)
