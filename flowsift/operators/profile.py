@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowsift.functions.folds import MOMENTS_TYPE, co_moments, smallest_values
 from flowsift.functions.scalars import finite, is_stray_header, numbers, strip, to_number
 from flowsift.operators.clean import interval_names
 from flowsift.operators.ranks import smallest_rows
@@ -193,24 +194,41 @@ def redundant_pairs(
     return wide.select(F.inline(F.array(*entries)))
 
 
-#: Buckets per unit of the logarithm, and the quartiles.
+#: Buckets per unit of the logarithm, those a bucket is cut into, rows that one task may rank, and the quartiles.
 LOG_BUCKETS = 4096
+FINER_BUCKETS = 4096
+RANKED_ROWS = 1_000_000
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def correlations(df: DataFrame, columns: Sequence[str], with_last_only: bool = False) -> DataFrame:
-    """(i, j, corr) over the columns' positions: Pearson correlations of complete rows; a constant column gives null.
+def cross_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, product) over the columns' positions, i <= j: centred sums of products over the rows that have every value.
 
-    One aggregate in long form over the pairs i < j, or over the pairs with the last column only. Pairs are spread
-    and folded within each task, so a task hands on one row per pair, whatever the number of rows.
+    Each task folds its rows into one, of numbers, means and products; only these few rows are spread by pair. Parts are put together by
+    their distance from the common means. A table without complete rows gives null products.
     """
-    last = len(columns) - 1
-    cells = df.select(F.array(*[quoted(c).cast("double") for c in columns]).alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
-    right = F.array(F.lit(last)) if with_last_only else F.sequence(F.col("i") + 1, F.lit(last))
-    pairs = cells.select("v", F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("i")).select("v", "i", F.explode(right).alias("j"))
-    x, y = F.get("v", F.col("i")), F.get("v", F.col("j"))
-    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-    return pairs.groupBy("i", "j").agg((F.covar_pop(x, y) / spread).alias("corr"))
+    width = len(columns)
+    cells = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    parts = materialise(cells.mapInArrow(co_moments, MOMENTS_TYPE), "co_moments")
+    at = parts.select("n", F.posexplode("means").alias("i", "mean"))
+    common = at.groupBy("i").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+    centre = F.array_sort(F.collect_list(F.struct("i", "mean")))["mean"]
+    shifted = parts.crossJoin(F.broadcast(common.agg(centre.alias("common"))))  # one row of as many numbers as columns
+    spread = shifted.select("n", F.zip_with("means", "common", lambda a, b: a - b).alias("step"), F.posexplode("products").alias("place", "product"))
+    i, j = F.expr(f"place div {width}"), F.expr(f"place % {width}")
+    whole = F.col("product") + F.col("n") * F.get("step", i) * F.get("step", j)
+    sums = spread.filter(i <= j).groupBy(i.cast("int").alias("i"), j.cast("int").alias("j")).agg(F.sum(whole).alias("product"))
+    every = df.sparkSession.range(width * width).select(F.expr(f"int(id div {width})").alias("i"), F.expr(f"int(id % {width})").alias("j"))
+    return every.filter("i <= j").join(F.broadcast(sums), ["i", "j"], "left")  # a row per pair of columns
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, corr) over the columns' positions, i <= j: Pearson correlations of complete rows, 1 on the diagonal; a constant column gives null."""
+    products = materialise(cross_products(df, columns), "cross_products")
+    own = products.filter("i = j")
+    both = products.join(F.broadcast(own.select("i", F.col("product").alias("_x"))), "i").join(F.broadcast(own.select("j", F.col("product").alias("_y"))), "j")
+    spread = F.nullif(F.sqrt("_x") * F.sqrt("_y"), F.lit(0.0))
+    return both.select("i", "j", F.when(F.col("i") == F.col("j"), F.when(F.col("_x") > 0, 1.0)).otherwise(F.col("product") / spread).alias("corr"))
 
 
 def _names(columns: Sequence[str]) -> Column:
@@ -219,7 +237,8 @@ def _names(columns: Sequence[str]) -> Column:
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
     """Pearson correlation of every feature with the target."""
-    found = correlations(df, [*features, target], with_last_only=True)
+    last = len(features)
+    found = correlations(df, [*features, target]).filter((F.col("j") == last) & (F.col("i") < last))
     return found.select(F.get(_names(features), F.col("i")).alias("feature"), "corr")
 
 
@@ -235,41 +254,30 @@ def top_correlated(df: DataFrame, features: Sequence[str], target: str = TARGET,
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All pairwise Pearson correlations in long form, 1 on the diagonal unless the column is constant."""
     columns = list(columns)
-    found = materialise(correlations(df, columns), "correlations")
-    varied = [F.coalesce(F.var_pop(quoted(c).cast("double")) > 0, F.lit(False)) for c in columns]
-    complete = df.dropna(subset=columns)
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col(f"v{i}"), 1.0).alias("corr")) for i in range(len(columns))])
-    own = complete.agg(*[v.alias(f"v{i}") for i, v in enumerate(varied)]).select(F.inline(entries)).select("i", F.col("i").alias("j"), "corr")
-    both = found.union(found.select("j", "i", "corr")).union(own)
+    found = correlations(df, columns)
+    both = found.union(found.filter("i < j").select("j", "i", "corr"))
     name = lambda at: F.get(_names(columns), F.col(at))
     return both.select(name("i").alias("feature_a"), name("j").alias("feature_b"), "corr")
 
 
 def column_profile(df: DataFrame, k: int = 3) -> DataFrame:
-    """Type and the ``k`` smallest distinct values of every column.
+    """Type and the ``k`` smallest distinct values, as text, of every column.
 
-    Pass ``i`` takes each column's minimum above the one found before: ``k`` aggregates that shuffle one
-    row per task, instead of a distinct over every cell.
+    One scan: a task hands on no more than ``k`` rows, the smallest values of each column side by side. These are folded in groups of tasks, then in all.
     """
     columns, types = df.columns, dict(df.dtypes)
-    found: list[list] = [[] for _ in columns]
-    for _ in range(k):
-        minima = []
-        for i, c in enumerate(columns):
-            value = quoted(c)
-            if found[i] and found[i][-1] is None:
-                value = F.lit(None).cast(types[c])
-            elif found[i]:
-                value = F.when(value > F.lit(found[i][-1]).cast(types[c]), value)
-            minima.append(F.min(value).alias(str(i)))
-        row = df.agg(*minima).first()
-        for i in range(len(columns)):
-            found[i].append(row[i])
-    rows = []
-    for i, c in enumerate(columns):
-        for rank, value in enumerate((v for v in found[i] if v is not None), start=1):
-            rows.append((c, types[c], rank, str(value)))
-    return df.sparkSession.createDataFrame(rows, "column string, type string, rank int, value string")
+    plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
+    kinds = ", ".join(f"{c} {kind}" for c, kind in plain.dtypes)  # all may be null here
+    kept = plain.mapInArrow(smallest_values(k), kinds).withColumn("_part", F.spark_partition_id() % 1000)
+
+    def few(name: str) -> Column:
+        return F.slice(F.array_sort(F.collect_set(name)), 1, k)
+
+    groups = kept.groupBy("_part").agg(*[few(c).alias(c) for c in plain.columns])
+    whole = groups.agg(*[F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, k).cast("array<string>").alias(c) for c in plain.columns])
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(f"c{i}").alias("values")) for i, c in enumerate(columns)])
+    long = whole.select(F.inline(entries)).select("column", "type", F.posexplode("values").alias("rank", "value"))
+    return long.select("column", "type", (F.col("rank") + 1).alias("rank"), "value")
 
 
 def head_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
@@ -282,37 +290,44 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> Da
     return smallest_rows(df, n, key, seed)
 
 
-def log_quartiles(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
+def log_quartiles(df: DataFrame, features: Sequence[str], target: str = TARGET, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Size, extremes and quartiles of ``log1p(feature)`` per class, exact and over all rows.
 
     Rows are counted per value bucket; a double has no logarithm beyond 710, so there is a bounded number of buckets. The
-    running count names the few buckets that hold a wanted rank, and only the values in these are counted
-    one by one. Quartiles between two ranks are interpolated. Values at or below -1 have no logarithm.
+    running count names the few buckets that hold a wanted rank. Each is cut between its smallest and largest value, again and again, until it
+    holds no more than ``ranked_rows`` rows or a single value; only then are its values counted one by one. Quartiles between two ranks are
+    interpolated. Values at or below -1 have no logarithm.
     """
     logs = df.select(target, *[F.log1p(quoted(c).cast("double")).alias(c) for c in features])
     long = logs.unpivot([target], list(features), "feature", "value").filter("value IS NOT NULL AND NOT isnan(value)")
     group = ["feature", target]
-    bucketed = long.withColumn("_bucket", F.floor(F.col("value") * LOG_BUCKETS))
-    counts = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high"))
-    counts = materialise(counts, "buckets")
-    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high"))
-    shares = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in QUARTILES.items()])
-    place = (F.col("n") - 1) * F.col("_q.p")
-    ranks = sizes.select(*group, "n", F.explode(shares).alias("_q")).select(
-        *group, F.col("_q.name").alias("_name"), (place - F.floor(place)).alias("_part"), F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"),
-        F.floor(place).alias("_first"),
-    )
-    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    running = counts.withColumn("_upto", F.sum("_n").over(upto))
-    inside = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-    wanted = running.join(F.broadcast(ranks), group).filter(inside)  # six ranks a group at most
-    wanted = materialise(wanted.select(*group, "_bucket", "_name", "_part", "_first", "_rank", (F.col("_upto") - F.col("_n")).alias("_before")), "ranks")
-    few = F.broadcast(wanted.select(*group, "_bucket", "_before").distinct())
-    values = bucketed.join(few, [*group, "_bucket"]).groupBy(*group, "_bucket", "_before", "value").agg(F.count("*").alias("_m"))
-    within = Window.partitionBy(*group, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("_to", F.col("_before") + F.sum("_m").over(within))
-    hit = (F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_m"))
-    found = values.drop("_before").join(F.broadcast(wanted), [*group, "_bucket"]).filter(hit)
+    inside = long.select(*group, "value", F.array().cast("array<bigint>").alias("_outer"), F.floor(F.col("value") * LOG_BUCKETS).alias("_bucket"))
+    before, sizes, ranks = F.lit(0).cast("long"), None, None
+    while True:
+        path = F.concat("_outer", F.array("_bucket")).alias("_path")
+        counted = inside.groupBy(*group, "_outer", path).agg(F.count("*").alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+        counts = materialise(counted, "buckets")
+        if sizes is None:
+            sizes = counts.groupBy(*group).agg(F.sum("_n").alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high"))
+            ranks = wanted_ranks(sizes, group).withColumn("_outer", F.array().cast("array<bigint>")).withColumn("_before", before)
+        upto = Window.partitionBy(*group, "_outer").orderBy("_path").rowsBetween(Window.unboundedPreceding, 0)
+        running = counts.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(ranks), [*group, "_outer"])  # six ranks a group at most
+        first = F.col("_before") + F.col("_upto") - F.col("_n")
+        hit = (F.col("_rank") >= first) & (F.col("_rank") < F.col("_before") + F.col("_upto"))
+        found = running.filter(hit).select(*group, "_name", "_part", "_first", "_rank", first.alias("_before"), F.col("_path").alias("_outer"), "_n", "_low", "_high")
+        ranks = materialise(found, "ranks")
+        kept = ranks.select(*group, "_outer", "_low", "_high").distinct()
+        rows = inside.withColumn("_outer", F.concat("_outer", F.array("_bucket"))).drop("_bucket").join(F.broadcast(kept), [*group, "_outer"])
+        if ranks.filter((F.col("_n") > ranked_rows) & (F.col("_low") < F.col("_high"))).isEmpty():
+            break
+        part = (F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+        inside = rows.withColumn("_bucket", F.coalesce(F.floor(part * FINER_BUCKETS), F.lit(0))).drop("_low", "_high")
+        ranks = ranks.drop("_n", "_low", "_high")
+    values = rows.groupBy(*group, "_outer", "value").agg(F.count("*").alias("_m"))
+    within = Window.partitionBy(*group, "_outer").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("_to", F.sum("_m").over(within)).join(F.broadcast(ranks), [*group, "_outer"])
+    place = F.col("_rank") - F.col("_before")
+    found = placed.filter((place < F.col("_to")) & (place >= F.col("_to") - F.col("_m")))
     low, high = (F.max(F.when(c, F.col("value"))) for c in (F.col("_rank") == F.col("_first"), F.col("_rank") > F.col("_first")))
     quartile = found.groupBy(*group, "_name").agg(low.alias("_a"), high.alias("_b"), F.max("_part").alias("_part"))
     point = F.col("_a") + F.coalesce((F.col("_b") - F.col("_a")) * F.col("_part"), F.lit(0.0))
@@ -320,6 +335,16 @@ def log_quartiles(df: DataFrame, features: Sequence[str], target: str = TARGET)
     return sizes.join(wide, group).select(*group, "n", "low", *QUARTILES, "high")
 
 
+def wanted_ranks(sizes: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The one or two ranks (from 0) next to each quartile of a group, and the quartile's place between them."""
+    shares = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in QUARTILES.items()])
+    place = (F.col("n") - 1) * F.col("_q.p")
+    return sizes.select(*group, "n", F.explode(shares).alias("_q")).select(
+        *group, F.col("_q.name").alias("_name"), (place - F.floor(place)).alias("_part"), F.floor(place).alias("_first"),
+        F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"),
+    )
+
+
 def log_histogram(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
     """Rows per unit-width bin of ``log1p(feature)`` and class; doubles have fewer than 800 such bins."""
     logs = df.select(target, *[F.log1p(quoted(c).cast("double")).alias(c) for c in features])

@@ -133,3 +133,53 @@ def test_explore(spark):
     corr = {(r["feature_a"], r["feature_b"]): r["corr"] for r in p.correlation_matrix(spark.createDataFrame(frame), ["strong", "flat", "Target"]).collect()}
     assert corr["strong", "Target"] == pytest.approx(np.corrcoef(frame.strong, y)[0, 1]) and corr["strong", "strong"] == 1.0
     assert corr["flat", "flat"] is None and corr["flat", "Target"] is None
+
+
+def quartiles_of(df, **options):
+    rows = p.log_quartiles(df, ["v"], **options).collect()
+    return {r["Target"]: [r["n"], r["low"], r["q1"], r["median"], r["q3"], r["high"]] for r in rows}
+
+
+def test_quartiles_of_a_crowded_bucket(spark):
+    near = F.pmod(F.hash("id"), F.lit(1_000_003)) * 1e-16 + 5.0  # all in one bucket, and in one of its parts
+    df = spark.range(0, 60_000, 1, 4).select((F.col("id") % 2).cast("int").alias("Target"), F.when(F.col("id") % 7 == 0, 5.0).when(F.col("id") < 40, F.col("id") * 1e9).otherwise(near).alias("v"))
+    plain = df.toPandas()
+    found = quartiles_of(df, ranked_rows=50)
+    for target, values in plain.groupby("Target")["v"]:
+        logs = np.log1p(values.to_numpy())
+        assert found[target] == pytest.approx([len(logs), logs.min(), *np.quantile(logs, [0.25, 0.5, 0.75]), logs.max()], rel=1e-12)
+    assert quartiles_of(df) == found
+
+
+def test_a_million_values_in_one_bucket(spark):
+    df = spark.range(0, 1_200_000, 1, 8).select(F.lit(1).alias("Target"), (F.col("id") * 1e-12 + 1.0).alias("v"))
+    found = quartiles_of(df, ranked_rows=20_000)[1]
+    logs = np.log1p(np.arange(1_200_000) * 1e-12 + 1.0)
+    assert found == pytest.approx([len(logs), logs.min(), *np.quantile(logs, [0.25, 0.5, 0.75]), logs.max()], rel=1e-14)
+
+
+def test_correlations_spread_no_rows_and_keep_digits(spark):
+    pick = np.random.default_rng(5)
+    x = pick.normal(size=3000)
+    frame = pd.DataFrame({"a": 1e9 + x, "b": 1e9 - 2 * x + pick.normal(size=3000), "flat": 1e9, "c": x**2})
+    frame.loc[::11, "c"] = np.nan
+    found = {(r["feature_a"], r["feature_b"]): r["corr"] for r in p.correlation_matrix(spark.createDataFrame(frame).repartition(5), list(frame)).collect()}
+    wanted = frame.dropna()[["a", "b", "c"]].corr()
+    for a in "abc":
+        for b in "abc":
+            assert found[a, b] == pytest.approx(wanted.loc[a, b], abs=1e-6)
+        assert found[a, "flat"] is found["flat", a] is None
+    assert found["flat", "flat"] is None and len(found) == 16
+    empty = p.correlation_matrix(spark.createDataFrame(frame).limit(0), ["a", "b"]).collect()
+    assert len(empty) == 4 and all(r["corr"] is None for r in empty)
+
+
+def test_column_profile_of_many_types_and_tasks(spark):
+    df = spark.range(0, 500, 1, 7).selectExpr(
+        "cast(id as int) n", "date_add(date'2020-01-01', cast(id % 4 as int)) d", "if(id % 2 = 0, null, concat('t', id % 5)) t", "cast(null as double) none", "id % 2 = 0 flag", "cast(id % 3 as decimal(5,1)) dec",
+    )
+    found = {}
+    for r in p.column_profile(df).orderBy("column", "rank").collect():
+        found.setdefault(r["column"], []).append(r["value"])
+    assert found == {"n": ["0", "1", "2"], "d": ["2020-01-01", "2020-01-02", "2020-01-03"], "t": ["t0", "t1", "t2"], "flag": ["false", "true"], "dec": ["0.0", "1.0", "2.0"]}
+    assert p.column_profile(df.limit(0)).count() == 0
