@@ -16,6 +16,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A character outside the ranges in which every Unicode version agrees on letters, numbers and spaces.
 UNUSUAL = re.compile("[^\x00-ɏ - ]")
 
+#: The faster library's pattern steps back through a run of white space and gives up on very long ones.
+LONG_BLANK = 10_000
+BLANKS = re.compile(rf"\s{{{LONG_BLANK}}}")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of every byte in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
@@ -28,7 +32,8 @@ class TextEncoder:
     """The ids that the vocabulary file's own library gives.
 
     Texts of characters on which all Unicode versions agree go through the faster of two libraries with the same
-    merges; the others go through the file's own library, whose character tables are then decisive.
+    merges; the others go through the file's own library, whose character tables are then decisive, and so do texts with a very long
+    run of white space.
     """
 
     def __init__(self, path: str):
@@ -44,7 +49,7 @@ class TextEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers. Special tokens spelled out in the text count as such."""
-        if UNUSUAL.search(text):
+        if UNUSUAL.search(text) or (len(text) >= LONG_BLANK and BLANKS.search(text)):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from flowsift.llm.packing import best_fit, cut_points, document_pieces, pack_documents, pack_pieces
 from flowsift.llm.queries import vocabulary
+from flowsift.llm.tokens import text_encoder
 
 NAME = vocabulary("byte_bpe_50k.json")
 
@@ -86,3 +87,9 @@ def test_groups_hold_all_pieces(documents):
     groups = -(-len(packed) // 100)
     assert sequences <= len(plain_best_fit([r.length for r in packed], 256)) + groups
     pieces.unpersist()
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "word " + " \n\t" * 700_000 + "end", ("x" + " " * 9_999) * 50])
+def test_long_white_space(text):
+    encoder = text_encoder(vocabulary("byte_bpe_50k.json"))
+    assert encoder.ids(text).tolist() == encoder.own.encode(text, add_special_tokens=False).ids
