@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.session import materialise
 
@@ -23,42 +23,54 @@ BLOCK_ROWS = 16_384
 BATCH_QUERIES = 256
 #: Most significant bits of each attribute that are sliced.
 SLICE_BITS = 7
-#: Components beyond this have no exact score in 64 bits and take no part.
-LARGEST = float(1 << 24)
+#: Scores of vectors whose components are at most sqrt(2^62 / dimension) are exact in 64 bits; others are worked out in whole Python numbers,
+#: a portion of rows at a time.
+EXACT = float(1 << 62)
+WIDE_ROWS = 1_000
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 INDEX_SCHEMA = "block int, dim int, ids binary, vectors binary, lows binary, left_out int, slices binary, n int"
-BATCH_SCHEMA = "batch int, dim int, query_ids binary, queries binary"
-HITS_SCHEMA = "batch int, place int, query_id long, vec_id long, score long"
+BATCH_SCHEMA = "batch int, dim int, query_rows binary, query_ids binary, queries binary"
+HITS_SCHEMA = "query_row long, query_id long, vec_id long, score long"
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(key, ints, dim) of the rows that take part: a key, no null, no non-finite and no oversized component."""
-    parts = F.transform(F.col(vector), lambda x: x.cast("double"))
-    fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < LARGEST)
-    rows = df.select(F.col(key).cast("long").alias("key"), parts.alias("parts"))
+    """(row, key, parts, dim, wide) of the rows that take part: a key, no null and no non-finite component, also when scaled.
+
+    ``parts`` are whole numbers, as doubles; ``wide`` rows have one that is too large for exact scores in 64 bits.
+    """
+    parts = F.transform(F.col(vector), lambda x: _floor(x.cast("double") * scale))
+    fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), parts.alias("parts"))
     rows = rows.filter(F.col("key").isNotNull() & F.col("parts").isNotNull() & F.forall("parts", fit))
-    ints = F.transform("parts", lambda x: F.floor(x * scale).cast("int"))
-    return rows.select("key", ints.alias("ints"), F.size("parts").alias("dim"))
+    largest = F.coalesce(F.array_max(F.transform("parts", F.abs)), F.lit(0.0))
+    dim = F.size("parts")
+    return rows.withColumn("dim", dim).withColumn("wide", largest * largest * F.greatest(dim, F.lit(1)) >= EXACT)
+
+
+def _floor(x: Column) -> Column:
+    """The largest whole number not above ``x``, as a double: those of 2^53 and more are whole already."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
 
 
-def _matrices(batches: Iterator[pa.RecordBatch], rows_each: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, matrix) of the rows of a task, in portions of one dimension."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+def _matrices(batches: Iterator[pa.RecordBatch], rows_each: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, rows, ids, matrix) of the vectors of a task (row, key, parts, dim), in portions of one dimension."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+    def joined(dim: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        return (dim, *[np.concatenate(p) for p in zip(*held.pop(dim))])
+
     for batch in batches:
-        ids, dims = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        rows, ids, dims = (batch.column(n).to_numpy() for n in ("row", "key", "dim"))
         for dim in np.unique(dims).tolist():
             at = np.flatnonzero(dims == dim)
-            matrix = batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-            parts = held.setdefault(dim, [])
-            parts.append((ids[at], matrix))
-            if sum(len(i) for i, _ in parts) >= rows_each:
-                yield dim, np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
-                held[dim] = []
-    for dim, parts in held.items():
-        if parts:
-            yield dim, np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
+            matrix = batch.column("parts").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+            held.setdefault(dim, []).append((rows[at], ids[at], matrix))
+            if sum(len(r) for r, _, _ in held[dim]) >= rows_each:
+                yield joined(dim)
+    for dim in list(held):
+        yield joined(dim)
 
 
 def sliced(matrix: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
@@ -129,13 +141,23 @@ def at_least(total: list[np.ndarray], bound: int, among: np.ndarray) -> np.ndarr
     return more | equal
 
 
+def stored_numbers(matrix: np.ndarray) -> bytes:
+    """Whole numbers in 32 bits each if they fit, else in 64."""
+    small = np.abs(matrix).max(initial=0) < 1 << 31
+    return matrix.astype(np.int32 if small else np.int64).tobytes()
+
+
+def whole_numbers(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * rows * dim else np.int64).reshape(rows, dim)
+
+
 class Block:
     """A block of the index, as stored."""
 
     def __init__(self, row: dict):
         self.dim, self.left_out = row["dim"], row["left_out"]
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vectors = np.frombuffer(row["vectors"], np.int32).reshape(len(self.ids), self.dim)
+        self.vectors = whole_numbers(row["vectors"], len(self.ids), self.dim)
         self.words = -(-len(self.ids) // 64)
         bits = len(row["slices"]) // max(1, 8 * self.dim * self.words)
         self.slices = np.frombuffer(row["slices"], np.uint64).reshape(bits, self.dim, self.words)
@@ -174,11 +196,12 @@ def build_index(vectors: DataFrame, blocks: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        for dim, ids, matrix in _matrices(batches, BLOCK_ROWS):
+        for dim, _, ids, floats in _matrices(batches, BLOCK_ROWS):
+            matrix = floats.astype(np.int64)
             lows, left_out, slices = sliced(matrix)
             row = {
                 "block": TaskContext.get().partitionId(), "dim": dim, "ids": ids.astype(np.int64).tobytes(),
-                "vectors": matrix.astype(np.int32).tobytes(), "lows": lows.astype(np.int32).tobytes(),
+                "vectors": stored_numbers(matrix), "lows": lows.astype(np.int64).tobytes(),
                 "left_out": left_out, "slices": slices.tobytes(), "n": len(ids),
             }
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
@@ -193,51 +216,96 @@ def query_batches(queries: DataFrame, batches: int) -> DataFrame:
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        for number, (dim, ids, matrix) in enumerate(_matrices(rows, BATCH_QUERIES)):
-            values = [(TaskContext.get().partitionId() << 10) + number, dim, ids.astype(np.int64).tobytes(), matrix.astype(np.int32).tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["batch", "dim", "query_ids", "queries"])
+        for number, (dim, own, ids, matrix) in enumerate(_matrices(rows, BATCH_QUERIES)):
+            blobs = [own.astype(np.int64).tobytes(), ids.astype(np.int64).tobytes(), stored_numbers(matrix.astype(np.int64))]
+            values = [(TaskContext.get().partitionId() << 10) + number, dim, *blobs]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["batch", "dim", "query_rows", "query_ids", "queries"])
 
     return queries.repartition(batches).mapInArrow(pack, BATCH_SCHEMA)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of ``vectors`` for each of ``queries`` (both key, ints, dim): query_id, rank, vec_id, score.
+HITS = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    Every batch of queries meets every block of the index once; what leaves a pair is k rows per query. A row of
-    a query's own id is no candidate for it, vectors of other dimensions neither. Equal queries are answered each.
-    """
+
+def indexed_hits(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each index block for each query. Every batch of queries meets every block once."""
     blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
     index = materialise(build_index(vectors, blocks), "index")
     batches = materialise(query_batches(queries, max(1, math.ceil(queries.count() / BATCH_QUERIES))), "batches")
 
     def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
                 block = Block(row)
-                ids = np.frombuffer(row["query_ids"], np.int64)
-                asked = np.frombuffer(row["queries"], np.int32).reshape(len(ids), row["dim"])
+                own, ids = (np.frombuffer(row[c], np.int64) for c in ("query_rows", "query_ids"))
+                asked = whole_numbers(row["queries"], len(ids), row["dim"])
                 out: list[list[np.ndarray]] = [[], [], [], []]
-                for place, (own, query) in enumerate(zip(ids.tolist(), asked)):
-                    at, scores = block.top(own, query, k)
-                    for column, values in zip(out, (np.full(len(at), place), np.full(len(at), own), block.ids[at], scores)):
+                for number, key, query in zip(own.tolist(), ids.tolist(), asked):
+                    at, scores = block.top(key, query, k)
+                    for column, values in zip(out, (np.full(len(at), number), np.full(len(at), key), block.ids[at], scores)):
                         column.append(values)
-                place, own, found, scores = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                arrays = [np.full(len(place), row["batch"]), place, own, found, scores]
-                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, kinds)], names=["batch", "place", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], schema=HITS)
 
     everywhere = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hits = everywhere.join(index, ["block", "dim"]).mapInArrow(search, HITS_SCHEMA)
-    best = F.row_number().over(Window.partitionBy("batch", "place", "query_id").orderBy(F.desc("score"), "vec_id"))
+    return everywhere.join(index, ["block", "dim"]).mapInArrow(search, HITS_SCHEMA)
+
+
+def portions(vectors: DataFrame, side: str) -> DataFrame:
+    """Vectors packed as they are, some hundreds to a row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, rows, ids, matrix in _matrices(batches, WIDE_ROWS):
+            values = [dim, *[x.tobytes() for x in (rows.astype(np.int64), ids.astype(np.int64), matrix.astype(np.float64))]]
+            names = ["dim", *[f"{side}_{n}" for n in ("rows", "ids", "parts")]]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), *[pa.binary()] * 3])], names=names)
+
+    return vectors.mapInArrow(pack, f"dim int, {side}_rows binary, {side}_ids binary, {side}_parts binary")
+
+
+def wide_hits(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each portion of vectors for each query, in whole numbers of any size. Scores beyond 64 bits count as the last one that fits."""
+    least, most = -(1 << 63), (1 << 63) - 1
+
+    def numbers(data: bytes, dim: int, rows: int) -> np.ndarray:
+        return np.array([int(x) for x in np.frombuffer(data, np.float64)], dtype=object).reshape(rows, dim)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row, found = batch.slice(n, 1).to_pylist()[0], []
+                own, keys, ids = (np.frombuffer(row[c], np.int64) for c in ("q_rows", "q_ids", "v_ids"))
+                matrix = numbers(row["v_parts"], row["dim"], len(ids))
+                for number, key, query in zip(own.tolist(), keys.tolist(), numbers(row["q_parts"], row["dim"], len(own))):
+                    scores = [min(most, max(least, int(s))) for s in matrix @ query] if row["dim"] else [0] * len(ids)
+                    best = sorted((-s, i) for s, i in zip(scores, ids.tolist()) if i != key)[:k]
+                    found += [(number, key, i, -s) for s, i in best]
+                yield pa.RecordBatch.from_pylist([dict(zip(HITS.names, f)) for f in found], HITS)
+
+    return portions(queries, "q").join(portions(vectors, "v"), "dim").mapInArrow(search, HITS_SCHEMA)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``vectors`` for each of ``queries`` (both row, key, parts, dim, wide): query_id, rank, vec_id, score.
+
+    What leaves a pair of a query batch and an index block is k rows per query. A row of a query's own id is no candidate for it, vectors
+    of other dimensions neither. Equal queries are answered each. Vectors with very large components are compared apart, exactly.
+    """
+    plain = vectors.filter("not wide")
+    hits = indexed_hits(plain, queries.filter("not wide"), k)
+    wide = vectors.filter("wide")
+    if not wide.isEmpty():
+        hits = hits.unionAll(wide_hits(wide, queries, k)).unionAll(wide_hits(plain, queries.filter("wide"), k))
+    best = F.row_number().over(Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_embeddings(table: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """Top ``k`` for the rows whose vec_id is divisible by ``every``, against all rows, by integer inner product.
 
-    Null vectors and vectors with null, non-finite or oversized components take no part, nor do rows without an id. A
-    vector without components has score 0. Repeated ids are rows of their own, but never found by their own id.
+    Null vectors and vectors with null or non-finite components take no part, nor do rows without an id. A
+    vector without components has score 0. Repeated ids are rows of their own, but never found by their own id. Other columns take no part.
     """
     rows = materialise(quantised(table, "vec_id", "embedding", scale), "vectors")
     return top_k(rows, rows.filter(F.col("key") % every == 0), k)

@@ -10,12 +10,12 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def plain(rows, k=10):
-    fit = [(r.vec_id, np.floor(1024 * np.array(r.embedding, dtype=np.float64)).astype(np.int64)) for r in rows
+    fit = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in rows
            if r.vec_id is not None and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
     out = []
     for q, v in fit:
         if q % 100 == 0:
-            scores = sorted(((-int(v @ w), i) for i, w in fit if i != q and len(w) == len(v)))[:k]
+            scores = sorted(((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in fit if i != q and len(w) == len(v)))[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
@@ -69,3 +69,19 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(df) == plain(df.collect())
     assert search_embeddings(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[20_000.0, 1e6], [3e7, -4e12], [1e30, -3e38]])
+def test_large_components(spark, sizes):
+    random = np.random.default_rng(7)
+    rows = [(i, random.normal(size=6).astype(np.float32).tolist(), 0) for i in range(250)]
+    for i in (0, 17, 100, 101, 200):
+        rows[i][1][i % 6] = sizes[i % 2]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], f"{SCHEMA}, `row` string, key int").repartition(3)
+    assert found(df) == plain(df.collect())
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, [float(i % 7), 1.0], 0, "a", "b", 1, None) for i in range(120)]
+    df = spark.createDataFrame(rows, f"{SCHEMA}, parts string, score string, dim int, wide boolean")
+    assert found(df) == plain(df.collect())
