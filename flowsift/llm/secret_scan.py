@@ -15,7 +15,6 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate, product
@@ -329,21 +328,32 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     """Base secrets of a text, and all secrets with those in its layers, by start, kind and end."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(matches(text), key=order)
-    every, work = set(base), deque([Layer(text)])
+    every, root = set(base), Layer(text)
+    root.seen = frozenset([digest_of(text)])
+    work = [unwrapped(root)]
     while work:
-        layer = work.popleft()
-        digest = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if digest in layer.seen:
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
             continue
-        seen = layer.seen | {digest}
-        for unwrap in UNWRAPPERS:
-            for inner in unwrap(layer):
-                inner.seen = seen
-                every.update((*inner.place(start, end), kind) for start, end, kind in matches(inner.text))
-                work.append(inner)
+        every.update((*inner.place(start, end), kind) for start, end, kind in matches(inner.text))
+        digest = digest_of(inner.text)
+        if digest not in inner.parent.seen:
+            inner.seen = inner.parent.seen | {digest}
+            work.append(unwrapped(inner))
     return base, sorted(every, key=order)
 
 
+def digest_of(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def unwrapped(layer: Layer) -> Iterator[Layer]:
+    """The layers inside a layer, made one at a time: the worklist is depth first, so each depth holds one of them."""
+    for unwrap in UNWRAPPERS:
+        yield from unwrap(layer)
+
+
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 

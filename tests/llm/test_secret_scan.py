@@ -186,3 +186,18 @@ def test_a_nested_run_over_the_border_of_a_window(pack):
             content = b"word " * (((1 << 22) - before) // 5) + run.encode() + b" tail" * 10
             coded = b64(pack(content))
             assert assigned(f"x: {coded} y", coded)
+
+
+def test_unpacked_content_is_held_a_window_at_a_time():
+    import tracemalloc
+
+    content = b"some quiet prose, line after line, with nothing to hide. " * 4600  # 256 kB
+    packer = zlib.compressobj(9)
+    packed = b"".join([*(packer.compress(content) for _ in range(80)), packer.compress(b" password=hunter2hunter2 "), packer.flush()])  # of 20 MB
+    text = "x " + base64.b64encode(packed).decode() + " y"
+    tracemalloc.start()
+    base, every = scan(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not base and [(k, s, e) for s, e, k in every] == [("assign", 2, len(text) - 2)]
+    assert peak < 60 << 20
