@@ -46,7 +46,7 @@ PADDED = ["Protocol", "Flow Duration"]
 CLEAN_STATS = [clean_name(c) for c in SAMPLED_FEATURES if c not in dict(REDUNDANT_PAIRS)]
 LINE_COLUMNS = [*LINE_FEATURES, TARGET]
 LOGGED = ["l_extendedprice", "l_quantity", "l_discount"]
-SMALL_FIT = BoostingParams(max_trees=60, max_depth=4, learning_rate=0.3, patience=10)
+SMALL_FIT = BoostingParams(max_trees=40, max_depth=4, learning_rate=0.3, patience=10)
 PLAIN_TREES = 30  # of the model that is only scored, listed and stored
 
 
