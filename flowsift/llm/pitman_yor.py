@@ -7,16 +7,16 @@ and the predictive probabilities are averaged over them.
 
 Where the work lies:
 
-* Words are hashed to 64 bits by Spark; one pass counts them. Words with a share of ``frequent_share`` or more are the
+* Words are hashed to 64 bits by Spark in the only pass over the texts. Words with a share of ``frequent_share`` or more are the
   frequent ones, so there are 1 / ``frequent_share`` of them at most, and all counts among them fit in one small matrix.
-* Documents are cut into blocks of some million tokens. A block sends each of its other words once, with its counts, to
-  the part of the hash range that the word falls into, and learns the counts of all blocks. Then it sends the word with
-  its contexts, the word's seating is sampled, and the block gets its answer in the order in which it asked. No word is
-  ever sent once per occurrence.
+* Documents are cut into blocks of some million tokens. A block sends each of its words once, with its counts, to the part of the
+  hash range that the word falls into, and learns the word's number there and the counts of all blocks. From then on words
+  go by these numbers, which are short. The block sends words with their contexts, the word's seating is sampled, and the
+  block gets its answer in the order in which it asked. No word is ever sent once per occurrence.
 * Frequent words after other contexts go to parts by the context instead, so the words and pairs of one part are bounded,
   whatever share a word has of the text. The parent's customers are scaled up there from the part's own to all.
-* A pair's tables are told to one of the blocks that asked for it. The blocks add them up by context and send the sums to
-  the part of the context, which tells all blocks that have it the context's tables.
+* Each part adds up its tables by context and sends the sums to the part of the context, which tells all blocks that have it
+  the context's tables.
 """
 
 from __future__ import annotations
@@ -30,19 +30,24 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.llm.common import ascii_lower, text_of, words_of
+from flowsift.llm.common import ascii_lower, forget, text_of, words_of
 from flowsift.session import materialise
 
 #: Stands for the end of a text, which is also the context of its first word.
 END = np.int64(0x5851F42D4C957F2D)
 
-COUNT_SCHEMA = "block long, part int, payload binary"
+TOLD_SCHEMA = "block long, part int, payload binary"
+COUNT_SCHEMA = "block long, part int, payload binary, word long, n double"
 MESSAGE_SCHEMA = "block long, part int, payload binary, context int, word int, n long"
 ANSWER_SCHEMA = "block long, part int, payload binary, context int, tables double"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-DOCUMENTS, CONTEXTS = -1, -2  # the part numbers of a block's own documents and of the contexts of its pairs
+DOCUMENTS = -1  # the part number of a block's own documents
+TABLES = -1  # the block number of tables that are told to the part of their contexts
+TOTALS = ("tokens", "types", "once", "twice", "tables")
+PART_BITS = 40  # a word's number is its part, and its place among the part's words in so many bits
+BYTES_A_TOKEN = 6  # as assumed for the number of parts
 SMALL = 64  # customers up to which the number of tables is sampled exactly
 
 
@@ -66,7 +71,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Totals of the training tokens; ``frequent`` is sorted, ``counts`` are theirs.
+    """Totals of the training tokens; ``frequent`` holds the numbers of the frequent words, sorted, ``counts`` are theirs.
 
     ``customers`` is the mean number of the parent's customers, where known.
     """
@@ -156,35 +161,34 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Tokens]
         yield joined(rows)
 
 
-def learn_corpus(docs: DataFrame, settings: Settings) -> Corpus:
-    """Count all training tokens, combined per block; the driver gets the most frequent words and totals only."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks_of(batches, settings.block_tokens):
-            words, counts = np.unique(block.tokens[np.repeat(~block.held, block.lengths)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts.astype(np.int64))], names=["word", "n"])
-
-    totals = Observation()
-    counts = hashed(docs).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    watched = counts.observe(
-        totals,
-        F.sum("n").alias("tokens"),
-        F.count("*").alias("types"),
-        F.count_if(F.col("n") == 1).alias("once"),
-        F.count_if(F.col("n") == 2).alias("twice"),
-        F.sum(mean_tables(F.col("n"), settings)).alias("tables"),
-    )
-    top = watched.orderBy(F.desc("n"), "word").limit(math.ceil(1 / settings.frequent_share)).collect()
-    seen = totals.get
-    tokens = seen["tokens"] or 0
-    frequent = sorted((r["word"], r["n"]) for r in top if r["n"] >= settings.frequent_share * tokens)
-    customers = seen["tables"] or 0.0
+@dataclass
+class Counted:
+    """Stored blocks: their documents, their words' numbers and counts by part, and the number of parts."""
+
+    documents: DataFrame
+    words: DataFrame
+    parts: int
+
+
+def learn_corpus(counted: Counted, settings: Settings) -> Corpus:
+    """Totals of all training tokens; the driver gets these and the most frequent words only."""
+    found = counted.words.filter("block IS NULL")
+    totals = {TOTALS[-1 - r["part"]]: r["n"] for r in found.filter("part < 0").groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    tokens, types, once, twice, tables = (totals.get(name, 0.0) for name in TOTALS)
+    tokens = int(tokens)
+    top = found.filter("part >= 0").select("word", "n").orderBy(F.desc("n"), "word").limit(most_frequent(settings)).collect()
+    frequent = sorted((r["word"], int(r["n"])) for r in top if r["n"] >= settings.frequent_share * tokens)
+    customers = tables
     if settings.context_share > 0:
-        chosen = counts.filter(F.col("n") >= least_count(tokens, settings))
-        customers = tokens + (chosen.agg(F.sum(mean_tables(F.col("n"), settings) - F.col("n"))).first()[0] or 0.0)
-    once, twice = seen["once"], seen["twice"]
+        chosen = np.array([r["n"] for r in top if r["n"] >= least_count(tokens, settings)])
+        customers = tokens + float((expected_tables(chosen, settings.discount, settings.strength) - chosen).sum())
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    return Corpus(tokens, seen["types"], discount, np.array([w for w, _ in frequent], np.int64), np.array([n for _, n in frequent], np.int64), customers)
+    return Corpus(tokens, int(types), discount, np.array([w for w, _ in frequent], np.int64), np.array([n for _, n in frequent], np.int64), customers)
+
+
+def most_frequent(settings: Settings) -> int:
+    """How many words can have the share of a frequent word or, where that is given, of a context."""
+    return math.ceil(1 / min(s for s in (settings.frequent_share, settings.context_share) if s > 0))
 
 
 def found_at(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -196,21 +200,23 @@ def found_at(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == values, at, -1)
 
 
-def pairs_of(words: np.ndarray, places: np.ndarray, lengths: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def pairs_of(end: int, places: np.ndarray, lengths: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(tokens that are a known word after a context, their keys): a key is place * words + place of the token before.
 
-    ``places`` are the tokens' places among the block's sorted ``words``, ``counts`` the words' training tokens; contexts
-    have ``least`` of them or more.
+    ``places`` are the tokens' places among the block's sorted words, ``end`` is that of a text's end, ``counts`` are the
+    words' training tokens; contexts have ``least`` of them or more.
     """
     before = np.empty(len(places), np.int64)
     before[1:] = places[:-1]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = np.searchsorted(words, END)
+    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
     at = np.flatnonzero((counts[places] > 0) & (counts[before] >= least))
-    return at, places[at].astype(np.int64) * len(words) + before[at]
+    return at, places[at].astype(np.int64) * len(counts) + before[at]
 
 
-def parts_of(corpus: Corpus, settings: Settings) -> int:
-    return max(1, math.ceil(corpus.tokens / settings.part_tokens))
+def parts_of(docs: DataFrame, settings: Settings) -> int:
+    """The number of parts, by the size of the texts."""
+    size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    return max(1, math.ceil(size / BYTES_A_TOKEN / settings.part_tokens))
 
 
 def least_count(tokens: int, settings: Settings) -> float:
@@ -241,8 +247,9 @@ def by_part(home: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
         yield part, slice(cuts[part], cuts[part + 1])
 
 
-def counted_blocks(docs: DataFrame, settings: Settings, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Per block its documents; and its words' training tokens in all blocks, in the order of its sorted words."""
+def counted_blocks(docs: DataFrame, settings: Settings, parts: int | None = None) -> Counted:
+    """Read the texts once, store them as blocks of tokens, and count their words."""
+    parts = parts or parts_of(docs, settings)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in enumerate(blocks_of(batches, settings.block_tokens)):
@@ -251,81 +258,113 @@ def counted_blocks(docs: DataFrame, settings: Settings, parts: int) -> tuple[Dat
             counts = np.bincount(places[np.repeat(~block.held, block.lengths)], minlength=len(words))
             ids = pa.array(block.ids, pa.int64())
             known = np.array([i is not None for i in block.ids], np.uint8)
-            mine = [ids.fill_null(0).to_numpy(), known, block.held.astype(np.uint8), block.lengths, places.astype(np.int32), deltas(words)]
+            end = np.searchsorted(words, np.array([END]))
+            mine = [ids.fill_null(0).to_numpy(), known, block.held.astype(np.uint8), block.lengths, places.astype(np.int32), end]
             rows = [(block_id, DOCUMENTS, pack(mine))]
             for part, here in by_part(part_of(words, parts), parts):
                 rows.append((block_id, part, pack([deltas(words[here]), counts[here].astype(np.uint32)])))
-            yield batch_of(rows, COUNT_SCHEMA)
+            yield batch_of(rows, TOLD_SCHEMA)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        return reply(table, lambda columns: columns[1].astype(np.int64))
+        """A part's words from all blocks -> for each block their numbers and counts; the part's totals; its most frequent words."""
+        part = key[0].as_py()
+        rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
+        hashes, counts = zip(*[(sums(h), n) for h, n in (unpack(data) for _, data in rows)])
+        words = np.unique(np.concatenate(hashes))
+        places, total = [np.searchsorted(words, h) for h in hashes], np.zeros(len(words), np.int64)
+        for at, n in zip(places, counts):
+            total[at] += n
+        number = (np.int64(part) << PART_BITS) + np.arange(len(words))
+        out = [(block, part, pack([deltas(number[at]), narrow(total[at])]), None, None) for at, (block, _) in zip(places, rows)]
+        seen = total[total > 0]
+        tables = expected_tables(seen, settings.discount, settings.strength).sum()
+        found = (seen.sum(), len(seen), (seen == 1).sum(), (seen == 2).sum(), tables)
+        out += [(None, -1 - k, None, None, float(value)) for k, value in enumerate(found)]
+        top = np.argsort(-total, kind="stable")[: most_frequent(settings)]
+        out += [(None, part, None, w, float(n)) for w, n in zip(number[top].tolist(), total[top].tolist()) if n]
+        return batch_of(out, COUNT_SCHEMA, pa.Table)
+
+    told = materialise(hashed(docs).mapInArrow(tell, TOLD_SCHEMA), "blocks")
+    added = materialise(told.filter(F.col("part") >= 0).groupBy("part").applyInArrow(add, COUNT_SCHEMA), "words")
+    return Counted(told.filter(F.col("part") == DOCUMENTS), added, parts)
+
 
-    told = materialise(hashed(docs).mapInArrow(tell, COUNT_SCHEMA), "blocks")
-    added = told.filter(F.col("part") >= 0).groupBy("part").applyInArrow(add, COUNT_SCHEMA)
-    return told.filter(F.col("part") == DOCUMENTS), added
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where they fit."""
+    return values.astype(np.uint32 if values.max(initial=0) < 2**32 else np.uint64)
 
 
-def reply(table: pa.Table, value) -> pa.Table:
-    """To every block of a part, the sums over all blocks of its words' values."""
-    rows = list(zip(table.column("block").to_pylist(), table.column("part").to_pylist(), table.column("payload").to_pylist()))
-    rows.sort(key=lambda r: r[0])
-    sent = [unpack(data) for _, _, data in rows]
-    hashes = [sums(columns[0]) for columns in sent]
-    words = np.unique(np.concatenate(hashes))
-    places = [np.searchsorted(words, h) for h in hashes]
-    totals = None
-    for at, columns in zip(places, sent):
-        values = value(columns)
-        totals = np.zeros(len(words), values.dtype) if totals is None else totals
-        totals[at] += values
-    return batch_of([(block, part, pack([totals[at]])) for at, (block, part, _) in zip(places, rows)], COUNT_SCHEMA, pa.Table)
+def numbers_of(counted: Counted) -> DataFrame:
+    """Per block and part, the numbers and counts of the block's words."""
+    return counted.words.filter("block IS NOT NULL").select("block", "part", "payload")
 
 
-def messages(docs: DataFrame, corpus: Corpus, settings: Settings, parts: int) -> DataFrame:
-    """Per block: its documents, its words and their pairs for each part, and its counts among the frequent words.
+@dataclass
+class Block:
+    """A block's documents and words, and its pairs in the order of their keys."""
+
+    ids: np.ndarray
+    known: np.ndarray
+    held: np.ndarray
+    lengths: np.ndarray
+    places: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    at: np.ndarray
+    where: np.ndarray
+    pair_words: np.ndarray
+    pair_contexts: np.ndarray
+
+
+def block_of(documents: bytes, numbers: list[bytes], least: float) -> Block:
+    """A block from its documents and its words' numbers and counts, by rising part; ``where`` is the pair of each token ``at``."""
+    ids, known, held, lengths, places, end = unpack(documents)
+    told = [unpack(data) for data in numbers]
+    words, counts = np.concatenate([sums(n) for n, _ in told]), np.concatenate([n for _, n in told]).astype(np.int64)
+    at, keys = pairs_of(end[0], places, lengths, counts, least)
+    keys, where = np.unique(keys, return_inverse=True)
+    return Block(ids, known, held, lengths, places, words, counts, at, where, keys // len(words), keys % len(words))
+
+
+def messages(counted: Counted, corpus: Corpus, settings: Settings) -> DataFrame:
+    """Per block: its words and their pairs for each part, and its counts among the frequent words.
 
     Part numbers from ``parts`` on are those of frequent words after other contexts, by the context.
     """
-    frequent, least = corpus.frequent, least_count(corpus.tokens, settings)
+    frequent, least, parts = corpus.frequent, least_count(corpus.tokens, settings), counted.parts
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         block_id = key[0].as_py()
         sent = sorted(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
-        ids, known, held, lengths, places, hashes = unpack(sent[0][1])
-        words, counts = sums(hashes), np.concatenate([unpack(data)[0] for _, data in sent[1:]])
-        train = np.repeat(held == 0, lengths)
+        block = block_of(sent[0][1], [data for _, data in sent[1:]], least)
+        words, counts, pair_words, pair_contexts = block.words, block.counts, block.pair_words, block.pair_contexts
+        train = np.repeat(block.held == 0, block.lengths)
         common = found_at(frequent, words)
-        at, keys = pairs_of(words, places, lengths, counts, least)
-        keys, where = np.unique(keys, return_inverse=True)
-        pair_counts = np.bincount(where[train[at]], minlength=len(keys))
-        pair_words, pair_contexts = keys // len(words), keys % len(words)
-        rows = [(block_id, DOCUMENTS, pack([ids, known, held, lengths, places, hashes, counts]), None, None, None)]
+        pair_counts = np.bincount(block.where[train[block.at]], minlength=len(pair_words))
+        rows = []
 
         def named(pairs: np.ndarray) -> list[np.ndarray]:
             """The contexts of pairs, each once with its count, and the pairs' training tokens."""
             own, number = np.unique(pair_contexts[pairs], return_inverse=True)
-            return [deltas(words[own]), counts[own].astype(np.uint32), number.astype(np.uint32), pair_counts[pairs].astype(np.uint32)]
+            return [deltas(words[own]), narrow(counts[own]), number.astype(np.uint32), pair_counts[pairs].astype(np.uint32)]
 
-        home, rare = part_of(words, parts), np.flatnonzero((common < 0) & (counts > 0))
+        home, rare = words >> PART_BITS, np.flatnonzero((common < 0) & (counts > 0))
         own, others = pair_order(common, home, pair_words, pair_contexts)
         per_word = np.bincount(pair_words[own], minlength=len(words))
         cuts = np.searchsorted(pair_words[own], np.searchsorted(home, np.arange(parts + 1)))
         for part, here in by_part(home[rare], parts):
             mine = rare[here]
-            columns = [deltas(words[mine]), counts[mine].astype(np.uint32), per_word[mine].astype(np.uint32)]
+            columns = [deltas(words[mine]), narrow(counts[mine]), per_word[mine].astype(np.uint32)]
             rows.append((block_id, part, pack([*columns, *named(own[cuts[part] : cuts[part + 1]])]), None, None, None))
         for part, here in by_part(home[pair_contexts[others]], parts):
             mine = others[here]
             rows.append((block_id, parts + part, pack([common[pair_words[mine]].astype(np.uint32), *named(mine)]), None, None, None))
-        asked = pair_contexts[np.concatenate([own, others])]
-        rows.append((block_id, CONTEXTS, pack([hashes, asked.astype(np.int32)]), None, None, None))
         both = (common[pair_words] >= 0) & (common[pair_contexts] >= 0) & (pair_counts > 0)
         among = zip(common[pair_contexts[both]].tolist(), common[pair_words[both]].tolist(), pair_counts[both].tolist())
         rows += [(None, None, None, c, w, n) for c, w, n in among]
         return batch_of(rows, MESSAGE_SCHEMA, pa.Table)
 
-    mine, added = counted_blocks(docs, settings, parts)
-    return mine.union(added).groupBy("block").applyInArrow(ask, MESSAGE_SCHEMA)
+    return counted.documents.union(numbers_of(counted)).groupBy("block").applyInArrow(ask, MESSAGE_SCHEMA)
 
 
 def pair_order(common: np.ndarray, home: np.ndarray, pair_words: np.ndarray, pair_contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,13 +396,16 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, stirling: np.
     take their seats after these, in batches that are small against those seated.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    logs = np.log(np.maximum(mass, 1e-300))
-    for n in np.unique(np.minimum(customers, SMALL)):
-        if n < 2:
+    several = np.flatnonzero(customers > 1)  # few of the dishes
+    few = np.minimum(customers[several], SMALL)
+    several = several[np.argsort(few, kind="stable")]
+    edges = np.searchsorted(np.sort(few), np.arange(2, SMALL + 2))
+    for n, start, end in zip(range(2, SMALL + 1), edges, edges[1:]):
+        if start == end:
             continue
-        rows = np.flatnonzero(np.minimum(customers, SMALL) == n)
+        rows = several[start:end]
         choice = np.arange(1, n + 1)
-        weights = stirling[n, 1 : n + 1] + choice * logs[rows, None]
+        weights = stirling[n, 1 : n + 1] + choice * np.log(np.maximum(mass[rows, None], 1e-300))
         tables[rows] = choice[np.argmax(weights + random.gumbel(size=weights.shape), axis=1)]
     rows = np.flatnonzero(customers > SMALL)
     seated = np.full(len(rows), SMALL, dtype=np.int64)
@@ -383,13 +425,6 @@ def expected_tables(customers: np.ndarray, discount: float, strength: float) ->
     return np.minimum(np.maximum(grown - strength / discount, 1.0), np.maximum(customers, 1))
 
 
-def mean_tables(customers: Column, settings: Settings) -> Column:
-    """``expected_tables`` of a column of numbers of customers."""
-    d, s = settings.discount, settings.strength
-    grown = F.pow(customers.cast("double"), F.lit(d)) * (math.exp(math.lgamma(s + 1) - math.lgamma(s + d)) / d)
-    return F.least(F.greatest(grown - s / d, F.lit(1.0)), customers.cast("double"))
-
-
 @dataclass
 class Seating:
     """Averages over the samples: customers less discounts, per word and per pair, and tables, per context and per pair."""
@@ -453,11 +488,11 @@ def counts_among(asked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array([r[k] for r in among], np.int64) for k in range(3))
 
 
-def answers(asked: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
+def answers(asked: DataFrame, corpus: Corpus, settings: Settings, parts: int) -> DataFrame:
     """Per part: the answers to its blocks, and totals by number.
 
-    Part numbers p from 0 are weights of words and pairs, and -1 - p the pairs' tables. The totals are the tables of the frequent words
-    as contexts, customers and tables of the parent, and what tables of the frequent words exceed their tokens by.
+    Blocks get weights of words and pairs. With the block number ``TABLES``, tables of contexts go to the parts of these. The totals
+    are the tables of the frequent words as contexts, customers and tables of the parent, and what tables of the frequent words exceed their tokens by.
     """
     among_word, among_context, among_counts = counts_among(asked)
     contexts = max(1, len(corpus.counts))
@@ -484,13 +519,13 @@ def answers(asked: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
         else:
             spread = [columns[0].astype(np.int64) for columns in sent]
         keys = [w * len(known) + np.searchsorted(known, own)[columns[-2]] for w, own, columns in zip(spread, names, sent)]
-        pairs, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        pairs, where = np.unique(np.concatenate(keys), return_inverse=True)
         pair_counts = np.bincount(where, weights=np.concatenate([c[-1] for c in sent]), minlength=len(pairs)).astype(np.int64)
         pair_word, pair_context = (pairs // len(known), pairs % len(known)) if len(known) else (pairs, pairs)
         size, totals = len(pairs), np.zeros(2 * contexts + 2)
+        frequent = found_at(corpus.frequent, known)
         if by_word:
             found = sample_seating(corpus, settings, counts, pair_word, pair_context, pair_counts, part, wide)
-            frequent = found_at(corpus.frequent, known)
             totals[frequent[frequent >= 0]] = found.context_tables[frequent >= 0]
             totals[contexts : contexts + 2] = found.customers, found.tables
         else:  # with the pairs among the frequent words, whose tables are the same in each of these parts
@@ -501,39 +536,41 @@ def answers(asked: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
             wide = np.concatenate([wide, expected_tables(corpus.counts, settings.discount, settings.strength)])
             found = sample_seating(corpus, settings, corpus.counts, *every, part, wide, np.zeros(contexts, np.int64), scale)
             totals[contexts + 2 :] = np.bincount(pair_word, weights=found.pair_tables[:size] - pair_counts, minlength=contexts)
-        tables = np.zeros(len(where))  # told once, to the first block that asked
-        tables[first] = found.pair_tables[:size]
+        told = np.flatnonzero((frequent < 0) & (found.context_tables[: len(known)] > 0))
         out, done = [], 0
+        for to, here in by_part(known[told] >> PART_BITS, parts):
+            mine = told[here]
+            out.append((TABLES, to, pack([deltas(known[mine]), found.context_tables[mine].astype(np.float32)]), None, None))
         for number, (mine, (block, _)) in enumerate(zip(keys, rows)):
             here = slice(done, done + len(mine))
             done += len(mine)
             weights = [found.word_weight[places[number]] if by_word else np.zeros(0), found.pair_weight[where[here]]]
-            out.append((block, part, pack(weights), None, None))
-            out.append((block, -1 - part, pack([tables[here]]), None, None))
+            out.append((block, part, pack([w.astype(np.float32) for w in weights]), None, None))
         out += [(None, None, None, k, v) for k, v in enumerate(totals.tolist()) if v]
         return batch_of(out, ANSWER_SCHEMA, pa.Table)
 
     return asked.filter(F.col("part") >= 0).select("block", "part", "payload").groupBy("part").applyInArrow(answer, ANSWER_SCHEMA)
 
 
-def context_tables(asked: DataFrame, answered: DataFrame, corpus: Corpus, settings: Settings) -> DataFrame:
-    """Per block, the tables of its words as contexts, in all blocks together and in the order of its sorted words."""
-    parts = parts_of(corpus, settings)
+def context_tables(counted: Counted, answered: DataFrame) -> DataFrame:
+    """Per block and part, the tables of its words as contexts, in all blocks together and in the order of its sorted words."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
-        (_, mine), told = rows[-1], rows[:-1]  # the answers have part numbers below, in falling order
-        hashes, pair_contexts = unpack(mine)
-        words = sums(hashes)
-        tables = np.concatenate([unpack(data)[0] for _, data in reversed(told)]) if told else np.zeros(0)
-        own = np.bincount(pair_contexts, weights=tables, minlength=len(words))
-        ways = by_part(part_of(words, parts), parts)
-        return batch_of([(key[0].as_py(), part, pack([deltas(words[here]), own[here]])) for part, here in ways], COUNT_SCHEMA, pa.Table)
+        part = key[0].as_py()
+        rows = list(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
+        mine = {block: place_in_part(unpack(data)[0]) for block, data in rows if block != TABLES}
+        tables = np.zeros(max((int(at[-1]) + 1 for at in mine.values()), default=0))
+        for told, sent in (unpack(data) for block, data in rows if block == TABLES):
+            tables[place_in_part(told)] += sent
+        return batch_of([(block, part, pack([tables[at].astype(np.float32)])) for block, at in mine.items()], TOLD_SCHEMA, pa.Table)
+
+    told = answered.filter(F.col("block") == TABLES).select("block", "part", "payload")
+    return numbers_of(counted).union(told).groupBy("part").applyInArrow(add, TOLD_SCHEMA)
+
 
-    mine = asked.filter(F.col("part") == CONTEXTS).select("block", F.lit(0).alias("part"), "payload")
-    told = answered.filter("payload IS NOT NULL AND part < 0").select("block", "part", "payload")
-    sent = mine.union(told).groupBy("block").applyInArrow(add, COUNT_SCHEMA)
-    return sent.groupBy("part").applyInArrow(lambda key, table: reply(table, lambda columns: columns[1]), COUNT_SCHEMA)
+def place_in_part(differences: np.ndarray) -> np.ndarray:
+    """Places of words among those of their part, from the differences of their numbers."""
+    return sums(differences) & ((1 << PART_BITS) - 1)
 
 
 @dataclass
@@ -581,53 +618,49 @@ def learn_model(asked: DataFrame, answered: DataFrame, corpus: Corpus, settings:
     )
 
 
-def scores(asked: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
+def scores(counted: Counted, answered: DataFrame, model: Model) -> DataFrame:
     """Bring the answers back to their blocks and add up the documents."""
-    corpus, settings = model.corpus, model.settings
-    parts = parts_of(corpus, settings)
+    corpus, settings, parts = model.corpus, model.settings, counted.parts
     least = least_count(corpus.tokens, settings)
 
     def score(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
-        ids, known, held, lengths, places, hashes, count = unpack(rows[0][1])
-        got = [(part, unpack(data)) for part, data in rows[1:]]
-        words = sums(hashes)
+        block = block_of(rows[0][1], [data for part, data in rows[1:] if part < parts], least)
+        got = [(part, unpack(data)) for part, data in rows[1:] if part >= parts]
+        together = lambda first, last, n: np.concatenate([np.zeros(0), *[g[n] for p, g in got if first * parts <= p < last * parts]])
+        words, count, pair_words, pair_contexts = block.words, block.counts, block.pair_words, block.pair_contexts
         common = found_at(corpus.frequent, words)
         spots, rare = np.flatnonzero(common >= 0), np.flatnonzero((common < 0) & (count > 0))
-        together = lambda part, n: np.concatenate([np.zeros(0), *[g[n] for p, g in got if part(p)]])
-        tables, weight = together(lambda p: p >= 2 * parts, 0), np.zeros(len(words))
-        weight[rare] = together(lambda p: p < parts, 0)
+        tables, weight = together(3, 4, 0), np.zeros(len(words))
+        weight[rare] = together(1, 2, 0)
         weight[spots], tables[spots] = model.word_weight[common[spots]], model.tables[common[spots]]
         parent = model.parent(weight)
-        chance = parent[places]
-        at, keys = pairs_of(words, places, lengths, count, least)
-        if len(at):
-            keys, where = np.unique(keys, return_inverse=True)
-            pair_words, pair_contexts = keys // len(words), keys % len(words)
-            own, others = pair_order(common, part_of(words, parts), pair_words, pair_contexts)
-            pair = np.zeros(len(keys))
-            pair[own], pair[others] = together(lambda p: p < parts, 1), together(lambda p: parts <= p < 2 * parts, 1)
+        chance = parent[block.places]
+        if len(block.at):
+            own, others = pair_order(common, words >> PART_BITS, pair_words, pair_contexts)
+            pair = np.zeros(len(pair_words))
+            pair[own], pair[others] = together(1, 2, 1), together(2, 3, 1)
             both = (common[pair_words] >= 0) & (common[pair_contexts] >= 0)
             pair[both] = model.pair_weight[common[pair_contexts[both]], common[pair_words[both]]]
-            chance[at] = model.seated(tables[pair_contexts], count[pair_contexts], pair, parent[pair_words])[where]
-        starts = np.cumsum(lengths) - lengths
+            chance[block.at] = model.seated(tables[pair_contexts], count[pair_contexts], pair, parent[pair_words])[block.where]
+        starts = np.cumsum(block.lengths) - block.lengths
         total = lambda values: np.add.reduceat(values, starts)  # noqa: E731  every document has a token, its end
         base = np.log10((count + 1) / (corpus.tokens + corpus.types + 1))
         columns = [
-            pa.array(ids, pa.int64(), mask=known == 0),
-            pa.array(held.astype(bool)),
-            pa.array(lengths, pa.int64()),
-            pa.array(total((count > 0)[places].astype(np.int64)), pa.int64()),
-            pa.array(np.full(len(ids), corpus.tokens), pa.int64()),
-            pa.array(total(base[places])),
+            pa.array(block.ids, pa.int64(), mask=block.known == 0),
+            pa.array(block.held.astype(bool)),
+            pa.array(block.lengths, pa.int64()),
+            pa.array(total((count > 0)[block.places].astype(np.int64)), pa.int64()),
+            pa.array(np.full(len(block.ids), corpus.tokens), pa.int64()),
+            pa.array(total(base[block.places])),
             pa.array(total(np.log10(chance))),
         ]
         return pa.table(columns, names=[c.split(" ")[0] for c in SCORE_SCHEMA.split(", ")])
 
-    mine = asked.filter(F.col("part") == DOCUMENTS).select("block", "part", "payload")
-    replies = answered.filter("payload IS NOT NULL AND part >= 0").select("block", "part", "payload")
-    tables = context_tables(asked, answered, corpus, settings).select("block", (F.col("part") + 2 * parts).alias("part"), "payload")
-    return mine.union(replies).union(tables).groupBy("block").applyInArrow(score, SCORE_SCHEMA)
+    moved = lambda df, by: df.select("block", (F.col("part") + by * parts).alias("part"), "payload")
+    replies = moved(answered.filter(F.col("block") >= 0), 1)
+    tables = moved(context_tables(counted, answered), 3)
+    return counted.documents.union(numbers_of(counted)).union(replies).union(tables).groupBy("block").applyInArrow(score, SCORE_SCHEMA)
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -637,8 +670,10 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     a null id is not held out. Without training documents all words are the unknown one, with probability 1. Scores
     are log10 probabilities; the perplexity of a text is 10 ** (-score / n_tokens).
     """
-    corpus = learn_corpus(docs, settings)
-    parts = parts_of(corpus, settings)
-    asked = materialise(messages(docs, corpus, settings, parts), "messages")
-    answered = materialise(answers(asked, corpus, settings), "answers")
-    return scores(asked, answered, learn_model(asked, answered, corpus, settings))
+    counted = counted_blocks(docs, settings)
+    corpus = learn_corpus(counted, settings)
+    asked = materialise(messages(counted, corpus, settings), "messages")
+    answered = materialise(answers(asked, corpus, settings, counted.parts), "answers")
+    model = learn_model(asked, answered, corpus, settings)
+    forget(asked)
+    return scores(counted, answered, model)

@@ -72,9 +72,10 @@ def test_blocks_and_parts_do_not_change_the_counts(bigrams):
 
 def test_probabilities_sum_to_one(bigrams):
     settings = Settings(part_tokens=10_000)
-    corpus = py.learn_corpus(bigrams, settings)
-    asked = py.materialise(py.messages(bigrams, corpus, settings, 2))
-    model = py.learn_model(asked, py.materialise(py.answers(asked, corpus, settings)), corpus, settings)
+    counted = py.counted_blocks(bigrams, settings, 2)
+    corpus = py.learn_corpus(counted, settings)
+    asked = py.materialise(py.messages(counted, corpus, settings))
+    model = py.learn_model(asked, py.materialise(py.answers(asked, corpus, settings, 2)), corpus, settings)
     words = Counter(w for d in bigrams.collect() if not held(d.doc_id) for w in {*WORD.findall(lowered(d.text)), None})
     assert corpus.types == len(words) and len(corpus.frequent) == corpus.types  # all words are frequent here
     parent = np.append(model.parent(model.word_weight), model.parent(np.zeros(1)))
@@ -125,7 +126,7 @@ def test_rare_contexts_count(spark):
         rows.append((i, f"left{k} right{k} the left{k} right{k} the odd{k} the", "en", "h", 0))
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     settings = Settings(frequent_share=1 / 20, block_tokens=300, part_tokens=700)
-    corpus = py.learn_corpus(docs, settings)
+    corpus = py.learn_corpus(py.counted_blocks(docs, settings), settings)
     assert len(corpus.frequent) == 2  # the end and "the"
     rows = [r for r in check(docs, settings) if r.held_out]
     only_frequent = [r for r in check(docs, Settings(context_share=1 / 20, frequent_share=1 / 20)) if r.held_out]
@@ -138,16 +139,19 @@ def test_rare_contexts_sum_to_one(spark):
     rows = [(i, f"a{i % 7} b{i % 5} the a{i % 7} the", "en", "h", 0) for i in range(300)]
     settings = Settings(frequent_share=1 / 5, part_tokens=400)
     docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
-    corpus = py.learn_corpus(docs, settings)
-    parts = py.parts_of(corpus, settings)
-    assert parts > 1
-    asked = py.materialise(py.messages(docs, corpus, settings, parts))
-    answered = py.materialise(py.answers(asked, corpus, settings))
+    counted = py.counted_blocks(docs, settings)
+    corpus = py.learn_corpus(counted, settings)
+    assert counted.parts > 1
+    asked = py.materialise(py.messages(counted, corpus, settings))
+    answered = py.materialise(py.answers(asked, corpus, settings, counted.parts))
     by_part = lambda df, k: np.concatenate([unpack(r.payload)[k] for r in sorted(df.collect(), key=lambda r: r.part)])
-    tables = by_part(py.context_tables(asked, answered, corpus, settings), 0)
-    counts = by_part(asked.filter(f"part = {py.DOCUMENTS}"), 6)
-    hashes, pair_contexts = unpack(asked.filter(f"part = {py.CONTEXTS}").first().payload)
-    weights = np.bincount(pair_contexts, weights=by_part(answered.filter("part >= 0 and payload is not null"), 1), minlength=len(counts))
-    rare = (py.found_at(corpus.frequent, py.sums(hashes)) < 0) & (counts > 0)
+    tables = by_part(py.context_tables(counted, answered), 0)
+    numbers = sorted(py.numbers_of(counted).collect(), key=lambda r: r.part)
+    block = py.block_of(counted.documents.first().payload, [r.payload for r in numbers], 1)
+    hashes, counts = block.words, block.counts
+    order = py.pair_order(py.found_at(corpus.frequent, hashes), hashes >> py.PART_BITS, block.pair_words, block.pair_contexts)
+    pair_contexts = block.pair_contexts[np.concatenate(order)]
+    weights = np.bincount(pair_contexts, weights=by_part(answered.filter("block >= 0"), 1), minlength=len(counts))
+    rare = (py.found_at(corpus.frequent, hashes) < 0) & (counts > 0)
     assert rare.sum() >= 10 and (tables[rare] >= 1).all()
     assert np.allclose(weights[rare] + settings.discount * tables[rare], counts[rare])
