@@ -170,13 +170,17 @@ def quality_report(docs: DataFrame, rules: HostRules = HostRules(), host: str =
 def keep_good(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
     """The documents that are kept, with all their columns and nothing added.
 
-    Texts are read twice, once to count failures by host and once to keep or drop. They are not shuffled
-    unless the rejected hosts are too many to be sent to every task.
+    Texts are measured once: rows are stored with their flags, those that fail by themselves without their text, and
+    the others are read back when the rejected hosts are known. They are not shuffled unless the rejected hosts are too
+    many to be sent to every task.
     """
-    key = fresh(docs, "_host")
-    found = measures(text_of())
-    marked = docs.withColumn(key, _host_key(F.col(f"`{host}`").cast("string")))
-    measured = marked.select(key, *[c.alias(n) for n, c in found.items()])
-    checked = measured.select(key, rule_failed(rules, named()).alias("failed"))
-    rejected = host_verdicts(checked, key, "failed", rules).filter("host_rejected").select(key)
-    return marked.filter(~base_failed(rules, found)).join(materialise(rejected), key, "left_anti").drop(key)
+    key, bad, counted = (fresh(docs, c) for c in ("_host", "_bad", "_counted"))
+    place = {name: fresh(docs, f"_{name}") for name in MEASURES}
+    found = {name: F.col(place[name]) for name in MEASURES}
+    measured = docs.select("*", *[c.alias(place[n]) for n, c in measures(text_of()).items()])
+    own = {c: F.col(f"`{c}`") for c in docs.columns}
+    judged = measured.select(*own.values(), base_failed(rules, found).alias(bad), rule_failed(rules, found).alias(counted))
+    slim = {c: F.when(~F.col(bad), v).alias(c) if c.lower() == "text" else v for c, v in own.items()}
+    stored = materialise(judged.select(*slim.values(), _host_key(F.col(f"`{host}`").cast("string")).alias(key), bad, counted))
+    rejected = host_verdicts(stored, key, counted, rules).filter("host_rejected").select(key)
+    return stored.filter(~F.col(bad)).join(materialise(rejected), key, "left_anti").select(*own.values())
