@@ -1,9 +1,10 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph, which is a line or the lines that a notice is wrapped over, is scored by multinomial logistic regression over the word n-grams of a fixed vocabulary, which is that of
-the templates. One class is "unknown": prose, and licence-like text of no known family. A family is
-named where its probability passes a threshold calibrated on rows kept from the training, and where the
-paragraph shares enough n-grams with a template of that family. All of it is DataFrame operations and Spark's own models.
+A paragraph, which is a line or the lines that a notice is wrapped over, is scored by multinomial logistic regression
+over the word n-grams of a fixed vocabulary, which is that of the templates. One class is "unknown": prose, and
+licence-like text of no known family. A family is named where the paragraph shares enough n-grams with a template of
+that family, and where its probability passes a threshold calibrated on templates that the classifier was not trained
+on. All of it is DataFrame operations and Spark's own models.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from flowsift.session import materialise
 
 UNKNOWN = "unknown"
 
-#: Short notices by family, as they commonly stand in texts; written for this module.
+#: Notices by family, as they commonly stand in texts, amid other words too.
 TEMPLATES = {
     "apache": (
         "licensed under the apache license version 2.0",
@@ -35,12 +36,15 @@ TEMPLATES = {
         "permission is hereby granted free of charge to any person obtaining a copy of this software",
         "spdx-license-identifier mit",
         "this project is available under the terms of the mit license",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted",
         "licensed under the bsd 3-clause license",
         "distributed under a bsd-style license",
         "spdx-license-identifier bsd-3-clause",
+        "released under the bsd 2-clause license",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
     ),
     "gpl": (
         "this work is licensed under the gnu general public license version 3",
@@ -53,6 +57,25 @@ TEMPLATES = {
         "this source code form is subject to the terms of the mozilla public license version 2.0",
         "licensed under the mozilla public license",
         "spdx-license-identifier mpl-2.0",
+        "released under the mozilla public license version 2.0",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "licensed under the isc license",
+        "released under the isc license",
+        "spdx-license-identifier isc",
+    ),
+    "epl": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "licensed under the eclipse public license version 2.0",
+        "released under the eclipse public license version 1.0",
+        "spdx-license-identifier epl-2.0",
+    ),
+    "zlib": (
+        "this software is provided as-is without any express or implied warranty in no event will the authors be held liable",
+        "licensed under the zlib license",
+        "released under the zlib license",
+        "spdx-license-identifier zlib",
     ),
     "cc": (
         "licensed under cc by-nc 4.0",
@@ -69,6 +92,30 @@ TEMPLATES = {
     ),
 }
 
+#: Headings by family; they count only in a paragraph of few other words.
+HEADINGS = {
+    "apache": ("apache license", "apache license version 2.0", "apache software license"),
+    "mit": ("mit license", "the mit license", "license mit", "mit licensed"),
+    "bsd": ("bsd license", "bsd 2-clause license", "bsd 3-clause license", "license bsd"),
+    "gpl": ("gnu general public license", "gnu lesser general public license", "gnu affero general public license", "license gpl", "gpl license"),
+    "mpl": ("mozilla public license", "mozilla public license version 2.0"),
+    "isc": ("isc license", "the isc license", "license isc"),
+    "epl": ("eclipse public license", "eclipse public license v 2.0"),
+    "zlib": ("zlib license", "the zlib license", "license zlib"),
+    "cc": ("creative commons attribution 4.0 international", "creative commons license"),
+}
+HEADING_WORDS = 3  # that a paragraph may have beside its heading
+
+#: Identifiers that name a family wherever they stand.
+IDENTIFIERS = {
+    "apache": ("apache-1.1", "apache-2.0"),
+    "bsd": ("bsd-2-clause", "bsd-3-clause"),
+    "gpl": tuple(g + end for g in ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0") for end in ("", "-only", "-or-later")),
+    "mpl": ("mpl-1.1", "mpl-2.0"),
+    "epl": ("epl-1.0", "epl-2.0"),
+    "cc": ("cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc0-1.0"),
+}
+
 #: Licence-like text of no family, for the unknown class.
 DECOYS = (
     "the driving license was renewed by the general office",
@@ -84,7 +131,16 @@ DECOYS = (
 )
 
 #: Words that prose and notices share; n-grams of these alone are no evidence.
-COMMON = frozenset("a an and any are as at be by can for from in is it may no not of on or part the this to under with without you".split())
+COMMON = frozenset(
+    "a all an and any are as at be but by can event fee for from held in including is it kind made may no not of on or part particular purpose"
+    " the this to under use v will with without you".split()
+)
+
+
+def notices() -> list[tuple[str, str, int | None]]:
+    """(family, template, words that may stand beside it or None) of all templates."""
+    free = [(f, t, None) for table in (TEMPLATES, IDENTIFIERS) for f, texts in table.items() for t in texts]
+    return free + [(f, t, HEADING_WORDS) for f, texts in HEADINGS.items() for t in texts]
 
 
 @dataclass(frozen=True)
@@ -97,12 +153,13 @@ class LicenceModel:
     precision: float = 0.98
     least_probability: float = 0.5
     least_similarity: float = 0.6
+    folds: int = 3
 
 
 def gram_words(text: Column) -> Column:
-    """Words of a paragraph: lower case, without the punctuation around them."""
-    words = F.split(F.translate(F.lower(text), "\t\r\x0b\x0c", "    "), " ")
-    bare = F.transform(words, lambda w: F.trim(w, F.lit(".,;:!?()[]{}<>\"'*#/|")))
+    """Words of a paragraph: lower case, parted at slashes too, without the marks around them."""
+    words = F.split(F.translate(F.lower(text), "\t\r\x0b\x0c/", "     "), " ")
+    bare = F.transform(words, lambda w: F.trim(w, F.lit(".,;:!?()[]{}<>\"'*#|-=~_+`")))
     return F.filter(bare, lambda w: w != "")
 
 
@@ -126,56 +183,52 @@ def template_grams(text: str, most: int) -> Column:
 
 def cue_words() -> list[str]:
     """Template words that are no common ones: without any of them a paragraph has no feature."""
-    return sorted({w for texts in TEMPLATES.values() for t in texts for w in t.split()} - COMMON)
+    return sorted({w for _, t, _ in notices() for w in t.split()} - COMMON)
 
 
 def vocabulary(most: int) -> list[str]:
     """The n-grams of the templates that hold a cue word."""
     found, cues = set(), set(cue_words())
-    for text in (t for texts in TEMPLATES.values() for t in texts):
-        words = text.split()
+    for words in (t.split() for _, t, _ in notices()):
         for n in range(1, most + 1):
             found |= {" ".join(words[i : i + n]) for i in range(len(words) - n + 1) if cues & set(words[i : i + n])}
     return sorted(found)
 
 
-#: Words of a line, and after it, among which a wrapped notice that begins in the line is looked for; lines after it.
-WRAPPED_WORDS, WRAPPED_LINES = 40, 12
+#: Words of the longest template: as many, of a line and after it, can be part of a notice that begins in the line.
+MOST_WORDS = max(len(t.split()) for _, t, _ in notices())
 
 
-def _following(lines: Column) -> Column:
-    """Array of (words, after): per line its words, and those of the lines after it up to a blank one, an array a line."""
+def _following(lines: Column, cues: Column) -> Column:
+    """Array of (words, tail, lines): per line with a cue word its words, and those after it up to a blank line.
 
-    def one(words: Column, k: Column) -> Column:
-        after = F.slice(lines, k + 2, WRAPPED_LINES)
+    ``tail`` ends after ``MOST_WORDS`` words, however many lines they take, and ``lines`` is how many that are. Each
+    line before a blank one has a word, so no more lines than ``MOST_WORDS`` are looked at. Null for other lines.
+    """
+
+    def tail(after: Column) -> Column:
         blank = F.array_position(F.transform(after, lambda w: F.size(w) == 0), True)
         kept = F.when(blank > 0, F.slice(after, 1, (blank - 1).cast("int"))).otherwise(after)
-        short = F.transform(kept, lambda w: F.slice(w, 1, WRAPPED_WORDS))
-        return F.struct(words.alias("words"), short.alias("after"))
-
-    return F.transform(lines, one)
+        placed = F.transform(kept, lambda w, j: F.transform(F.slice(w, 1, MOST_WORDS), lambda x: F.struct(x.alias("word"), (j + 1).alias("line"))))
+        return F.slice(F.flatten(placed), 1, MOST_WORDS)
 
+    def one(words: Column, k: Column) -> Column:
+        found = F.get(F.transform(F.array(F.slice(lines, k + 2, MOST_WORDS)), tail), F.lit(0))
+        return F.when(F.arrays_overlap(words, cues), F.struct(words.alias("words"), found.alias("tail")))
 
-def _single(words: Column) -> Column:
-    """Words parted at slashes, without marks."""
-    return F.filter(F.flatten(F.transform(words, lambda w: F.split(w, "/"))), lambda w: w.rlike("[a-z0-9]"))
+    return F.transform(lines, one)
 
 
 def wrapped(found: DataFrame) -> DataFrame:
-    """(the columns, words, tail, last): each line with those after it, the words after the line, and the last line.
-
-    Only as many lines are joined as hold the words of the longest template.
-    """
-    most = max(len(t.split()) for texts in TEMPLATES.values() for t in texts)
-    before = lambda k: F.size(F.flatten(F.slice("after", 1, k)))
-    near = found.filter(F.size("after") > 0).withColumn("after", F.filter("after", lambda w, k: before(k) < most))
-    head = F.slice("words", F.greatest(F.size("words") - (WRAPPED_WORDS - 1), F.lit(1)), WRAPPED_WORDS)
-    near = near.withColumn("last", F.col("paragraph") + F.size("after")).withColumn("tail", _single(F.flatten("after")))
-    return near.withColumn("words", F.concat(_single(head), "tail")).drop("after")
+    """(the columns, words, tail, last): each line with the words after it, those words alone, and their last line."""
+    near = found.filter(F.size("tail") > 0)
+    head = F.slice("words", F.greatest(F.size("words") - (MOST_WORDS - 1), F.lit(1)), MOST_WORDS)
+    near = near.withColumn("last", F.col("paragraph") + F.element_at("tail", -1)["line"]).withColumn("tail", F.transform("tail", lambda x: x["word"]))
+    return near.withColumn("words", F.concat(head, "tail"))
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(row, key, paragraph, words, after) of the lines that have a cue word; ``row`` tells the documents apart.
+    """(row, key, paragraph, words, tail) of the lines that have a cue word; ``row`` tells the documents apart.
 
     The others have no feature, and the classifier gives them all the same answer, "unknown". Texts without a cue
     word are left out before they are cut into lines.
@@ -184,9 +237,9 @@ def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), key, text_of().alias("text"))
     likely = rows.filter(F.arrays_overlap(gram_words(F.translate("text", "\n", " ")), cues))
     lines = F.transform(F.split("text", "\n"), gram_words)
-    bound = F.get(F.transform(F.array(lines), _following), F.lit(0))
-    each = likely.select("row", key, F.posexplode(bound).alias("paragraph", "line")).select("row", key, "paragraph", "line.*")
-    return each.filter(F.arrays_overlap("words", cues))
+    bound = F.get(F.transform(F.array(lines), lambda x: _following(x, cues)), F.lit(0))
+    each = likely.select("row", key, F.posexplode(bound).alias("paragraph", "line")).filter(F.col("line").isNotNull())
+    return each.select("row", key, "paragraph", "line.*")
 
 
 def _with_vector(rows: DataFrame, model: LicenceModel) -> DataFrame:
@@ -195,14 +248,16 @@ def _with_vector(rows: DataFrame, model: LicenceModel) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, corpus: DataFrame, model: LicenceModel) -> DataFrame:
-    """(words, label, family): notices of each family, whole and in part and amid other text, and text of no family.
+    """(words, label, family, fold): notices of each family, whole and in part and amid other text, and text of no family.
 
-    Labels are known by construction. The corpus adds up to ``sample_rows`` of its paragraphs with a cue word but little
-    likeness to a template, in the order of a hash. Scrambled notices teach that words alone are not enough.
+    Labels are known by construction. All rows made from a template are in its fold. The corpus adds up to
+    ``sample_rows`` of its paragraphs with a cue word but little likeness to a template, in the order of a hash.
+    Scrambled notices teach that words alone are not enough.
     """
     families = [UNKNOWN, *TEMPLATES]
-    known = [(f, t) for f, texts in TEMPLATES.items() for t in texts] + [(UNKNOWN, t) for t in DECOYS]
-    table = spark.createDataFrame(known, "family string, text string")
+    known = [(f, t, i % model.folds) for i, (f, t, _) in enumerate(sorted(notices(), key=lambda n: n[:2]))]
+    known += [(UNKNOWN, t, i % model.folds) for i, t in enumerate(DECOYS)]
+    table = spark.createDataFrame(known, "family string, text string, fold int")
     words = table.withColumn("words", F.split("text", " "))
     size = F.size("words")
     lead = F.split(F.lit("note that the content below"), " ")
@@ -216,37 +271,46 @@ def training_rows(spark: SparkSession, corpus: DataFrame, model: LicenceModel) -
         F.when(size > 8, F.slice("words", 1, size - 2)).otherwise(F.col("words")),
         F.when(size > 8, F.slice("words", 3, size)).otherwise(F.col("words")),
     )
-    whole = words.select("family", F.explode(versions).alias("words"))
-    scrambled = words.select(F.lit(UNKNOWN).alias("family"), F.array_sort("words").alias("words"))
-    backwards = words.filter(size > 3).select(F.lit(UNKNOWN).alias("family"), F.reverse("words").alias("words"))
+    whole = words.select("family", F.explode(versions).alias("words"), "fold")
+    odd = words.filter(size > 3)  # of shorter ones, another order is a notice too
+    scrambled = odd.select(F.lit(UNKNOWN).alias("family"), F.array_sort("words").alias("words"), "fold")
+    backwards = odd.select(F.lit(UNKNOWN).alias("family"), F.reverse("words").alias("words"), "fold")
     templates = [template_grams(t, 2) for texts in TEMPLATES.values() for t in texts]
     likeness = F.greatest(*[F.size(F.array_intersect(F.col("grams"), t)) / F.size(t) for t in templates])
     picked = sample_rows(corpus.select("words"), model.sample_rows, ["words"])
-    prose = picked.withColumn("grams", grams(F.col("words"), 2)).filter(likeness < 0.2).select(F.lit(UNKNOWN).alias("family"), "words")
+    prose = picked.withColumn("grams", grams(F.col("words"), 2)).filter(likeness < 0.2)
+    prose = prose.select(F.lit(UNKNOWN).alias("family"), "words", F.pmod(F.xxhash64("words"), F.lit(model.folds)).cast("int").alias("fold"))
     rows = reduce(DataFrame.union, [whole, scrambled, backwards, prose])
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     return rows.withColumn("label", label)
 
 
 def fit(spark: SparkSession, corpus: DataFrame, model: LicenceModel) -> tuple[LogisticRegressionModel, dict[str, float]]:
-    """The classifier, and per family the smallest probability that is right often enough on rows kept from it.
+    """The classifier, and per family the smallest probability that is right often enough on templates kept from it.
 
-    A fourth of the rows is kept for calibration; the classifier that is used then learns from all of them.
+    Each template is kept from the training once, with all rows made from it. What counts is whether rows that the
+    comparison confirms get their family. A family without such a row is never named: its limit stays above one. The
+    classifier that is used then learns from all rows.
     """
-    rows = materialise(_with_vector(training_rows(spark, corpus, model), model), "training")
-    fold = F.pmod(F.xxhash64("words"), F.lit(4))
-    learner = LogisticRegression(maxIter=60, regParam=model.regularisation, elasticNetParam=0.5, family="multinomial")
-    held = named(learner.fit(rows.filter(fold > 0)), rows.filter(fold == 0))
-    tested = held.select("predicted", "probability", (F.col("predicted") == F.col("family")).alias("right")).collect()  # some hundreds
+    rows = materialise(_with_vector(training_rows(spark, corpus, model), model).coalesce(2), "training").coalesce(2)
+    learner = LogisticRegression(maxIter=50, regParam=model.regularisation, elasticNetParam=0.5, family="multinomial")
+    tested = []
+    for fold in range(model.folds):
+        held = named(learner.fit(rows.filter(F.col("fold") != fold)), rows.filter(F.col("fold") == fold)).filter(F.col("predicted") != UNKNOWN)
+        likeness = similarity(F.col("grams"), F.col("predicted"), model.grams, F.size("words"))
+        sure = held.filter(likeness >= model.least_similarity)
+        tested += sure.select("predicted", "probability", (F.col("predicted") == F.col("family")).alias("right")).collect()  # some hundreds
     limits = {}
     for family in TEMPLATES:
-        good, limits[family] = 0, model.least_probability
+        good, reached, limits[family] = 0, 0, 1.01
         mine = sorted((r for r in tested if r["predicted"] == family), key=lambda r: -r["probability"])
         for n, r in enumerate(mine, 1):
             good += r["right"]
             if good >= model.precision * n:
-                limits[family] = max(model.least_probability, r["probability"])
-    return learner.fit(rows), {f: min(x, 0.9) for f, x in limits.items()}
+                reached, limits[family] = n, max(model.least_probability, r["probability"])
+        if mine and reached == len(mine):  # no row tells where it stops being right often enough
+            limits[family] = model.least_probability
+    return learner.fit(rows), limits
 
 
 def named(classifier: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
@@ -258,12 +322,25 @@ def named(classifier: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     return best.select(*kept, F.get(families, F.col("at")).alias("predicted"), F.get("scores", F.col("at")).alias("probability"))
 
 
-def similarity(found: Column, family: Column, most: int) -> Column:
-    """Largest share of a template's n-grams that a paragraph has, over the templates of its family."""
+#: As the words of a paragraph: too many for a heading.
+NO_HEADING = 1 << 30
+
+
+def similarity(found: Column, family: Column, most: int, words: Column) -> Column:
+    """Largest share of a template's n-grams that a paragraph of so many words has, over the templates of its family.
+
+    Templates of up to ``most`` words count as a whole or not at all, and headings only with few words beside them.
+    """
+
+    def share(text: str, beside: int | None) -> Column:
+        size, grams_of = len(text.split()), template_grams(text, most)
+        part = F.size(F.array_intersect(found, grams_of)) / F.size(grams_of) if size > most else F.array_contains(found, text).cast("double")
+        return part if beside is None else F.when(words <= size + beside, part).otherwise(0.0)
+
     best = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
-        shares = [F.size(F.array_intersect(found, t)) / F.size(t) for t in (template_grams(x, most) for x in texts)]
-        best = F.when(family == name, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(best)
+    for name in TEMPLATES:
+        shares = [share(text, beside) for f, text, beside in notices() if f == name]
+        best = F.when(family == name, F.greatest(*shares)).otherwise(best)
     return best
 
 
@@ -271,7 +348,7 @@ def licence_notices(docs: DataFrame, model: LicenceModel = LicenceModel()) -> Da
     """doc_id, paragraph, licence, probability, similarity: one row per paragraph that the classifier names.
 
     ``licence`` is the family, or "unknown" where the probability is below the calibrated threshold or no template
-    confirms it. A notice that is wrapped over several lines is listed once, at its first line. Null and empty texts have
+    confirms it. A notice that is wrapped over several lines is listed once, at its first line; a heading stands in one. Null and empty texts have
     no paragraph; repeated rows and repeated notices are all listed; a document with several notices has as many
     rows. Only lines with a cue word leave the scan, with some words of those after them.
     """
@@ -279,15 +356,15 @@ def licence_notices(docs: DataFrame, model: LicenceModel = LicenceModel()) -> Da
     classifier, limits = fit(docs.sparkSession, found, model)
     limit = reduce(lambda c, f: c.when(F.col("predicted") == f, F.lit(limits[f])), TEMPLATES, F.when(F.lit(False), F.lit(1.0)))
 
-    def compared(rows: DataFrame) -> DataFrame:
+    def compared(rows: DataFrame, words: Column) -> DataFrame:
         scored = named(classifier, _with_vector(rows, model)).filter(F.col("predicted") != UNKNOWN)
-        scored = scored.withColumn("similarity", similarity(F.col("grams"), F.col("predicted"), model.grams))
+        scored = scored.withColumn("similarity", similarity(F.col("grams"), F.col("predicted"), model.grams, words))
         return scored.withColumn("sure", (F.col("probability") >= limit) & (F.col("similarity") >= model.least_similarity))
 
     columns = ("row", "doc_id", "paragraph", "predicted", "probability", "similarity", "sure")
-    lines = compared(found.drop("after")).select(*columns, F.lit(None).cast("int").alias("last"))
-    joined = compared(wrapped(found)).filter("sure")
-    rest = similarity(grams(F.col("tail"), model.grams), F.col("predicted"), model.grams)
+    lines = compared(found.drop("tail"), F.size("words")).select(*columns, F.lit(None).cast("int").alias("last"))
+    joined = compared(wrapped(found), F.lit(NO_HEADING)).filter("sure")
+    rest = similarity(grams(F.col("tail"), model.grams), F.col("predicted"), model.grams, F.lit(NO_HEADING))
     joined = joined.filter(rest < F.col("similarity")).select(*columns, "last")  # a notice begins in its first line
     rows = _without_repeats(lines.union(joined))
     licence = F.when(F.col("sure"), F.col("predicted")).otherwise(UNKNOWN)
@@ -297,6 +374,8 @@ def licence_notices(docs: DataFrame, model: LicenceModel = LicenceModel()) -> Da
 def _without_repeats(rows: DataFrame) -> DataFrame:
     """Lines, and joined lines (``last``) that hold no named line of the family and don't go on from joined ones.
 
+    Joined lines go on from those that begin in the line before, and from those that reach them and are likelier.
+
     Lines without a name are left out where joined ones that have one hold them.
     """
     joined, line = F.col("last").isNotNull(), F.col("last").isNull()
@@ -305,7 +384,9 @@ def _without_repeats(rows: DataFrame) -> DataFrame:
     before = F.max(F.when(joined, F.col("paragraph"))).over(family.rangeBetween(-1, -1))
     marked = rows.withColumn("named_line", named_line)
     marked = marked.filter(line | F.col("named_line").isNull() | (F.col("named_line") > F.col("last")))
-    marked = marked.withColumn("before", before).filter(line | F.col("before").isNull())
+    near = F.collect_list(F.when(joined, F.struct("last", "similarity"))).over(family.rangeBetween(-MOST_WORDS, -1))
+    reached = F.exists("near", lambda x: (x["last"] >= F.col("paragraph")) & (x["similarity"] > F.col("similarity")))
+    marked = marked.withColumn("before", before).withColumn("near", near).filter(line | (F.col("before").isNull() & ~reached))
     document = Window.partitionBy("row").orderBy("paragraph").rangeBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("held", F.max("last").over(document))
     return marked.filter(joined | F.col("sure") | F.col("held").isNull() | (F.col("held") < F.col("paragraph")))

@@ -77,3 +77,18 @@ def test_wrapped_notices(spark):
             wanted[10 * i + j, len(above), family] += 1
     found = licence_notices(spark.createDataFrame(rows, SCHEMA)).collect()
     assert Counter((r.doc_id, r.paragraph, r.licence) for r in found if r.licence != UNKNOWN) == wanted
+
+
+PROBES = {
+    "MIT License": "mit", "License: MIT": "mit", "BSD 3-Clause License": "bsd", "Apache License\nVersion 2.0, January 2004": "apache",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 3": "gpl", "SPDX-License-Identifier: GPL-2.0-only": "gpl", "SPDX-License-Identifier: LGPL-2.1": "gpl",
+    "Apache-2.0": "apache", "ISC License": "isc", "Eclipse Public License - v 2.0": "epl", "The zlib License": "zlib",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "mit",
+    "\n".join("redistribute it and/or modify it under the terms of the GNU General Public License".split()): "gpl",
+}
+
+
+def test_headings_identifiers_and_a_word_a_line(spark):
+    rows = [(i, f"{prose(12, i)}\n\n{text}\n\n{prose(9, i)}", "en", "h", 0) for i, text in enumerate(PROBES)]
+    found = licence_notices(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.paragraph, r.licence) for r in found if r.licence != UNKNOWN) == {(i, 2, f): 1 for i, f in enumerate(PROBES.values())}
