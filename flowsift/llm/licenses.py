@@ -55,6 +55,7 @@ TEMPLATES = {
     ),
     "mpl": (
         "this source code form is subject to the terms of the mozilla public license version 2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at",
         "licensed under the mozilla public license",
         "spdx-license-identifier mpl-2.0",
         "released under the mozilla public license version 2.0",
@@ -98,7 +99,7 @@ HEADINGS = {
     "mit": ("mit license", "the mit license", "license mit", "mit licensed"),
     "bsd": ("bsd license", "bsd 2-clause license", "bsd 3-clause license", "license bsd"),
     "gpl": ("gnu general public license", "gnu lesser general public license", "gnu affero general public license", "license gpl", "gpl license"),
-    "mpl": ("mozilla public license", "mozilla public license version 2.0"),
+    "mpl": ("mozilla public license", "mozilla public license v 2.0", "mozilla public license version 2.0"),
     "isc": ("isc license", "the isc license", "license isc"),
     "epl": ("eclipse public license", "eclipse public license v 2.0"),
     "zlib": ("zlib license", "the zlib license", "license zlib"),
@@ -272,7 +273,7 @@ def training_rows(spark: SparkSession, corpus: DataFrame, model: LicenceModel) -
         F.when(size > 8, F.slice("words", 3, size)).otherwise(F.col("words")),
     )
     whole = words.select("family", F.explode(versions).alias("words"), "fold")
-    odd = words.filter(size > 3)  # of shorter ones, another order is a notice too
+    odd = words.filter(size > 8)  # in another order, shorter ones may hold a heading
     scrambled = odd.select(F.lit(UNKNOWN).alias("family"), F.array_sort("words").alias("words"), "fold")
     backwards = odd.select(F.lit(UNKNOWN).alias("family"), F.reverse("words").alias("words"), "fold")
     templates = [template_grams(t, 2) for texts in TEMPLATES.values() for t in texts]
