@@ -1,4 +1,4 @@
-"""Gradient-boosted trees with MLlib: fitting, staged evaluation, scoring, importance.
+"""Gradient-boosted trees as MLlib's, on binned rows: fitting, staged evaluation, scoring, importance.
 
 The workflow is early stopping on validation average precision, then a refit with the tree count found. MLlib
 trees differ from other boosting libraries in leaf weights and sampling, so the scores do too.
@@ -11,21 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.operators.curves import SCORE, cumulate, range_edges, ranking_metrics, score_counts
+from flowsift.operators.trees import FEATURES, Growth, advanced, bin_rows, grow_tree, regression_tree, staged_scores
 from flowsift.schema import TARGET
-from flowsift.session import materialise, scratch_path, shared_root
+from flowsift.session import materialise, scratch_path
 from flowsift.sources.tables import ensemble_nodes
 
-FEATURES = "features"
-WEIGHT = "weight"
-RESIDUAL = "_residual"
-MARGIN, MARGINS = "_margin_before", "_margins"
+MARGINS = "_margins"
 LOSS_FLOOR = 1e-16
 
 
@@ -50,35 +48,28 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -
     return assembler.transform(df).select(*keep, FEATURES)
 
 
-def weighted(df: DataFrame, weight: float, target: str = TARGET) -> DataFrame:
-    """Weigh attack rows by ``weight`` and benign rows by 1."""
-    return df.withColumn(WEIGHT, F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(1.0))
+def growth(params: BoostingParams, number: int) -> Growth:
+    """What the tree of a number, from 0, is grown by. Draws differ from tree to tree."""
+    return Growth(params.max_depth, params.min_rows, params.row_share, params.feature_share, params.seed + number, number == 0)
 
 
 def fit(
     assembled: DataFrame, weight: float, n_trees: int, params: BoostingParams = BoostingParams(), target: str = TARGET
 ) -> GBTClassificationModel:
-    """Fit ``n_trees`` trees. MLlib checkpoints its residuals every ten trees in the shared folder.
+    """Fit ``n_trees`` trees, as MLlib's boosted classifier does, on rows that are binned and counted once.
 
-    It reads the rows several times before it caches its own form, so pass a written table, not a long plan. This is the refit with a known
-    number of trees; ``grow`` finds that number.
+    Margins are stored every ``block_trees`` trees. The rows are read a few times before they are binned, so pass a written table, not a long
+    plan. This is the refit with a known number of trees; ``grow`` finds that number.
     """
-    shared_root(assembled.sparkSession)
-    booster = GBTClassifier(
-        featuresCol=FEATURES,
-        labelCol=target,
-        weightCol=WEIGHT,
-        maxIter=n_trees,
-        stepSize=params.learning_rate,
-        maxDepth=params.max_depth,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.feature_share),
-        minInstancesPerNode=params.min_rows,
-        checkpointInterval=10,
-        seed=params.seed,
-    )
-    rows = spread(weighted(assembled, weight, target))
-    return booster.fit(rows.withColumn(target, F.col(target).cast("double")))
+    spark = assembled.sparkSession
+    binned = bin_rows(assembled, assembled, weight, target, params.seed)
+    trees, steps, stored = [], [], 0
+    for number in range(n_trees):
+        if number - stored == params.block_trees:
+            binned, stored = advanced(binned, trees[stored:], steps[stored:]), number
+        trees.append(grow_tree(binned, binned.chunks, trees[stored:], steps[stored:], growth(params, number)))
+        steps.append(params.learning_rate if steps else 1.0)
+    return boosted([regression_tree(spark, t, binned.thresholds) for t in trees], steps, len(binned.thresholds), spark)
 
 
 def score_rows(model: GBTClassificationModel, assembled: DataFrame) -> DataFrame:
@@ -92,35 +83,6 @@ def probability(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows in at least as many parts as there are cores: a table that was one file part would be fitted by one of them."""
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
-
-
-def residual(margin: Column, target: str = TARGET) -> Column:
-    """What the next tree is fitted to: the negative gradient of MLlib's log loss, 2 log(1 + exp(-2 y margin)) with y of -1 or 1."""
-    y = F.when(F.col(target) == 1, 1.0).otherwise(-1.0)
-    return 4.0 * y / (1.0 + F.exp(2.0 * y * margin))
-
-
-def next_tree(rows: DataFrame, goal: Column, number: int, params: BoostingParams) -> DecisionTreeRegressionModel:
-    """The regression tree of one boosting step, on rows with features, weight and the values to fit."""
-    forest = RandomForestRegressor(
-        featuresCol=FEATURES,
-        labelCol=RESIDUAL,
-        weightCol=WEIGHT,
-        numTrees=1,
-        bootstrap=False,
-        maxDepth=params.max_depth,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.feature_share),
-        minInstancesPerNode=params.min_rows,
-        seed=params.seed + number,
-    )
-    return forest.fit(rows.select(FEATURES, WEIGHT, goal.alias(RESIDUAL))).trees[0]
-
-
 def add_tree(rows: DataFrame, tree: DecisionTreeRegressionModel, weight: float, margin: str, name: str) -> DataFrame:
     """Rows with one more margin, in a map-only projection."""
     scored = tree.copy().setPredictionCol("_tree").setFeaturesCol(FEATURES).transform(rows)
@@ -167,7 +129,10 @@ def staged_counts(staged: DataFrame, start: int, side: str = "side", target: str
     A batch's rows are folded to its distinct scores, tree by tree, before anything is spread or shuffled.
     """
     slim = staged.select(F.col(side).cast("string").alias(side), target, MARGINS)
-    folded = slim.mapInArrow(folded_counts(side, target, start), f"`{side}` string, n_trees int, {SCORE} double, pos bigint, neg bigint")
+    return summed(slim.mapInArrow(folded_counts(side, target, start), f"`{side}` string, n_trees int, {SCORE} double, pos bigint, neg bigint"), side)
+
+
+def summed(folded: DataFrame, side: str) -> DataFrame:
     counts = folded.groupBy(side, "n_trees", SCORE).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return materialise(counts, "staged_counts")
 
@@ -185,35 +150,32 @@ class Grown:
 def grow(carved: DataFrame, weight: float, params: BoostingParams, side: str = "side", watched: str = "validation", target: str = TARGET) -> Grown:
     """Boost one tree at a time until ``patience`` trees bring no gain on the watched side, or ``max_trees``.
 
-    Each tree is an MLlib regression tree on the residuals of the margin so far, with the seed that a single boosted fit gives to it, so no tree is
-    fitted twice. Rows are stored with their margins once a block; until then margins are a projection of at most ``block_trees`` trees, so plans do not grow with
-    the number of trees. Both sides are scored in that pass. The curve has two rows per tree and passes through the driver.
+    Trees are fitted to the residuals of the margin so far, with the draws that ``fit`` makes for them, so no tree is fitted twice. All rows are
+    binned by the thresholds of the fitted ones and counted once; margins are stored once a block, and until then follow from at most ``block_trees``
+    trees, so plans do not grow with the number of trees. Both sides are scored in one pass a block. The curve has two rows per tree and passes
+    through the driver.
     """
-    spark, features = carved.sparkSession, carved.schema[FEATURES].metadata.get("ml_attr", {}).get("num_attrs")
-    rows = materialise(spread(weighted(carved, weight, target).withColumn(MARGIN, F.lit(0.0))), "boosted")
-    n_features = features or rows.select(FEATURES).first()[0].size
+    spark = carved.sparkSession
+    binned = bin_rows(carved, carved.filter(F.col(side) != watched), weight, target, params.seed, side)
     trees, steps, points, blocks = [], [], [], []
     while True:
-        start, staged, margin, names = len(trees), rows, MARGIN, []
-        for _ in range(min(params.block_trees, params.max_trees - start)):
-            fitted = staged.filter(F.col(side) != watched)
-            goal = residual(F.col(margin), target) if trees else F.when(F.col(target) == 1, 1.0).otherwise(-1.0)
-            trees.append(next_tree(fitted, goal, len(trees), params))
+        start = len(trees)
+        fitted = binned.chunks.filter(F.col("side") != watched)
+        for number in range(start, min(start + params.block_trees, params.max_trees)):
+            trees.append(grow_tree(binned, fitted, trees[start:], steps[start:], growth(params, number)))
             steps.append(params.learning_rate if steps else 1.0)
-            names.append(f"_margin_{len(trees)}")
-            staged, margin = add_tree(staged, trees[-1], steps[-1], margin, names[-1]), names[-1]
-        stored = materialise(staged.withColumn(MARGINS, F.array(*names)).drop(*names, MARGIN), "staged")
-        blocks.append(staged_counts(stored, start, side, target))
+        blocks.append(summed(staged_scores(binned, trees[start:], steps[start:], start, side), side))
         points += [tuple(r) for r in learning_curve(blocks[-1], side).select(side, "n_trees", "average_precision", "log_loss").collect()]
         curve = spark.createDataFrame(points, f"{side} string, n_trees int, average_precision double, log_loss double")
         marked = mark_best(curve, params.patience, side, watched)
         best = best_tree_count(marked)
         if len(trees) >= params.max_trees or best + params.patience <= len(trees):
             break
-        rows = stored.withColumn(MARGIN, F.element_at(MARGINS, -1)).drop(MARGINS)
+        binned = advanced(binned, trees[start:], steps[start:])
     counts = blocks[(best - 1) // params.block_trees]
     chosen = counts.filter((F.col(side) == watched) & (F.col("n_trees") == best)).drop(side, "n_trees")
-    return Grown(marked, best, chosen, boosted(trees[:best], steps[:best], n_features, spark))
+    model = boosted([regression_tree(spark, t, binned.thresholds) for t in trees[:best]], steps[:best], len(binned.thresholds), spark)
+    return Grown(marked, best, chosen, model)
 
 
 def learning_curve(counts: DataFrame, side: str = "side", rows_per_range: int = 2_000_000) -> DataFrame:

@@ -188,3 +188,28 @@ def test_growing_stops_before_the_budget_and_in_blocks_as_in_one(spark, rows, tm
     tables.save_model(blocks.model, str(tmp_path / "grown"))
     again = tables.load_model(str(tmp_path / "grown"))
     assert again.numFeatures == 3 and len(again.trees) == blocks.n_trees
+
+
+def test_fit_gives_the_trees_of_mllib(spark, rows):
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = rows.withColumns({"x": F.round("x", 1), "y": F.round("y", 1), "noise": F.round("noise", 1)})
+    assembled, weight = b.materialise(b.assemble(rows, FEATURES, ["Target"])), 2.0
+    params = BoostingParams(max_trees=5, block_trees=2, max_depth=3, learning_rate=0.3, row_share=1.0, feature_share=1.0)
+    mine = b.fit(assembled, weight, 5, params)
+    weighed = assembled.withColumn("weight", F.when(F.col("Target") == 1, weight).otherwise(1.0)).withColumn("Target", F.col("Target").cast("double"))
+    theirs = GBTClassifier(labelCol="Target", weightCol="weight", maxIter=5, stepSize=0.3, maxDepth=3, minInstancesPerNode=5).fit(weighed)
+    for one, other in zip(mine.trees, theirs.trees, strict=True):
+        pairs = list(zip(splits_of(one._call_java("rootNode")), splits_of(other._call_java("rootNode"))))
+        assert pairs and all(a[0] == c[0] and a[1] == pytest.approx(c[1]) for a, c in pairs[:3])
+    same = b.score_rows(mine, assembled.select("features")).agg(F.avg("score"), F.stddev("score")).first()
+    assert tuple(same) == pytest.approx(tuple(b.score_rows(theirs, assembled.select("features")).agg(F.avg("score"), F.stddev("score")).first()))
+
+
+def test_like_rows_are_stored_once(spark, rows):
+    from flowsift.operators import trees
+
+    rows = rows.withColumns({"x": F.round("x", 1), "y": F.round("y", 1), "noise": F.lit(0.5)})
+    few = b.assemble(rows, FEATURES, ["Target"])
+    stored = lambda df: trees.bin_rows(df, df, 1.0, "Target", 0).chunks.agg(F.sum("n"), F.sum(F.length("rows"))).first()
+    assert tuple(stored(few)) == tuple(stored(few.unionAll(few))) and stored(few)[0] == rows.select("x", "y", "Target").distinct().count()
