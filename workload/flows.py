@@ -48,8 +48,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def flows_raw(spark: SparkSession, sf_dir: str, identifiers: bool = False) -> DataFrame:
-    """All-text flow records with ``source_day`` and ``row_no``."""
+def flows_raw(spark: SparkSession, sf_dir: str, identifiers: bool = False, week: int | None = None) -> DataFrame:
+    """All-text flow records with ``source_day`` and ``row_no``. Those of a ``week`` of the month, from 0, are in the order of ``row_no``.
+
+    Rows are chosen and sorted as five plain columns, before their texts are made.
+    """
     events = read(spark, sf_dir, "events").select(
         F.col("event_id").alias("e"),
         F.col("user_id").alias("u"),
@@ -63,6 +66,8 @@ def flows_raw(spark: SparkSession, sf_dir: str, identifiers: bool = False) -> Da
     rows = events.withColumn("copy", F.explode(copies)).withColumn(
         "ts", F.col("ts") + F.make_dt_interval(F.lit(0), shift)
     )
+    if week is not None:
+        rows = rows.filter(F.floor((F.dayofmonth("ts") - 1) / 7) == week).orderBy(F.col("e") * 2 + F.col("copy"))
     text = {**FEATURE_SQL, **(IDENTIFIER_SQL if identifiers else {})}
     columns: dict[str, Column] = {name: F.expr(sql) for name, sql in text.items()}
     columns["Timestamp"] = F.date_format("ts", "dd/MM/yyyy HH:mm:ss")

@@ -485,9 +485,7 @@ def _landing(spark: SparkSession, sf_dir: str) -> str:
     folder = scratch_path(spark, "landing")
     for k, week in enumerate(WEEKS):
         drifted = week == DRIFTED_WEEK
-        flows = flows_raw(spark, sf_dir, identifiers=drifted)
-        rows = flows.filter(F.floor((F.substring("source_day", 9, 2).cast("int") - 1) / 7) == k)
-        rows = rows.orderBy("row_no").drop("row_no", "source_day")
+        rows = flows_raw(spark, sf_dir, identifiers=drifted, week=k).drop("row_no", "source_day")
         if drifted:
             rows = rows.toDF(*[f" {c}" if c in PADDED else c for c in rows.columns])
         tables.write_csv(rows, f"{folder}/{week}.csv")
