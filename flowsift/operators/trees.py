@@ -1,8 +1,8 @@
 """Regression trees grown on counts of binned rows.
 
 The splits, gains and leaves are those of MLlib's tree learner. Rows that share bins, class and side are one row with a count, and what is stored of
-them is a few bytes each, packed into blobs. A level of a tree is one pass in which each task adds up its rows per node, feature and bin; Spark adds
-up the tasks' sums. The driver sees sums only: nodes of a level x features x bins.
+them is a few bytes each, packed into blobs. A level of a tree is one pass in which each task adds up its rows per node, feature and bin. The
+tasks' sums are added up by Spark, or, as long as there are few, where they arrive. The driver sees sums only: nodes of a level x features x bins.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from flowsift.session import materialise
 FEATURES = "features"
 SCORE = "score"
 MAX_BINS = 32
+CELLS_PER_TASK = 8192  # that one task adds up over all others
+DRIVER_SUMS = 1 << 18  # sums of tasks that may reach the driver before they are added up
+FOLDED_ROWS = 1 << 19
 SAMPLED_ROWS = 10_000  # rows that thresholds are read from, as in MLlib
 CHUNK_ROWS = 32_768
 FIXED_BITS = 60
@@ -67,9 +70,10 @@ class Growth:
 
 @dataclass(frozen=True)
 class BinnedRows:
-    """Chunks of binned rows with their margins, and what is known of all of them."""
+    """Chunks of binned rows with their margins, and what is known of all of them. ``tasks``: how many read the chunks."""
 
     chunks: DataFrame
+    tasks: int
     thresholds: list[np.ndarray]
     attack_weight: float
     scale: float
@@ -107,17 +111,49 @@ def binaries(data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def folded(bins: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and number of rows for each distinct combination of bins and mark, in order of first appearance."""
+    n, width = bins.shape
+    padded = np.zeros((n, (width + 4 + 7) // 8 * 8), np.uint8)
+    padded[:, :width] = bins
+    padded[:, width : width + 4] = marks.astype(np.uint32).view(np.uint8).reshape(n, 4)
+    words = padded.view(np.uint64)
+    order = np.argsort(words[:, 0], kind="stable") if words.shape[1] == 1 else np.lexsort(words.T)
+    ranked = words[order]
+    starts = np.flatnonzero(np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)]))
+    rows = np.diff(np.append(starts, n))
+    first = order[starts]  # stable sorts leave the earliest row of a run in front
+    appeared = np.argsort(first)
+    return first[appeared], rows[appeared]
+
+
 def keyed(thresholds: Sequence[np.ndarray]):
-    """Rows with their features -> rows with the bins as one binary key."""
+    """Rows with their features -> rows with the bins as one binary key, like rows of a stretch of ``FOLDED_ROWS`` as one with their number."""
+
+    def flush(names: dict, held: list[tuple]) -> pa.RecordBatch:
+        bins, marks = (np.concatenate(p) for p in zip(*held))
+        first, rows = folded(bins, marks)
+        sides = pa.array(list(names), pa.string()).take(pa.array(marks[first] >> 1))
+        return pa.RecordBatch.from_arrays([sides, pa.array(marks[first] % 2 == 1), binaries(bins[first]), pa.array(rows)], ["side", "attack", "bins", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, waiting = {}, [], 0
         for batch in batches:
             if batch.num_rows:
                 values = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
                 bins = np.empty(values.shape, np.uint8)
                 for j, points in enumerate(thresholds):
                     bins[:, j] = np.searchsorted(points, values[:, j])
-                yield pa.RecordBatch.from_arrays([batch.column("side"), batch.column("attack"), binaries(bins)], ["side", "attack", "bins"])
+                coded = batch.column("side").dictionary_encode(null_encoding="encode")
+                numbers = np.array([names.setdefault(s, len(names)) for s in coded.dictionary.to_pylist()], np.int64)
+                attack = batch.column("attack").to_numpy(zero_copy_only=False)
+                held.append((bins, numbers[coded.indices.to_numpy()] * 2 + attack))
+                waiting += batch.num_rows
+                if waiting >= FOLDED_ROWS:
+                    yield flush(names, held)
+                    held, waiting = [], 0
+        if held:
+            yield flush(names, held)
 
     return run
 
@@ -157,11 +193,11 @@ def bin_rows(table: DataFrame, fitted: DataFrame, attack_weight: float, target:
     points = thresholds_of(fitted, n, attack_weight, target, seed)
     named = F.lit(None).cast("string") if side is None else F.col(side).cast("string")
     slim = table.select(named.alias("side"), F.coalesce(F.col(target) == 1, F.lit(False)).alias("attack"), vector_to_array(FEATURES).alias("x"))
-    bins = slim.mapInArrow(keyed(points), "side string, attack boolean, bins binary")
-    counted = bins.groupBy("side", "bins", "attack").agg(F.count("*").alias("rows")).sortWithinPartitions("side", "bins", "attack")
+    bins = slim.mapInArrow(keyed(points), "side string, attack boolean, bins binary, rows bigint")
+    counted = bins.groupBy("side", "bins", "attack").agg(F.sum("rows").alias("rows")).sortWithinPartitions("side", "bins", "attack")
     chunks = materialise(counted.mapInArrow(packed(len(points)), BINNED), "binned", block_mb=16)
     weight = (n - attacks) + attacks * attack_weight
-    return BinnedRows(chunks, points, attack_weight, 2.0 ** (FIXED_BITS - np.ceil(np.log2(16.0 * max(weight, 1.0)))))
+    return BinnedRows(chunks, chunks.rdd.getNumPartitions(), points, attack_weight, 2.0 ** (FIXED_BITS - np.ceil(np.log2(16.0 * max(weight, 1.0)))))
 
 
 def leaves(tree: Tree, bins: np.ndarray, depth: int) -> np.ndarray:
@@ -270,11 +306,15 @@ def grow_tree(binned: BinnedRows, chunks: DataFrame, trees: Sequence[Tree], step
     made = lambda: Tree(np.array(feature), np.array(bin_), np.array(left), np.array(gain), np.array(stats))
     for level in range(max(1, by.max_depth)):
         sums = chunks.mapInArrow(level_sums(binned, trees, steps, made(), level, open_nodes, by), "cell bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-        found = sums.groupBy("cell").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATS)]).toArrow()
-        cells = np.zeros((n_features * len(open_nodes) * MAX_BINS, STATS))
-        at = found["cell"].to_numpy()
-        rows, attacks, first, second = (found[f"s{k}"].to_numpy() for k in range(STATS))
-        cells[at] = np.stack([rows, (rows - attacks) + attacks * binned.attack_weight, first / binned.scale, second / binned.scale], axis=1)
+        n_cells = n_features * len(open_nodes) * MAX_BINS
+        if binned.tasks * n_cells > DRIVER_SUMS:  # a task has one row per cell, so there is nothing to fold before the shuffle
+            whole = sums.repartition(-(-n_cells // CELLS_PER_TASK), "cell").groupBy("cell")
+            sums = whole.agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATS)])
+        found, totals = sums.toArrow(), np.zeros((STATS, n_cells), np.int64)
+        for k in range(STATS):
+            np.add.at(totals[k], found["cell"].to_numpy(), found[f"s{k}"].to_numpy())
+        rows, attacks, first, second = totals
+        cells = np.stack([rows, (rows - attacks) + attacks * binned.attack_weight, first / binned.scale, second / binned.scale], axis=1)
         cells = cells.reshape(n_features, len(open_nodes), MAX_BINS, STATS)
         if level == 0:
             stats[0] = cells[0, 0].sum(axis=0)
@@ -310,7 +350,8 @@ def advanced(binned: BinnedRows, trees: Sequence[Tree], steps: Sequence[float])
                 margins.append(margin.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margins, pa.binary())], schema=BINNED_SCHEMA)
 
-    return replace(binned, chunks=materialise(binned.chunks.mapInArrow(run, BINNED), "binned", block_mb=16))
+    chunks = materialise(binned.chunks.mapInArrow(run, BINNED), "binned", block_mb=16)
+    return replace(binned, chunks=chunks, tasks=chunks.rdd.getNumPartitions())
 
 
 def staged_scores(binned: BinnedRows, trees: Sequence[Tree], steps: Sequence[float], start: int, side: str) -> DataFrame:

@@ -213,3 +213,58 @@ def test_like_rows_are_stored_once(spark, rows):
     few = b.assemble(rows, FEATURES, ["Target"])
     stored = lambda df: trees.bin_rows(df, df, 1.0, "Target", 0).chunks.agg(F.sum("n"), F.sum(F.length("rows"))).first()
     assert tuple(stored(few)) == tuple(stored(few.unionAll(few))) and stored(few)[0] == rows.select("x", "y", "Target").distinct().count()
+
+
+def binned_and_growth(rows):
+    from flowsift.operators import trees
+
+    assembled = b.materialise(b.assemble(rows, FEATURES, ["Target"]))
+    return trees, trees.bin_rows(assembled, assembled, 2.0, "Target", 0), trees.Growth(3, 5, 0.8, 1.0, 7, True)
+
+
+def test_a_level_of_a_tree_is_one_job_without_shuffle(spark, rows):
+    trees, binned, by = binned_and_growth(rows)
+    jobs = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    tree = trees.grow_tree(binned, binned.chunks, [], [], by)
+    assert 0 < len(jobs() - before) <= trees.depth_of(tree) <= 3
+
+
+def test_sums_added_by_spark_give_the_same_tree(spark, rows, monkeypatch):
+    trees, binned, by = binned_and_growth(rows)
+    near = trees.grow_tree(binned, binned.chunks, [], [], by)
+    monkeypatch.setattr(trees, "DRIVER_SUMS", 0)
+    monkeypatch.setattr(trees, "CELLS_PER_TASK", 50)
+    far = trees.grow_tree(binned, binned.chunks, [], [], by)
+    assert all((getattr(near, c) == getattr(far, c)).all() for c in ("feature", "bin", "left", "gain", "stats"))
+
+
+@pytest.mark.parametrize("width", [1, 3, 4, 5, 12, 80])
+def test_like_rows_are_folded_before_they_leave_their_task(width, monkeypatch):
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from flowsift.operators import trees
+
+    pick = random.Random(width)
+    kinds = [[float(pick.randrange(3)) for _ in range(width)] for _ in range(20)]
+    told = [{"side": pick.choice(["train", "validation", None]), "attack": pick.random() < 0.3, "x": pick.choice(kinds)} for _ in range(900)]
+    schema = pa.schema([("side", pa.string()), ("attack", pa.bool_()), ("x", pa.list_(pa.float64()))])
+    batches = [pa.RecordBatch.from_pylist(told[k : k + 300], schema=schema) for k in (0, 300, 600)]
+    wanted = Counter((r["side"], r["attack"], bytes(int(v) for v in r["x"])) for r in told)
+    for limit, parts in ((1 << 19, 1), (300, 3)):
+        monkeypatch.setattr(trees, "FOLDED_ROWS", limit)
+        found = [o.to_pylist() for o in trees.keyed([np.array([0.5, 1.5])] * width)(iter(batches))]
+        assert len(found) == parts
+        keys = [[(r["side"], r["attack"], r["bins"]) for r in part] for part in found]
+        assert all(len(set(part)) == len(part) for part in keys)
+        counted = Counter()
+        for part, own in zip(keys, found):
+            for key, r in zip(part, own):
+                counted[key] += r["rows"]
+        assert counted == wanted
+        if parts == 1:
+            assert keys[0] == list(wanted)
