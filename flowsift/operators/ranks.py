@@ -32,13 +32,15 @@ def rank_cut(
     counts: DataFrame | None = None,
     finer: Callable[[int], Column] | None = None,
     ranked_rows: int = RANKED_ROWS,
+    late: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Per group, the ``order`` values of the row whose rank equals the group's ``quota``.
 
     ``rows`` has ``group``, ``bucket`` and ``order``, where ``bucket`` never decreases along ``order``.
     ``quotas`` has one row per group with ``quota`` >= 1. Groups are classes, so there are few. The bucket that holds
     the wanted rank is counted again by ``finer(level)``, which takes the order further, until it holds no more than
-    ``ranked_rows`` rows; only then are its rows ranked. Without ``finer`` the caller bounds the buckets.
+    ``ranked_rows`` rows; only then are its rows ranked. Without ``finer`` the caller bounds the buckets. ``late`` has columns that only
+    rows of a boundary bucket need.
     """
     counts = bucket_counts(rows, bucket, group) if counts is None else counts
     inside, wanted, level = rows, quotas.select(group, "quota"), 0
@@ -48,6 +50,8 @@ def rank_cut(
         boundary = running.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
         boundary = materialise(boundary.select(group, bucket, "_n", (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_wanted")), "boundary")
         inside = inside.join(F.broadcast(boundary.select(group, bucket)), [group, bucket])  # a row per group
+        if late and not level:
+            inside = inside.withColumns(late)
         level += 1
         if finer is None or level >= MAX_LEVELS or boundary.filter(F.col("_n") > ranked_rows).isEmpty():
             break

@@ -153,3 +153,26 @@ def test_days_need_not_sort_by_name(spark):
     out = s.tail_split(sided.drop("side"), ["day_start", "source_day", "row_no"], s.day_bucket(rows_each=7))
     late = sorted((r["day_start"], r["row_no"]) for r in out.filter("side = 'validation'").collect())
     assert late == [(900, i) for i in range(20)]
+
+
+@pytest.mark.parametrize("digits, ranked_rows", [(3, 1_000_000), (1, 3)])
+def test_stored_digests_give_the_same_sides(spark, monkeypatch, digits, ranked_rows):
+    """Nested splits, keys that repeat or are null, a class too small to give a row, rows without a class."""
+    monkeypatch.setattr(ranks, "DIGEST_DIGITS", digits)
+    spread = F.pmod(F.hash("id"), F.lit(100))
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 3500).alias("id"), F.when(spread < 70, 0).when(spread < 99, 1).alias("Target")
+    )
+    stored = s.store_digested(df, ["id"])
+    assert stored.columns == ["id", "Target", s.DIGEST_BUCKET]
+    out, plain = s.stratified_split(stored, ["id"], ranked_rows=ranked_rows, digested=True), s.stratified_split(df, ["id"])
+    assert rows(out.drop(s.DIGEST_BUCKET)) == rows(plain) and out.filter("side = 'test'").count() >= 780
+    train, plain_train = (d.filter("side = 'train'").drop("side") for d in (out, plain))
+    carved = s.stratified_split(train, ["id"], names=("train", "validation"), ranked_rows=ranked_rows, digested=True)
+    assert rows(carved.drop(s.DIGEST_BUCKET)) == rows(s.stratified_split(plain_train, ["id"], names=("train", "validation")))
+
+
+def test_stored_digests_are_not_made_again_for_all_rows(spark):
+    stored = s.store_digested(labelled(spark, {0: 300, 1: 70}), ["id"])
+    plan = plan_of(s.stratified_split(stored, ["id"], digested=True))
+    assert plan.count("md5(") == 1 and "CASE WHEN StartsWith" in plan.split("md5(")[0]
