@@ -18,7 +18,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.operators.curves import SCORE, cumulate, range_edges, ranking_metrics, score_counts
-from flowsift.operators.trees import FEATURES, Growth, advanced, bin_rows, grow_tree, regression_tree, staged_scores
+from flowsift.operators.trees import FEATURES, Growth, advanced, bin_rows, grow_tree, holding, let_go, regression_tree, staged_scores
 from flowsift.schema import TARGET
 from flowsift.session import materialise, scratch_path
 from flowsift.sources.tables import ensemble_nodes
@@ -64,11 +64,15 @@ def fit(
     spark = assembled.sparkSession
     binned = bin_rows(assembled, assembled, weight, target, params.seed)
     trees, steps, stored = [], [], 0
+    held = holding(binned, binned.chunks, params.max_depth)
     for number in range(n_trees):
         if number - stored == params.block_trees:
             binned, stored = advanced(binned, trees[stored:], steps[stored:]), number
-        trees.append(grow_tree(binned, binned.chunks, trees[stored:], steps[stored:], growth(params, number)))
+            let_go(held)
+            held = holding(binned, binned.chunks, params.max_depth)
+        trees.append(grow_tree(binned, held, trees[stored:], steps[stored:], growth(params, number)))
         steps.append(params.learning_rate if steps else 1.0)
+    let_go(held)
     return boosted([regression_tree(spark, t, binned.thresholds) for t in trees], steps, len(binned.thresholds), spark)
 
 
@@ -160,10 +164,11 @@ def grow(carved: DataFrame, weight: float, params: BoostingParams, side: str = "
     trees, steps, points, blocks = [], [], [], []
     while True:
         start = len(trees)
-        fitted = binned.chunks.filter(F.col("side") != watched)
+        fitted = holding(binned, binned.chunks.filter(F.col("side") != watched), params.max_depth)
         for number in range(start, min(start + params.block_trees, params.max_trees)):
             trees.append(grow_tree(binned, fitted, trees[start:], steps[start:], growth(params, number)))
             steps.append(params.learning_rate if steps else 1.0)
+        let_go(fitted)
         blocks.append(summed(staged_scores(binned, trees[start:], steps[start:], start, side), side))
         points += [tuple(r) for r in learning_curve(blocks[-1], side).select(side, "n_trees", "average_precision", "log_loss").collect()]
         curve = spark.createDataFrame(points, f"{side} string, n_trees int, average_precision double, log_loss double")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsift.functions.scalars import content_digest
 from flowsift.operators.encode import ONE_HOTS
 from flowsift.operators.ranks import RANKED_ROWS, at_or_before, bucket_counts, digest_bucket, digest_columns, rank_cut
 from flowsift.schema import SOURCE_DAY, TARGET, TIMESTAMP
@@ -15,13 +14,6 @@ from flowsift.session import materialise
 # Share held out and the seed.
 TEST_SHARE = 0.2
 SEED = 42
-DIGEST_BUCKET = "_digest_bucket"
-
-
-def store_digested(df: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:
-    """``df`` stored with the first digits of its rows' digests in ``DIGEST_BUCKET``: splits by the same key and seed read them instead of digesting all rows again."""
-    marked = digest_columns(df, key, seed).withColumnRenamed("_bucket", DIGEST_BUCKET)
-    return materialise(marked.select(*df.columns, DIGEST_BUCKET), "digested")
 
 
 def class_quotas(df: DataFrame, target: str = TARGET, share: float = TEST_SHARE, rows: Column | None = None) -> DataFrame:
@@ -58,31 +50,63 @@ def stratified_split(
     names: tuple[str, str] = ("train", "test"),
     side: str = "side",
     ranked_rows: int = RANKED_ROWS,
-    digested: bool = False,
 ) -> DataFrame:
     """Add ``side`` so that each class gives exactly its quota to the held-out side.
 
     Rows are ordered by the md5 of their unique ``key`` and the seed. Only key and target are read to
     find the cut, one row per class: once to count buckets, from which the quotas follow too, and once for the rows of the
     boundary bucket. The table itself is then tagged in a map-only pass. Pass a written table, not a long plan.
-    With ``digested`` the table is one of ``store_digested`` for the same key and seed, or rows of it: only rows of the boundary buckets are digested then.
     The target holds the two classes 0 and 1, so the broadcast cut has at most two rows.
     """
-    order, digest = ["_digest", *key], content_digest(key, seed)
-    classed = df.withColumn("_class", F.col(target).cast("int"))
-    marked = classed.withColumn("_bucket", F.col(DIGEST_BUCKET)) if digested else digest_columns(classed, key, seed)
-    slim = marked.select("_class", "_bucket", *(key if digested else order)).filter(F.col("_class").isin(0, 1))
+    marked = digest_columns(df.withColumn("_class", F.col(target).cast("int")), key, seed)
+    order = ["_digest", *key]
+    slim = marked.select("_class", "_bucket", *order).filter(F.col("_class").isin(0, 1))
     counts = bucket_counts(slim, "_bucket", "_class")
     quotas = class_quotas(counts, "_class", share, F.col("_n")).filter("test_rows > 0")
-    wanted, late = quotas.select("_class", F.col("test_rows").alias("quota")), {"_digest": digest} if digested else {}
-    cut = rank_cut(slim, wanted, "_bucket", order, "_class", counts, digest_bucket, ranked_rows, late)
-    tagged = marked.join(F.broadcast(materialise(cut, "cut")), "_class", "left")
-    if digested:
-        near = F.struct(digest.alias("_digest"), *key) <= F.struct(*[F.col(f"_cut_{c}").alias(c) for c in order])
-        held = F.when(F.startswith("_cut__digest", "_bucket"), near).otherwise(F.col("_bucket") < F.col("_cut__digest"))
-    else:
-        held = at_or_before(order)
-    return tagged.withColumn(side, F.when(F.coalesce(held, F.lit(False)), names[1]).otherwise(names[0])).select(*df.columns, side)
+    cut = rank_cut(slim, quotas.select("_class", F.col("test_rows").alias("quota")), "_bucket", order, "_class", counts, digest_bucket, ranked_rows)
+    held = F.coalesce(at_or_before(order), F.lit(False))
+    return (
+        marked.join(F.broadcast(cut), "_class", "left")
+        .withColumn(side, F.when(held, names[1]).otherwise(names[0]))
+        .select(*df.columns, side)
+    )
+
+
+def nested_split(
+    df: DataFrame,
+    key: Sequence[str],
+    target: str = TARGET,
+    share: float = TEST_SHARE,
+    seed: int = SEED,
+    names: tuple[str, str, str] = ("train", "validation", "test"),
+    side: str = "side",
+    phase: str = "phase",
+    ranked_rows: int = RANKED_ROWS,
+) -> DataFrame:
+    """Add ``side`` as ``stratified_split`` does, and ``phase``, which is what ``stratified_split`` by the same key and seed adds to the rows left for training.
+
+    Both orders are the same, so a class's validation rows follow its test rows: the rows are counted once, both cuts come from one scan, and
+    the table is tagged in one map-only pass. ``phase`` is null on the test side.
+    """
+    order = ["_digest", *key]
+    marked = digest_columns(df.withColumn("_class", F.col(target).cast("int")), key, seed)
+    slim = marked.select("_class", "_bucket", *order).filter(F.col("_class").isin(0, 1))
+    counts = bucket_counts(slim, "_bucket", "_class")
+    outer = materialise(class_quotas(counts, "_class", share, F.col("_n")), "quotas")
+    left = class_quotas(outer.filter("train_rows > 0"), "_class", share, F.col("train_rows")).select("_class", F.col("test_rows").alias("_later"))
+    ranks = F.array(F.struct(F.lit(0).alias("_part"), F.col("test_rows").alias("quota")), F.struct(F.lit(1).alias("_part"), (F.col("test_rows") + F.col("_later")).alias("quota")))
+    wanted = outer.join(left, "_class", "left").select("_class", "test_rows", "_later", F.inline(ranks)).filter(F.when(F.col("_part") == 0, F.col("test_rows")).otherwise(F.col("_later")) > 0)
+    parts = F.explode(F.array(F.col("_class") * 2, F.col("_class") * 2 + 1)).alias("_group")  # of each row, once per cut
+    quotas = wanted.select((F.col("_class") * 2 + F.col("_part")).alias("_group"), "quota")
+    doubled = [d.select("*", parts).drop("_class") for d in (slim, counts)]
+    cuts = materialise(rank_cut(doubled[0], quotas, "_bucket", order, "_group", doubled[1], digest_bucket, ranked_rows), "cuts")
+    tagged = marked
+    for part in (0, 1):  # at most a row per class each
+        cut = cuts.filter(F.col("_group") % 2 == part).select(F.floor(F.col("_group") / 2).cast("int").alias("_class"), F.struct(*[F.col(f"_cut_{c}").alias(c) for c in order]).alias(f"_cut{part}"))
+        tagged = tagged.join(F.broadcast(cut), "_class", "left")
+    tested, watched = (F.coalesce(F.struct(*order) <= F.col(f"_cut{part}"), F.lit(False)) for part in (0, 1))
+    sides = {side: F.when(tested, names[2]).otherwise(names[0]), phase: F.when(~tested, F.when(watched, names[1]).otherwise(names[0]))}
+    return tagged.withColumns(sides).select(*df.columns, side, phase)
 
 
 def tail_split(

@@ -15,7 +15,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -200,13 +200,19 @@ def bin_rows(table: DataFrame, fitted: DataFrame, attack_weight: float, target:
     return BinnedRows(chunks, chunks.rdd.getNumPartitions(), points, attack_weight, 2.0 ** (FIXED_BITS - np.ceil(np.log2(16.0 * max(weight, 1.0)))))
 
 
-def leaves(tree: Tree, bins: np.ndarray, depth: int) -> np.ndarray:
-    """The node that each row reaches."""
-    n = bins.shape[1]
-    flat, at, node = bins.reshape(-1), np.arange(n), np.zeros(n, np.int64)
-    for _ in range(depth):
-        node = tree.left[node] + (flat[tree.feature[node] * n + at] > tree.bin[node])
-    return node
+def leaves(tree: Tree, bins: np.ndarray) -> np.ndarray:
+    """The node that each row reaches: bottom-up, every split chooses between what its two sides reach, by sums and products of bytes where they do."""
+    n_nodes = len(tree.left)
+    kind = np.uint8 if n_nodes <= 256 else np.uint16 if n_nodes <= 1 << 16 else np.uint32
+    reached: list = list(np.arange(n_nodes, dtype=kind))
+    for k in range(n_nodes - 1, -1, -1):  # children have larger numbers than their parent
+        low = tree.left[k]
+        if low != k:
+            gap = np.subtract(reached[low + 1], reached[low], dtype=kind) if np.ndim(reached[low + 1]) or np.ndim(reached[low]) else kind(1)
+            reached[k] = (bins[tree.feature[k]] > tree.bin[k]).astype(kind) * gap
+            reached[k] += reached[low]  # whole numbers wrap, so the gap may be negative
+            reached[low] = reached[low + 1] = None
+    return np.broadcast_to(reached[0], bins.shape[1])
 
 
 def depth_of(tree: Tree) -> int:
@@ -218,15 +224,30 @@ def depth_of(tree: Tree) -> int:
 
 def opened(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Side, id, bins, classes, counts and margins of each chunk of a batch."""
-    for r in batch.to_pylist():
-        bins = np.frombuffer(r["bins"], np.uint8).reshape(-1, r["n"])
-        yield r["side"], r["id"], bins, np.frombuffer(r["attack"], np.uint8), np.frombuffer(r["rows"], np.int64), np.frombuffer(r["margin"])
+    return (opened_chunk(*r.values()) for r in batch.to_pylist())
+
+
+def opened_chunk(side: str | None, own: int, n: int, bins: bytes, attack: bytes, rows: bytes, margin: bytes) -> tuple:
+    arrays = np.frombuffer(bins, np.uint8).reshape(-1, n), np.frombuffer(attack, np.uint8), np.frombuffer(rows, np.int64), np.frombuffer(margin)
+    return side, own, *arrays
+
+
+def holding(binned: BinnedRows, chunks: DataFrame, max_depth: int) -> DataFrame | RDD:
+    """The chunks kept by the executors, so a level is a job without a plan or a scan; as they are where a level has too many sums to bring together on the driver."""
+    if binned.tasks * len(binned.thresholds) * MAX_BINS << max(max_depth - 1, 0) > DRIVER_SUMS:
+        return chunks
+    return chunks.select(*BINNED_SCHEMA.names).rdd.map(lambda r: (*r[:3], *map(bytes, r[3:]))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def let_go(chunks: DataFrame | RDD) -> None:
+    if isinstance(chunks, RDD):
+        chunks.unpersist()
 
 
 def stages(margin: np.ndarray, bins: np.ndarray, trees: Sequence[Tree], steps: Sequence[float]) -> Iterator[np.ndarray]:
     """The margins after each of the trees."""
     for tree, step in zip(trees, steps):
-        margin = margin + step * tree.values[leaves(tree, bins, depth_of(tree))]
+        margin = margin + step * tree.values[leaves(tree, bins)]
         yield margin
 
 
@@ -236,46 +257,59 @@ def probabilities(margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-2.0 * margin))
 
 
-def level_sums(binned: BinnedRows, trees: Sequence[Tree], steps: Sequence[float], growing: Tree, level: int, open_nodes: Sequence[int], by: Growth):
+def level_sums(binned: BinnedRows, trees: Sequence[Tree], steps: Sequence[float], growing: Tree, open_nodes: Sequence[int], by: Growth):
     """Chunks -> this task's sums per open node, feature and bin: rows, attacks, and the two sums over values in whole multiples of ``1 / scale``."""
     slots = np.full(len(growing.left), len(open_nodes), np.int64)
     slots[list(open_nodes)] = np.arange(len(open_nodes))
     n_features, attack_weight, scale = len(binned.thresholds), binned.attack_weight, binned.scale
     width = (len(open_nodes) + 1) * MAX_BINS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(chunks: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sums = np.zeros((STATS, n_features, width), np.int64)
-        for batch in batches:
-            for _, own, bins, attack, rows, margin in opened(batch):
-                y = np.where(attack == 1, 1.0, -1.0)
-                value = y
-                if not by.first:
-                    for margin in stages(margin, bins, trees, steps):
-                        pass
-                    with np.errstate(over="ignore"):
-                        value = 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
-                if by.row_share < 1.0:
-                    draw = np.random.default_rng([by.seed, own])
-                    rows = (draw.random(len(rows)) < by.row_share).astype(float) if rows.max() == 1 else draw.binomial(rows, by.row_share).astype(float)
-                else:
-                    rows = rows.astype(float)
-                weight = np.where(attack == 1, attack_weight, 1.0) * rows
-                attacks, first, second = rows * attack, weight * value, weight * value * value
-                slot = slots[leaves(growing, bins, level)] * MAX_BINS
-                for j in range(n_features):
-                    cell = slot + bins[j]
-                    sums[0, j] += np.bincount(cell, rows, width).astype(np.int64)
-                    sums[1, j] += np.bincount(cell, attacks, width).astype(np.int64)
-                    sums[2, j] += np.rint(np.bincount(cell, first, width) * scale).astype(np.int64)
-                    sums[3, j] += np.rint(np.bincount(cell, second, width) * scale).astype(np.int64)
+        for _, own, bins, attack, rows, margin in chunks:
+            y = np.where(attack == 1, 1.0, -1.0)
+            value = y
+            if not by.first:
+                for margin in stages(margin, bins, trees, steps):
+                    pass
+                with np.errstate(over="ignore"):
+                    value = 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
+            if by.row_share < 1.0:
+                draw = np.random.default_rng([by.seed, own])
+                rows = (draw.random(len(rows)) < by.row_share).astype(float) if rows.max() == 1 else draw.binomial(rows, by.row_share).astype(float)
+            else:
+                rows = rows.astype(float)
+            weight = np.where(attack == 1, attack_weight, 1.0) * rows
+            attacks, first, second = rows * attack, weight * value, weight * value * value
+            slot = slots[leaves(growing, bins)] * MAX_BINS
+            for j in range(n_features):
+                cell = slot + bins[j]
+                sums[0, j] += np.bincount(cell, rows, width).astype(np.int64)
+                sums[1, j] += np.bincount(cell, attacks, width).astype(np.int64)
+                sums[2, j] += np.rint(np.bincount(cell, first, width) * scale).astype(np.int64)
+                sums[3, j] += np.rint(np.bincount(cell, second, width) * scale).astype(np.int64)
         used = sums[:, :, : width - MAX_BINS].reshape(STATS, -1)
         cells = np.flatnonzero(used[0])
         if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(used[k, cells]) for k in range(STATS)]], ["cell", "s0", "s1", "s2", "s3"])
+            yield cells, used[:, cells]
 
     return run
 
 
+def of_batches(run):
+    """What ``run`` makes of chunks, made of Arrow batches of them."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells, used in run(chunk for batch in batches for chunk in opened(batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(used[k]) for k in range(STATS)]], ["cell", "s0", "s1", "s2", "s3"])
+
+    return told
+
+
+def of_held(run):
+    return lambda held: run(opened_chunk(*chunk) for chunk in held)
+
+
 def impurities(stats: np.ndarray) -> np.ndarray:
     """Variance, from sums in the last axis."""
     weight = np.maximum(stats[..., 1], np.finfo(float).tiny)
@@ -299,20 +333,25 @@ def best_split(cells: np.ndarray, thresholds: Sequence[np.ndarray], allowed: np.
     return feature, at, gains[feature, at], left[feature, at], right[feature, at]
 
 
-def grow_tree(binned: BinnedRows, chunks: DataFrame, trees: Sequence[Tree], steps: Sequence[float], by: Growth) -> Tree:
+def grow_tree(binned: BinnedRows, chunks: DataFrame | RDD, trees: Sequence[Tree], steps: Sequence[float], by: Growth) -> Tree:
     """The next regression tree over margins that are those stored plus ``trees``; a pass over the chunks per level."""
     n_features = len(binned.thresholds)
     feature, bin_, left, gain, stats, open_nodes = [0], [255], [0], [0.0], [np.zeros(STATS)], [0]
     made = lambda: Tree(np.array(feature), np.array(bin_), np.array(left), np.array(gain), np.array(stats))
     for level in range(max(1, by.max_depth)):
-        sums = chunks.mapInArrow(level_sums(binned, trees, steps, made(), level, open_nodes, by), "cell bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
         n_cells = n_features * len(open_nodes) * MAX_BINS
-        if binned.tasks * n_cells > DRIVER_SUMS:  # a task has one row per cell, so there is nothing to fold before the shuffle
-            whole = sums.repartition(-(-n_cells // CELLS_PER_TASK), "cell").groupBy("cell")
-            sums = whole.agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATS)])
-        found, totals = sums.toArrow(), np.zeros((STATS, n_cells), np.int64)
-        for k in range(STATS):
-            np.add.at(totals[k], found["cell"].to_numpy(), found[f"s{k}"].to_numpy())
+        totals, run = np.zeros((STATS, n_cells), np.int64), level_sums(binned, trees, steps, made(), open_nodes, by)
+        if isinstance(chunks, RDD):
+            for cells, used in chunks.mapPartitions(of_held(run)).collect():
+                totals[:, cells] += used
+        else:
+            sums = chunks.mapInArrow(of_batches(run), "cell bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+            if binned.tasks * n_cells > DRIVER_SUMS:  # a task has one row per cell, so there is nothing to fold before the shuffle
+                whole = sums.repartition(-(-n_cells // CELLS_PER_TASK), "cell").groupBy("cell")
+                sums = whole.agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATS)])
+            found = sums.toArrow()
+            for k in range(STATS):
+                np.add.at(totals[k], found["cell"].to_numpy(), found[f"s{k}"].to_numpy())
         rows, attacks, first, second = totals
         cells = np.stack([rows, (rows - attacks) + attacks * binned.attack_weight, first / binned.scale, second / binned.scale], axis=1)
         cells = cells.reshape(n_features, len(open_nodes), MAX_BINS, STATS)

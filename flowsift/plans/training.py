@@ -20,7 +20,7 @@ from flowsift.operators.boosting import (
 from flowsift.operators.curves import cumulate, cumulative_counts, operating_threshold, range_edges, ranking_metrics
 from flowsift.operators.diagnostics import classification_report, confusion_matrix
 from flowsift.operators.gates import required_names
-from flowsift.operators.split import DIGEST_BUCKET, SEED, class_weight, feature_columns, stratified_split, tail_split
+from flowsift.operators.split import SEED, class_weight, feature_columns, stratified_split, tail_split
 from flowsift.plans.preparation import PLACE
 from flowsift.schema import ROW_KEY, SOURCE_DAY, TARGET, TIME_BASED, check_strategy
 from flowsift.session import materialise, scratch_tables
@@ -46,9 +46,9 @@ class TrainedRun:
     importance: DataFrame
 
 
-def carve_stratified(key: Sequence[str], digested: bool = False) -> Callable[[DataFrame], DataFrame]:
-    """Validation by class quota, as for the test side; ``digested`` as in ``stratified_split``."""
-    return lambda train: stratified_split(train, key, names=(TRAIN, VALIDATION), side="phase", seed=SEED, digested=digested)
+def carve_stratified(key: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Validation by class quota, as for the test side."""
+    return lambda train: stratified_split(train, key, names=(TRAIN, VALIDATION), side="phase", seed=SEED)
 
 
 def carve_tail(order: Sequence[str], bucket) -> Callable[[DataFrame], DataFrame]:
@@ -66,22 +66,23 @@ def weight_of(df: DataFrame) -> float:
 def train_and_evaluate(
     split: DataFrame,
     features: Sequence[str],
-    carve: Callable[[DataFrame], DataFrame],
+    carve: Callable[[DataFrame], DataFrame] | None,
     params: BoostingParams = BoostingParams(),
     run_dir: str | None = None,
 ) -> TrainedRun:
-    """The two-phase training run on a table with ``side`` (train, test), target and features.
+    """The two-phase training run on a table with ``side`` (train, test), target and features, and with ``phase`` if nothing carves it.
 
     Phase 1 fits on the training rows outside validation and keeps the tree count and threshold that
     validation prefers. Phase 2 refits on all training rows. Only the test side is reported.
     """
     spark = split.sparkSession
-    absent = required_names(split.columns, [*features, TARGET, "side"])
+    absent = required_names(split.columns, [*features, TARGET, "side", *([] if carve else ["phase"])])
     if absent:
         raise ValueError(f"the split table lacks {absent}")
     train = split.filter(F.col("side") == TRAIN)
-    phases = materialise(carve(train).select(*features, TARGET, F.col("phase").alias("side")), "phase1")  # plain columns cost less than vectors
-    carved = assemble(phases, features, [TARGET, "side"])
+    phases = (carve(train) if carve else train).drop("side").withColumnRenamed("phase", "side")
+    plain = materialise(phases.select(*features, TARGET, "side"), "phase1")  # written and read in less time than vectors
+    carved = assemble(plain, features, [TARGET, "side"])
     inner = carved.filter(F.col("side") == TRAIN)
     if carved.filter((F.col("side") == VALIDATION) & (F.col(TARGET) == 1)).isEmpty():
         log.warning("no validation row is an attack, so neither the number of trees nor the threshold means much")
@@ -94,7 +95,7 @@ def train_and_evaluate(
     everything = carved.drop("side")
     model = fit(everything, weight_of(everything), n_trees, params)
 
-    kept = [TARGET] + [c for c in split.columns if c not in {*features, TARGET, "side", DIGEST_BUCKET}]
+    kept = [TARGET] + [c for c in split.columns if c not in {*features, TARGET, "side", *([] if carve else ["phase"])}]
     test = assemble(split.filter(F.col("side") == TEST), features, kept)
     scores = materialise(score_rows(model, test), "scores")
     run = TrainedRun(

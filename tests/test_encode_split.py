@@ -156,23 +156,23 @@ def test_days_need_not_sort_by_name(spark):
 
 
 @pytest.mark.parametrize("digits, ranked_rows", [(3, 1_000_000), (1, 3)])
-def test_stored_digests_give_the_same_sides(spark, monkeypatch, digits, ranked_rows):
-    """Nested splits, keys that repeat or are null, a class too small to give a row, rows without a class."""
+@pytest.mark.parametrize("n, benign", [(4000, 70), (4000, 100), (9, 60), (3, 50), (1, 100), (0, 50)])
+def test_nested_split_is_two_splits(spark, monkeypatch, digits, ranked_rows, n, benign):
+    """Keys that repeat or are null, a class too small to give a row, rows without a class, no rows."""
     monkeypatch.setattr(ranks, "DIGEST_DIGITS", digits)
     spread = F.pmod(F.hash("id"), F.lit(100))
-    df = spark.range(4000).select(
-        F.when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 3500).alias("id"), F.when(spread < 70, 0).when(spread < 99, 1).alias("Target")
+    df = spark.range(n).select(
+        F.when(F.col("id") % 50 == 7, None).otherwise(F.col("id") % 3500).alias("id"), F.when(spread < benign, 0).when(spread < 99, 1).alias("Target")
     )
-    stored = s.store_digested(df, ["id"])
-    assert stored.columns == ["id", "Target", s.DIGEST_BUCKET]
-    out, plain = s.stratified_split(stored, ["id"], ranked_rows=ranked_rows, digested=True), s.stratified_split(df, ["id"])
-    assert rows(out.drop(s.DIGEST_BUCKET)) == rows(plain) and out.filter("side = 'test'").count() >= 780
-    train, plain_train = (d.filter("side = 'train'").drop("side") for d in (out, plain))
-    carved = s.stratified_split(train, ["id"], names=("train", "validation"), ranked_rows=ranked_rows, digested=True)
-    assert rows(carved.drop(s.DIGEST_BUCKET)) == rows(s.stratified_split(plain_train, ["id"], names=("train", "validation")))
-
-
-def test_stored_digests_are_not_made_again_for_all_rows(spark):
-    stored = s.store_digested(labelled(spark, {0: 300, 1: 70}), ["id"])
-    plan = plan_of(s.stratified_split(stored, ["id"], digested=True))
-    assert plan.count("md5(") == 1 and "CASE WHEN StartsWith" in plan.split("md5(")[0]
+    found = s.nested_split(df, ["id"], ranked_rows=ranked_rows)
+    plain = s.stratified_split(df, ["id"])
+    assert rows(found.drop("phase")) == rows(plain)
+    carved = s.stratified_split(plain.filter("side = 'train'").drop("side"), ["id"], names=("train", "validation"), side="phase")
+    assert rows(found.filter("side = 'train'").drop("side")) == rows(carved)
+    assert found.filter("side = 'test' AND phase IS NOT NULL").isEmpty()
+
+
+def test_nested_split_digests_rows_once_a_pass_and_moves_none(spark):
+    plan = plan_of(s.nested_split(labelled(spark, {0: 300, 1: 70}), ["id"]))
+    assert plan.count("md5(") <= 2 and "Sort" not in plan  # bucket and digest of one projection
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 2

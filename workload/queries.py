@@ -636,7 +636,7 @@ def prepared_day_balance(spark, sf_dir):
 @cache
 def _line_split(spark, sf_dir) -> DataFrame:
     rows = lines(spark, sf_dir).select(*LINE_KEY, *[c for c in LINE_FEATURES if c not in LINE_KEY], TARGET)
-    return split.stratified_split(split.store_digested(rows, LINE_KEY), LINE_KEY, digested=True)
+    return split.nested_split(rows, LINE_KEY)
 
 
 @cache
@@ -671,17 +671,16 @@ def model_round_trip(spark, sf_dir):
 
 @query
 def learning_curve(spark, sf_dir):
-    train = _line_split(spark, sf_dir).filter("side = 'train'").drop("side")
-    phases = split.stratified_split(train, LINE_KEY, names=("train", "validation"), digested=True)
-    assembled = boosting.assemble(materialise(phases.select(*LINE_FEATURES, TARGET, "side"), "phases"), LINE_FEATURES, [TARGET, "side"])
+    train = _line_split(spark, sf_dir).filter("side = 'train'")
+    phases = materialise(train.select(*LINE_FEATURES, TARGET, F.col("phase").alias("side")), "phases")
+    assembled = boosting.assemble(phases, LINE_FEATURES, [TARGET, "side"])
     return boosting.grow(assembled, training.weight_of(assembled.filter("side = 'train'")), SMALL_FIT).curve
 
 
 @cache
 def _trained(spark, sf_dir):
     """A run on the order lines, saved; its tables are stored, so several queries can read the same one."""
-    rows = _line_split(spark, sf_dir)
-    return training.train_and_evaluate(rows, LINE_FEATURES, training.carve_stratified(LINE_KEY, digested=True), SMALL_FIT, _run_dir(spark, sf_dir))
+    return training.train_and_evaluate(_line_split(spark, sf_dir), LINE_FEATURES, None, SMALL_FIT, _run_dir(spark, sf_dir))
 
 
 @cache
