@@ -268,3 +268,58 @@ def test_like_rows_are_folded_before_they_leave_their_task(width, monkeypatch):
         assert counted == wanted
         if parts == 1:
             assert keys[0] == list(wanted)
+
+
+def test_held_chunks_give_the_same_trees_and_are_let_go(spark, rows):
+    from pyspark import RDD
+
+    trees, binned, by = binned_and_growth(rows)
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = kept()
+    held = trees.holding(binned, binned.chunks, 3)
+    near, far = trees.grow_tree(binned, held, [], [], by), trees.grow_tree(binned, binned.chunks, [], [], by)
+    assert isinstance(held, RDD) and kept() == before + 1
+    assert all((getattr(near, c) == getattr(far, c)).all() for c in ("feature", "bin", "left", "gain", "stats"))
+    trees.let_go(held)
+    assert kept() == before
+    assert trees.holding(binned, binned.chunks, 30) is binned.chunks  # too many sums for the driver
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4, 9])
+def test_leaves_are_those_of_each_rows_path(depth):
+    from flowsift.operators import trees
+
+    pick = np.random.default_rng(depth)
+    feature, bin_, left, level = [0], [255], [0], [0]
+    for _ in range(depth):
+        following = []
+        for k in level:
+            if pick.random() < 0.9:
+                feature[k], bin_[k], left[k] = int(pick.integers(3)), int(pick.integers(31)), len(left)
+                following += [len(left), len(left) + 1]
+                for _ in range(2):
+                    feature.append(0), bin_.append(255), left.append(len(left))
+        level = following
+    tree = trees.Tree(np.array(feature), np.array(bin_), np.array(left), np.zeros(len(left)), np.ones((len(left), 4)))
+    bins = pick.integers(0, 32, (3, 500)).astype(np.uint8)
+
+    def path(row):
+        node = 0
+        while left[node] != node:
+            node = left[node] + int(row[feature[node]] > bin_[node])
+        return node
+
+    assert trees.leaves(tree, bins).tolist() == [path(row) for row in bins.T]
+
+
+def test_phases_of_the_table_stand_for_a_carve(spark, rows):
+    sided = split.nested_split(rows, ["id"])
+    assert sided.filter("side = 'train'").groupBy("phase").count().count() == 2
+    params = BoostingParams(max_trees=2, max_depth=2, learning_rate=0.3)
+    mine = training.train_and_evaluate(sided, FEATURES, None, params)
+    theirs = training.train_and_evaluate(sided.drop("phase"), FEATURES, training.carve_stratified(["id"]), params)
+    assert mine.scores.columns == theirs.scores.columns and sorted(mine.scores.collect()) == sorted(theirs.scores.collect())
+    with pytest.raises(ValueError, match="phase"):
+        training.train_and_evaluate(sided.drop("phase"), FEATURES, None, params)
+    with pytest.raises(Exception, match="null"):
+        training.train_and_evaluate(sided.withColumn("x", F.when(F.col("id") != 5, F.col("x"))), FEATURES, None, params)
